@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, packing, sharding, simhash, sphere_filters, topk_nra, url_filter
+from tidemill.llm import byte_bpe, packing, sharding, simhash, sphere_filters, suffix_dedup, topk_nra, url_filter
 
 #: The rules that the URL query applies.
 URL_RULES = [
@@ -26,6 +26,17 @@ def op1_sphere_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sphere_filters.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_nra.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -65,6 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sphere_filters": op1_sphere_filters,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_topk_nra": op3_topk_nra,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
