@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, packing, sharding, simhash, sphere_filters, suffix_dedup, topk_nra, url_filter
+from tidemill.llm import byte_bpe, language_id, packing, quality_ranker, sharding, simhash, sphere_filters, suffix_dedup, topk_nra, url_filter
 
 #: The rules that the URL query applies.
 URL_RULES = [
@@ -53,11 +53,30 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out("doc_id")))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = quality_ranker.feature_table(_table(spark, sf_dir, "documents"))
+    model = quality_ranker.fit(table, _table(spark, sf_dir, "labels"), ~quality_ranker.held_out("doc_id"))
+    scored = quality_ranker.score(table, model)
+    return scored.select(
+        "doc_id",
+        quality_ranker.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -80,7 +99,9 @@ QUERIES = {
     "op3_topk_nra": op3_topk_nra,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
+    "op8_quality_ranker": op8_quality_ranker,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filter": op10_url_filter,
 }
