@@ -36,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.distinct_words import _expand, _planes, _runs, _squeeze, _unplanes
@@ -621,3 +621,8 @@ def remove_repeats(
         .sortWithinPartitions("block", "kind")
         .mapInArrow(_remove(), "id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
     )
+
+
+def whole_characters(kept: Column) -> Column:
+    """Kept bytes as a string; bytes of a character that a removal has cut are left out."""
+    return F.translate(F.make_valid_utf8(kept.cast("string")), "\ufffd", "")
