@@ -1,4 +1,828 @@
 """Registered queries of the table operators, each with its SQL form where one exists."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemill.functions import scalars as S
+from tidemill.operators import billing, changelog, dims, facts, history, marts, merge, quality, reports
+from tidemill.plans import checks
+from tidemill.plans.standins import DERIVED, oracle, tables
+from tidemill.sources import tables as sources
+from tidemill.streaming import landing
+
+Tables = dict[str, DataFrame]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of the tables under its name, with its SQL."""
+
+    def wrap(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        name = f.__name__
+        QUERIES[name] = lambda spark, sf_dir: f(tables(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = oracle(sql)
+        return f
+
+    return wrap
+
+
+def doubles(df: DataFrame) -> DataFrame:
+    """Decimals as doubles and dates as text, for a result that engines print alike."""
+    kinds = {"date": "string"}
+    return df.select(
+        *[F.col(n).cast("double" if k.startswith("decimal") else kinds.get(k, k)).alias(n) for n, k in df.dtypes]
+    )
+
+
+def d(expression: str, name: str) -> str:
+    return f"CAST({expression} AS DOUBLE) AS {name}"
+
+
+# ---------------------------------------------------------------- change log and current state
+
+STATE = T.StructType(
+    [
+        T.StructField("user_id", T.LongType()),
+        T.StructField("amount", T.DecimalType(14, 4)),
+        T.StructField("kind", T.StringType()),
+        T.StructField("day", T.DateType()),
+        T.StructField("updated_at", T.TimestampType()),
+    ]
+)
+
+
+def change_events(t: Tables) -> DataFrame:
+    """The events table as change records: JSON payloads in wire types, a tombstone after each deletion."""
+    c = t["changes"].withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    payload = F.to_json(
+        F.struct("user_id", F.col("amount").cast("string").alias("amount"), "kind", F.unix_date("day").alias("day"), F.col("ms").alias("updated_at"))
+    )
+    gone = F.col("op") == "d"
+    made = c.select(
+        F.explode(F.when(gone, F.array(F.lit("d"), F.lit("t"))).otherwise(F.array("op"))).alias("o"),
+        F.col("user_id"), F.col("lsn"), F.col("ms"), payload.alias("payload"),
+    )
+    dead = F.col("o") == "t"
+    return made.select(
+        F.col("o").alias("op"),
+        F.lit("public").alias("source_schema"),
+        F.lit("users").alias("source_table"),
+        F.when(~dead, F.col("ms")).alias("event_ts_ms"),
+        F.when(~dead, F.col("lsn")).alias("lsn"),
+        F.lit(None).cast("long").alias("tx_id"),
+        F.to_json(F.struct("user_id")).alias("key"),
+        F.when(F.col("o") == "d", F.col("payload")).alias("before_json"),
+        F.when(~F.col("o").isin("d", "t"), F.col("payload")).alias("after_json"),
+        F.lit("cdc.public.users").alias("kafka_topic"),
+        F.pmod("user_id", F.lit(4)).cast("int").alias("kafka_partition"),
+        (F.col("lsn") * 2 + dead.cast("int")).alias("kafka_offset"),
+        (F.col("ms") + 1000).alias("ingested_at_ms"),
+    )
+
+
+def boundary(t: Tables) -> int:
+    """The snapshot's position: half of the log."""
+    return (t["changes"].agg(F.max("lsn")).first()[0] or 0) // 2
+
+
+def snapshot(t: Tables, at: int) -> DataFrame:
+    """Rows alive at a position, typed as the source table."""
+    state = changelog.collapse_changes(change_events(t).where(F.col("lsn") <= at), "user_id", STATE)
+    return changelog.source_columns(state.where(~F.col("is_deleted")))
+
+
+def current(t: Tables) -> DataFrame:
+    at = boundary(t)
+    return changelog.reconcile_table(snapshot(t, at), change_events(t), "user_id", at)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Times without a zone, decimals as doubles."""
+    return doubles(df.select(*[F.col(n).cast("timestamp_ntz").alias(n) if k == "timestamp" else F.col(n) for n, k in df.dtypes]))
+
+
+SQL_MS = "date_trunc('millisecond', ts)"
+SQL_HALF = "(SELECT CAST(floor(max(lsn) / 2) AS BIGINT) FROM {changes})"
+
+
+def sql_newest(where: str) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) AS n FROM {{changes}} WHERE {where}) x WHERE n = 1"
+
+
+SQL_VALUES = f"user_id, CAST(amount AS DOUBLE) AS amount, kind, CAST(day AS VARCHAR) AS day, {SQL_MS} AS updated_at"
+SQL_CHANGED = f"""{SQL_VALUES}, op = 'd' AS is_deleted, CASE WHEN op = 'd' THEN {SQL_MS} END AS deleted_at,
+    lsn AS _lsn, op AS _op, {SQL_MS} AS _event_ts"""
+SQL_CURRENT = f"""
+    SELECT {SQL_VALUES}, false AS is_deleted, CAST(NULL AS TIMESTAMP) AS deleted_at, CAST(NULL AS BIGINT) AS _lsn,
+      CAST(NULL AS VARCHAR) AS _op, CAST(NULL AS TIMESTAMP) AS _event_ts
+    FROM ({sql_newest("lsn <= " + SQL_HALF)}) s
+    WHERE op <> 'd' AND user_id NOT IN (SELECT user_id FROM {{changes}} WHERE lsn > {SQL_HALF})
+    UNION ALL SELECT {SQL_CHANGED} FROM ({sql_newest("lsn > " + SQL_HALF)}) c"""
+
+
+@query(f"SELECT {SQL_CHANGED} FROM ({sql_newest('true')}) c")
+def changelog_collapse(t: Tables) -> DataFrame:
+    return plain(changelog.collapse_changes(change_events(t), "user_id", STATE))
+
+
+@query(SQL_CURRENT)
+def changelog_reconcile(t: Tables) -> DataFrame:
+    return plain(current(t))
+
+
+@query(f"""SELECT {SQL_VALUES}, false AS is_deleted FROM ({sql_newest("lsn <= " + SQL_HALF)}) s WHERE op <> 'd'""")
+def changelog_snapshot(t: Tables) -> DataFrame:
+    return plain(changelog.from_snapshot(snapshot(t, boundary(t))).drop("deleted_at", "_lsn", "_op", "_event_ts"))
+
+
+@query(f"SELECT {SQL_CHANGED} FROM ({sql_newest('true')}) c")
+def merge_upsert(t: Tables) -> DataFrame:
+    """Two increments merged one after the other give the state of the whole log."""
+    at, log = boundary(t), change_events(t)
+    first = changelog.collapse_changes(log.where(F.col("lsn") <= at), "user_id", STATE)
+    return plain(merge.merge_upsert(first, changelog.collapse_changes(log, "user_id", STATE, at), "user_id"))
+
+
+@query(f"""WITH s AS (SELECT user_id FROM ({sql_newest("lsn <= " + SQL_HALF)}) s WHERE op <> 'd'),
+    c AS (SELECT user_id, op = 'd' AS gone FROM ({sql_newest("lsn > " + SQL_HALF)}) c)
+    SELECT (SELECT count(*) FROM c) AS merged, (SELECT count(*) FROM c WHERE user_id NOT IN (SELECT user_id FROM s)) AS inserted,
+      (SELECT count(*) FROM c WHERE NOT gone AND user_id IN (SELECT user_id FROM s)) AS updated,
+      (SELECT count(*) FROM c WHERE gone AND user_id IN (SELECT user_id FROM s)) AS deleted,
+      (SELECT count(*) FROM s) AS rows_before,
+      (SELECT count(*) FROM s) + (SELECT count(*) FROM c WHERE user_id NOT IN (SELECT user_id FROM s)) AS rows_after""")
+def merge_report(t: Tables) -> DataFrame:
+    at = boundary(t)
+    changes = changelog.collapse_changes(change_events(t), "user_id", STATE, at)
+    return merge.merge_report(snapshot(t, at), changes, "user_id")
+
+
+@query(f"""SELECT count(*) AS total_rows, count(CASE WHEN NOT is_deleted THEN 1 END) AS live_rows,
+    count(CASE WHEN is_deleted THEN 1 END) AS deleted_rows FROM ({SQL_CURRENT}) x""")
+def current_counts(t: Tables) -> DataFrame:
+    return merge.live_counts(current(t))
+
+
+@query("""SELECT false AS is_tombstone, count(*) AS n_events FROM {changes}
+    UNION ALL SELECT true, count(*) FROM {changes} WHERE op = 'd'""")
+def changelog_counts(t: Tables) -> DataFrame:
+    return changelog.change_counts(change_events(t))
+
+
+@query(f"SELECT max(_lsn) AS high_water FROM ({SQL_CURRENT}) x")
+def high_water_mark(t: Tables) -> DataFrame:
+    return changelog.high_water(current(t))
+
+
+@query(f"""SELECT user_id % 4 AS kafka_partition, count(*) AS n_pending, min(lsn) AS first_lsn FROM {{changes}}
+    WHERE lsn > {SQL_HALF} GROUP BY user_id % 4""")
+def pending_events(t: Tables) -> DataFrame:
+    """What a bookmark per source partition leaves to read."""
+    log, at = change_events(t).where(F.col("op") != "t"), boundary(t)
+    marks = changelog.offset_bookmarks(log.where(F.col("lsn") <= at))
+    return changelog.pending(log, marks).groupBy("kafka_partition").agg(F.count("*").alias("n_pending"), F.min("lsn").alias("first_lsn"))
+
+
+@query(f"""SELECT 'users' AS source_table, {SQL_HALF} AS applied_lsn,
+    (SELECT count(*) FROM {{changes}} WHERE lsn > {SQL_HALF}) AS pending_events, 'incremental' AS mode""")
+def refresh_status(t: Tables) -> DataFrame:
+    log, at = change_events(t).where(F.col("op") != "t"), boundary(t)
+    marks = changelog.offset_bookmarks(log.where(F.col("lsn") <= at))
+    known = log.where(F.col("lsn") <= at).groupBy("source_table").agg(F.lit(at).cast("long").alias("applied_lsn"))
+    return changelog.refresh_status(log, marks, known)
+
+
+@query(f"""WITH b AS (SELECT min(ts) + INTERVAL '7' DAY AS cut FROM {{changes}}),
+    old AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) AS n FROM {{changes}} WHERE {SQL_MS} < date_trunc('millisecond', (SELECT cut FROM b)))
+    SELECT user_id, lsn, op FROM old WHERE n = 1
+    UNION ALL SELECT user_id, lsn, op FROM {{changes}} WHERE {SQL_MS} >= date_trunc('millisecond', (SELECT cut FROM b))""")
+def log_compaction(t: Tables) -> DataFrame:
+    log = change_events(t).where(F.col("op") != "t")
+    cut_ms = (log.agg(F.min("event_ts_ms")).first()[0] or 0) + 7 * 86_400_000
+    kept = changelog.compact_log(log, cut_ms)
+    return kept.select(F.get_json_object("key", "$.user_id").cast("long").alias("user_id"), "lsn", "op")
+
+
+@query("""SELECT max(ts) AS newest, 13.0 AS age_hours, 'warn' AS status FROM {events}""")
+def source_freshness(t: Tables) -> DataFrame:
+    newest = t["events"].agg(F.max("ts")).first()[0]
+    as_of = F.lit(newest).cast("timestamp") + F.expr("interval 13 hours")
+    return plain(merge.freshness(t["events"], "ts", as_of))
+
+
+@query("""SELECT 'users' AS source_table, op, CAST(day AS VARCHAR) AS dt, count(*) AS n, max(lsn) AS last_lsn FROM {changes} GROUP BY op, day""")
+def landed_records(t: Tables) -> DataFrame:
+    """Messages flattened to change records and dated by the event."""
+    c = change_events(t).where(F.col("op") != "t")
+    value = F.to_json(
+        F.struct("op", F.col("event_ts_ms").alias("ts_ms"), F.struct(F.col("source_schema").alias("schema"), "lsn").alias("source"),
+                 F.from_json("before_json", changelog.wire_schema(STATE)).alias("before"), F.from_json("after_json", changelog.wire_schema(STATE)).alias("after"))
+    )
+    messages = c.select("key", value.alias("value"), F.col("kafka_topic").alias("topic"), F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"), "ingested_at_ms")
+    flat = landing.with_day(landing.flatten(messages))
+    return plain(flat.groupBy("source_table", "op", "dt").agg(F.count("*").alias("n"), F.max("lsn").alias("last_lsn")))
+
+
+# ---------------------------------------------------------------- history and as-of joins
+
+
+def customer_history(t: Tables) -> DataFrame:
+    versions = history.capture_versions(t["customer_versions"], "entity_id", ["captured_at", "version_id"], ["status", "priority"])
+    made = versions.withColumn("created_at", F.col("captured_at") - F.expr("interval 30 days"))
+    return history.type2(made, "entity_id", "captured_at", "created_at", "version_id", "customer")
+
+
+SQL_VERSIONS = """SELECT * FROM (SELECT *, lag(status) OVER w AS ps, lag(priority) OVER w AS pp FROM {customer_versions}
+    WINDOW w AS (PARTITION BY entity_id ORDER BY captured_at, version_id)) x
+    WHERE ps IS NULL OR ps <> status OR pp <> priority"""
+SQL_FROM = f"""SELECT *, CASE WHEN row_number() OVER (PARTITION BY entity_id ORDER BY captured_at, version_id) = 1
+    THEN captured_at - INTERVAL '30' DAY ELSE captured_at END AS valid_from FROM ({SQL_VERSIONS}) v"""
+SQL_HISTORY = f"""SELECT *, coalesce(lead(valid_from) OVER w, TIMESTAMP '9999-12-31 00:00:00') AS valid_to, lead(valid_from) OVER w IS NULL AS is_current,
+    md5(CAST(entity_id AS VARCHAR) || '|' || CAST(version_id AS VARCHAR) || '-' || strftime(captured_at, '%Y-%m-%d %H:%M:%S.%f')) AS customer_version_key
+    FROM ({SQL_FROM}) f WINDOW w AS (PARTITION BY entity_id ORDER BY captured_at, version_id)"""
+HISTORY_COLUMNS = ["entity_id", "version_id", "status", "priority", "valid_from", "is_current", "customer_version_key"]
+
+
+@query(f"SELECT entity_id, version_id, status, priority FROM ({SQL_VERSIONS}) v")
+def version_capture(t: Tables) -> DataFrame:
+    found = history.capture_versions(t["customer_versions"], "entity_id", ["captured_at", "version_id"], ["status", "priority"])
+    return found.select("entity_id", "version_id", "status", "priority")
+
+
+@query(f"SELECT {', '.join(HISTORY_COLUMNS)}, CASE WHEN NOT is_current THEN valid_to END AS ends FROM ({SQL_HISTORY}) h")
+def history_type2(t: Tables) -> DataFrame:
+    h = customer_history(t)
+    return plain(h.select(*HISTORY_COLUMNS, F.when(~F.col("is_current"), F.col("valid_to")).alias("ends")))
+
+
+@query(f"""SELECT i.impression_id, coalesce(h.customer_version_key, 'UNKNOWN') AS customer_version_key
+    FROM {{impressions}} i LEFT JOIN ({SQL_HISTORY}) h ON i.advertiser_id = CAST(h.entity_id AS VARCHAR)
+      AND i.impression_timestamp >= h.valid_from AND i.impression_timestamp < h.valid_to""")
+def as_of_join(t: Tables) -> DataFrame:
+    h = customer_history(t).withColumn("advertiser_id", F.col("entity_id").cast("string"))
+    out = history.as_of_join(t["impressions"], h, "advertiser_id", "impression_timestamp", "customer_version_key", "customer_version_key")
+    return out.select("impression_id", "customer_version_key")
+
+
+@query(f"""SELECT count(*) AS versions, count(CASE WHEN is_current THEN 1 END) AS current_versions, 0 AS gaps, 0 AS not_one_current,
+    count(CASE WHEN valid_from = valid_to THEN 1 END) AS without_length FROM ({SQL_HISTORY}) h""")
+def history_invariants(t: Tables) -> DataFrame:
+    h = customer_history(t)
+    totals = h.agg(F.count("*").alias("versions"), F.count_if("is_current").alias("current_versions"), F.count_if(F.col("valid_from") == F.col("valid_to")).alias("without_length"))
+    gaps = history.not_contiguous(h, "entity_id", "version_id").agg(F.count("*").alias("gaps"))
+    return totals.crossJoin(gaps).crossJoin(history.not_one_current(h, "entity_id").agg(F.count("*").alias("not_one_current")))
+
+
+# ---------------------------------------------------------------- dimensions
+
+
+def _dimension(name: str):
+    dim = dims.DIMENSIONS[name]
+    source = f"{name}s"
+    parents = "".join(f", coalesce(md5({natural}), 'UNKNOWN') AS {out}" for out, natural in dim.parents.items())
+    blanks = "".join(f", 'UNKNOWN' AS {out}" for out in dim.parents)
+    numbers = {"campaign_budget": "0.0", "bid_amount": "0.0", "floor_price": "0.0", "min_age": "13", "max_age": "99"}
+    dates = {"start_date", "end_date"}
+    decimals = {"campaign_budget", "bid_amount", "floor_price"}
+    shown = "".join(
+        f", CAST({a} AS DOUBLE) AS {a}" if a in decimals else f", CAST({a} AS VARCHAR) AS {a}" if a in dates else f", {a}" for a in dim.attributes
+    )
+    unknown = "".join(
+        f", {numbers[a]} AS {a}" if a in numbers else f", CAST(NULL AS VARCHAR) AS {a}" if a in dates else f", '{dim.unknown.get(a, 'Unknown')}' AS {a}"
+        for a in dim.attributes
+    )
+    sql = f"""SELECT md5({dim.natural_key}) AS {dim.key}, {dim.natural_key}{parents}{shown} FROM {{{source}}}
+        UNION ALL SELECT 'UNKNOWN', 'UNKNOWN'{blanks}{unknown}"""
+
+    def build(t: Tables) -> DataFrame:
+        return doubles(dims.type1(t[source], dim))
+
+    build.__name__ = f"dim_{name}"
+    query(sql)(build)
+
+
+for _name in dims.DIMENSIONS:
+    _dimension(_name)
+
+
+@query("""WITH b AS (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM {orders}),
+    s AS (SELECT CAST(unnest(generate_series(lo, hi - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS x FROM b)
+    SELECT year(x) * 10000 + month(x) * 100 + day(x) AS date_key, CAST(x AS VARCHAR) AS date_day, year(x) AS year_number, quarter(x) AS quarter_number,
+      month(x) AS month_number, day(x) AS day_of_month, strftime(x, '%b') AS month_name, strftime(x, '%a') AS day_name,
+      isodow(x) AS iso_day_of_week, weekofyear(x) AS iso_week, isoyear(x) AS iso_year, isodow(x) >= 6 AS is_weekend,
+      CAST(CAST(date_trunc('month', x) AS DATE) AS VARCHAR) AS month_start, CAST(CAST(date_trunc('quarter', x) AS DATE) AS VARCHAR) AS quarter_start,
+      CAST(CAST(date_trunc('year', x) AS DATE) AS VARCHAR) AS year_start, CAST(last_day(x) AS VARCHAR) AS month_end FROM s""")
+def dim_date(t: Tables) -> DataFrame:
+    bounds = t["orders"].agg(F.to_date(F.min("o_orderdate")).alias("lo"), F.to_date(F.max("o_orderdate")).alias("hi"))
+    return plain(dims.date_dimension(dims.day_spine(bounds, "lo", "hi")))
+
+
+# ---------------------------------------------------------------- facts and marts
+
+SQL_DAY = "year({0}) * 10000 + month({0}) * 100 + day({0})"
+
+
+def fact_tables(t: Tables) -> Tables:
+    return {
+        "impressions": facts.impressions(t["impressions"]),
+        "clicks": facts.clicks(t["clicks"]),
+        "conversions": facts.conversions(t["conversions"]),
+        "spend": facts.spend(t["spend_transactions"]),
+    }
+
+
+@query(f"""SELECT md5(impression_id) AS impression_key, {SQL_DAY.format("impression_timestamp")} AS date_key, md5(campaign_id) AS campaign_key,
+    coalesce(md5(advertiser_id), 'UNKNOWN') AS advertiser_key, CAST(clearing_price AS DOUBLE) AS clearing_price,
+    CAST(CAST(clearing_price AS DECIMAL(18,9)) * 0.001 AS DOUBLE) AS impression_cost, CAST(viewability_score AS DOUBLE) AS viewability_score FROM {{impressions}}""")
+def fact_impressions(t: Tables) -> DataFrame:
+    out = facts.impressions(t["impressions"])
+    return doubles(out.select("impression_key", "date_key", "campaign_key", "advertiser_key", "clearing_price", "impression_cost", "viewability_score"))
+
+
+@query(f"""SELECT md5(click_id) AS click_key, {SQL_DAY.format("click_timestamp")} AS date_key, md5(creative_id) AS creative_key,
+    coalesce(h.customer_version_key, 'UNKNOWN') AS advertiser_version_key, impression_id
+    FROM {{clicks}} k LEFT JOIN ({SQL_HISTORY}) h ON k.advertiser_id = CAST(h.entity_id AS VARCHAR)
+      AND k.click_timestamp >= h.valid_from AND k.click_timestamp < h.valid_to""")
+def fact_clicks(t: Tables) -> DataFrame:
+    h = customer_history(t).select(F.col("entity_id").cast("string").alias("advertiser_id"), "valid_from", "valid_to", F.col("customer_version_key").alias("advertiser_version_key"))
+    return facts.clicks(t["clicks"], {"advertiser": h}).select("click_key", "date_key", "creative_key", "advertiser_version_key", "impression_id")
+
+
+@query(f"""SELECT md5(conversion_id) AS conversion_key, {SQL_DAY.format("conversion_timestamp")} AS date_key, md5(campaign_id) AS campaign_key,
+    conversion_type, CAST(conversion_value AS DOUBLE) AS conversion_value, currency FROM {{conversions}}""")
+def fact_conversions(t: Tables) -> DataFrame:
+    return doubles(facts.conversions(t["conversions"]).select("conversion_key", "date_key", "campaign_key", "conversion_type", "conversion_value", "currency"))
+
+
+@query(f"""SELECT md5(spend_transaction_id) AS spend_key, {SQL_DAY.format("spend_timestamp")} AS date_key, md5(publisher_id) AS publisher_key,
+    impression_id, billing_type, CAST(spend_amount AS DOUBLE) AS spend_amount FROM {{spend_transactions}}""")
+def fact_spend(t: Tables) -> DataFrame:
+    return doubles(facts.spend(t["spend_transactions"]).select("spend_key", "date_key", "publisher_key", "impression_id", "billing_type", "spend_amount"))
+
+
+@query("""SELECT md5(k.click_id) AS click_key, coalesce(md5(i.publisher_id), 'UNKNOWN') AS publisher_key, coalesce(md5(i.audience_id), 'UNKNOWN') AS audience_key,
+    i.currency, date_diff('second', i.impression_timestamp, k.click_timestamp) AS seconds_to_click
+    FROM {clicks} k LEFT JOIN {impressions} i ON k.impression_id = i.impression_id""")
+def resolved_clicks(t: Tables) -> DataFrame:
+    f = fact_tables(t)
+    out = facts.resolve_clicks(f["clicks"], f["impressions"])
+    return out.select("click_key", "publisher_key", "audience_key", "currency", "seconds_to_click")
+
+
+@query("""SELECT md5(v.conversion_id) AS conversion_key, coalesce(md5(i.line_item_id), 'UNKNOWN') AS line_item_key, coalesce(md5(i.creative_id), 'UNKNOWN') AS creative_key,
+    coalesce(md5(i.placement_id), 'UNKNOWN') AS placement_key, CAST(floor(date_diff('minute', i.impression_timestamp, v.conversion_timestamp) / 60) AS BIGINT) AS hours_to_conversion
+    FROM {conversions} v LEFT JOIN {impressions} i ON v.impression_id = i.impression_id""")
+def resolved_conversions(t: Tables) -> DataFrame:
+    f = fact_tables(t)
+    out = facts.resolve_conversions(f["conversions"], f["impressions"])
+    return out.select("conversion_key", "line_item_key", "creative_key", "placement_key", "hours_to_conversion")
+
+
+def resolved(t: Tables) -> Tables:
+    f = fact_tables(t)
+    return f | {
+        "clicks": facts.resolve_clicks(f["clicks"], f["impressions"]),
+        "conversions": facts.resolve_conversions(f["conversions"].drop("currency"), f["impressions"].withColumn("currency", F.col("currency")))
+        .join(f["conversions"].select("conversion_key", "currency"), "conversion_key"),
+    }
+
+
+SQL_PARTS = {
+    "impressions": ("impressions", "impression_timestamp", "count(*) AS impressions, count(viewability_score) AS measured_impressions, sum(CASE WHEN viewability_score >= 0.5 THEN 1 ELSE 0 END) AS viewable_impressions, sum(CAST(clearing_price AS DECIMAL(18,9)) * 0.001) AS clearing_cost"),
+    "clicks": ("clicks", "click_timestamp", "count(*) AS clicks"),
+    "conversions": ("conversions", "conversion_timestamp", "count(*) AS conversions, sum(conversion_value) AS conversion_value"),
+    "spend": ("spend_transactions", "spend_timestamp", "sum(spend_amount) AS spend, sum(CASE WHEN billing_type = 'CPM' THEN spend_amount ELSE 0 END) AS cpm_spend, sum(CASE WHEN billing_type = 'CPC' THEN spend_amount ELSE 0 END) AS cpc_spend, sum(CASE WHEN billing_type = 'CPA' THEN spend_amount ELSE 0 END) AS cpa_spend"),
+}
+MEASURES = {
+    "impressions": ["impressions", "measured_impressions", "viewable_impressions", "clearing_cost"],
+    "clicks": ["clicks"],
+    "conversions": ["conversions", "conversion_value"],
+    "spend": ["spend", "cpm_spend", "cpc_spend", "cpa_spend"],
+}
+
+
+def sql_mart(entity: str, parts: list[str], extra: str = "") -> str:
+    """Facts aggregated one by one, a spine, left joins, rates."""
+    ctes, joins = [], ""
+    for p in parts:
+        table, ts, measures = SQL_PARTS[p]
+        source = f"{{{table}}} f"
+        column, currency = f"f.{entity}_id", "f.currency"
+        if p in ("clicks", "conversions"):
+            source += " LEFT JOIN {impressions} i ON f.impression_id = i.impression_id"
+            column = f"i.{entity}_id"
+            currency = "i.currency"
+        ctes.append(
+            f"p_{p} AS (SELECT {SQL_DAY.format('f.' + ts)} AS date_key, md5({column}) AS {entity}_key, {currency} AS currency, {measures} FROM {source} GROUP BY 1, 2, 3)"
+        )
+        joins += f" LEFT JOIN p_{p} USING (date_key, {entity}_key, currency)"
+    spine = " UNION ".join(f"SELECT date_key, {entity}_key, currency FROM p_{p}" for p in parts)
+    names = [m for p in parts for m in MEASURES[p]]
+    shown = ", ".join(f"CAST(coalesce({m}, 0) AS DOUBLE) AS {m}" for m in names)
+    rates = "".join(
+        f", CASE WHEN coalesce({b}, 0) <> 0 THEN round(CAST(coalesce({a}, 0) AS DOUBLE) / CAST({b} AS DOUBLE) * {factor}, 8) END AS {r}"
+        for r, (a, b, factor) in marts.RATES.items()
+        if a in names and b in names
+    )
+    return f"WITH {', '.join(ctes)}, spine AS ({spine}) SELECT date_key, {entity}_key, currency, {shown}{rates} FROM spine{joins}"
+
+
+def build_mart(t: Tables, entity: str, parts: list[str]) -> DataFrame:
+    r = resolved(t)
+    keys = ["date_key", f"{entity}_key", "currency"]
+    measures = {"impressions": marts.impression_measures(), "clicks": marts.click_measures(), "conversions": marts.conversion_measures(), "spend": marts.spend_measures()}
+    return marts.build([marts.Part(r[p], measures[p]) for p in parts], keys)
+
+
+def all_doubles(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(n).cast("double").alias(n) if k == "bigint" or k.startswith("decimal") else F.col(n) for n, k in df.dtypes])
+
+
+ALL = ["impressions", "clicks", "conversions", "spend"]
+
+
+@query(sql_mart("campaign", ALL))
+def mart_campaign_daily(t: Tables) -> DataFrame:
+    return all_doubles(marts.with_rates(build_mart(t, "campaign", ALL)))
+
+
+@query(sql_mart("publisher", ALL))
+def mart_publisher_daily(t: Tables) -> DataFrame:
+    return all_doubles(marts.with_rates(build_mart(t, "publisher", ALL)))
+
+
+@query(sql_mart("creative", ALL[:3]))
+def mart_creative_daily(t: Tables) -> DataFrame:
+    return all_doubles(marts.with_rates(build_mart(t, "creative", ALL[:3])))
+
+
+@query(sql_mart("audience", ALL[:3]))
+def mart_audience_daily(t: Tables) -> DataFrame:
+    return all_doubles(marts.with_rates(build_mart(t, "audience", ALL[:3])))
+
+
+@query(f"""SELECT {SQL_DAY.format("impression_timestamp")} AS date_key, md5(publisher_id) AS publisher_key, currency, count(DISTINCT placement_id) AS active_placements,
+    count(DISTINCT campaign_id) AS active_campaigns FROM {{impressions}} GROUP BY 1, 2, 3""")
+def mart_distinct_actives(t: Tables) -> DataFrame:
+    """Distinct counts, which are not additive, at the mart's grain."""
+    f = facts.impressions(t["impressions"])
+    measures = {"active_placements": F.count_distinct("placement_key"), "active_campaigns": F.count_distinct("campaign_key")}
+    return marts.build([marts.Part(f, measures)], ["date_key", "publisher_key", "currency"], additive=False)
+
+
+@query(f"""SELECT m.publisher_key, m.month_key, m.currency, {d("m.impressions", "impressions")}, {d("m.clicks", "clicks")}, round(CAST(clicks AS DOUBLE) / CAST(impressions AS DOUBLE) * 1, 8) AS click_through_rate
+    FROM (SELECT md5(i.publisher_id) AS publisher_key, year(i.impression_timestamp) * 100 + month(i.impression_timestamp) AS month_key, i.currency, count(*) AS impressions,
+      sum(CASE WHEN k.click_id IS NOT NULL THEN 1 ELSE 0 END) AS clicks
+      FROM {{impressions}} i LEFT JOIN {{clicks}} k ON i.impression_id = k.impression_id GROUP BY 1, 2, 3) m""")
+def mart_monthly(t: Tables) -> DataFrame:
+    """Months from daily components; rates come anew."""
+    daily = build_mart(t, "publisher", ["impressions", "clicks"]).withColumn("month_key", F.floor(F.col("date_key") / 100).cast("long"))
+    out = marts.reaggregate(daily, ["publisher_key", "month_key", "currency"], ["impressions", "clicks"])
+    return out.select("publisher_key", "month_key", "currency", F.col("impressions").cast("double").alias("impressions"), F.col("clicks").cast("double").alias("clicks"), "click_through_rate")
+
+
+@query("""SELECT 'impressions' AS name, CAST(count(*) AS DOUBLE) AS mart_total, CAST(count(*) AS DOUBLE) AS fact_total FROM {impressions}
+    UNION ALL SELECT 'clicks', CAST(count(*) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM {clicks}
+    UNION ALL SELECT 'spend', CAST(sum(spend_amount) AS DOUBLE), CAST(sum(spend_amount) AS DOUBLE) FROM {spend_transactions}""")
+def mart_reconciles(t: Tables) -> DataFrame:
+    f = fact_tables(t)
+    mart = build_mart(t, "campaign", ALL)
+    sides = {"impressions": (f["impressions"], F.count("*")), "clicks": (f["clicks"], F.count("*")), "spend": (f["spend"], F.sum("spend_amount"))}
+    return doubles(marts.drift(mart, sides))
+
+
+@query("""SELECT 0 AS spend_not_sum_of_types, 0 AS viewable_above_impressions, 0 AS rate_without_denominator, (SELECT count(*) FROM (SELECT DISTINCT 1)) AS marts""")
+def mart_invariants(t: Tables) -> DataFrame:
+    m = marts.with_rates(build_mart(t, "campaign", ALL))
+    return m.agg(
+        F.count_if(F.col("spend") != F.col("cpm_spend") + F.col("cpc_spend") + F.col("cpa_spend")).alias("spend_not_sum_of_types"),
+        F.count_if(F.col("viewable_impressions") > F.col("impressions")).alias("viewable_above_impressions"),
+        F.count_if(F.col("click_through_rate").isNull() != (F.col("impressions") == 0)).alias("rate_without_denominator"),
+        F.lit(1).cast("long").alias("marts"),
+    )
+
+
+@query(f"""WITH k AS (SELECT {SQL_DAY.format("impression_timestamp")} AS date_key, impression_timestamp FROM {{impressions}})
+    SELECT date_key, count(*) AS n FROM k WHERE CAST(impression_timestamp AS DATE) >= (SELECT CAST(max(impression_timestamp) AS DATE) - INTERVAL '3' DAY FROM k) GROUP BY date_key""")
+def mart_trailing_days(t: Tables) -> DataFrame:
+    f = facts.impressions(t["impressions"])
+    return merge.trailing_days(f, "date_key", 3).groupBy("date_key").agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT max(impression_timestamp) AS hi FROM {impressions})
+    SELECT impression_id FROM {impressions} WHERE impression_timestamp >= (SELECT hi - INTERVAL '30' DAY FROM b)""")
+def fact_increment(t: Tables) -> DataFrame:
+    """Rows from the newest loaded timestamp on, ties again."""
+    events = t["impressions"]
+    hi = events.agg(F.max("impression_timestamp").alias("hi")).select(F.col("hi") - F.expr("interval 30 days")).first()[0]
+    loaded = events.where(F.col("impression_timestamp") <= F.lit(hi))
+    loaded = loaded.unionByName(events.limit(0).select(events.columns))
+    newest = F.lit(hi)
+    return merge.fact_increment(events, loaded.select(F.greatest("impression_timestamp", newest).alias("impression_timestamp")), "impression_timestamp").select("impression_id")
+
+
+@query(f"""WITH p AS (SELECT *, {SQL_DAY.format("impression_timestamp")} AS date_key FROM {{impressions}}),
+    c AS (SELECT * FROM {{clicks}} WHERE click_timestamp >= TIMESTAMP '2000-01-01 00:00:00')
+    SELECT date_key, count(*) AS n FROM p WHERE CAST(impression_timestamp AS DATE) >= (SELECT CAST(min(click_timestamp) AS DATE) - INTERVAL '1' DAY FROM c) GROUP BY date_key""")
+def resolution_window(t: Tables) -> DataFrame:
+    f = fact_tables(t)
+    batch = f["clicks"].where(F.col("click_timestamp") >= F.lit("2000-01-01").cast("timestamp_ntz"))
+    return merge.resolution_window(batch, f["impressions"], "date_key", 1).groupBy("date_key").agg(F.count("*").alias("n"))
+
+
+@query("""WITH i AS (SELECT campaign_id, currency, count(*) AS n, sum(clearing_price) AS price FROM {impressions} GROUP BY campaign_id, currency)
+    SELECT c.campaign_id, a.advertiser_name, a.industry, i.currency, CAST(i.n AS BIGINT) AS impressions, CAST(i.price AS DOUBLE) AS clearing
+    FROM i LEFT JOIN {campaigns} c ON i.campaign_id = c.campaign_id LEFT JOIN {advertisers} a ON c.advertiser_id = a.advertiser_id""")
+def star_lookup(t: Tables) -> DataFrame:
+    f = facts.impressions(t["impressions"]).groupBy("campaign_key", "currency").agg(F.count("*").alias("impressions"), F.sum("clearing_price").alias("clearing"))
+    out = marts.look_up(f, dims.type1(t["campaigns"], dims.CAMPAIGN), "campaign_key", ["campaign_id", "advertiser_key"])
+    out = marts.look_up(out, dims.type1(t["advertisers"], dims.ADVERTISER), "advertiser_key", ["advertiser_name", "industry"])
+    return doubles(out.select("campaign_id", "advertiser_name", "industry", "currency", "impressions", "clearing"))
+
+
+# ---------------------------------------------------------------- billing
+
+STRATEGY = "CASE bid_strategy WHEN 'MANUAL_CPM' THEN 'CPM' WHEN 'MAXIMIZE_REACH' THEN 'CPM' WHEN 'TARGET_CPC' THEN 'CPC' ELSE 'CPA' END"
+
+
+@query(f"""SELECT campaign_id, line_item_id, publisher_id, currency, date_trunc('hour', impression_timestamp) AS spend_timestamp,
+    {d("sum(CAST(clearing_price AS DECIMAL(18,9)) * 0.001)", "spend_amount")}, count(*) AS impressions,
+    least(date_trunc('hour', impression_timestamp) + INTERVAL '1' HOUR, TIMESTAMP '2001-01-01 00:30:00') AS created_at
+    FROM {{impressions}} GROUP BY campaign_id, line_item_id, publisher_id, currency, date_trunc('hour', impression_timestamp)""")
+def billing_hourly_cpm(t: Tables) -> DataFrame:
+    return plain(billing.hourly_cpm(t["impressions"], F.lit("2001-01-01 00:30:00").cast("timestamp_ntz")))
+
+
+@query(f"SELECT impression_id, campaign_id, line_item_id, {d('CAST(clearing_price AS DECIMAL(18,9)) * 0.001', 'spend_amount')} FROM {{impressions}}")
+def billing_per_impression(t: Tables) -> DataFrame:
+    return doubles(billing.per_impression(t["impressions"]))
+
+
+@query(f"""SELECT k.click_id, k.campaign_id, k.line_item_id, 'CPC' AS billing_type, {d("l.bid_amount", "spend_amount")}, l.bid_currency AS currency
+    FROM {{clicks}} k JOIN {{campaigns}} c ON k.campaign_id = c.campaign_id JOIN {{line_items}} l ON k.line_item_id = l.line_item_id WHERE {STRATEGY} = 'CPC'""")
+def billing_cpc(t: Tables) -> DataFrame:
+    return doubles(billing.per_event(t["clicks"], t["campaigns"], t["line_items"], "CPC", "click_id"))
+
+
+@query(f"""SELECT v.conversion_id, v.campaign_id, v.line_item_id, 'CPA' AS billing_type, {d("l.bid_amount", "spend_amount")}, l.bid_currency AS currency
+    FROM {{conversions}} v JOIN {{campaigns}} c ON v.campaign_id = c.campaign_id JOIN {{line_items}} l ON v.line_item_id = l.line_item_id WHERE {STRATEGY} = 'CPA'""")
+def billing_cpa(t: Tables) -> DataFrame:
+    return doubles(billing.per_event(t["conversions"], t["campaigns"], t["line_items"], "CPA", "conversion_id"))
+
+
+# ---------------------------------------------------------------- quality
+
+
+def bases(t: Tables, names: set[str]) -> Tables:
+    out = {}
+    for name in names & set(checks.BASES):
+        text = checks.BASES[name]
+        used = {n: df for n, df in t.items() if "{" + n + "}" in text}
+        out[name] = next(iter(used.values())).sparkSession.sql(text, **used)
+    return out
+
+
+def _family(name: str, family: list) -> None:
+    def run(t: Tables) -> DataFrame:
+        return quality.observe(family, bases(t, {c.base for c in family}))
+
+    run.__name__ = f"checks_{name}"
+    query(checks.as_sql(family, checks.BASES))(run)
+
+
+for _name, _checks in (
+    ("referential", checks.REFERENTIAL), ("temporal", checks.TEMPORAL), ("business", checks.BUSINESS),
+    ("uniqueness", checks.UNIQUENESS), ("join_presence", checks.JOINS), ("row_rules", checks.ROW_RULES),
+):
+    _family(_name, _checks)
+
+SQL_SILVER = {
+    "s_state": f"SELECT *, {SQL_HALF} AS boundary FROM ({SQL_CURRENT}) c",
+    "s_keys": f"SELECT user_id, count(*) AS n FROM ({SQL_CURRENT}) c GROUP BY user_id",
+    "s_changed": "SELECT * FROM {changes}",
+    "b_impression_ids": checks.BASES["b_impression_ids"],
+}
+
+
+@query(checks.as_sql(checks.INTEGRITY + checks.LINEAGE, SQL_SILVER))
+def checks_current_state(t: Tables) -> DataFrame:
+    state, at = current(t), boundary(t)
+    own = {
+        "s_state": state.withColumn("boundary", F.lit(at)),
+        "s_keys": state.groupBy("user_id").agg(F.count("*").alias("n")),
+        "s_changed": t["changes"],
+    }
+    return quality.observe(checks.INTEGRITY + checks.LINEAGE, own | bases(t, {"b_impression_ids"}))
+
+
+@query("""WITH a AS (SELECT * FROM {orders}), b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 97 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM {orders} WHERE o_orderkey % 101 <> 0)
+    SELECT (SELECT count(*) FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)) AS missing_right, 0 AS missing_left,
+      (SELECT count(*) FROM a JOIN b USING (o_orderkey) WHERE a.o_orderstatus <> b.o_orderstatus) AS different""")
+def checks_reconciliation(t: Tables) -> DataFrame:
+    """A source and a copy with planted differences, compared both ways."""
+    a = t["orders"]
+    b = a.where("o_orderkey % 101 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 97 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return quality.compare_systems(a, b, "o_orderkey", ["o_custkey", "o_orderstatus", "o_totalprice"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+def test_unique_combination(t: Tables) -> DataFrame:
+    return quality.unique(t["lineitem"], "l_orderkey", "l_linenumber")
+
+
+@query("""SELECT impression_id, creative_id FROM {impressions} WHERE creative_id NOT IN (SELECT creative_id FROM {creatives} WHERE creative_type <> 'ECONOMY')""")
+def test_relationships(t: Tables) -> DataFrame:
+    parents = t["creatives"].where("creative_type <> 'ECONOMY'")
+    return quality.relationships(t["impressions"].select("impression_id", "creative_id"), "creative_id", parents, "creative_id")
+
+
+@query("""SELECT campaign_id FROM {campaigns} WHERE campaign_status NOT IN ('ACTIVE', 'PAUSED')""")
+def test_accepted_values(t: Tables) -> DataFrame:
+    return quality.accepted_values(t["campaigns"], "campaign_status", ["ACTIVE", "PAUSED"]).select("campaign_id")
+
+
+@query("""SELECT spend_transaction_id FROM {spend_transactions} WHERE NOT (spend_amount >= 1.5)""")
+def test_expression_is_true(t: Tables) -> DataFrame:
+    return quality.expression_is_true(t["spend_transactions"], "spend_amount >= 1.5").select("spend_transaction_id")
+
+
+@query("""SELECT impression_id FROM {impressions} WHERE viewability_score IS NULL""")
+def test_not_null(t: Tables) -> DataFrame:
+    return quality.not_null(t["impressions"], "viewability_score").select("impression_id")
+
+
+@query("""SELECT hours_to_conversion, count(*) AS n FROM (SELECT CAST(floor(date_diff('minute', i.impression_timestamp, v.conversion_timestamp) / 60) AS BIGINT) AS hours_to_conversion
+    FROM {conversions} v JOIN {impressions} i ON v.impression_id = i.impression_id) x WHERE hours_to_conversion > 12 GROUP BY 1""")
+def test_within_window(t: Tables) -> DataFrame:
+    f = fact_tables(t)
+    return quality.outside_window(facts.resolve_conversions(f["conversions"], f["impressions"]), "hours_to_conversion", 12)
+
+
+def sql_share(key: str) -> str:
+    return f"""WITH p AS (SELECT {key}, sum(spend_amount) AS m FROM {{spend_transactions}} GROUP BY {key}),
+    r AS (SELECT *, row_number() OVER (ORDER BY m DESC, {key}) AS rank, count(*) OVER () AS n, sum(m) OVER () AS total FROM p)
+    SELECT round(CAST(sum(m) AS DOUBLE) / CAST(max(total) AS DOUBLE), 8) AS top_share FROM r WHERE rank <= ceil(n * 0.1)"""
+
+
+@query(sql_share("campaign_id"))
+def concentration_campaigns(t: Tables) -> DataFrame:
+    return quality.concentration(t["spend_transactions"], "campaign_id", "spend_amount")
+
+
+@query(sql_share("publisher_id"))
+def concentration_publishers(t: Tables) -> DataFrame:
+    return quality.concentration(t["spend_transactions"], "publisher_id", "spend_amount")
+
+
+@query()
+def key_stability(t: Tables) -> DataFrame:
+    """Checksum of the impression keys; equal after a rebuild."""
+    return quality.key_checksum(facts.impressions(t["impressions"]), "impression_key")
+
+
+# ---------------------------------------------------------------- reports
+
+SQL_FUNNEL = """(SELECT i.*, coalesce(k.k, 0) AS k, coalesce(v.v, 0) AS v FROM {impressions} i
+    LEFT JOIN (SELECT impression_id, count(*) AS k FROM {clicks} GROUP BY impression_id) k ON i.impression_id = k.impression_id
+    LEFT JOIN (SELECT impression_id, count(*) AS v FROM {conversions} GROUP BY impression_id) v ON i.impression_id = v.impression_id)"""
+SQL_SPEND = "(SELECT campaign_id, sum(spend_amount) AS spend FROM {spend_transactions} GROUP BY campaign_id)"
+
+
+@query(f"""SELECT c.campaign_id, a.advertiser_name, c.campaign_name, count(*) AS impressions, CAST(sum(k) AS BIGINT) AS clicks, CAST(sum(v) AS BIGINT) AS conversions, {d("max(s.spend)", "spend")}
+    FROM {SQL_FUNNEL} f JOIN {{campaigns}} c ON f.campaign_id = c.campaign_id JOIN {{advertisers}} a ON c.advertiser_id = a.advertiser_id
+    LEFT JOIN {SQL_SPEND} s ON f.campaign_id = s.campaign_id GROUP BY 1, 2, 3 ORDER BY max(s.spend) DESC, 1 LIMIT 10""")
+def report_headline(t: Tables) -> DataFrame:
+    return doubles(reports.headline(t))
+
+
+@query(f"""WITH f AS (SELECT campaign_id, count(*) AS impressions, CAST(sum(k) AS BIGINT) AS clicks, CAST(sum(v) AS BIGINT) AS conversions FROM {SQL_FUNNEL} x GROUP BY campaign_id),
+    w AS (SELECT campaign_id, sum(conversion_value) AS value FROM {{conversions}} GROUP BY campaign_id)
+    SELECT f.campaign_id, impressions, clicks, conversions, round(CAST(clicks AS DOUBLE) / impressions, 6) AS ctr,
+      CASE WHEN clicks <> 0 THEN round(CAST(conversions AS DOUBLE) / clicks, 6) END AS cvr, round(CAST(spend AS DOUBLE) / impressions * 1000, 7) AS cpm,
+      CASE WHEN clicks <> 0 THEN round(CAST(spend AS DOUBLE) / clicks, 7) END AS cpc, CASE WHEN conversions <> 0 THEN round(CAST(spend AS DOUBLE) / conversions, 7) END AS cpa,
+      CASE WHEN spend <> 0 THEN round(CAST(value AS DOUBLE) / CAST(spend AS DOUBLE), 6) END AS roas
+    FROM f LEFT JOIN {SQL_SPEND} s ON f.campaign_id = s.campaign_id LEFT JOIN w ON f.campaign_id = w.campaign_id WHERE impressions > 3""")
+def report_campaign_metrics(t: Tables) -> DataFrame:
+    return reports.campaign_metrics(t)
+
+
+@query(f"""SELECT creative_type, creative_format, count(*) AS impressions, CAST(sum(k) AS BIGINT) AS clicks, round(CAST(sum(k) AS DOUBLE) / count(*), 6) AS ctr
+    FROM {SQL_FUNNEL} f JOIN {{creatives}} c ON f.creative_id = c.creative_id GROUP BY 1, 2 HAVING count(*) > 20""")
+def report_creative_ctr(t: Tables) -> DataFrame:
+    return reports.creative_ctr(t)
+
+
+@query(f"""WITH p AS (SELECT publisher_id, sum(spend_amount) AS spend FROM {{spend_transactions}} GROUP BY publisher_id)
+    SELECT publisher_id, {d("spend", "spend")}, round(CAST(spend AS DOUBLE) / CAST(sum(spend) OVER () AS DOUBLE), 8) AS share FROM p ORDER BY p.spend DESC, publisher_id LIMIT 20""")
+def report_publisher_share(t: Tables) -> DataFrame:
+    return doubles(reports.publisher_share(t))
+
+
+@query(f"""SELECT f.audience_id, audience_name, count(*) AS impressions, CAST(sum(k) AS BIGINT) AS clicks, round(CAST(sum(k) AS DOUBLE) / count(*), 6) AS ctr,
+    CASE WHEN sum(k) <> 0 THEN round(CAST(sum(v) AS DOUBLE) / CAST(sum(k) AS DOUBLE), 6) END AS cvr
+    FROM {SQL_FUNNEL} f LEFT JOIN {{audiences}} a ON f.audience_id = a.audience_id GROUP BY 1, 2""")
+def report_audience_rates(t: Tables) -> DataFrame:
+    return reports.audience_rates(t)
+
+
+@query(f"""SELECT device_type, country, count(*) AS impressions, CAST(sum(k) AS BIGINT) AS clicks FROM {SQL_FUNNEL} f GROUP BY 1, 2 HAVING count(*) > 5
+    ORDER BY count(*) DESC, 1, 2 LIMIT 12""")
+def report_device_geography(t: Tables) -> DataFrame:
+    return reports.device_geography(t)
+
+
+@query(f"""SELECT CAST(CAST(impression_timestamp AS DATE) AS VARCHAR) AS day, strftime(CAST(impression_timestamp AS DATE), '%a') AS weekday, count(*) AS impressions, {d("sum(clearing_price)", "clearing")}
+    FROM {{impressions}} GROUP BY 1, 2 ORDER BY 1 DESC LIMIT 30""")
+def report_daily_trend(t: Tables) -> DataFrame:
+    return doubles(reports.daily_trend(t))
+
+
+@query("""WITH p AS (SELECT campaign_id, count(*) AS n FROM {impressions} GROUP BY campaign_id),
+    r AS (SELECT *, CAST(ntile(10) OVER (ORDER BY n DESC, campaign_id) AS INTEGER) AS decile FROM p)
+    SELECT decile, count(*) AS campaigns, CAST(sum(n) AS BIGINT) AS impressions, round(CAST(sum(n) AS DOUBLE) / CAST((SELECT sum(n) FROM p) AS DOUBLE), 8) AS share FROM r GROUP BY decile""")
+def report_delivery_deciles(t: Tables) -> DataFrame:
+    return reports.delivery_deciles(t)
+
+
+@query("""SELECT conversion_id, round(date_diff('second', k.click_timestamp, v.conversion_timestamp) / 3600, 2) AS hours_from_click,
+    round(date_diff('second', i.impression_timestamp, v.conversion_timestamp) / 3600, 2) AS hours_from_impression
+    FROM {conversions} v JOIN {clicks} k ON v.click_id = k.click_id JOIN {impressions} i ON v.impression_id = i.impression_id""")
+def report_attribution_lags(t: Tables) -> DataFrame:
+    return reports.attribution_lags(t)
+
+
+@query(f"SELECT billing_type, count(*) AS lines, {d('sum(spend_amount)', 'spend')}, count(impression_id) AS with_impression FROM {{spend_transactions}} GROUP BY billing_type")
+def report_spend_by_type(t: Tables) -> DataFrame:
+    return doubles(reports.spend_by_type(t))
+
+
+@query("""WITH a AS (SELECT (SELECT count(*) FROM {impressions}) AS i, (SELECT count(*) FROM {clicks}) AS k, (SELECT count(*) FROM {conversions}) AS v,
+      (SELECT CAST(sum(conversion_value) AS DOUBLE) FROM {conversions}) AS value, (SELECT CAST(sum(spend_amount) AS DOUBLE) FROM {spend_transactions}) AS s)
+    SELECT i AS impressions, k AS clicks, v AS conversions, value, s AS spend, round(CAST(k AS DOUBLE) / i, 8) AS ctr, round(CAST(v AS DOUBLE) / k, 8) AS cvr,
+      round(s / i * 1000, 6) AS cpm, round(value / s, 8) AS roas FROM a""")
+def report_funnel_totals(t: Tables) -> DataFrame:
+    return reports.funnel_totals(t)
+
+
+@query(f"""WITH p AS (SELECT publisher_id, CAST(sum(k) AS DOUBLE) / count(*) AS ctr FROM {SQL_FUNNEL} f GROUP BY publisher_id HAVING count(*) >= 100),
+    c AS (SELECT publisher_id, count(*) AS n FROM {{placements}} GROUP BY publisher_id)
+    SELECT round(min(ctr), 8) AS min_ctr, round(quantile_cont(ctr, 0.5), 8) AS median_ctr, round(max(ctr), 8) AS max_ctr,
+      (SELECT round(avg(n), 4) FROM c) AS avg_placements, (SELECT max(n) FROM c) AS max_placements FROM p""")
+def report_ctr_spread(t: Tables) -> DataFrame:
+    return reports.ctr_spread(t)
+
+
+# ---------------------------------------------------------------- scalar functions and sources
+
+
+@query(f"""SELECT event_id, {SQL_DAY.format("ts")} AS date_key,
+    {SQL_DAY.format("(CAST(ts AS DATE) - INTERVAL '3' DAY)")} AS date_key_before,
+    CASE WHEN event_id % 3 <> 0 THEN value / (event_id % 3) END AS divided,
+    md5(CAST(user_id AS VARCHAR) || '-' || event_type) AS surrogate, coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'k' END, 'UNKNOWN') AS known,
+    CASE WHEN event_id % 4 = 0 THEN -1 ELSE greatest(user_id, event_id) END AS strictly,
+    CAST(floor(date_diff('minute', TIMESTAMP '2024-01-01 00:00:00', date_trunc('minute', ts)) / 60) AS BIGINT) AS hours_elapsed,
+    date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS hours_crossed,
+    event_id * 4294967296 + user_id AS position, json_extract_string(props, '$.k') AS k FROM {{events}}""")
+def scalar_functions(t: Tables) -> DataFrame:
+    e = t["events"]
+    ts, start = F.col("ts"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    third = F.col("event_id") % 3
+    return e.select(
+        "event_id",
+        S.date_key(ts).alias("date_key"),
+        S.date_key_lookback(S.date_key(ts), 3).alias("date_key_before"),
+        S.safe_divide(F.col("value"), third).alias("divided"),
+        S.surrogate_key(F.col("user_id"), F.col("event_type")).alias("surrogate"),
+        S.or_unknown(F.when(F.col("event_id") % 5 == 0, None).otherwise("k")).alias("known"),
+        F.coalesce(S.strict_greatest(F.col("user_id"), F.when(F.col("event_id") % 4 != 0, F.col("event_id"))), F.lit(-1)).alias("strictly"),
+        S.elapsed("HOUR", start, F.date_trunc("minute", ts).cast("timestamp_ntz")).alias("hours_elapsed"),
+        S.boundaries("HOUR", start, ts).alias("hours_crossed"),
+        S.log_position(F.concat(F.hex("event_id"), F.lit("/"), F.hex("user_id"))).alias("position"),
+        F.from_json(S.canonical_json(F.col("props")), "map<string,string>")["k"].alias("k"),
+    )
+
+
+@query("""SELECT 'orders' AS table_name, count(*) AS n_rows FROM {orders} UNION ALL SELECT 'lineitem', count(*) FROM {lineitem} UNION ALL SELECT 'events', count(*) FROM {events}""")
+def table_sizes(t: Tables) -> DataFrame:
+    """Rows by table from file metadata and scans."""
+    parts = [sources.table_size(t[n]).select(F.lit(n).alias("table_name"), "n_rows") for n in ("orders", "lineitem", "events")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT advertiser_id, advertiser_name AS name, industry AS sector FROM {advertisers}""")
+def staging_advertisers(t: Tables) -> DataFrame:
+    return sources.stage(t["advertisers"], {"advertiser_id": "advertiser_id", "name": "advertiser_name", "sector": "industry"})
+
+
+@query("""SELECT event_id, ts, user_id FROM {events} ORDER BY event_id DESC LIMIT 10""")
+def newest_events(t: Tables) -> DataFrame:
+    return t["events"].select("event_id", "ts", "user_id").orderBy(F.desc("event_id")).limit(10)
+
+
+assert set(ORACLES) <= set(QUERIES) and DERIVED
