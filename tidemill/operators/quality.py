@@ -8,9 +8,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.ranking import global_rank
+
 ERROR, WARNING = "ERROR", "WARNING"
 TYPES = ("referential", "temporal", "business", "uniqueness", "join", "integrity", "lineage", "reconciliation", "row")
 
@@ -132,10 +134,10 @@ def compare_systems(left: DataFrame, right: DataFrame, key: str, columns: list[s
 
 
 def concentration(df: DataFrame, key: str, measure: str, top: float = 0.1) -> DataFrame:
-    """Share of the total that the top part of the keys holds; ranked on the pre-aggregated table."""
+    """Share of the total that the top part of the keys holds; ranked by ranges of the pre-aggregated table."""
     per_key = df.groupBy(key).agg(F.sum(measure).alias("m"))
     total = per_key.agg(F.sum("m").alias("total"), F.count("*").alias("n"))
-    ranked = per_key.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("m"), key)))
+    ranked = global_rank(per_key, F.desc("m"), F.col(key))
     return (
         ranked.crossJoin(F.broadcast(total))
         .where(F.col("rank") <= F.ceil(F.col("n") * top))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import hours_between, safe_divide
+from tidemill.operators.ranking import global_rank, tile
 
 Tables = dict[str, DataFrame]
 
@@ -83,11 +84,11 @@ def daily_trend(t: Tables, k: int = 30) -> DataFrame:
 
 
 def delivery_deciles(t: Tables) -> DataFrame:
-    """R8: campaigns by decile of delivery; ranks run over the pre-aggregated table."""
+    """R8: campaigns by decile of delivery; ranks run by ranges of the pre-aggregated table."""
     per = t["impressions"].groupBy("campaign_id").agg(F.count("*").alias("n"))
-    total = per.agg(F.sum("n").alias("total"))
-    ranked = per.withColumn("decile", F.ntile(10).over(Window.orderBy(F.desc("n"), "campaign_id")))
-    out = ranked.groupBy("decile").agg(F.count("*").alias("campaigns"), F.sum("n").alias("impressions"))
+    total = per.agg(F.sum("n").alias("total"), F.count("*").alias("n_keys"))
+    ranked = global_rank(per, F.desc("n"), F.col("campaign_id")).crossJoin(F.broadcast(total.select("n_keys")))
+    out = ranked.withColumn("decile", tile(F.col("rank"), F.col("n_keys"), 10)).groupBy("decile").agg(F.count("*").alias("campaigns"), F.sum("n").alias("impressions"))
     return out.crossJoin(F.broadcast(total)).select("decile", "campaigns", "impressions", F.round(safe_divide(F.col("impressions"), F.col("total")), 8).alias("share"))
 
 
