@@ -6,10 +6,11 @@ product with it reaches a threshold. Decoding walks the blocks and prunes partia
 reach the threshold, so the exceeding filters come out without scanning all of them. Vectors that share a
 filter (and a label) are compared exactly in double precision.
 
-The threshold follows the table size, so that a filter's bucket keeps about ``bucket`` vectors while the
-number of filters per vector is chosen for a miss probability of ``miss`` at the radius. Equal vectors
-collapse first, and a bucket beyond ``block_rows`` meets itself in block pairs. Counts leave a task per
-vector and links as a spanning forest, never as all pairs.
+The threshold follows the table size, so that a filter's bucket keeps about ``bucket`` vectors. Several
+codes with rotations of their own are used; their number comes from a simulation of pairs right at the
+radius, so that such a pair shares no filter with probability ``miss``. Equal vectors collapse first, and a
+bucket beyond ``block_rows`` meets itself in block pairs. Counts leave a task per vector and links as a
+spanning forest, never as all pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null
 label, link with nothing and keep themselves; repeated rows count as links of each other; vectors of
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from statistics import NormalDist
 
 import numpy as np
@@ -55,19 +56,36 @@ class ProductCode:
         return rotation, codes
 
 
-def choose_code(dim: int, rows: int, cosine: float, bucket: float = 8, miss: float = 0.001) -> ProductCode:
-    """Cap probability about bucket / rows; enough filters for the wanted miss probability at ``cosine``."""
+def choose_code(dim: int, rows: int, cosine: float, bucket: float = 8, filters: float = 1.6) -> ProductCode:
+    """Cap probability about bucket / rows; about ``filters`` expected filters that a pair at ``cosine`` shares."""
     normal = NormalDist()
     share = min(1 / 32, bucket / max(rows, 1))
     level = normal.inv_cdf(1 - share)  # in standard deviations of an inner product
     # Chance that a partner at the radius also exceeds the level, averaged over the exceedance of the first.
     steps = [normal.inv_cdf(1 - share * (i + 0.5) / 64) for i in range(64)]
-    spread = math.sqrt(1 - cosine * cosine)
+    spread = math.sqrt(1 - cosine * cosine) + 1e-9
     both = sum(1 - normal.cdf((level - cosine * x) / spread) for x in steps) / 64
-    wanted = math.log(1 / miss) / both  # filters that a vector should exceed
-    filters = wanted / share
-    blocks = 2 if filters <= 1 << 18 else 3
-    return ProductCode(dim, blocks, math.ceil(filters ** (1 / blocks)), level / math.sqrt(dim))
+    count = filters / both / share
+    blocks = max(1, min(dim, 2 if count <= 1 << 18 else 3))
+    return ProductCode(dim, blocks, math.ceil(count ** (1 / blocks)), level / math.sqrt(dim))
+
+
+def choose_codes(dim: int, rows: int, cosine: float, miss: float, most: int = 64) -> list[ProductCode]:
+    """As many codes as leave a pair at ``cosine`` without a common filter with probability ``miss``."""
+    code = choose_code(dim, rows, cosine)
+    rng = np.random.default_rng(29)
+    x, z = rng.standard_normal((2, 400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    arrays = code.arrays()
+    pairs = []
+    for m in (x, cosine * x + math.sqrt(1 - cosine * cosine) * z):
+        row, ids = decode(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12), code, arrays)
+        pairs.append(set(zip(row.tolist(), ids.tolist())))
+    found = min(0.99, max(0.02, len({row for row, _ in pairs[0] & pairs[1]}) / len(x)))
+    count = min(most, math.ceil(math.log(miss) / math.log(1 - found)))
+    return [replace(code, seed=code.seed + k) for k in range(max(1, count))]
 
 
 def decode(units: np.ndarray, code: ProductCode, arrays: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -93,17 +111,29 @@ def _units(vectors: pd.Series, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filters(code: ProductCode):
+def all_filters(units: np.ndarray, codes: list[ProductCode], arrays: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter id) over all codes, ordered by row and filter."""
+    rows, ids = [], []
+    for k, (code, own) in enumerate(zip(codes, arrays)):
+        row, found = decode(units, code, own)
+        rows.append(row)
+        ids.append(found + k * code.words**code.blocks)
+    row, filters = np.concatenate(rows), np.concatenate(ids)
+    order = np.lexsort((filters, row))
+    return row[order], filters[order]
+
+
+def _filters(codes: list[ProductCode]):
+    dim = codes[0].dim
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        arrays = code.arrays()
+        arrays = [c.arrays() for c in codes]
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512].reset_index(drop=True)
                 if not len(part):
                     continue
-                row, ids = decode(_units(part["vector"], code.dim), code, arrays)
-                order = np.lexsort((ids, row))
-                row, ids = row[order], ids[order]
+                row, ids = all_filters(_units(part["vector"], dim), codes, arrays)
                 bounds = np.searchsorted(row, np.arange(len(part) + 1))
                 part["filters"] = [ids[bounds[i] : bounds[i + 1]] for i in range(len(part))]
                 yield part
@@ -202,7 +232,7 @@ def near_duplicate_vectors(
     vector_col: str = "embedding",
     label_col: str = "label",
     block_rows: int = 1024,
-    miss: float = 0.001,
+    miss: float = 0.005,
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept."""
     rows = vectors.select(
@@ -218,11 +248,11 @@ def near_duplicate_vectors(
     links = None
     for dim in sorted(dims):
         label_rows = classes.where(F.size("vector") == dim).groupBy("label").count().agg(F.max("count")).first()[0]
-        code = choose_code(dim, label_rows, cosine, miss=miss)
+        codes = choose_codes(dim, label_rows, cosine, miss)
         own = classes.where(F.size("vector") == dim).select("label", "vector", "rep", "weight")
         listed = cut(
             own.repartition("rep").mapInPandas(
-                _filters(code), "label int, vector array<double>, rep long, weight long, filters array<long>"
+                _filters(codes), "label int, vector array<double>, rep long, weight long, filters array<long>"
             ),
             "vector-filters",
         )
