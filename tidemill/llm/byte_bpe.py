@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding over a global distinct-word shuffle.
 
-Pre-tokens are the matches of the vocabulary's pattern; each is encoded on its own, and each distinct word
-is encoded once (see ``distinct_words``). A word here is a run of pre-tokens between two places where a
-single space follows and precedes other characters: a match always starts there, so cutting at them never
-splits one; texts with any other white space around a space are cut by the pattern itself.
+Pre-tokens are the matches of the vocabulary's pattern; each is encoded on its own, and each distinct one
+is encoded once (see ``distinct_words``). To find them fast, a text is first cut into chunks at single
+spaces between other characters: a match always starts there, so cutting never splits one. The pattern
+then runs over distinct chunks only. Texts with any other white space around a space are cut by the
+pattern itself.
 
 Decoding looks ids up in the token-byte table, whose size is the vocabulary's.
 
@@ -23,11 +24,14 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from tidemill.llm.distinct_words import encode_corpus
+from tidemill.llm.distinct_words import encode_corpus, refiner
 
 #: Where cutting before a space is not safe: white space next to a space.
 UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]| $"
 
+#: Letters after a space, one match of any such pattern.
+LETTERS = r"^ ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -75,7 +79,8 @@ def _encoder(path: str, pattern: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) with ids as little-endian unsigned 32-bit integers."""
-    return encode_corpus(docs, cut_before_spaces(pattern), _encoder(path, pattern), id_col, text_col)
+    refine = refiner(LETTERS, lambda words: words, regex.compile(pattern).findall)
+    return encode_corpus(docs, cut_before_spaces(pattern), refine, _encoder(path, pattern), id_col, text_col)
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

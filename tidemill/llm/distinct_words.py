@@ -1,10 +1,13 @@
 """Tokenising a corpus by encoding each distinct word once.
 
-One pass cuts every text into words, numbers them within a block of documents by frequency and writes two
-kinds of rows: the block's body (word numbers by document and position) and its words, dealt into buckets
-by a hash. Bucket rows are shuffled, each distinct word of a bucket is encoded once, and the ids travel
-back to the blocks, where they are put in place by position. Rows are packed and compressed, so what moves
-is a fraction of the text. The caller gives the cutting rule and the encoder.
+Texts are cut into words, which a block of documents numbers by frequency. One pass sends the distinct
+words of each block, dealt into buckets by a hash; a bucket encodes each distinct word once and sends the
+ids back to the blocks. A second pass sends each block's body, the word numbers by document and position,
+and the ids are put in place there. Rows are packed and compressed, so what moves is a fraction of the
+text. The caller gives the cutting rule and the encoder.
+
+Both passes read the documents, so they should come straight from files. A block is named by a hash of its
+contents: passes that saw different blocks end in an error, not in wrong ids.
 
 A word's ids must not depend on its neighbours; the cutting rules in this package see to that.
 """
@@ -15,22 +18,23 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.session import cut
+from tidemill.llm.rolling import Roller
 
-#: Text array -> list array of words.
+#: Text array -> list array of chunks.
 Cutter = Callable[[pa.Array], pa.Array]
+#: Distinct chunks -> a list of words, and where in it each chunk's words start and how many they are.
+Refiner = Callable[[pa.Array], tuple[pa.Array, np.ndarray, np.ndarray]]
 #: Makes, once per task, a function from distinct words to their id lists.
 EncoderFactory = Callable[[], Callable[[list[str]], list[list[int]]]]
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 OUT_BYTES = 4 << 20
 ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
@@ -55,45 +59,110 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _pack_block(block: int, ids: pa.Array, texts: pa.Array, cutter: Cutter, buckets: int) -> Iterator[pa.RecordBatch]:
-    words = cutter(texts.fill_null(""))
-    coded = words.flatten().dictionary_encode()
-    numbers = coded.indices.to_numpy(zero_copy_only=False)
-    counts = np.bincount(numbers, minlength=len(coded.dictionary))
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty_like(order)
+def _distinct(texts: pa.Array, cutter: Cutter, refine: Refiner) -> tuple:
+    """Chunks, their coded form, the refined words and the distinct words in sorted order."""
+    chunks = cutter(texts.fill_null(""))
+    coded = chunks.flatten().dictionary_encode()
+    refined = refine(coded.dictionary)
+    inner = refined[0].dictionary_encode()
+    order = pc.array_sort_indices(inner.dictionary).to_numpy()
+    return chunks, coded, refined, inner, order
+
+
+def _number_words(texts: pa.Array, cutter: Cutter, refine: Refiner) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words in sorted order, the number of words of each text, and all words by their place."""
+    chunks, coded, (_, starts, sizes), inner, order = _distinct(texts, cutter, refine)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    numbers = place[inner.indices.to_numpy(zero_copy_only=False)]
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    own = sizes[at]
+    per_chunk = np.concatenate([[0], np.cumsum(own)])
+    ends = np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64))
+    per_text = np.diff(np.concatenate([[0], per_chunk[ends]]))
+    return inner.dictionary.take(pa.array(order)), per_text, numbers[_spread(own, starts[at])]
+
+
+def refiner(simple: str, plain: Callable[[pa.Array], pa.Array], split: Callable[[str], list[str]], marks: str = ".,;:!?") -> Refiner:
+    """Chunks that match ``simple`` are one word each, ``plain`` of them; with one of ``marks`` after that they
+    are two; all others are split one by one."""
+    marked = f"{simple[:-1]}[{marks}]$"
+
+    def refine(chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        easy = pc.match_substring_regex(chunks, simple)
+        pair = pc.match_substring_regex(chunks, marked)
+        rest = pc.invert(pc.or_(easy, pair))
+        one, two = plain(chunks.filter(easy)), chunks.filter(pair)
+        halves = pa.concat_arrays([plain(pc.utf8_slice_codeunits(two, 0, -1)), pc.utf8_slice_codeunits(two, -1)])
+        both = halves.take(pa.array(np.arange(2 * len(two)).reshape(2, -1).T.ravel()))
+        parts = [split(c) for c in chunks.filter(rest).to_pylist()]
+        e, p, r = (m.to_numpy(zero_copy_only=False).astype(bool) for m in (easy, pair, rest))
+        sizes = np.ones(len(chunks), np.int64)
+        sizes[p] = 2
+        sizes[r] = np.fromiter(map(len, parts), np.int64, len(parts))
+        starts = np.empty(len(chunks), np.int64)
+        starts[e] = np.arange(len(one))
+        starts[p] = len(one) + 2 * np.arange(len(two))
+        starts[r] = len(one) + len(both) + np.cumsum(sizes[r]) - sizes[r]
+        return pa.concat_arrays([one, both, pa.array([w for x in parts for w in x], pa.string())]), starts, sizes
+
+    return refine
+
+
+def _buckets_of(vocabulary: pa.Array, buckets: int) -> np.ndarray:
+    sizes = pc.binary_length(vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    data = _bytes_of(vocabulary) if len(vocabulary) else np.zeros(0, np.uint8)
+    roller = Roller(len(data))
+    hashed = roller.hashes(roller.sums(data), ends - sizes, sizes)
+    return ((hashed >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _bytes_of(strings: pa.Array) -> np.ndarray:
+    """The bytes of an array of strings, end to end."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+
+
+def _word_rows(block: int, texts: pa.Array, cutter: Cutter, refine: Refiner, buckets: int, ids: pa.Array) -> pa.RecordBatch:
+    *_, inner, order = _distinct(texts, cutter, refine)
+    vocabulary = inner.dictionary.take(pa.array(order))
+    bucket_of = _buckets_of(vocabulary, buckets)
+    by_bucket = np.argsort(bucket_of, kind="stable")
+    rows = [(int(h), _squeeze(pa.table({"word": vocabulary.take(pa.array(by_bucket[a:b]))}))) for h, a, b in zip(*_runs(bucket_of[by_bucket]))]
+    return pa.record_batch([[block] * len(rows), [h for h, _ in rows], [x for _, x in rows]], schema=ROWS)
+
+
+def _body_row(block: int, texts: pa.Array, cutter: Cutter, refine: Refiner, buckets: int, ids: pa.Array) -> pa.RecordBatch:
+    vocabulary, per_text, numbers = _number_words(texts, cutter, refine)
+    bucket_of = _buckets_of(vocabulary, buckets)
+    by_bucket = np.argsort(bucket_of, kind="stable")
+    # Frequent words get small numbers, which compress well.
+    order = np.argsort(-np.bincount(numbers, minlength=len(vocabulary)), kind="stable")
+    rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    vocabulary = coded.dictionary.take(pa.array(order))
-    hashed = pd.util.hash_array(vocabulary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
-    bucket_of = (hashed % np.uint64(buckets)).astype(np.int32)
     body = {
-        "ids": [ids.to_pylist()],
-        "counts": [_planes(pc.list_value_length(words).to_numpy(zero_copy_only=False))],
-        "numbers": [_planes(rank[numbers])],
-        "bucket_of": [_planes(bucket_of)],
+        "ids": pa.array([ids.to_pylist()], pa.list_(ids.type)),
+        "counts": pa.array([_planes(per_text)]),
+        "numbers": pa.array([_planes(rank[numbers])]),
+        "ranks": pa.array([_planes(rank[by_bucket])]),
+        "sizes": pa.array([_planes(np.bincount(bucket_of, minlength=buckets))]),
     }
-    kind = pa.schema([("ids", pa.list_(ids.type)), *((k, pa.binary()) for k in ("counts", "numbers", "bucket_of"))])
-    blobs = [(-1, _squeeze(pa.table(body, schema=kind)))]
-    by_bucket = np.argsort(bucket_of, kind="stable")
-    bounds = np.searchsorted(bucket_of[by_bucket], np.arange(buckets + 1))
-    for h in np.flatnonzero(np.diff(bounds)):
-        part = vocabulary.take(pa.array(by_bucket[bounds[h] : bounds[h + 1]]))
-        blobs.append((int(h), _squeeze(pa.table({"word": part}))))
-    yield pa.record_batch([[block] * len(blobs), [b for b, _ in blobs], [x for _, x in blobs]], schema=ROWS)
+    return pa.record_batch([[block], [-1], [_squeeze(pa.table(body))]], schema=ROWS)
 
 
-def _blocks(cutter: Cutter, buckets: int):
+def _blocks(make, cutter: Cutter, refine: Refiner, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
         for batch in batches:
             sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
             at = 0
             while at < batch.num_rows:  # at least one document, however long
                 before = sizes[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(sizes, before + BLOCK_BYTES)))
-                block = (TaskContext.get().partitionId() << 32) + made
-                made += 1
-                yield from _pack_block(block, batch.column(0)[at:end], batch.column(1)[at:end], cutter, buckets)
+                ids, texts = batch.column(0)[at:end], batch.column(1)[at:end]
+                name = xxhash.xxh3_64_intdigest(_squeeze(pa.table({"id": ids, "text": texts})))
+                yield make(name >> 1, texts, cutter, refine, buckets, ids)
+                pa.default_memory_pool().release_unused()
                 at = end
 
     return run
@@ -132,19 +201,16 @@ def _assemble(id_type: pa.DataType):
     schema = pa.schema([("id", id_type), ("ids", pa.binary())])
 
     def place(body: pa.Table, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        numbers = _unplanes(body["numbers"][0].as_py()).astype(np.int64)
-        bucket_of = _unplanes(body["bucket_of"][0].as_py())
-        per_doc = _unplanes(body["counts"][0].as_py()).astype(np.int64)
-        counts, flats = np.zeros(len(bucket_of), np.int64), []
-        starts, base = np.zeros(len(bucket_of), np.int64), 0
-        by_bucket = np.argsort(bucket_of, kind="stable")
-        bounds = {int(h): (a, b) for h, a, b in zip(*_runs(bucket_of[by_bucket]))}
-        if set(bounds) != {h for h, _ in rows}:
-            raise ValueError("a block misses words")
+        numbers, per_doc, ranks, sizes = (_unplanes(body[c][0].as_py()).astype(np.int64) for c in ("numbers", "counts", "ranks", "sizes"))
+        counts, flats = np.zeros(len(ranks), np.int64), []
+        starts, base = np.zeros(len(ranks), np.int64), 0
+        ends = np.cumsum(sizes)
+        if {int(h) for h in np.flatnonzero(sizes)} != {h for h, _ in rows}:
+            raise ValueError("a block misses words; documents must read alike each time")
         for h, blob in rows:
             table = _expand(blob)
             n, flat = _unplanes(table["counts"][0].as_py()).astype(np.int64), _unplanes(table["flat"][0].as_py())
-            where = by_bucket[slice(*bounds[h])]
+            where = ranks[ends[h] - sizes[h] : ends[h]]
             counts[where] = n
             starts[where] = base + np.cumsum(n) - n
             base += len(flat)
@@ -166,19 +232,22 @@ def _assemble(id_type: pa.DataType):
             at = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, body, rows = None, None, []
+        current, bodies, rows = None, [], {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for body in bodies:  # more than one if blocks are alike in every row
+                yield from place(_expand(body), list(rows.items()))
+
         for batch in batches:
             for block, bucket, blob in zip(batch.column("block").to_pylist(), batch.column("bucket").to_pylist(), batch.column("blob")):
                 if block != current:
-                    if current is not None:
-                        yield from place(body, rows)
-                    current, body, rows = block, None, []
+                    yield from done()
+                    current, bodies, rows = block, [], {}
                 if bucket < 0:
-                    body = _expand(blob.as_py())
+                    bodies.append(blob.as_py())
                 else:
-                    rows.append((bucket, blob.as_py()))
-        if current is not None:
-            yield from place(body, rows)
+                    rows[bucket] = blob.as_py()
+        yield from done()
 
     return run
 
@@ -191,17 +260,21 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[starts], starts, np.concatenate([starts[1:], [len(ordered)]])
 
 
-def encode_corpus(docs: DataFrame, cutter: Cutter, factory: EncoderFactory, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_corpus(
+    docs: DataFrame, cutter: Cutter, refine: Refiner, factory: EncoderFactory, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(id, ids): ids as little-endian unsigned 32-bit integers; a null text has none."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Vocabulary grows slower than text: buckets by the square root keep a bucket's words in memory.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(math.sqrt(total / (1 << 20))))
-    packed = cut(slim.mapInArrow(_blocks(cutter, buckets), "block long, bucket int, blob binary"), "word-blocks")
-    words = packed.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    coded = words.mapInArrow(_encode(factory), "block long, bucket int, blob binary")
-    both = packed.where("bucket < 0").unionAll(coded).repartition("block").sortWithinPartitions("block", "bucket")
-    kind = slim.schema["id"].dataType
-    arrow = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
-    return both.mapInArrow(_assemble(arrow), f"id {kind.simpleString()}, ids binary")
+    kind = "block long, bucket int, blob binary"
+    words = slim.mapInArrow(_blocks(_word_rows, cutter, refine, buckets), kind)
+    words = words.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    coded = words.mapInArrow(_encode(factory), kind)
+    bodies = slim.mapInArrow(_blocks(_body_row, cutter, refine, buckets), kind)
+    both = bodies.unionAll(coded).repartition("block").sortWithinPartitions("block", "bucket")
+    id_type = slim.schema["id"].dataType.simpleString()
+    arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
+    return both.mapInArrow(_assemble(arrow), f"id {id_type}, ids binary")

@@ -20,11 +20,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.distinct_words import encode_corpus
+from tidemill.llm.distinct_words import encode_corpus, refiner
 
 
 def _merge(a: tuple, b: tuple, windows: int, children: list) -> tuple:
@@ -154,6 +155,17 @@ def _word_encoder(path: str):
     return factory
 
 
+#: The pattern that the tokenizer's file gives for its matches.
+MATCHES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Latin-1 letters, on which normalisation changes nothing but case.
+LETTERS = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
+
+
+def split_chunk(chunk: str) -> list[str]:
+    """Lower-cased matches of a Latin-1 chunk; any other stays whole, for the tokenizer to normalise."""
+    return MATCHES.findall(chunk.lower()) if chunk and max(chunk) < "\u0100" else [chunk]
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -167,7 +179,7 @@ def pack(
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
     blocks = max(1, math.ceil((rows + (size or 0) / (4 * capacity)) / block_pieces))
     # White space ends every match of this tokenizer's pattern and is dropped.
-    coded = encode_corpus(docs, pc.ascii_split_whitespace, _word_encoder(tokenizer_path), id_col, text_col)
+    coded = encode_corpus(docs, pc.ascii_split_whitespace, refiner(LETTERS, pc.utf8_lower, split_chunk), _word_encoder(tokenizer_path), id_col, text_col)
     kind = coded.schema["id"].dataType.simpleString()
     pieces = coded.mapInArrow(
         _pieces(capacity, end_id), f"doc_id {kind}, start long, length long, doc_tokens long, packed binary"
