@@ -125,6 +125,27 @@ ORACLES = {
         SELECT e.vec_id, coalesce(n.k, 0)::BIGINT AS n_links, coalesce(low.c, e.vec_id) AS component_id,
                e.vec_id = coalesce(low.c, e.vec_id) AS kept
         FROM embeddings e LEFT JOIN n ON n.u = e.vec_id LEFT JOIN low ON low.s = e.vec_id""",
+    "op2_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (
+          SELECT doc_id, s, doc_id::HUGEINT * 10000000000 + s AS place, substr(h, 2 * s + 1, 200) AS k
+          FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 100)) AS s FROM d WHERE length(h) >= 200)),
+        later AS (
+          SELECT doc_id, s FROM w JOIN (SELECT k, min(place) AS earliest FROM w GROUP BY k HAVING count(*) > 1) USING (k)
+          WHERE place > earliest),
+        marked AS (
+          SELECT doc_id, s, CASE WHEN s - 100 <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) THEN 0 ELSE 1 END AS new FROM later),
+        numbered AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM marked),
+        spans AS (SELECT doc_id, n, min(s) AS a, max(s) + 100 AS b FROM numbered GROUP BY doc_id, n),
+        edges AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+        cut AS (
+          SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS ending,
+            string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+          FROM edges JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+          coalesce(n_spans, 0)::BIGINT AS n_spans,
+          sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(ending, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)""",
     "op3_topk_nra": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings

@@ -3,8 +3,9 @@
 Texts with equal word sequences collapse first. Each remaining text gets a long SimHash of its five-word
 shingles. Bands, random bit subsets of the hash, are candidate keys; their width follows the number of
 texts, so a bucket stays small, and their number follows the width, so that a pair at the wanted
-similarity misses all bands with probability ``miss``. Within a bucket distances are counted bit-sliced,
-word by word, and pairs beyond the radius are abandoned; what is left spans loose classes. Texts of a loose
+similarity misses all bands with probability ``miss``. Within a bucket distances over the hash's first
+CHECK words are counted bit-sliced, word by word, and pairs beyond the radius are abandoned; what is left
+spans loose classes. Texts of a loose
 class are then compared exactly, in blocks of rows against blocks, by the shared shingles that a
 document-by-shingle product counts; pairs at the wanted Jaccard similarity span the final classes.
 
@@ -34,7 +35,9 @@ from tidemill.llm.components import connected_components
 from tidemill.llm.simhash import SEED, _roots, shingles
 from tidemill.session import cut
 
-WORDS = 4  # 64-bit words of a fingerprint
+WORDS = 4  # 64-bit words of a fingerprint, which bands draw bits from
+CHECK = 2  # words that travel with a band key, for the distance
+CHECKS = [f"w{k}" for k in range(CHECK)]
 
 
 def long_fingerprint(grams: list[bytes]) -> np.ndarray:
@@ -66,7 +69,7 @@ def expected_distance(similarity: float) -> float:
 
 def band_plan(rows: int, similarity: float, miss: float) -> tuple[int, int]:
     """Bits and number of bands."""
-    bits = max(8, math.ceil(math.log2(max(rows, 2))))
+    bits = max(8, math.ceil(math.log2(max(rows, 2))) - 2)
     hit = (1 - expected_distance(similarity)) ** bits
     return bits, math.ceil(math.log(1 / miss) / hit)
 
@@ -98,7 +101,9 @@ def _band_keys(bits: int, bands: int):
                 on = np.unpackbits(raw, axis=1).astype(np.int64)
                 keys = np.stack([(on[:, c] @ scale) * bands + k for k, c in enumerate(choice)], axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-                yield pa.record_batch([batch.column("id"), batch.column("fp"), lists], names=["id", "fp", "keys"])
+                words = np.ascontiguousarray(raw).view("<i8")
+                checks = [pa.array(words[:, k]) for k in range(CHECK)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *checks, lists], names=["id", *CHECKS, "keys"])
 
     return run
 
@@ -166,7 +171,7 @@ def _forest(ids: np.ndarray, left: list, right: list) -> Iterator[pd.DataFrame]:
 def _link_bands(radius: int):
     def make(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         cell, side, ids = (pdf[c].to_numpy() for c in ("cell", "side", "id"))
-        fp = np.frombuffer(b"".join(pdf["fp"]), "<u8").reshape(len(pdf), -1)
+        fp = np.stack([pdf[c].to_numpy().view(np.uint64) for c in CHECKS], axis=1)
         left, right = [], []
         for step in range(1, len(pdf)):
             i = np.flatnonzero(cell[:-step] == cell[step:])
@@ -258,12 +263,13 @@ def near_copies(
     texts = cut(prints.groupBy("words").agg(F.min("id").alias("id"), F.first("fp").alias("fp")), "distinct-texts")
     bits, bands = band_plan(texts.count(), similarity, miss)
     share = expected_distance(similarity)
-    radius = math.ceil(WORDS * 64 * share + 3 * math.sqrt(WORDS * 64 * share * (1 - share)))
+    radius = math.ceil(CHECK * 64 * share + 3 * math.sqrt(CHECK * 64 * share * (1 - share)))
 
-    keyed = texts.select("id", "fp").mapInArrow(_band_keys(bits, bands), "id long, fp binary, keys array<long>")
-    keyed = keyed.select("id", "fp", F.explode("keys").alias("key"))
+    kinds = ", ".join(f"{c} long" for c in CHECKS)
+    keyed = texts.select("id", "fp").mapInArrow(_band_keys(bits, bands), f"id long, {kinds}, keys array<long>")
+    keyed = keyed.select("id", *CHECKS, F.explode("keys").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
-    cells = _in_blocks(keyed, "key", crowded, block_rows, ["fp"])
+    cells = _in_blocks(keyed, "key", crowded, block_rows, CHECKS)
     loose = connected_components(cells.mapInPandas(_link_bands(radius), "u long, v long"))
     loose = cut(loose.select(F.col("node").alias("id"), F.col("component").alias("key")), "loose-classes")
 
