@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from tidemill.functions import scalars as S
 from tidemill.operators import billing, changelog, dims, facts, history, marts, merge, quality, reports
 from tidemill.plans import checks
 from tidemill.plans.standins import DERIVED, oracle, tables
+from tidemill.session import shared_dir
 from tidemill.sources import tables as sources
 from tidemill.streaming import landing
 
@@ -216,19 +218,59 @@ def source_freshness(t: Tables) -> DataFrame:
     return plain(merge.freshness(t["events"], "ts", as_of))
 
 
-@query("""SELECT 'users' AS source_table, op, CAST(day AS VARCHAR) AS dt, count(*) AS n, max(lsn) AS last_lsn FROM {changes} GROUP BY op, day""")
+def topic(t: Tables) -> DataFrame:
+    """The change log as the messages of a topic."""
+    c = change_events(t)
+    image = lambda column: F.from_json(column, changelog.wire_schema(STATE))
+    body = F.struct(
+        "op", F.col("event_ts_ms").alias("ts_ms"), F.struct(F.col("source_schema").alias("schema"), "lsn").alias("source"),
+        image("before_json").alias("before"), image("after_json").alias("after"),
+    )
+    return c.select(
+        "key", F.when(F.col("op") != "t", F.to_json(body)).alias("value"), F.col("kafka_topic").alias("topic"),
+        F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"), "ingested_at_ms",
+    )
+
+
+SQL_LANDED = """SELECT 'users' AS source_table, op, CAST(day AS VARCHAR) AS dt, count(*) AS n, max(lsn) AS last_lsn FROM {changes} GROUP BY op, day"""
+
+
+@query(SQL_LANDED)
 def landed_records(t: Tables) -> DataFrame:
     """Messages flattened to change records and dated by the event."""
-    c = change_events(t).where(F.col("op") != "t")
-    value = F.to_json(
-        F.struct("op", F.col("event_ts_ms").alias("ts_ms"), F.struct(F.col("source_schema").alias("schema"), "lsn").alias("source"),
-                 F.from_json("before_json", changelog.wire_schema(STATE)).alias("before"), F.from_json("after_json", changelog.wire_schema(STATE)).alias("after"))
-    )
-    messages = c.select("key", value.alias("value"), F.col("kafka_topic").alias("topic"), F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"), "ingested_at_ms")
+    messages = topic(t).where(F.col("value").isNotNull())
     flat = landing.with_day(landing.flatten(messages))
     return plain(flat.groupBy("source_table", "op", "dt").agg(F.count("*").alias("n"), F.max("lsn").alias("last_lsn")))
 
 
+@query(SQL_LANDED)
+def landing_stream(t: Tables) -> DataFrame:
+    """The topic landed by a stream that drains it, stopped and started again, then compacted."""
+    spark = t["changes"].sparkSession
+    root = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+    topic(t).write.parquet(f"{root}/topic")
+    for _ in range(2):  # the second run finds nothing new
+        landing.land(landing.file_messages(spark, f"{root}/topic"), f"{root}/landed", f"{root}/checkpoint").awaitTermination()
+    sources.compact_files(spark.read.parquet(f"{root}/landed"), f"{root}/compacted")
+    packed = spark.read.parquet(f"{root}/compacted").where("op <> 't'")
+    return plain(packed.groupBy("source_table", "op", "dt").agg(F.count("*").alias("n"), F.max("lsn").alias("last_lsn")))
+
+
+@query(f"""SELECT CAST(1 AS BIGINT) AS number, count(*) AS n_rows, count(DISTINCT kind) AS n_kinds FROM ({sql_newest("lsn <= " + SQL_HALF)}) a WHERE op <> 'd'
+    UNION ALL SELECT CAST(2 AS BIGINT), count(*), count(DISTINCT kind) FROM ({SQL_CURRENT}) b""")
+def published_versions(t: Tables) -> DataFrame:
+    """A snapshot and the reconciled table published one after the other, each read back by its number."""
+    spark = t["changes"].sparkSession
+    root = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    merge.publish(changelog.from_snapshot(snapshot(t, boundary(t))), root, note={"boundary": boundary(t)})
+    merge.publish(current(t), root)
+    parts = [
+        merge.read_version(spark, root, n).agg(F.lit(n).cast("long").alias("number"), F.count("*").alias("n_rows"), F.count_distinct("kind").alias("n_kinds"))
+        for n in (1, 2)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 # ---------------------------------------------------------------- history and as-of joins
 
 
