@@ -256,7 +256,8 @@ def near_duplicate_vectors(
             ),
             "vector-filters",
         )
-        keyed = listed.select("*", F.explode("filters").alias("filter"))
+        # Keys travel narrow; vectors join the cells that have something to compare.
+        keyed = listed.select("label", "rep", F.explode("filters").alias("filter"))
         sizes = keyed.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1")
         cells = (
             keyed.join(sizes, ["label", "filter"])
@@ -267,11 +268,9 @@ def near_duplicate_vectors(
                 F.xxhash64("label", "filter", F.least("own", "o"), F.greatest("own", "o")).alias("cell"),
                 F.when(F.col("own") == F.col("o"), -1).otherwise((F.col("own") < F.col("o")).cast("int")).alias("side"),
                 "rep",
-                "weight",
                 "filter",
-                "filters",
-                "vector",
             )
+            .join(listed.select("rep", "weight", "filters", "vector"), "rep")
         )
         found = (
             cells.repartition("cell")
