@@ -3,8 +3,8 @@
 A text's bytes are cut into fixed-length windows. Bytes are embedded, filters of several widths run over
 every position, the maximum over positions feeds a softmax layer. Windows of all documents of a batch go
 through the network together, and a document's probabilities are the mean over its windows, weighted by
-their bytes. Training uses a bounded sample: at most ``per_language`` documents of each language, the
-first by a hash of their id, and ``windows_per_doc`` windows spread over each; a class's loss is weighted
+their bytes. Training uses a bounded sample: at most ``per_language`` documents of each of the
+``most_languages`` commonest languages, the first by a hash of their id, and ``windows_per_doc`` windows spread over each; a class's loss is weighted
 so that languages count alike.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 1; without any labelled row
@@ -16,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 256
@@ -162,13 +163,20 @@ def fit(
     lang_col: str = "lang",
     per_language: int = 400,
     windows_per_doc: int = 4,
+    most_languages: int = 100,
 ) -> ByteCnn | None:
     """Learns from a bounded sample of ``labelled``; None if it has no usable row."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = usable.select(id_col, lang_col).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
+    counted = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages)
+    languages = [r[0] for r in counted.collect()]
+    if not languages:
+        return None
+    parts = [
+        usable.where(F.col(lang_col) == x).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(per_language) for x in languages
+    ]
+    chosen = reduce(DataFrame.unionAll, parts).distinct()
     # At most per_language ids a language: a broadcast of proven size.
-    texts = usable.join(F.broadcast(chosen.select(id_col).distinct()), id_col, "left_semi").select(text_col, lang_col)
+    texts = usable.join(F.broadcast(chosen), id_col, "left_semi").select(text_col, lang_col)
     rows = texts.mapInArrow(_sample_windows(windows_per_doc), "window binary, lang string").toArrow()
     if not rows.num_rows:
         return None
