@@ -430,8 +430,7 @@ def resolved(t: Tables) -> Tables:
     f = fact_tables(t)
     return f | {
         "clicks": facts.resolve_clicks(f["clicks"], f["impressions"]),
-        "conversions": facts.resolve_conversions(f["conversions"].drop("currency"), f["impressions"].withColumn("currency", F.col("currency")))
-        .join(f["conversions"].select("conversion_key", "currency"), "conversion_key"),
+        "conversions": facts.resolve_conversions(f["conversions"], f["impressions"]),
     }
 
 
