@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        now = cut(_small_star(_large_star(now)), "edges")
+        # Smaller neighbours first: it gathers a node's many links to one before any join over both directions.
+        now = cut(_large_star(_small_star(now)), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
