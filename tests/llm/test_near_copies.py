@@ -59,6 +59,18 @@ def test_classes_match_brute_force(spark):
     assert left.columns == docs.columns and left.count() == len(texts) - len(got)
 
 
+def test_repeated_lines_match_brute_force(spark):
+    rng = random.Random(6)
+    texts = []
+    for repeats in (2, 5, 10, 20, 60) * 8:
+        words, line = (["w%d" % rng.randrange(5000) for _ in range(n)] for n in (200, 10))
+        texts += [" ".join(words + line), " ".join(words + line * repeats)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(r) for r in near_copies.near_copies(docs).collect()}
+    want = brute(list(enumerate(texts)))
+    assert len(want) == 40 and got == want
+
+
 def test_shared_counts_and_distances():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 90, n)) for n in (0, 5, 60, 80, 80)]

@@ -1,7 +1,7 @@
 """Near-copies of documents: SimHash candidates, confirmed by the exact similarity of word shingles.
 
-Texts with equal word sequences collapse first. Each remaining text gets a long SimHash of its five-word
-shingles. Bands, random bit subsets of the hash, are candidate keys; their width follows the number of
+Texts with equal word sequences collapse first. Each remaining text gets a long SimHash of its distinct
+five-word shingles. Bands, random bit subsets of the hash, are candidate keys; their width follows the number of
 texts, so a bucket stays small, and their number follows the width, so that a pair at the wanted
 similarity misses all bands with probability ``miss``. Within a bucket distances over the hash's first
 CHECK words are counted bit-sliced, word by word, and pairs beyond the radius are abandoned; what is left
@@ -41,10 +41,11 @@ CHECKS = [f"w{k}" for k in range(CHECK)]
 
 
 def long_fingerprint(grams: list[bytes]) -> np.ndarray:
-    """WORDS x 64 majority bits over the shingles; the words' hashes are remixed from one XXH64."""
+    """WORDS x 64 majority bits over the distinct shingles; the words' hashes are remixed from one XXH64."""
     if not grams:
         return np.zeros(WORDS, np.uint64)
     base = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=len(grams))
+    base = np.unique(base)  # as sets, which the exact comparison takes
     out = np.zeros(WORDS, np.uint64)
     for k in range(WORDS):
         h = base + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
@@ -58,7 +59,7 @@ def long_fingerprint(grams: list[bytes]) -> np.ndarray:
             whole = len(bits) // 255 * 255
             votes += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
             votes += bits[whole:].sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(votes * 2 > len(grams), bitorder="little").view("<u8")[0]
+        out[k] = np.packbits(votes * 2 > len(base), bitorder="little").view("<u8")[0]
     return out
 
 
