@@ -71,6 +71,20 @@ def test_repeated_lines_match_brute_force(spark):
     assert len(want) == 40 and got == want
 
 
+def test_miss_does_not_grow_with_the_table():
+    rng = np.random.default_rng(8)
+    words = near_copies.WORDS * 64
+    for rows in (1_000, 100_000, 13_000_000):
+        bits, bands = near_copies.band_plan(rows, 0.8, 0.01)
+        choice = [rng.choice(words, bits, replace=False) for _ in range(bands)]
+        differ = rng.random((20_000, words)) < near_copies.expected_distance(0.8)
+        found = np.zeros(len(differ), bool)
+        for c in choice:
+            found |= ~differ[:, c].any(axis=1)
+        found &= differ[:, : near_copies.CHECK * 64].sum(axis=1) <= near_copies.reach(0.8, 0.01)
+        assert 1 - found.mean() < 0.014
+
+
 def test_shared_counts_and_distances():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 90, n)) for n in (0, 5, 60, 80, 80)]

@@ -3,7 +3,7 @@
 Texts with equal word sequences collapse first. Each remaining text gets a long SimHash of its distinct
 five-word shingles. Bands, random bit subsets of the hash, are candidate keys; their width follows the number of
 texts, so a bucket stays small, and their number follows the width, so that a pair at the wanted
-similarity misses all bands with probability ``miss``. Within a bucket distances over the hash's first
+similarity is missed with probability ``miss`` at any table size, taken over its binomial distance. Within a bucket distances over the hash's first
 CHECK words are counted bit-sliced, word by word, and pairs beyond the radius are abandoned; what is left
 spans loose classes. Texts of a loose
 class are then compared exactly, in blocks of rows against blocks, by the shared shingles that a
@@ -68,11 +68,44 @@ def expected_distance(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def _binomial(n: int, p: float) -> np.ndarray:
+    return np.array([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+
+
+def reach(similarity: float, miss: float) -> int:
+    """Distance over the CHECK words up to which a pair is taken; an eighth of ``miss`` may lie beyond."""
+    beyond = 1 - np.cumsum(_binomial(CHECK * 64, expected_distance(similarity)))
+    return int(np.argmax(beyond <= miss / 8))
+
+
+def missed(bits: int, bands: int, similarity: float, radius: int) -> float:
+    """Chance that a pair right at ``similarity`` is no candidate, over its binomial distance.
+
+    All bands draw from the same WORDS x 64 bits, so at k differing bits one band of distinct bits hits with
+    C(all - k, bits) / C(all, bits); a pair beyond ``radius`` in the CHECK words is lost whatever the bands.
+    """
+    share, whole, part = expected_distance(similarity), WORDS * 64, CHECK * 64
+    near = _binomial(part, share)
+    near[radius + 1 :] = 0
+    distance = np.convolve(near, _binomial(whole - part, share))
+    hit = np.array([math.comb(whole - k, bits) / math.comb(whole, bits) for k in range(whole + 1)])
+    return 1 - float((distance * (1 - (1 - hit) ** bands)).sum())
+
+
 def band_plan(rows: int, similarity: float, miss: float) -> tuple[int, int]:
-    """Bits and number of bands."""
-    bits = max(8, math.ceil(math.log2(max(rows, 2))) - 2)
-    hit = (1 - expected_distance(similarity)) ** bits
-    return bits, math.ceil(math.log(1 / miss) / hit)
+    """Bits and the least number of bands whose mean miss over the binomial distance is ``miss``.
+
+    Chance buckets hold 32 to 64 texts: narrower bands cost comparisons, wider ones far more bands.
+    """
+    bits = max(8, math.ceil(math.log2(max(rows, 2))) - 6)
+    radius = reach(similarity, miss)
+    low, high = 0, 1
+    while missed(bits, high, similarity, radius) > miss:
+        low, high = high, high * 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if missed(bits, middle, similarity, radius) > miss else (low, middle)
+    return bits, high
 
 
 def _prints(size: int):
@@ -263,8 +296,7 @@ def near_copies(
     prints = cut(slim.mapInArrow(_prints(size), "id long, words binary, fp binary"), "long-fingerprints")
     texts = cut(prints.groupBy("words").agg(F.min("id").alias("id"), F.first("fp").alias("fp")), "distinct-texts")
     bits, bands = band_plan(texts.count(), similarity, miss)
-    share = expected_distance(similarity)
-    radius = math.ceil(CHECK * 64 * share + 3 * math.sqrt(CHECK * 64 * share * (1 - share)))
+    radius = reach(similarity, miss)
 
     kinds = ", ".join(f"{c} long" for c in CHECKS)
     keyed = texts.select("id", "fp").mapInArrow(_band_keys(bits, bands), f"id long, {kinds}, keys array<long>")
