@@ -86,6 +86,34 @@ def test_recall_of_filters():
         assert np.mean([bool(a & b) for a, b in zip(*sets)]) >= 0.98
 
 
+def test_few_dimensions_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    for dim in (1, 2, 3):
+        data = [(i, [float(x) for x in rng.standard_normal(dim).astype(np.float32)], i % 2, i, "", 0) for i in range(80)]
+        got = {r.vec_id: r.n_links for r in sphere_filters.near_duplicate_vectors(spark.createDataFrame(data, SCHEMA), block_rows=16).collect()}
+        links = brute_links(data)
+        assert sum(map(len, links.values())) > 0
+        assert got == {i: len(x) for i, x in links.items()}
+
+
+def test_recall_of_filters_in_crowded_labels():
+    rng = np.random.default_rng(14)
+    for dim, rows_ in ((16, 20_000), (16, 200_000), (32, 2_000_000), (64, 20_000_000)):
+        codes = sphere_filters.choose_codes(dim, rows_, 0.93, 0.005)
+        if not codes:
+            continue  # exact block pairs
+        x, noise = rng.standard_normal((2, 300, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        noise -= (noise * x).sum(axis=1, keepdims=True) * x
+        noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+        arrays = [c.arrays() for c in codes]
+        sets = []
+        for m in (x, 0.93 * x + math.sqrt(1 - 0.93**2) * noise):
+            row, ids = sphere_filters.all_filters(m, codes, arrays)
+            sets.append([set(ids[row == i]) for i in range(len(m))])
+        assert np.mean([bool(a & b) for a, b in zip(*sets)]) >= 0.98
+
+
 def test_decoding_equals_a_scan():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((50, 12))

@@ -6,9 +6,11 @@ product with it reaches a threshold. Decoding walks the blocks and prunes partia
 reach the threshold, so the exceeding filters come out without scanning all of them. Vectors that share a
 filter (and a label) are compared exactly in double precision.
 
-The threshold follows the table size, so that a filter's bucket keeps about ``bucket`` vectors. Several
-codes with rotations of their own are used; their number comes from a simulation of pairs right at the
-radius, so that such a pair shares no filter with probability ``miss``. Equal vectors collapse first, and a
+The threshold follows the table size by the share of the sphere in a cap, so that a filter's bucket keeps
+about ``bucket`` vectors. Several codes with rotations of their own are used; their number comes from a
+simulation of pairs right at the radius, so that such a pair shares no filter with probability ``miss``.
+Where that takes too many codes the caps grow, and where caps do not pay (few dimensions) all vectors of a
+label are compared in exact block pairs. Equal vectors collapse first, and a
 bucket beyond ``block_rows`` meets itself in block pairs. Counts leave a task per vector and links as a
 spanning forest, never as all pairs.
 
@@ -22,7 +24,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -56,36 +57,59 @@ class ProductCode:
         return rotation, codes
 
 
-def choose_code(dim: int, rows: int, cosine: float, bucket: float = 8, filters: float = 1.6) -> ProductCode:
-    """Cap probability about bucket / rows; about ``filters`` expected filters that a pair at ``cosine`` shares."""
-    normal = NormalDist()
-    share = min(1 / 32, bucket / max(rows, 1))
-    level = normal.inv_cdf(1 - share)  # in standard deviations of an inner product
-    # Chance that a partner at the radius also exceeds the level, averaged over the exceedance of the first.
-    steps = [normal.inv_cdf(1 - share * (i + 0.5) / 64) for i in range(64)]
-    spread = math.sqrt(1 - cosine * cosine) + 1e-9
-    both = sum(1 - normal.cdf((level - cosine * x) / spread) for x in steps) / 64
-    count = filters / both / share
+def cap_grid(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles and the share of the sphere in ``dim`` dimensions within each of a fixed direction."""
+    angles = np.linspace(0, math.pi, 40_001)
+    weight = np.sin(angles) ** (dim - 2)
+    shares = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+    return angles, shares / shares[-1]
+
+
+def choose_code(dim: int, share: float, cosine: float, filters: float = 1.6) -> ProductCode:
+    """Caps of ``share`` of the sphere; about ``filters`` expected filters that a pair at ``cosine`` shares."""
+    angles, shares = cap_grid(dim)
+    threshold = math.cos(np.interp(share, shares, angles))
+    # Chance that a partner at the radius also exceeds the threshold, averaged over the exceedance of the first.
+    x = np.cos(np.interp(share * (np.arange(64) + 0.5) / 64, shares, angles))
+    spread = np.maximum(math.sqrt(max(0.0, 1 - cosine * cosine)) * np.sqrt(1 - x * x), 1e-12)
+    both = np.interp(np.arccos(np.clip((threshold - cosine * x) / spread, -1, 1)), *cap_grid(dim - 1)).mean()
+    count = filters / max(both, 1e-6) / share
     blocks = max(1, min(dim, 2 if count <= 1 << 18 else 3))
-    return ProductCode(dim, blocks, math.ceil(count ** (1 / blocks)), level / math.sqrt(dim))
+    return ProductCode(dim, blocks, math.ceil(count ** (1 / blocks)), threshold)
 
 
-def choose_codes(dim: int, rows: int, cosine: float, miss: float, most: int = 64) -> list[ProductCode]:
-    """As many codes as leave a pair at ``cosine`` without a common filter with probability ``miss``."""
-    code = choose_code(dim, rows, cosine)
+def hit_rate(code: ProductCode, cosine: float, pairs: int = 2000) -> float:
+    """Simulated share of pairs at ``cosine`` that have a filter in common."""
     rng = np.random.default_rng(29)
-    x, z = rng.standard_normal((2, 400, dim))
+    x, z = rng.standard_normal((2, pairs, code.dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z -= (z * x).sum(axis=1, keepdims=True) * x
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     arrays = code.arrays()
-    pairs = []
-    for m in (x, cosine * x + math.sqrt(1 - cosine * cosine) * z):
+    found = []
+    for m in (x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * z):
         row, ids = decode(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12), code, arrays)
-        pairs.append(set(zip(row.tolist(), ids.tolist())))
-    found = min(0.99, max(0.02, len({row for row, _ in pairs[0] & pairs[1]}) / len(x)))
-    count = min(most, math.ceil(math.log(miss) / math.log(1 - found)))
-    return [replace(code, seed=code.seed + k) for k in range(max(1, count))]
+        found.append(np.unique(row * code.words**code.blocks + ids))
+    return len(np.unique(np.intersect1d(*found) // code.words**code.blocks)) / pairs
+
+
+def choose_codes(dim: int, rows: int, cosine: float, miss: float, most: int = 64, bucket: float = 8) -> list[ProductCode]:
+    """As many codes as leave a pair at ``cosine`` without a common filter with probability ``miss``.
+
+    Caps start at about bucket / rows and grow until ``most`` codes suffice. No codes means that comparing
+    all pairs costs less, or that no codes reach ``miss``.
+    """
+    share = min(1 / 32, bucket / max(rows, 1))
+    while dim > 3 and share <= 1 / 8:
+        code = choose_code(dim, share, cosine)
+        found = min(0.99, hit_rate(code, cosine))
+        count = max(1, math.ceil(math.log(miss) / math.log(1 - found))) if found >= 0.02 else most + 1
+        if count <= most:
+            # Rows that a row meets in its buckets, as a share of all.
+            met = count * code.words**code.blocks * share * share
+            return [replace(code, seed=code.seed + k) for k in range(count)] if met < 1 else []
+        share *= 2
+    return []
 
 
 def decode(units: np.ndarray, code: ProductCode, arrays: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -250,12 +274,13 @@ def near_duplicate_vectors(
         label_rows = classes.where(F.size("vector") == dim).groupBy("label").count().agg(F.max("count")).first()[0]
         codes = choose_codes(dim, label_rows, cosine, miss)
         own = classes.where(F.size("vector") == dim).select("label", "vector", "rep", "weight")
-        listed = cut(
-            own.repartition("rep").mapInPandas(
+        if codes:
+            listed = own.repartition("rep").mapInPandas(
                 _filters(codes), "label int, vector array<double>, rep long, weight long, filters array<long>"
-            ),
-            "vector-filters",
-        )
+            )
+        else:  # one filter that all share: the label meets itself in block pairs
+            listed = own.withColumn("filters", F.array(F.lit(0).cast("long")))
+        listed = cut(listed, "vector-filters")
         # Keys travel narrow; vectors join the cells that have something to compare.
         keyed = listed.select("label", "rep", F.explode("filters").alias("filter"))
         sizes = keyed.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1")
