@@ -47,13 +47,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out bytes of passages that occur earlier; a cut character goes whole, emptied documents go."""
-    found = suffix_dedup.remove_repeats(docs).select(
+    found = suffix_dedup.remove_repeats(docs, whole=True).select(
         F.col("id").alias("doc_id"), F.col("kept"), (F.size("starts") > 0).alias("changed")
     )
     left = docs.select("doc_id", "lang", "source").join(found, "doc_id")
-    text = suffix_dedup.whole_characters(F.col("kept"))
     return (
-        left.withColumn("text", text)
+        left.withColumn("text", F.col("kept").cast("string"))
         .where(~(F.col("changed") & (F.length(F.trim("text")) == 0)))
         .withColumn("n_chars", F.length("text").cast("long"))
         .select(COLUMNS)

@@ -57,6 +57,20 @@ def test_passages_match_brute_force(stages):
             assert removed > 0
 
 
+def test_passages_keep_replacement_characters(spark):
+    passage = "\u20ac" * 50
+    texts = ["clean \ufffd text", "\u20ac" + passage + "\ufffd end", "\ufffd start " + passage + "\u00e9 \ufffd", passage[1:] + "\u2080 a"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.passages(spark, docs, "").collect()}
+    want = {}
+    for (doc_id, size, removed), text in zip(((r[0], r[1], r[2]) for r in suffix_brute(list(enumerate(texts)))), texts):
+        assert size - removed - 8 <= len(got[doc_id][0].encode()) <= size - removed
+        want[doc_id] = text.count("\ufffd")
+    assert {i: t.count("\ufffd") for i, (t, _) in got.items()} == want
+    assert got[0] == (texts[0], len(texts[0])) and got[2][0].startswith("\ufffd start ") and got[2][0].endswith("\u00e9 \ufffd")
+    assert all(set(t) <= set(texts[i]) and n == len(t) for i, (t, n) in got.items())
+
+
 def test_packing_covers_every_token(stages):
     pieces = stages[5]
     whole = pieces.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n"))

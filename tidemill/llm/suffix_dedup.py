@@ -36,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.distinct_words import _expand, _planes, _runs, _squeeze, _unplanes
@@ -519,7 +519,21 @@ def _merge(plan: Plan):
 # ---------------------------------------------------------------- removal
 
 
-def _remove():
+def _inside(text: bytes, at: int) -> bool:
+    """Whether a character goes on at ``at``."""
+    return at < len(text) and text[at] & 0xC0 == 0x80
+
+
+def _trim(text: bytes, a: int, b: int) -> bytes:
+    """text[a:b] without the characters that either end cuts."""
+    for _ in range(3):
+        a += a > 0 and _inside(text, a)
+    for _ in range(3):
+        b -= _inside(text, b)
+    return text[a:b]
+
+
+def _remove(whole: bool):
     schema = pa.schema([
         ("id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary()),
     ])
@@ -542,7 +556,8 @@ def _remove():
                 new = np.concatenate([[True], lo[1:] > reach[:-1]]) if len(lo) else np.zeros(0, bool)
                 starts = lo[new].tolist()
                 ends = reach[np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)].tolist() if len(lo) else []
-                kept = b"".join(text[x:y] for x, y in zip([0, *ends], [*starts, len(text)]))
+                pieces = zip([0, *ends], [*starts, len(text)])
+                kept = b"".join(_trim(text, x, y) if whole else text[x:y] for x, y in pieces)
                 for column, value in zip(out, (doc_id, len(text), starts, ends, kept)):
                     column.append(value)
                 size += len(kept)
@@ -556,9 +571,18 @@ def _remove():
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 100, seed: int = 32, hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    length: int = 100,
+    seed: int = 32,
+    hot: int = 50_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    whole: bool = False,
 ) -> DataFrame:
-    """One row per document: id, n_bytes, starts and ends of the removed runs, and the kept bytes."""
+    """One row per document: id, n_bytes, starts and ends of the removed runs, and the kept bytes.
+
+    With ``whole`` the kept bytes leave out what a removed run has left of a character that it cut.
+    """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -591,10 +615,5 @@ def remove_repeats(
         body.unionAll(spans)
         .repartition("block")
         .sortWithinPartitions("block", "kind")
-        .mapInArrow(_remove(), "id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+        .mapInArrow(_remove(whole), "id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
     )
-
-
-def whole_characters(kept: Column) -> Column:
-    """Kept bytes as a string; bytes of a character that a removal has cut are left out."""
-    return F.translate(F.make_valid_utf8(kept.cast("string")), "\ufffd", "")
