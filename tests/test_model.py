@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import dims, history, marts, quality
-from tidemill.plans import catalog, checks
+from tidemill.plans import catalog, checks, standins
 
 T = dt.datetime
 
@@ -82,6 +82,28 @@ def test_catalogue_is_complete():
     quality.validate(checks.ADVERTISING + checks.INTEGRITY[:4] + checks.INTEGRITY[5:] + checks.LINEAGE)
 
 
+def test_checks_of_several_tables_see_every_table(spark, sf_dir):
+    given = standins.tables(spark, sf_dir)
+    clean = {n: given[n].limit(20).cache() for n in (*checks.MASTERS, "impressions", "clicks", "conversions", "spend_transactions")}
+
+    def seen(name, t):
+        family = [c for c in checks.ALL_TABLES if c.name == name]
+        return quality.observe(family, catalog.bases(t, {family[0].base})).first()["observed"]
+
+    for name, table, column, value in (
+        ("invalid_enum_values_all_tables", "creatives", "creative_status", "'NO'"),
+        ("unexpected_nulls_all_tables", "clicks", "country", "CAST(NULL AS STRING)"),
+        ("negative_money_all_tables", "placements", "floor_price", "-1"),
+        ("currency_not_iso_format_all_tables", "advertisers", "billing_currency", "'123'"),
+        ("event_created_before_it_happened_all_tables", "spend_transactions", "created_at", "spend_timestamp - INTERVAL '1' HOUR"),
+        ("updated_before_created_all_tables", "advertisers", "updated_at", "created_at - INTERVAL '1' HOUR"),
+        ("duplicate_primary_keys_all_masters", "audiences", "audience_id", "'1'"),
+    ):
+        rows = clean[table].count()
+        spoiled = clean | {table: clean[table].withColumn(column, F.expr(value))}
+        assert seen(name, spoiled) - seen(name, clean) == (1 if column == "audience_id" else rows) and rows > 1
+
+
 def test_generic_tests_and_comparison(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (2, "z")], "k int, v string")
     b = spark.createDataFrame([(1, "x"), (2, None), (4, "q")], "k int, v string")

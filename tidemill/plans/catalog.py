@@ -640,6 +640,7 @@ def _family(name: str, family: list) -> None:
 for _name, _checks in (
     ("referential", checks.REFERENTIAL), ("temporal", checks.TEMPORAL), ("business", checks.BUSINESS),
     ("uniqueness", checks.UNIQUENESS), ("join_presence", checks.JOINS), ("row_rules", checks.ROW_RULES),
+    ("all_tables", checks.ALL_TABLES),
 ):
     _family(_name, _checks)
 

@@ -153,6 +153,79 @@ ROW_RULES = _many("row", [
     ("paused_campaign_not_started", "b_campaigns", "campaign_status = 'PAUSED' AND start_date > DATE '2001-01-01'"),
 ])
 
+
+
+def _each(*rows: tuple[str, str]) -> str:
+    """One row per row of every table, with whether it violates the table's own condition."""
+    return " UNION ALL ".join(f"SELECT CASE WHEN {bad} THEN 1 ELSE 0 END AS bad FROM {{{table}}}" for table, bad in rows)
+
+
+def _no_code(column: str) -> str:
+    return f"length({column}) <> 3 OR translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '') <> ''"
+
+
+MASTERS = {
+    "advertisers": "advertiser_id", "campaigns": "campaign_id", "line_items": "line_item_id", "creatives": "creative_id",
+    "publishers": "publisher_id", "placements": "placement_id", "audiences": "audience_id",
+}
+
+BASES |= {
+    "m_enums": _each(
+        ("advertisers", "account_status NOT IN ('ACTIVE', 'SUSPENDED', 'CLOSED')"),
+        ("campaigns", "campaign_status NOT IN ('DRAFT', 'ACTIVE', 'PAUSED', 'COMPLETED', 'CANCELLED')"),
+        ("campaigns", "bid_strategy NOT IN ('MANUAL_CPM', 'TARGET_CPC', 'TARGET_CPA', 'TARGET_ROAS', 'MAXIMIZE_REACH')"),
+        ("creatives", "creative_status NOT IN ('ACTIVE', 'PAUSED', 'REJECTED', 'EXPIRED')"),
+        ("publishers", "publisher_type NOT IN ('WEB', 'APP')"),
+        ("placements", "ad_format NOT IN ('BANNER', 'VIDEO')"),
+        ("impressions", "device_type NOT IN ('DESKTOP', 'MOBILE', 'TABLET', 'CTV', 'SMART_SPEAKER')"),
+        ("conversions", "conversion_type NOT IN ('PURCHASE', 'SIGNUP', 'LEAD', 'APP_INSTALL', 'SUBSCRIPTION')"),
+        ("spend_transactions", "billing_type NOT IN ('CPM', 'CPC', 'CPA')"),
+    ),
+    "m_nulls": _each(
+        ("advertisers", "advertiser_name IS NULL OR billing_currency IS NULL"),
+        ("campaigns", "campaign_name IS NULL OR start_date IS NULL OR end_date IS NULL"),
+        ("impressions", "country IS NULL OR currency IS NULL"),
+        ("clicks", "country IS NULL OR device_type IS NULL"),
+        ("conversions", "conversion_value IS NULL OR currency IS NULL"),
+    ),
+    "m_money": _each(
+        ("spend_transactions", "spend_amount < 0"),
+        ("impressions", "bid_price < 0 OR clearing_price < 0"),
+        ("placements", "floor_price < 0"),
+        ("line_items", "bid_amount <= 0"),
+        ("campaigns", "campaign_budget <= 0 OR daily_budget <= 0"),
+        ("conversions", "conversion_value < 0"),
+    ),
+    "m_currencies": _each(
+        ("advertisers", _no_code("billing_currency")),
+        ("line_items", _no_code("bid_currency")),
+        *((t, _no_code("currency")) for t in ("placements", "impressions", "conversions", "spend_transactions")),
+    ),
+    "m_event_times": _each(
+        ("impressions", "created_at < impression_timestamp"),
+        ("clicks", "created_at < click_timestamp"),
+        ("conversions", "created_at < conversion_timestamp"),
+        ("spend_transactions", "created_at < spend_timestamp"),
+    ),
+    "m_updates": _each(("advertisers", "updated_at < created_at"), ("campaigns", "updated_at < created_at")),
+    "m_parents": """SELECT i.impression_timestamp, l.created_at AS l_created_at, r.created_at AS r_created_at, p.created_at AS p_created_at
+        FROM {impressions} i JOIN {line_items} l ON i.line_item_id = l.line_item_id
+        JOIN {creatives} r ON i.creative_id = r.creative_id JOIN {placements} p ON i.placement_id = p.placement_id""",
+    "m_keys": " UNION ALL ".join(f"SELECT count(*) AS n FROM {{{t}}} GROUP BY {key}" for t, key in MASTERS.items()),
+}
+
+#: The checks of several tables over every table whose stand-in has the columns.
+ALL_TABLES = _many("business", [
+    ("invalid_enum_values_all_tables", "m_enums", "bad = 1"),
+    ("unexpected_nulls_all_tables", "m_nulls", "bad = 1"),
+    ("negative_money_all_tables", "m_money", "bad = 1"),
+    ("currency_not_iso_format_all_tables", "m_currencies", "bad = 1"),
+]) + _many("temporal", [
+    ("event_created_before_it_happened_all_tables", "m_event_times", "bad = 1"),
+    ("updated_before_created_all_tables", "m_updates", "bad = 1"),
+    ("impression_before_any_parent_creation", "m_parents", "impression_timestamp < l_created_at OR impression_timestamp < r_created_at OR impression_timestamp < p_created_at"),
+]) + _many("uniqueness", [("duplicate_primary_keys_all_masters", "m_keys", "n > 1")])
+
 #: Over a current-state table ``c_state`` and what it came from.
 INTEGRITY = _many("integrity", [
     ("silver_duplicate_primary_keys", "s_keys", "n > 1"),
