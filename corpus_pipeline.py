@@ -23,18 +23,25 @@ KEEP_LANGUAGE = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the pairwise ranker scores at KEEP_QUALITY or more."""
+    """Keeps documents that the pairwise ranker scores at KEEP_QUALITY or more; all if labels lack a class."""
     docs = docs.where(F.col("doc_id").isNotNull())
     table = quality_ranker.feature_table(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_ranker.fit(table, labels, ~quality_ranker.held_out("doc_id"), keep_at=KEEP_QUALITY)
+    if not isinstance(model, quality_ranker.Ranker):
+        return docs.select(COLUMNS)
     low = quality_ranker.score(table, model).where(F.col("score") < KEEP_QUALITY).select("doc_id")
     return docs.join(low, "doc_id", "left_anti").select(COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language; those without letters or with a weak prediction go."""
+    """Keeps documents with a language; those without letters or with a weak prediction go.
+
+    Where no document to learn from has a language, every document with a letter stays.
+    """
     model = language_id.fit(docs.where(~language_id.held_out("doc_id")))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
     found = language_id.predict(docs, model)
     none = found.where((F.col("lang_pred") == "und") | (F.col("score") < KEEP_LANGUAGE)).select("doc_id")
     return docs.join(none, "doc_id", "left_anti").select(COLUMNS)

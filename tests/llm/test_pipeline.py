@@ -79,6 +79,15 @@ def test_packing_covers_every_token(stages):
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 
+def test_stages_without_a_model_keep_documents(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).withColumn("lang", F.lit(None).cast("string")).cache()
+    kept = cp.language(spark, docs, sf_dir)
+    assert kept.columns == cp.COLUMNS and kept.count() == docs.where(F.col("text").rlike(r"\p{L}")).count() > 0
+    labels = docs.select("doc_id", F.lit(0).alias("quality"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.quality(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_empty_documents(spark, sf_dir, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
