@@ -54,6 +54,13 @@ def test_snapshot_runs_and_manifests(spark, tmp_path):
     assert spark.read.parquet(f"{root}/run2/b").count() == 0
 
 
+def test_export_keeps_partitions(spark, tmp_path):
+    many = {"a": spark.range(300).repartition(3)}
+    for files, want in ((None, 3), (2, 2)):
+        S.publish_export(many, f"file://{tmp_path}/{want}", files=files)
+        assert len(list((tmp_path / str(want) / "a").glob("*.parquet"))) == want
+
+
 def test_export_and_load_checks(spark, tmp_path):
     root = f"file://{tmp_path}/exp"
     manifest = S.publish_export({"a": spark.range(3).toDF("k"), "gone": None}, root)

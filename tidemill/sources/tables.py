@@ -75,15 +75,16 @@ def compact_files(landed: DataFrame, out: str, day: str = "dt", partition: str =
     return after
 
 
-def publish_export(tables: dict[str, DataFrame | None], root: str, files: int = 1) -> DataFrame:
-    """Each present table repartitioned to Parquet, and a manifest with rows, files and bytes."""
+def publish_export(tables: dict[str, DataFrame | None], root: str, files: int | None = None) -> DataFrame:
+    """Each present table as Parquet, in its own partitions or ``files``, and a manifest with rows, files and bytes."""
     rows = []
     spark = None
     for name, df in tables.items():
         if df is None:
             continue
         spark = df.sparkSession
-        df.repartition(files).write.mode("overwrite").option("compression", "snappy").parquet(f"{root}/{name}")
+        dealt = df if files is None else df.repartition(files)
+        dealt.write.mode("overwrite").option("compression", "snappy").parquet(f"{root}/{name}")
         rows.append(table_size(spark.read.parquet(f"{root}/{name}")).withColumn("table_name", F.lit(name)))
     out = rows[0]
     for r in rows[1:]:
