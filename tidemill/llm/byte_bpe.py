@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,13 @@ def _split(texts: pa.Array) -> pa.Array:
 def _encoder(path: str, pattern: str):
     def factory():
         coding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-        return lambda words: [coding.encode_ordinary(w) for w in words]
+
+        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [coding.encode_ordinary(w) for w in words]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            return counts, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
+
+        return encode
 
     return factory
 
@@ -80,7 +87,8 @@ def _encoder(path: str, pattern: str):
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) with ids as little-endian unsigned 32-bit integers."""
     refine = refiner(LETTERS, lambda words: words, regex.compile(pattern).findall)
-    return encode_corpus(docs, cut_before_spaces(pattern), refine, _encoder(path, pattern), id_col, text_col)
+    coded = encode_corpus(docs, cut_before_spaces(pattern), refine, _encoder(path, pattern), id_col, text_col)
+    return coded.select("id", "ids")
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -7,9 +7,11 @@ and the ids are put in place there. Rows are packed and compressed, so what move
 text. The caller gives the cutting rule and the encoder.
 
 Both passes read the documents, so they should come straight from files. A block is named by a hash of its
-contents: passes that saw different blocks end in an error, not in wrong ids.
+contents and its place among the partitions: passes that saw different blocks end in an error, not in wrong
+ids, and equal blocks stay apart.
 
-A word's ids must not depend on its neighbours; the cutting rules in this package see to that.
+A word's ids must not depend on its neighbours; the cutting rules in this package see to that. A bucket's task
+remembers the words it has encoded, up to a number that bounds its memory, beyond which it starts anew.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +34,13 @@ from tidemill.llm.rolling import Roller
 Cutter = Callable[[pa.Array], pa.Array]
 #: Distinct chunks -> a list of words, and where in it each chunk's words start and how many they are.
 Refiner = Callable[[pa.Array], tuple[pa.Array, np.ndarray, np.ndarray]]
-#: Makes, once per task, a function from distinct words to their id lists.
-EncoderFactory = Callable[[], Callable[[list[str]], list[list[int]]]]
+#: Makes, once per task, a function from distinct words to how many ids each has and all ids in a row.
+EncoderFactory = Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]]
 
 BLOCK_BYTES = 8 << 20
 OUT_BYTES = 4 << 20
+#: Words that an encoding task takes at a time, and distinct words that it remembers before it starts anew.
+STEP_WORDS, KNOWN_WORDS = 200_000, 2_000_000
 ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
 
@@ -120,10 +125,21 @@ def _buckets_of(vocabulary: pa.Array, buckets: int) -> np.ndarray:
 
 def _bytes_of(strings: pa.Array) -> np.ndarray:
     """The bytes of an array of strings, end to end."""
+    if not len(strings) or strings.buffers()[2] is None:
+        return np.zeros(0, np.uint8)
     offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
     return np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
 
 
+def _name(partition: int, number: int, ids: pa.Array, texts: pa.Array) -> int:
+    """A block's name from its place and contents, as a non-negative long."""
+    named = xxhash.xxh3_64(seed=(partition << 32) + number)
+    for column in (ids.cast(pa.string()), texts):
+        named.update(pc.fill_null(pc.binary_length(column), -1).to_numpy(zero_copy_only=False).tobytes())
+        named.update(_bytes_of(column.fill_null("")))
+    return named.intdigest() >> 1
+
+
 def _word_rows(block: int, texts: pa.Array, cutter: Cutter, refine: Refiner, buckets: int, ids: pa.Array) -> pa.RecordBatch:
     *_, inner, order = _distinct(texts, cutter, refine)
     vocabulary = inner.dictionary.take(pa.array(order))
@@ -153,6 +169,7 @@ def _body_row(block: int, texts: pa.Array, cutter: Cutter, refine: Refiner, buck
 
 def _blocks(make, cutter: Cutter, refine: Refiner, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
             at = 0
@@ -160,8 +177,8 @@ def _blocks(make, cutter: Cutter, refine: Refiner, buckets: int):
                 before = sizes[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(sizes, before + BLOCK_BYTES)))
                 ids, texts = batch.column(0)[at:end], batch.column(1)[at:end]
-                name = xxhash.xxh3_64_intdigest(_squeeze(pa.table({"id": ids, "text": texts})))
-                yield make(name >> 1, texts, cutter, refine, buckets, ids)
+                yield make(_name(partition, number, ids, texts), texts, cutter, refine, buckets, ids)
+                number += 1
                 pa.default_memory_pool().release_unused()
                 at = end
 
@@ -171,22 +188,37 @@ def _blocks(make, cutter: Cutter, refine: Refiner, buckets: int):
 def _encode(factory: EncoderFactory):
     """Bucket rows, sorted by bucket -> the same rows with counts and ids in place of words."""
 
+    def coded(rows: list[tuple[int, int, pa.Array]], known: dict[str, bytes], encode) -> pa.RecordBatch:
+        whole = pa.concat_arrays([words for *_, words in rows]).dictionary_encode()
+        distinct = whole.dictionary.to_pylist()
+        new = [w for w in distinct if w not in known]
+        counts, flat = encode(new)
+        raw = flat.astype("<u4").tobytes()
+        edges = (4 * np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])).tolist()
+        known.update(zip(new, (raw[a:b] for a, b in zip(edges, edges[1:]))))
+        parts = [known[w] for w in distinct]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        at, blobs, end = whole.indices.to_numpy(zero_copy_only=False), [], 0
+        for *_, words in rows:
+            own = at[end : end + len(words)]
+            end += len(words)
+            blobs.append(_squeeze(pa.table({"counts": [_planes(sizes[own])], "flat": [_planes(flat[_spread(sizes[own], starts[own])])]})))
+        return pa.record_batch([[r[0] for r in rows], [r[1] for r in rows], blobs], schema=ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, current, known = factory(), None, {}
+        encode, known, rows, held = factory(), {}, [], 0
         for batch in batches:
-            blobs = []
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
-                if bucket != current:
-                    current, known = bucket, {}
-                words = _expand(blob.as_py()).column("word").to_pylist()
-                new = [w for w in words if w not in known]
-                for w, ids in zip(new, encode(new)):
-                    known[w] = np.array(ids, dtype="<u4").tobytes()
-                parts = [known[w] for w in words]
-                counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-                flat = np.frombuffer(b"".join(parts), "<u4")
-                blobs.append(_squeeze(pa.table({"counts": [_planes(counts)], "flat": [_planes(flat)]})))
-            yield pa.record_batch([batch.column("block"), batch.column("bucket"), pa.array(blobs, pa.binary())], schema=ROWS)
+            for block, bucket, blob in zip(batch.column("block").to_pylist(), batch.column("bucket").to_pylist(), batch.column("blob")):
+                if rows and (bucket != rows[0][1] or held >= STEP_WORDS):
+                    yield coded(rows, known, encode)
+                    if bucket != rows[0][1] or len(known) > KNOWN_WORDS:
+                        known = {}
+                    rows, held = [], 0
+                rows.append((block, bucket, _expand(blob.as_py()).column("word").combine_chunks()))
+                held += len(rows[-1][2])
+        if rows:
+            yield coded(rows, known, encode)
 
     return run
 
@@ -198,9 +230,9 @@ def _spread(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _assemble(id_type: pa.DataType):
-    schema = pa.schema([("id", id_type), ("ids", pa.binary())])
+    schema = pa.schema([("id", id_type), ("ids", pa.binary()), ("place", pa.int64())])
 
-    def place(body: pa.Table, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def place(block: int, body: pa.Table, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         numbers, per_doc, ranks, sizes = (_unplanes(body[c][0].as_py()).astype(np.int64) for c in ("numbers", "counts", "ranks", "sizes"))
         counts, flats = np.zeros(len(ranks), np.int64), []
         starts, base = np.zeros(len(ranks), np.int64), 0
@@ -228,26 +260,24 @@ def _assemble(id_type: pa.DataType):
             raw = got.astype("<u4").tobytes()
             edges = np.concatenate([[0], tokens]) * 4
             values = [raw[a:b] for a, b in zip(edges, edges[1:])]
-            yield pa.record_batch([ids[at:stop], pa.array(values, pa.binary())], schema=schema)
+            where = (np.arange(at, stop).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) ^ block
+            yield pa.record_batch([ids[at:stop], pa.array(values, pa.binary()), pa.array(where)], schema=schema)
             at = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, bodies, rows = None, [], {}
-
-        def done() -> Iterator[pa.RecordBatch]:
-            for body in bodies:  # more than one if blocks are alike in every row
-                yield from place(_expand(body), list(rows.items()))
-
+        current, body, rows = None, None, {}
         for batch in batches:
             for block, bucket, blob in zip(batch.column("block").to_pylist(), batch.column("bucket").to_pylist(), batch.column("blob")):
                 if block != current:
-                    yield from done()
-                    current, bodies, rows = block, [], {}
+                    if body is not None:
+                        yield from place(current, _expand(body), list(rows.items()))
+                    current, body, rows = block, None, {}
                 if bucket < 0:
-                    bodies.append(blob.as_py())
+                    body = blob.as_py()
                 else:
                     rows[bucket] = blob.as_py()
-        yield from done()
+        if body is not None:
+            yield from place(current, _expand(body), list(rows.items()))
 
     return run
 
@@ -263,7 +293,8 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def encode_corpus(
     docs: DataFrame, cutter: Cutter, refine: Refiner, factory: EncoderFactory, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, ids): ids as little-endian unsigned 32-bit integers; a null text has none."""
+    """(id, ids, place): ids as little-endian unsigned 32-bit integers, none for a null text; place is a number
+    of the row's own, which tells repeated rows apart."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -277,4 +308,4 @@ def encode_corpus(
     both = bodies.unionAll(coded).repartition("block").sortWithinPartitions("block", "bucket")
     id_type = slim.schema["id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
-    return both.mapInArrow(_assemble(arrow), f"id {id_type}, ids binary")
+    return both.mapInArrow(_assemble(arrow), f"id {id_type}, ids binary, place long")

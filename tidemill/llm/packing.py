@@ -6,7 +6,9 @@ largest imbalance, largest windows of one against smallest of the other, which l
 equal load. If a window exceeds the capacity the window count rises and the block is merged again.
 
 Defined results: a null or empty text is its end token alone; texts of any length are cut, never dropped;
-repeated rows are packed each; an empty table gives an empty result; only id and text are read.
+repeated rows are packed each, in blocks of their own places; pieces of one size are taken in the order of id,
+start and place; an empty table gives an empty result; only id and text are read, so other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import heapq
 import math
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.distinct_words import encode_corpus, refiner
+from tidemill.llm.distinct_words import _spread, encode_corpus, refiner
 
 
 def _merge(a: tuple, b: tuple, windows: int, children: list) -> tuple:
@@ -95,17 +98,17 @@ def _pieces(capacity: int, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
-            rows = ([], [], [], [], [])
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows = ([], [], [], [], [], [])
+            for doc, ids, place in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = ids.as_py() + end
                 for at in range(0, len(data), step):
                     part = data[at : at + step]
                     planes = np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(-1, 4).T).tobytes()
-                    for column, value in zip(rows, (doc, at // 4, len(part) // 4, len(data) // 4, pack.compress(planes))):
+                    for column, value in zip(rows, (doc, at // 4, len(part) // 4, len(data) // 4, place, pack.compress(planes))):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], batch.schema.field(0).type), *(pa.array(x, pa.int64()) for x in rows[1:4]), pa.array(rows[4], pa.binary())],
-                names=["doc_id", "start", "length", "doc_tokens", "packed"],
+                [pa.array(rows[0], batch.schema.field(0).type), *(pa.array(x, pa.int64()) for x in rows[1:5]), pa.array(rows[5], pa.binary())],
+                names=["doc_id", "start", "length", "doc_tokens", "place", "packed"],
             )
 
     return run
@@ -113,7 +116,7 @@ def _pieces(capacity: int, end_id: int):
 
 def _place(capacity: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "length"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "start", "place"], kind="stable").reset_index(drop=True)
         sizes = pdf["length"].to_numpy()
         window = np.zeros(len(pdf), dtype=np.int64)
         full = sizes == capacity
@@ -144,17 +147,42 @@ def _word_encoder(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-        def encode(words: list[str]) -> list[list[int]]:
-            out = []
-            for at in range(0, len(words), 4096):
-                out += [x.ids for x in tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
-            return out
+        between = tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+
+        def ids_of(texts: list[str]) -> list[list[int]]:
+            return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def together(words: list[str]) -> tuple[list[int], np.ndarray]:
+            # White space ends a word, so many words go in one text, told apart by a word that none contains.
+            flat = np.array(ids_of([f" {BETWEEN} ".join(words)])[0], np.uint32)
+            ends = np.flatnonzero(flat == between[0])
+            if len(between) == 1 and len(ends) == len(words) - 1:
+                return (np.diff(np.concatenate([[-1], ends, [len(flat)]])) - 1).tolist(), np.delete(flat, ends)
+            return apart(words)
+
+        def apart(words: list[str]) -> tuple[list[int], np.ndarray]:
+            found = ids_of(words)
+            return list(map(len, found)), np.fromiter(chain.from_iterable(found), np.uint32)
+
+        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            lone = np.array([BETWEEN in w for w in words], bool)
+            order = np.argsort(lone, kind="stable")
+            dealt = [words[i] for i in order.tolist()]
+            easy = len(dealt) - int(lone.sum())
+            parts = [together(dealt[at : min(at + 2048, easy)]) for at in range(0, easy, 2048)]
+            parts += [apart(dealt[at : at + 2048]) for at in range(easy, len(dealt), 2048)]
+            counts = np.array([n for own, _ in parts for n in own], np.int64)
+            flat = np.concatenate([np.zeros(0, np.uint32), *(x for _, x in parts)])
+            back = np.argsort(order, kind="stable")
+            return counts[back], flat[_spread(counts[back], (np.cumsum(counts) - counts)[back])]
 
         return encode
 
     return factory
 
 
+#: Stands between words that are encoded in one text.
+BETWEEN = "|"
 #: The pattern that the tokenizer's file gives for its matches.
 MATCHES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Latin-1 letters, on which normalisation changes nothing but case.
@@ -182,9 +210,10 @@ def pack(
     coded = encode_corpus(docs, pc.ascii_split_whitespace, refiner(LETTERS, pc.utf8_lower, split_chunk), _word_encoder(tokenizer_path), id_col, text_col)
     kind = coded.schema["id"].dataType.simpleString()
     pieces = coded.mapInArrow(
-        _pieces(capacity, end_id), f"doc_id {kind}, start long, length long, doc_tokens long, packed binary"
+        _pieces(capacity, end_id), f"doc_id {kind}, start long, length long, doc_tokens long, place long, packed binary"
     )
-    block = F.pmod(F.xxhash64(F.lit(5), "doc_id", "start", "packed"), F.lit(blocks))
+    # The place deals repeated rows apart.
+    block = F.pmod(F.xxhash64(F.lit(5), "doc_id", "start", "place"), F.lit(blocks))
     return (
         pieces.withColumn("block", block)
         .groupBy("block")
