@@ -117,3 +117,27 @@ def test_partition_overwrite_and_floor(spark, tmp_path):
     assert sorted((r.date_key, r.v) for r in spark.read.parquet(path).collect()) == [(1, 10), (2, 99)]
     keep, merged = merge.merge_partitions(days, spark.createDataFrame([(2, 7)], "date_key int, v int"), "date_key", "date_key", 2)
     assert [tuple(r) for r in keep.collect()] == [(1, 10)] and [tuple(r) for r in merged.collect()] == [(2, 7)]
+
+
+def test_pending_reaches_the_files(spark, tmp_path):
+    rows = [("t", p, o) for p in range(3) for o in range(50)]
+    log = spark.createDataFrame(rows, "kafka_topic string, kafka_partition int, kafka_offset long")
+    log.write.parquet(f"{tmp_path}/log")
+    marks = spark.createDataFrame([("t", 0, 40), ("t", 1, 100)], "kafka_topic string, kafka_partition int, seen_offset long")
+    left = C.pending(spark.read.parquet(f"{tmp_path}/log"), marks)
+    assert left.groupBy("kafka_partition").count().collect() and {(r[0], r[1]) for r in left.groupBy("kafka_partition").count().collect()} == {(0, 9), (2, 50)}
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(kafka_offset,40)" in plan.split("PushedFilters", 1)[1]
+    many = marks.unionByName(spark.range(300).selectExpr("'u' as kafka_topic", "cast(id as int) as kafka_partition", "1L as seen_offset"))
+    assert C.pending(log, many).count() == left.count()
+    assert C.pending(log, marks.limit(0)).count() == log.count()
+
+
+def test_compaction_keeps_young_tombstones(spark):
+    rows = [("a", "c", 10, 1), ("a", "t", None, 2), ("b", "c", 10, 3), ("b", "t", None, 4), ("c", "c", 95, 5)]
+    log = spark.createDataFrame(rows, "key string, op string, event_ts_ms long, kafka_offset long").selectExpr(
+        "*", "'x' as source_table", "case when key = 'a' then 20L else 60L end as ingested_at_ms"
+    )
+    kept = {(r.key, r.op) for r in C.compact_log(log, 90, 50).collect()}
+    assert kept == {("b", "t"), ("c", "c")}
+    assert len(C.compact_log(log, 90).collect()) == 3

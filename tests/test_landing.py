@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from tidemill.sources import tables as S
 from tidemill.streaming import landing
 
@@ -83,3 +85,30 @@ def test_event_counts_stream(spark, tmp_path):
     query = landing.event_counts(stream, "ts", "kind").writeStream.format("memory").queryName("event_counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("event_counts").count() == 2
+
+
+def test_a_named_run_that_is_absent_is_an_error(spark, tmp_path):
+    root = f"{tmp_path}/exports"
+    S.export_snapshot({"n": spark.range(3)}, root, "r1", 5)
+    assert S.pick_run(spark, root, "r1").first()["wal_lsn"] == 5
+    with pytest.raises(ValueError):
+        S.pick_run(spark, root, "r2")
+
+
+def test_billing_follows_the_strategy(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.operators import billing
+
+    strategies = ["CPM", "CPC", "CPA", "TARGET_ROAS", "MAX_CONVERSIONS", "OTHER", None]
+    campaigns = spark.createDataFrame(list(enumerate(strategies)), "campaign_id int, bid_strategy string")
+    kinds = {r[0]: r[1] for r in campaigns.select("bid_strategy", billing.billing_type(F.col("bid_strategy"))).collect()}
+    assert kinds == {"CPM": "CPM", "CPC": "CPC", "CPA": "CPA", "TARGET_ROAS": "CPA", "MAX_CONVERSIONS": "CPA", "OTHER": None, None: None}
+    impressions = campaigns.selectExpr("campaign_id", "campaign_id as line_item_id", "1 as publisher_id", "'USD' as currency", "campaign_id as impression_id",
+                                       "TIMESTAMP_NTZ '2024-01-01 10:20:00' as impression_timestamp", "CAST(2000 AS DECIMAL(12,6)) as clearing_price")
+    lines = billing.hourly_cpm(impressions, campaigns, F.lit("2024-01-01 10:30:00").cast("timestamp_ntz")).collect()
+    assert [(r.campaign_id, float(r.spend_amount), r.created_at.minute) for r in lines] == [(0, 2.0, 30)]
+    assert [r.campaign_id for r in billing.per_impression(impressions, campaigns).collect()] == [0]
+    items = campaigns.selectExpr("campaign_id as line_item_id", "CAST(3 AS DECIMAL(12,4)) as bid_amount", "'USD' as bid_currency")
+    for kind, want in (("CPC", {1}), ("CPA", {2, 3, 4})):
+        assert {r.campaign_id for r in billing.per_event(impressions, campaigns, items, kind, "impression_id").collect()} == want

@@ -1,10 +1,13 @@
 import datetime as dt
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators import dims, history, marts, quality
 from tidemill.plans import catalog, checks, standins
+from tidemill.session import cut
 
 T = dt.datetime
 
@@ -52,7 +55,9 @@ def test_dimension_has_one_unknown_member(spark):
 def test_mart_never_multiplies_facts(spark):
     i = spark.createDataFrame([(1, "USD")] * 3 + [(2, "EUR")], "k int, currency string")
     s = spark.createDataFrame([(1, "USD", 5)] * 4 + [(3, "USD", 7)], "k int, currency string, amount int")
-    mart = marts.build([marts.Part(i, {"impressions": F.count("*")}), marts.Part(s, {"spend": F.sum("amount")})], ["k", "currency"])
+    mart = marts.build([marts.Part(i, {"impressions": F.lit(1)}, {"seen": "k"}), marts.Part(s, {"spend": F.col("amount")})], ["k", "currency"])
+    assert {(r.k, r.seen) for r in mart.collect()} == {(1, 1), (2, 1), (3, 0)}
+    mart = mart.drop("seen")
     assert {tuple(r) for r in mart.collect()} == {(1, "USD", 3, 20), (2, "EUR", 1, 0), (3, "USD", 0, 7)}
     rates = {r.k: r.effective_cpm for r in marts.with_rates(mart).collect()}
     assert rates[3] is None and rates[2] == 0.0
@@ -77,9 +82,108 @@ def test_checks_pass_warn_fail_and_gate(spark):
 
 
 def test_catalogue_is_complete():
-    families = [checks.REFERENTIAL, checks.TEMPORAL, checks.BUSINESS, checks.UNIQUENESS, checks.JOINS, checks.INTEGRITY, checks.LINEAGE]
-    assert [len(f) for f in families] == [16, 13, 13, 7, 13, 6, 6]
-    quality.validate(checks.ADVERTISING + checks.INTEGRITY[:4] + checks.INTEGRITY[5:] + checks.LINEAGE)
+    families = [
+        checks.REFERENTIAL, checks.TEMPORAL, checks.BUSINESS, checks.UNIQUENESS, checks.JOINS, checks.INTEGRITY, checks.LINEAGE,
+        checks.RECONCILIATION,
+    ]
+    assert [len(f) for f in families] == [16, 13, 13, 7, 13, 6, 6, 8]
+    quality.validate(checks.ADVERTISING + checks.INTEGRITY + checks.LINEAGE + checks.RECONCILIATION)
+
+
+#: For each table, changes that are each made to some of its rows; ``+`` repeats rows.
+SPOILS = {
+    "advertisers": ["advertiser_name = ' '", "billing_currency = '12!'", "created_at = updated_at + INTERVAL '1' DAY", "account_status = 'NO'", "advertiser_name = NULL", "+"],
+    "campaigns": [
+        "advertiser_id = 'none'", "created_at = created_at - INTERVAL '9000' DAY", "created_at = start_date + INTERVAL '5' DAY", "start_date = end_date + INTERVAL '1' DAY",
+        "daily_budget = campaign_budget + 1", "campaign_status = 'DRAFT'", "bid_strategy = 'TARGET_CPC'", "campaign_budget = -1",
+    ],
+    "line_items": [
+        "campaign_id = 'none'", "start_date = end_date + INTERVAL '1' DAY", "created_at = end_date + INTERVAL '1' DAY", "line_item_status = 'NO'", "frequency_cap = 0",
+        "optimization_goal = 'NO'",
+    ],
+    "creatives": ["landing_page_url = 'http://x'", "created_at = TIMESTAMP '1990-01-01 00:00:00'", "created_at = TIMESTAMP '2090-01-01 00:00:00'", "creative_type = 'NO'"],
+    "publishers": ["created_at = updated_at + INTERVAL '1' DAY", "publisher_status = 'NO'", "publisher_type = 'WEB'", "domain = 'one'", "domain = 'one'"],
+    "placements": ["publisher_id = 'none'", "device_type = 'NO'", "created_at = TIMESTAMP '1990-01-01 00:00:00'", "floor_price = -1", "placement_type = 'NO'"],
+    "audiences": ["max_age = 120", "min_age = max_age", "gender = 'NO'", "audience_type = 'NO'"],
+    "impressions": [
+        "line_item_id = 'none'", "line_item_id = (SELECT max(line_item_id) FROM {line_items})", "advertiser_id = 'none'", "placement_id = (SELECT max(placement_id) FROM {placements})",
+        "impression_timestamp = TIMESTAMP '2030-01-01 00:00:00'", "impression_timestamp = TIMESTAMP '1980-01-01 00:00:00'", "viewability_score = 2", "bid_price = 0", "city = NULL",
+        "country = 'none'", "currency = 'usd'", "device_type = 'NO'", "+",
+    ],
+    "clicks": [
+        "impression_id = 'none'", "campaign_id = 'none'", "click_timestamp = TIMESTAMP '1980-01-01 00:00:00'", "country = 'none'", "created_at = click_timestamp - INTERVAL '1' DAY", "+",
+    ],
+    "conversions": ["click_id = 'none'", "campaign_id = 'none'", "conversion_timestamp = TIMESTAMP '1980-01-01 00:00:00'", "conversion_type = 'NO'", "+"],
+    "spend_transactions": [
+        "campaign_id = 'none'", "line_item_id = (SELECT max(line_item_id) FROM {line_items})", "impression_id = 'none'", "billing_type = 'CPM'", "billing_type = 'NO'", "spend_amount = -1",
+    ],
+}
+
+
+def test_every_check_sees_its_planted_violation(spark, sf_dir):
+    given = standins.tables(spark, sf_dir, ("delivery",))
+    spoiled = dict(given)
+    for table, changes in SPOILS.items():
+        key = standins.COLUMNS[table].split()[0]
+        numbered = given[table].withColumn("_n", F.pmod(F.dense_rank().over(Window.orderBy(key)), F.lit(3 * len(changes)))).cache()
+        parts = [numbered.drop("_n")]
+        for n, change in enumerate(changes):
+            column, _, value = change.partition(" = ")
+            some = numbered.where(F.col("_n") == n).drop("_n")
+            if value:
+                kind = dict(some.dtypes)[column]
+                for other in ("line_items", "placements"):
+                    if "{" + other + "}" in value:
+                        value = "'" + given[other].agg(F.max(f"{other[:-1]}_id")).first()[0] + "'"
+                some = some.withColumn(column, F.expr(value).cast(kind))
+                parts[0] = parts[0].join(numbered.where(F.col("_n") == n).select(key), key, "left_anti")
+            parts.append(some)
+        spoiled[table] = cut(reduce(DataFrame.unionByName, parts), f"spoiled-{table}")
+    # Places where the tables are too small for the planted differences of the reconciliation.
+    spoiled["publishers_log"] = given["placements_log"].selectExpr("placement_id as publisher_id", "'x' as publisher_status", "is_deleted", "capture", "publisher_id as _p").drop("_p")
+    family = [c for c in checks.ADVERTISING + checks.RECONCILIATION if c.expect == "zero"]
+    rows = quality.observe(family, catalog.bases(spoiled, {c.base for c in family})).collect()
+    assert {r.name for r in rows if r.observed == 0} == set() and len(rows) == len(family)
+
+
+def test_current_state_checks_see_planted_violations(spark):
+    rows = [(1, True, None, None, None, None, 5), (None, False, T(2024, 1, 1), 9, "x", None, 5), (2, False, None, 3, "d", None, 5), (2, True, None, None, "c", None, 5)]
+    state = spark.createDataFrame(rows, "user_id long, is_deleted boolean, deleted_at timestamp, _lsn long, _op string, _event_ts timestamp, boundary long")
+    events = spark.createDataFrame([(True, None), (False, 4)], "is_deleted boolean, _lsn long")
+    own = {
+        "s_state": state, "s_keys": state.groupBy("user_id").agg(F.count("*").alias("n")), "s_events": events,
+        "b_impression_ids": spark.createDataFrame([("i", 2)], "impression_id string, n long"),
+    }
+    got = quality.observe(checks.INTEGRITY + checks.LINEAGE, own).collect()
+    assert {r.name for r in got if r.observed == 0} == set() and len(got) == 12
+
+
+def test_histories_follow_captures(spark):
+    rows = [
+        # name, updated, deleted, is_deleted, captured; the third capture only touches the update, the fourth runs backwards
+        ("1", "A", T(2024, 1, 2), None, False, T(2024, 1, 3)), ("1", "B", T(2024, 1, 5), None, False, T(2024, 1, 6)),
+        ("1", "B", T(2024, 1, 8), None, False, T(2024, 1, 9)), ("1", "C", T(2024, 1, 4), None, False, T(2024, 1, 10)),
+        ("1", "C", T(2024, 1, 4), T(2024, 1, 12), True, T(2024, 1, 13)),
+    ]
+    captures = spark.createDataFrame(rows, "x_id string, name string, updated_at timestamp_ntz, deleted_at timestamp_ntz, is_deleted boolean, captured_at timestamp_ntz")
+    captures = captures.withColumn("created_at", F.lit(T(2024, 1, 1)).cast("timestamp_ntz"))
+    dim = dims.Dimension("x", "x_id", {}, ("name",))
+    h = history.entity_history(captures, dim, ("name", "is_deleted")).orderBy("captured_at").collect()
+    assert [(r.name, r.valid_from.day, r.is_current) for r in h if r.x_id] == [("A", 1, False), ("B", 5, False), ("C", 5, False), ("C", 12, True)]
+    unknown = [r for r in h if not r.x_id]
+    assert len(unknown) == 1 and unknown[0].x_version_key == "UNKNOWN" and unknown[0].valid_from.year == 1900
+    assert len({r.x_version_key for r in h}) == 5
+    assert history.entity_history(captures.limit(0), dim, ("name", "is_deleted")).count() == 1
+
+
+def test_mart_rules_see_planted_faults(spark):
+    names = "impressions long, measured_impressions long, viewable_impressions long, clicks long, spend double, cpm_spend double, cpc_spend double, cpa_spend double"
+    good, bad = (4, 3, 2, 0, 3.0, 1.0, 1.0, 1.0), (1, 3, 4, 0, 9.0, 1.0, 1.0, 1.0)
+    mart = marts.with_rates(spark.createDataFrame([good], names))
+    assert set(marts.broken_invariants(mart).first()) == {0}
+    faulty = marts.with_rates(spark.createDataFrame([bad], names)).withColumn("cost_per_click", F.lit(1.0))
+    found = marts.broken_invariants(faulty).first().asDict()
+    assert {k for k, v in found.items() if v} == {"spend_not_sum_of_types", "viewable_above_measured", "measured_above_impressions", "cost_per_click_without_denominator"}
 
 
 def test_checks_of_several_tables_see_every_table(spark, sf_dir):

@@ -103,9 +103,8 @@ def quantise(value: Column, digits: int, precision: int = 18) -> Column:
 
 
 def canonical_json(json: Column) -> Column:
-    """A flat JSON object with its keys sorted, values as text."""
-    entries = F.array_sort(F.map_entries(F.from_json(json, "map<string,string>")))
-    return F.to_json(F.map_from_entries(entries))
+    """Compact JSON text with the keys of every object sorted and values as they are; null if it does not parse."""
+    return F.to_json(F.try_parse_json(json))
 
 
 def summary_value(summary: Column, key: str) -> Column:

@@ -65,7 +65,7 @@ def source_columns(current: DataFrame) -> DataFrame:
 
 
 def rename_lineage(current: DataFrame) -> DataFrame:
-    names = {"_lsn": "source_lsn", "_op": "source_operation", "_event_ts": "source_changed_at"}
+    names = {"_lsn": "source_lsn", "_op": "source_operation", "_event_ts": "source_event_at"}
     return current.withColumnsRenamed(names)
 
 
@@ -124,12 +124,18 @@ def reconcile_table(snapshot: DataFrame, events: DataFrame | None, pk: str, min_
     return apply_changes(base, collapse_changes(events, pk, snapshot.schema, min_lsn), pk)
 
 
-def compact_log(events: DataFrame, older_than_ms: int) -> DataFrame:
-    """Keep-latest-per-key for records older than a time; newer ones stay as they are."""
-    old = events.where(F.col("event_ts_ms") < older_than_ms)
+def compact_log(events: DataFrame, older_than_ms: int, tombstones_until_ms: int | None = None) -> DataFrame:
+    """Keep-latest-per-key for records older than a time; newer ones stay as they are.
+
+    A tombstone that is the latest of its key goes too if it is older than ``tombstones_until_ms``. A record's
+    time is that of its event, or of its arrival if it has none.
+    """
+    at = F.coalesce("event_ts_ms", "ingested_at_ms")
     order = Window.partitionBy("source_table", "key").orderBy(F.desc("kafka_offset"))
-    kept = old.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n")
-    return kept.unionByName(events.where(F.col("event_ts_ms").isNull() | (F.col("event_ts_ms") >= older_than_ms)))
+    kept = events.where(at < older_than_ms).withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n")
+    if tombstones_until_ms is not None:
+        kept = kept.where(~((F.col("op") == "t") & (at < tombstones_until_ms)))
+    return kept.unionByName(events.where(at >= older_than_ms))
 
 
 def change_counts(events: DataFrame) -> DataFrame:
@@ -146,15 +152,60 @@ def offset_bookmarks(applied: DataFrame) -> DataFrame:
     return applied.groupBy("kafka_topic", "kafka_partition").agg(F.max("kafka_offset").alias("seen_offset"))
 
 
-def pending(events: DataFrame, bookmarks: DataFrame) -> DataFrame:
-    """Events after the bookmark of their partition; a partition without one is read whole."""
-    joined = events.join(bookmarks, ["kafka_topic", "kafka_partition"], "left")
-    return joined.where(F.col("seen_offset").isNull() | (F.col("kafka_offset") > F.col("seen_offset"))).drop("seen_offset")
+#: So many bookmarks become a predicate that reaches the files' statistics; more are joined.
+LITERAL_BOOKMARKS = 200
 
 
-def refresh_status(events: DataFrame, bookmarks: DataFrame, tables: DataFrame) -> DataFrame:
-    """Per table: bootstrap, incremental or skip, with the pending events; ``tables`` has source_table, applied_lsn."""
-    waiting = pending(events, bookmarks).groupBy("source_table").agg(F.count("*").alias("pending_events"))
-    out = tables.join(waiting, "source_table", "left").withColumn("pending_events", F.coalesce("pending_events", F.lit(0)))
-    mode = F.when(F.col("applied_lsn").isNull(), "bootstrap").when(F.col("pending_events") > 0, "incremental").otherwise("skip")
-    return out.withColumn("mode", mode)
+def pending(events: DataFrame, bookmarks: DataFrame) -> DataFrame:
+    """Events after the bookmark of their partition; a partition without one is read whole.
+
+    Few bookmarks become literals, which Parquet filters by its statistics; many are joined.
+    """
+    marks = bookmarks.select("kafka_topic", "kafka_partition", "seen_offset").limit(LITERAL_BOOKMARKS + 1).collect()
+    if len(marks) > LITERAL_BOOKMARKS:
+        joined = events.join(bookmarks, ["kafka_topic", "kafka_partition"], "left")
+        return joined.where(F.col("seen_offset").isNull() | (F.col("kafka_offset") > F.col("seen_offset"))).drop("seen_offset")
+    known, after = F.lit(False), F.lit(False)
+    for topic, partition, seen in marks:
+        own = (F.col("kafka_topic") == topic) & (F.col("kafka_partition") == partition)
+        known, after = known | own, after | (own & (F.col("kafka_offset") > seen))
+    return events.where(after | ~known) if marks else events
+
+
+def refresh_status(
+    events: DataFrame,
+    bookmarks: DataFrame,
+    tables: DataFrame,
+    exports: DataFrame | None = None,
+    append_only: tuple[str, ...] = (),
+    forced: tuple[str, ...] = (),
+) -> DataFrame:
+    """Per table what a refresh has to do: mode, reason, applied position and the events to read.
+
+    ``tables`` holds what exists: source_table, applied_lsn and, with ``exports``, the run_id that it was built on.
+    ``exports`` lists every source_table with the run_id of its newest export. A rebuild or bootstrap reads all
+    events again, a skip none.
+    """
+    if exports is None:
+        exports = tables.select("source_table", F.lit(None).cast("string").alias("run_id"))
+    built = tables.select("source_table", "applied_lsn", (F.col("run_id") if "run_id" in tables.columns else F.lit(None).cast("string")).alias("built_on"), F.lit(True).alias("there"))
+    counted = events.groupBy("source_table").agg(F.count("*").alias("n_all"))
+    waiting = pending(events, bookmarks).groupBy("source_table").agg(F.count("*").alias("n_pending"))
+    out = exports.join(built, "source_table", "left").join(counted, "source_table", "left").join(waiting, "source_table", "left")
+    n_pending = F.coalesce("n_pending", F.lit(0))
+    rules = [
+        (F.col("source_table").isin(*forced) if forced else F.lit(False), "rebuild", F.lit("forced")),
+        (F.col("there").isNull() | F.col("applied_lsn").isNull(), "bootstrap", F.lit("no table yet")),
+        (
+            F.col("run_id").isNotNull() & ~F.col("run_id").eqNullSafe(F.col("built_on")), "rebuild",
+            F.concat(F.lit("snapshot export changed: "), F.coalesce("built_on", F.lit("none")), F.lit(" -> "), F.col("run_id")),
+        ),
+        (F.col("source_table").isin(*append_only) if append_only else F.lit(False), "skip", F.lit("append-only, export unchanged")),
+        (n_pending > 0, "incremental", F.concat(n_pending.cast("string"), F.lit(" new change events"))),
+    ]
+    mode, reason = F.lit("skip"), F.lit("no new change events")
+    for condition, name, why in reversed(rules):
+        mode, reason = F.when(condition, name).otherwise(mode), F.when(condition, why).otherwise(reason)
+    out = out.withColumn("mode", mode).withColumn("reason", reason)
+    to_read = F.when(F.col("mode").isin("rebuild", "bootstrap"), F.coalesce("n_all", F.lit(0))).when(F.col("mode") == "incremental", n_pending).otherwise(0)
+    return out.select("source_table", "applied_lsn", to_read.cast("long").alias("pending_events"), "mode", "reason")

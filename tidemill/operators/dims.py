@@ -61,10 +61,10 @@ def day_spine(bounds: DataFrame, first: str, last: str) -> DataFrame:
 
 
 ADVERTISER = Dimension("advertiser", "advertiser_id", {}, ("advertiser_name", "industry", "billing_country", "billing_currency", "account_status"), {"billing_currency": "XXX"})
-CAMPAIGN = Dimension("campaign", "campaign_id", {"advertiser_key": "advertiser_id"}, ("campaign_name", "campaign_objective", "campaign_status", "campaign_budget", "bid_strategy", "start_date", "end_date"), {"campaign_budget": 0})
-LINE_ITEM = Dimension("line_item", "line_item_id", {"campaign_key": "campaign_id"}, ("line_item_status", "bid_amount", "bid_currency"), {"bid_amount": 0, "bid_currency": "XXX"})
-CREATIVE = Dimension("creative", "creative_id", {"advertiser_key": "advertiser_id"}, ("creative_name", "creative_type", "creative_format", "creative_status"))
+CAMPAIGN = Dimension("campaign", "campaign_id", {"advertiser_key": "advertiser_id"}, ("campaign_name", "campaign_objective", "campaign_status", "campaign_budget", "daily_budget", "bid_strategy", "start_date", "end_date"), {"campaign_budget": 0, "daily_budget": 0})
+LINE_ITEM = Dimension("line_item", "line_item_id", {"campaign_key": "campaign_id"}, ("line_item_name", "line_item_status", "bid_amount", "bid_currency", "optimization_goal", "target_cpm", "frequency_cap", "start_date", "end_date"), {"bid_amount": 0, "bid_currency": "XXX", "target_cpm": 0, "frequency_cap": 0})
+CREATIVE = Dimension("creative", "creative_id", {"advertiser_key": "advertiser_id"}, ("creative_name", "creative_type", "creative_format", "landing_page_url", "creative_status"))
 PUBLISHER = Dimension("publisher", "publisher_id", {}, ("publisher_name", "publisher_type", "country", "domain", "publisher_status"))
-PLACEMENT = Dimension("placement", "placement_id", {"publisher_key": "publisher_id"}, ("placement_name", "ad_format", "floor_price", "currency", "device_type"), {"floor_price": 0, "currency": "XXX"})
-AUDIENCE = Dimension("audience", "audience_id", {}, ("audience_name", "min_age", "max_age", "country"), {"min_age": 13, "max_age": 99})
+PLACEMENT = Dimension("placement", "placement_id", {"publisher_key": "publisher_id"}, ("placement_name", "placement_type", "ad_format", "floor_price", "currency", "device_type"), {"floor_price": 0, "currency": "XXX"})
+AUDIENCE = Dimension("audience", "audience_id", {}, ("audience_name", "audience_type", "min_age", "max_age", "gender", "country", "interest_category"), {"min_age": 13, "max_age": 99})
 DIMENSIONS = {d.name: d for d in (ADVERTISER, CAMPAIGN, LINE_ITEM, CREATIVE, PUBLISHER, PLACEMENT, AUDIENCE)}

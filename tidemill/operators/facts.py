@@ -31,8 +31,7 @@ def impressions(events: DataFrame, histories: dict[str, DataFrame] | None = None
         *[f"{e}_version_key" for e in histories or {}],
         "impression_id",
         "impression_timestamp",
-        "device_type",
-        "country",
+        *[c for c in ("device_type", "operating_system", "browser", "country", "city") if c in events.columns],
         "currency",
         "bid_price",
         "clearing_price",
@@ -52,6 +51,7 @@ def clicks(events: DataFrame, histories: dict[str, DataFrame] | None = None) ->
         "click_id",
         "impression_id",
         "click_timestamp",
+        *[c for c in ("device_type", "country") if c in events.columns],
     )
 
 

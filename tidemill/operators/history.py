@@ -5,7 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.scalars import end_of_time, or_unknown, strict_greatest, version_key
+from tidemill.functions.scalars import UNKNOWN, beginning_of_time, end_of_time, or_unknown, strict_greatest, surrogate_key, version_key
+from tidemill.operators.dims import Dimension, surrogate_key_or_null
+
+#: The columns of each member table whose change makes a new version.
+CHECKED = {
+    "advertiser": ("advertiser_name", "industry", "billing_country", "billing_currency", "account_status", "is_deleted"),
+    "campaign": (
+        "campaign_name", "campaign_objective", "campaign_status", "campaign_budget", "daily_budget", "start_date", "end_date",
+        "bid_strategy", "is_deleted",
+    ),
+    "line_item": (
+        "line_item_name", "line_item_status", "bid_amount", "bid_currency", "optimization_goal", "target_cpm", "frequency_cap",
+        "start_date", "end_date", "is_deleted",
+    ),
+    "creative": ("creative_name", "creative_type", "creative_format", "landing_page_url", "creative_status", "is_deleted"),
+    "publisher": ("publisher_name", "publisher_type", "country", "domain", "publisher_status", "is_deleted"),
+    "placement": ("placement_name", "placement_type", "ad_format", "floor_price", "currency", "device_type", "is_deleted"),
+    "audience": ("audience_name", "audience_type", "min_age", "max_age", "gender", "country", "interest_category", "is_deleted"),
+}
 
 
 def capture_versions(log: DataFrame, pk: str, order: list[str], checked: list[str]) -> DataFrame:
@@ -52,6 +70,40 @@ def version_times(updated_at: str, deleted_at: str):
     return F.coalesce(both, F.col(updated_at))
 
 
+def entity_history(captures: DataFrame, dim: Dimension, checked: tuple[str, ...] | None = None) -> DataFrame:
+    """The Type 2 history of a member table from its captures, with one unknown version for all time.
+
+    Captures hold the table's columns, is_deleted, deleted_at, created_at, updated_at and captured_at. Versions
+    are in the order of their capture; when one began is its update or deletion, clamped to the running maximum.
+    The key comes from the capture, since two versions may begin at one time.
+    """
+    checked = checked or CHECKED[dim.name]
+    pk = dim.natural_key
+    w = Window.partitionBy(pk).orderBy("captured_at")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    versions = capture_versions(captures, pk, ["captured_at"], list(checked))
+    timed = versions.withColumn("_at", F.max(version_times("updated_at", "deleted_at")).over(upto))
+    following, first = F.lead("_at").over(w), F.row_number().over(w) == 1
+    ends = end_of_time().cast(dict(timed.select("_at").dtypes)["_at"])
+    rows = timed.select(
+        version_key(F.col(pk), F.col("captured_at")).alias(f"{dim.name}_version_key"),
+        surrogate_key(F.col(pk)).alias(dim.key),
+        pk,
+        *[or_unknown(surrogate_key_or_null(natural)).alias(out) for out, natural in dim.parents.items()],
+        *[c for c in checked if c != pk],
+        F.when(first & F.col("created_at").isNotNull(), F.least("created_at", "_at")).otherwise(F.col("_at")).alias("valid_from"),
+        F.coalesce(following, ends).alias("valid_to"),
+        following.isNull().alias("is_current"),
+        "captured_at",
+    )
+    kinds = dict(rows.dtypes)
+    fixed = {"valid_from": beginning_of_time(), "valid_to": end_of_time(), "is_current": F.lit(True), "is_deleted": F.lit(False)}
+    fixed |= {c: F.lit(UNKNOWN) for c in (f"{dim.name}_version_key", dim.key, *dim.parents)}
+    blank = lambda c: F.lit(dim.unknown.get(c, "Unknown" if kinds[c] == "string" and c != pk else None))
+    one = captures.sparkSession.range(1).select(*[(fixed[c] if c in fixed else blank(c)).cast(kinds[c]).alias(c) for c in rows.columns])
+    return rows.unionByName(one)
+
+
 def as_of_join(facts: DataFrame, history: DataFrame, key: str, ts: str, version_col: str, out: str) -> DataFrame:
     """Adds the version of ``key`` in force at ``ts``, UNKNOWN if none. Equality keeps it a hash or merge join."""
     h = history.select(

@@ -1,11 +1,12 @@
-"""Daily marts: each fact aggregated to the grain first, then joined on a spine of all grain keys.
+"""Daily marts: the rows of every fact under one another, each with its own measures, in one aggregation.
 
-The builder takes measures per fact, so one fact is never joined to another and none is multiplied.
+No fact is joined to another, so none is multiplied; a grain key that any fact holds is in the mart. Partial
+aggregation runs before the one exchange.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,33 +19,37 @@ VIEWABLE_FROM = 0.5
 
 @dataclass(frozen=True)
 class Part:
-    """A fact and its measures at a mart's grain."""
+    """A fact, what each of its rows adds to the measures, and columns whose distinct values are counted."""
 
     fact: DataFrame
     measures: dict[str, Column]
+    distinct: dict[str, str] = field(default_factory=dict)
+
+
+def _one_if(condition: Column) -> Column:
+    return F.coalesce(condition.cast("long"), F.lit(0).cast("long"))
 
 
 def impression_measures(viewable_from: float = VIEWABLE_FROM) -> dict[str, Column]:
-    scored = F.col("viewability_score").isNotNull()
     return {
-        "impressions": F.count("*"),
-        "measured_impressions": F.count_if(scored),
-        "viewable_impressions": F.count_if(F.col("viewability_score") >= F.lit(viewable_from)),
-        "clearing_cost": F.sum("impression_cost"),
+        "impressions": F.lit(1).cast("long"),
+        "measured_impressions": _one_if(F.col("viewability_score").isNotNull()),
+        "viewable_impressions": _one_if(F.col("viewability_score") >= F.lit(viewable_from)),
+        "clearing_cost": F.col("impression_cost"),
     }
 
 
 def click_measures() -> dict[str, Column]:
-    return {"clicks": F.count("*")}
+    return {"clicks": F.lit(1).cast("long")}
 
 
 def conversion_measures() -> dict[str, Column]:
-    return {"conversions": F.count("*"), "conversion_value": F.sum("conversion_value")}
+    return {"conversions": F.lit(1).cast("long"), "conversion_value": F.col("conversion_value")}
 
 
 def spend_measures() -> dict[str, Column]:
-    of = lambda kind: F.sum(F.when(F.col("billing_type") == kind, F.col("spend_amount")))
-    return {"spend": F.sum("spend_amount"), "cpm_spend": of("CPM"), "cpc_spend": of("CPC"), "cpa_spend": of("CPA")}
+    of = lambda kind: F.when(F.col("billing_type") == kind, F.col("spend_amount"))
+    return {"spend": F.col("spend_amount"), "cpm_spend": of("CPM"), "cpc_spend": of("CPC"), "cpa_spend": of("CPA")}
 
 
 def grain_of(facts: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -52,16 +57,18 @@ def grain_of(facts: list[DataFrame], keys: list[str]) -> DataFrame:
     return reduce(DataFrame.union, [f.select(*keys) for f in facts]).distinct()
 
 
-def build(parts: list[Part], keys: list[str], additive: bool = True) -> DataFrame:
-    """The spine with each part's measures; absent additive measures are zero."""
-    grouped = [p.fact.groupBy(*keys).agg(*[m.alias(n) for n, m in p.measures.items()]) for p in parts]
-    out = grain_of(grouped, keys)
-    for g in grouped:
-        out = out.join(g, keys, "left")
-    if not additive:
-        return out
+def build(parts: list[Part], keys: list[str]) -> DataFrame:
+    """One row for each grain key of any fact; absent additive measures and distinct counts are zero."""
+    rows = [
+        p.fact.select(*keys, *[m.alias(n) for n, m in p.measures.items()], *[F.col(c).alias(n) for n, c in p.distinct.items()])
+        for p in parts
+    ]
     names = [n for p in parts for n in p.measures]
-    return out.select(*keys, *[F.coalesce(F.col(n), F.lit(0).cast(dict(out.dtypes)[n])).alias(n) for n in names])
+    counted = [n for p in parts for n in p.distinct]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    found = every.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names], *[F.count_distinct(n).alias(n) for n in counted])
+    kinds = dict(found.dtypes)
+    return found.select(*keys, *[F.coalesce(F.col(n), F.lit(0).cast(kinds[n])).alias(n) for n in names], *counted)
 
 
 RATES: dict[str, tuple[str, str, int]] = {
@@ -106,3 +113,19 @@ def drift(mart: DataFrame, facts: dict[str, tuple[DataFrame, Column]]) -> DataFr
     left = totals.select(F.explode(F.create_map(*[x for n in facts for x in (F.lit(n), F.col(n))])).alias("name", "mart_total"))
     parts = [f.agg(m.cast("decimal(30,6)").alias("fact_total")).select(F.lit(n).alias("name"), "fact_total") for n, (f, m) in facts.items()]
     return left.join(reduce(DataFrame.union, parts), "name")
+
+
+def broken_invariants(mart: DataFrame) -> DataFrame:
+    """How many rows break each rule of a mart: spend is the sum of its types, viewable impressions are measured
+    and measured ones impressions, and a rate is null just where its denominator is zero."""
+    have = set(mart.columns)
+    rules = {}
+    if {"spend", "cpm_spend", "cpc_spend", "cpa_spend"} <= have:
+        rules["spend_not_sum_of_types"] = F.col("spend") != F.col("cpm_spend") + F.col("cpc_spend") + F.col("cpa_spend")
+    if {"viewable_impressions", "measured_impressions", "impressions"} <= have:
+        rules["viewable_above_measured"] = F.col("viewable_impressions") > F.col("measured_impressions")
+        rules["measured_above_impressions"] = F.col("measured_impressions") > F.col("impressions")
+    for name, (_, below, _) in RATES.items():
+        if name in have and below in have:
+            rules[f"{name}_without_denominator"] = F.col(name).isNull() != (F.col(below) == 0)
+    return mart.agg(*[F.count_if(r).alias(n) for n, r in rules.items()])

@@ -23,8 +23,9 @@ def merge_partitions(target: DataFrame, changes: DataFrame, pk: str, part: str,
     return target.where(F.col(part) < floor), merge_upsert(touched, changes, pk)
 
 
-def merge_report(before: DataFrame, changes: DataFrame, pk: str) -> DataFrame:
-    """Rows merged, inserted, updated, deleted and the size after: the plan's counts, nothing written."""
+def merge_report(before: DataFrame, changes: DataFrame, pk: str, events: DataFrame | None = None) -> DataFrame:
+    """Rows merged, inserted, updated, deleted and the size after: the plan's counts, nothing written. With
+    ``events`` also the changes and tombstones that were read."""
     seen = before.select(pk, F.lit(True).alias("_seen"))
     both = changes.select(pk, "is_deleted").join(seen, pk, "left")
     counts = both.agg(
@@ -34,7 +35,11 @@ def merge_report(before: DataFrame, changes: DataFrame, pk: str) -> DataFrame:
         F.count_if(F.col("_seen") & F.col("is_deleted")).alias("deleted"),
     )
     total = before.agg(F.count("*").alias("rows_before"))
-    return counts.crossJoin(total).withColumn("rows_after", F.col("rows_before") + F.col("inserted"))
+    out = counts.crossJoin(total).withColumn("rows_after", F.col("rows_before") + F.col("inserted"))
+    if events is None:
+        return out
+    gone = F.col("op") == "t"
+    return out.crossJoin(events.agg(F.count_if(~gone).alias("n_events"), F.count_if(gone).alias("n_tombstones")))
 
 
 def live_counts(current: DataFrame) -> DataFrame:
@@ -79,8 +84,12 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def publish(df: DataFrame, root: str, partition: str | None = None, note: dict | None = None) -> str:
-    """Writes a new version beside the others, then its manifest; readers see whole versions only."""
+VERSIONS = "number long, version string, n_rows long, note string, operation string, committed_at timestamp"
+
+
+def publish(df: DataFrame, root: str, partition: str | None = None, note: dict | None = None, operation: str | None = None) -> str:
+    """Writes a new version beside the others, then its manifest; readers see whole versions only. ``note`` says
+    where the version came from, such as an export's run and the applied position."""
     spark = df.sparkSession
     version = uuid.uuid4().hex
     writer = (df.repartition(partition) if partition else df).write.option("compression", "zstd")
@@ -88,18 +97,19 @@ def publish(df: DataFrame, root: str, partition: str | None = None, note: dict |
     rows = spark.read.parquet(f"{root}/data/{version}").count()
     latest = versions(spark, root)
     number = 1 if latest is None else (latest.agg(F.max("number")).first()[0] or 0) + 1
-    row = [(number, version, rows, json.dumps(note or {}, sort_keys=True))]
-    manifest = spark.createDataFrame(row, "number long, version string, n_rows long, note string")
+    done = operation or ("create" if number == 1 else "overwrite")
+    row = [(number, version, rows, json.dumps(note or {}, sort_keys=True), done)]
+    manifest = spark.createDataFrame(row, VERSIONS.rpartition(",")[0]).withColumn("committed_at", F.current_timestamp())
     manifest.coalesce(1).write.json(f"{root}/manifests/{number:012d}")
     return version
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame | None:
-    """Finished versions, one row each."""
+    """Finished versions, one row each, with their commit time and what they came from."""
     fs, path = _fs(spark, f"{root}/manifests")
     if not fs.exists(path):
         return None
-    return spark.read.schema("number long, version string, n_rows long, note string").json(f"{root}/manifests/*")
+    return spark.read.schema(VERSIONS).json(f"{root}/manifests/*")
 
 
 def read_version(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from pyspark.sql import types as T
 from tidemill.functions import scalars as S
 from tidemill.operators import billing, changelog, dims, facts, history, marts, merge, quality, reports
 from tidemill.plans import checks
-from tidemill.plans.standins import DERIVED, oracle, tables
-from tidemill.session import shared_dir
+from tidemill.plans.standins import COLUMNS, DERIVED, LOGS, oracle, tables
+from tidemill.session import cut, shared_dir
 from tidemill.sources import tables as sources
 from tidemill.streaming import landing
 
@@ -22,12 +23,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function of the tables under its name, with its SQL."""
+def query(sql: str | None = None, written: tuple[str, ...] = ()):
+    """Registers a function of the tables under its name, with its SQL; ``written`` names derived tables that are
+    computed once, since the query reads them often."""
 
     def wrap(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         name = f.__name__
-        QUERIES[name] = lambda spark, sf_dir: f(tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(tables(spark, sf_dir, written))
         if sql is not None:
             ORACLES[name] = oracle(sql)
         return f
@@ -154,7 +156,8 @@ def merge_upsert(t: Tables) -> DataFrame:
 
 @query(f"""WITH s AS (SELECT user_id FROM ({sql_newest("lsn <= " + SQL_HALF)}) s WHERE op <> 'd'),
     c AS (SELECT user_id, op = 'd' AS gone FROM ({sql_newest("lsn > " + SQL_HALF)}) c)
-    SELECT (SELECT count(*) FROM c) AS merged, (SELECT count(*) FROM c WHERE user_id NOT IN (SELECT user_id FROM s)) AS inserted,
+    SELECT (SELECT count(*) FROM {{changes}}) AS n_events, (SELECT count(*) FROM {{changes}} WHERE op = 'd') AS n_tombstones,
+      (SELECT count(*) FROM c) AS merged, (SELECT count(*) FROM c WHERE user_id NOT IN (SELECT user_id FROM s)) AS inserted,
       (SELECT count(*) FROM c WHERE NOT gone AND user_id IN (SELECT user_id FROM s)) AS updated,
       (SELECT count(*) FROM c WHERE gone AND user_id IN (SELECT user_id FROM s)) AS deleted,
       (SELECT count(*) FROM s) AS rows_before,
@@ -162,7 +165,7 @@ def merge_upsert(t: Tables) -> DataFrame:
 def merge_report(t: Tables) -> DataFrame:
     at = boundary(t)
     changes = changelog.collapse_changes(change_events(t), "user_id", STATE, at)
-    return merge.merge_report(snapshot(t, at), changes, "user_id")
+    return merge.merge_report(snapshot(t, at), changes, "user_id", change_events(t))
 
 
 @query(f"""SELECT count(*) AS total_rows, count(CASE WHEN NOT is_deleted THEN 1 END) AS live_rows,
@@ -191,31 +194,51 @@ def pending_events(t: Tables) -> DataFrame:
     return changelog.pending(log, marks).groupBy("kafka_partition").agg(F.count("*").alias("n_pending"), F.min("lsn").alias("first_lsn"))
 
 
-@query(f"""SELECT 'users' AS source_table, {SQL_HALF} AS applied_lsn,
-    (SELECT count(*) FROM {{changes}} WHERE lsn > {SQL_HALF}) AS pending_events, 'incremental' AS mode""")
+@query(f"""WITH e AS (SELECT 'users_' || CAST(user_id % 6 AS VARCHAR) AS source_table, count(*) AS n_all, count(CASE WHEN lsn > {SQL_HALF} THEN 1 END) AS n FROM {{changes}} GROUP BY 1),
+    x(source_table, run_id, built_on) AS (VALUES ('users_0', 'r2', 'r2'), ('users_1', 'r2', NULL), ('users_2', 'r2', 'r1'), ('users_3', 'r2', 'r2'), ('users_5', 'r2', 'r2'), ('quiet', 'r2', 'r2'))
+    SELECT x.source_table, CASE WHEN built_on IS NOT NULL THEN {SQL_HALF} END AS applied_lsn,
+      CAST(CASE x.source_table WHEN 'users_0' THEN n WHEN 'users_1' THEN n_all WHEN 'users_2' THEN n_all WHEN 'users_5' THEN n_all ELSE 0 END AS BIGINT) AS pending_events,
+      CASE x.source_table WHEN 'users_0' THEN 'incremental' WHEN 'users_1' THEN 'bootstrap' WHEN 'users_2' THEN 'rebuild' WHEN 'users_5' THEN 'rebuild' ELSE 'skip' END AS mode,
+      CASE x.source_table WHEN 'users_0' THEN CAST(n AS VARCHAR) || ' new change events' WHEN 'users_1' THEN 'no table yet' WHEN 'users_2' THEN 'snapshot export changed: r1 -> r2'
+        WHEN 'users_3' THEN 'append-only, export unchanged' WHEN 'users_5' THEN 'forced' ELSE 'no new change events' END AS reason
+    FROM x LEFT JOIN e ON x.source_table = e.source_table""")
 def refresh_status(t: Tables) -> DataFrame:
-    log, at = change_events(t).where(F.col("op") != "t"), boundary(t)
+    """Six tables, one for each thing that a refresh can find."""
+    spark, at = t["changes"].sparkSession, boundary(t)
+    log = change_events(t).where(F.col("op") != "t")
+    log = log.withColumn("source_table", F.concat(F.lit("users_"), F.get_json_object("key", "$.user_id").cast("long") % 6))
     marks = changelog.offset_bookmarks(log.where(F.col("lsn") <= at))
-    known = log.where(F.col("lsn") <= at).groupBy("source_table").agg(F.lit(at).cast("long").alias("applied_lsn"))
-    return changelog.refresh_status(log, marks, known)
-
-
-@query(f"""WITH b AS (SELECT min(ts) + INTERVAL '7' DAY AS cut FROM {{changes}}),
-    old AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) AS n FROM {{changes}} WHERE {SQL_MS} < date_trunc('millisecond', (SELECT cut FROM b)))
-    SELECT user_id, lsn, op FROM old WHERE n = 1
-    UNION ALL SELECT user_id, lsn, op FROM {{changes}} WHERE {SQL_MS} >= date_trunc('millisecond', (SELECT cut FROM b))""")
+    built = [("users_0", "r2"), ("users_2", "r1"), ("users_3", "r2"), ("users_5", "r2"), ("quiet", "r2")]
+    known = spark.createDataFrame([(n, at, r) for n, r in built], "source_table string, applied_lsn long, run_id string")
+    exports = spark.createDataFrame([(n, "r2") for n in ("users_1", *(n for n, _ in built))], "source_table string, run_id string")
+    return changelog.refresh_status(log, marks, known, exports, append_only=("users_3",), forced=("users_5",))
+
+
+@query(f"""WITH b AS (SELECT epoch_ms(min(ts)) AS lo FROM {{changes}}),
+    r AS (SELECT user_id, lsn, op, lsn * 2 AS place, epoch_ms(ts) AS moment FROM {{changes}}
+      UNION ALL SELECT user_id, NULL, 't', lsn * 2 + 1, epoch_ms(ts) + 1000 FROM {{changes}} WHERE op = 'd'),
+    old AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place DESC) AS n FROM r WHERE moment < (SELECT lo FROM b) + 7 * 86400000)
+    SELECT user_id, lsn, op FROM old WHERE n = 1 AND NOT (op = 't' AND moment < (SELECT lo FROM b) + 6 * 86400000)
+    UNION ALL SELECT user_id, lsn, op FROM r WHERE moment >= (SELECT lo FROM b) + 7 * 86400000""")
 def log_compaction(t: Tables) -> DataFrame:
-    log = change_events(t).where(F.col("op") != "t")
-    cut_ms = (log.agg(F.min("event_ts_ms")).first()[0] or 0) + 7 * 86_400_000
-    kept = changelog.compact_log(log, cut_ms)
+    """The newest record of each key among those older than a week; old tombstones go, a day's worth stays."""
+    log = change_events(t)
+    first = log.agg(F.min("event_ts_ms")).first()[0] or 0
+    kept = changelog.compact_log(log, first + 7 * 86_400_000, first + 6 * 86_400_000)
     return kept.select(F.get_json_object("key", "$.user_id").cast("long").alias("user_id"), "lsn", "op")
 
 
-@query("""SELECT max(ts) AS newest, 13.0 AS age_hours, 'warn' AS status FROM {events}""")
+@query("""SELECT lag, newest, round((epoch_us(newest + lag * INTERVAL '1' HOUR) - epoch_us(newest)) / 3.6e9, 3) AS age_hours,
+    CASE WHEN lag > 48 THEN 'error' WHEN lag > 12 THEN 'warn' ELSE 'pass' END AS status
+    FROM (SELECT max(ts) AS newest FROM {events}) e CROSS JOIN (VALUES (0), (12), (13), (48), (60)) v(lag)""")
 def source_freshness(t: Tables) -> DataFrame:
+    """The events' age as of some hours after the newest."""
     newest = t["events"].agg(F.max("ts")).first()[0]
-    as_of = F.lit(newest).cast("timestamp") + F.expr("interval 13 hours")
-    return plain(merge.freshness(t["events"], "ts", as_of))
+    parts = []
+    for lag in (0, 12, 13, 48, 60):
+        as_of = F.lit(newest).cast("timestamp") + F.expr(f"interval {lag} hours")
+        parts.append(merge.freshness(t["events"], "ts", as_of).withColumn("lag", F.lit(lag)))
+    return plain(reduce(DataFrame.unionByName, parts))
 
 
 def topic(t: Tables) -> DataFrame:
@@ -271,6 +294,20 @@ def published_versions(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query(f"""SELECT CAST(1 AS BIGINT) AS number, 'create' AS operation, (SELECT count(*) FROM ({sql_newest("lsn <= " + SQL_HALF)}) a WHERE op <> 'd') AS n_rows,
+      'r1' AS run_id, {SQL_HALF} AS applied_lsn, true AS timed
+    UNION ALL SELECT CAST(2 AS BIGINT), 'overwrite', (SELECT count(*) FROM ({SQL_CURRENT}) b), 'r1', (SELECT max(lsn) FROM {{changes}}), true""")
+def version_history(t: Tables) -> DataFrame:
+    """The versions of a table, with the export and the position that each came from."""
+    spark, at = t["changes"].sparkSession, boundary(t)
+    root = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    for df, position in ((changelog.from_snapshot(snapshot(t, at)), at), (current(t), t["changes"].agg(F.max("lsn")).first()[0] or 0)):
+        merge.publish(df, root, note={"run_id": "r1", "applied_lsn": position})
+    note = lambda name: F.get_json_object("note", f"$.{name}")
+    found = merge.versions(spark, root)
+    return found.select("number", "operation", "n_rows", note("run_id").alias("run_id"), note("applied_lsn").cast("long").alias("applied_lsn"), F.col("committed_at").isNotNull().alias("timed"))
+
+
 # ---------------------------------------------------------------- history and as-of joins
 
 
@@ -312,33 +349,51 @@ def as_of_join(t: Tables) -> DataFrame:
     return out.select("impression_id", "customer_version_key")
 
 
-@query(f"""SELECT count(*) AS versions, count(CASE WHEN is_current THEN 1 END) AS current_versions, 0 AS gaps, 0 AS not_one_current,
-    count(CASE WHEN valid_from = valid_to THEN 1 END) AS without_length FROM ({SQL_HISTORY}) h""")
+def sql_history_rules(name: str, source: str) -> str:
+    return f"""SELECT '{name}' AS history, count(*) AS versions, count(CASE WHEN is_current THEN 1 END) AS current_versions,
+      count(CASE WHEN valid_from = valid_to THEN 1 END) AS without_length, count(CASE WHEN next_from IS NOT NULL AND next_from <> valid_to THEN 1 END) AS gaps,
+      (SELECT count(*) FROM (SELECT entity_id FROM ({source}) c GROUP BY entity_id HAVING count(CASE WHEN is_current THEN 1 END) <> 1) e) AS not_one_current
+      FROM (SELECT *, lead(valid_from) OVER (PARTITION BY entity_id ORDER BY valid_from, valid_to, version_id) AS next_from FROM ({source}) h) x"""
+
+
+@query(sql_history_rules("whole", SQL_HISTORY) + " UNION ALL " + sql_history_rules("thinned", f"SELECT * FROM ({SQL_HISTORY}) w WHERE version_id % 10 <> 0"))
 def history_invariants(t: Tables) -> DataFrame:
-    h = customer_history(t)
-    totals = h.agg(F.count("*").alias("versions"), F.count_if("is_current").alias("current_versions"), F.count_if(F.col("valid_from") == F.col("valid_to")).alias("without_length"))
-    gaps = history.not_contiguous(h, "entity_id", "version_id").agg(F.count("*").alias("gaps"))
-    return totals.crossJoin(gaps).crossJoin(history.not_one_current(h, "entity_id").agg(F.count("*").alias("not_one_current")))
+    """Rules of a history, and of one from which versions are missing."""
+    parts = []
+    for name, h in (("whole", customer_history(t)), ("thinned", customer_history(t).where("version_id % 10 <> 0"))):
+        totals = h.agg(F.count("*").alias("versions"), F.count_if("is_current").alias("current_versions"), F.count_if(F.col("valid_from") == F.col("valid_to")).alias("without_length"))
+        gaps = history.not_contiguous(h, "entity_id", "version_id").agg(F.count("*").alias("gaps"))
+        lone = history.not_one_current(h, "entity_id").agg(F.count("*").alias("not_one_current"))
+        parts.append(totals.crossJoin(gaps).crossJoin(lone).withColumn("history", F.lit(name)))
+    return parts[0].unionByName(parts[1])
 
 
 # ---------------------------------------------------------------- dimensions
 
 
+SQL_DATES = {"start_date", "end_date"}
+SQL_DECIMALS = {"campaign_budget", "daily_budget", "bid_amount", "floor_price", "target_cpm"}
+SQL_NUMBERS = {"min_age": "13", "max_age": "99", "frequency_cap": "0"} | {c: "CAST(0 AS DOUBLE)" for c in SQL_DECIMALS}
+
+
+def _shown(column: str) -> str:
+    kind = "DOUBLE" if column in SQL_DECIMALS else "VARCHAR" if column in SQL_DATES else None
+    return f"CAST({column} AS {kind}) AS {column}" if kind else column
+
+
+def _blank(dim: dims.Dimension, column: str) -> str:
+    """The unknown member's value."""
+    value = SQL_NUMBERS.get(column, "CAST(NULL AS VARCHAR)" if column in SQL_DATES else f"'{dim.unknown.get(column, 'Unknown')}'")
+    return f"{value} AS {column}"
+
+
 def _dimension(name: str):
     dim = dims.DIMENSIONS[name]
     source = f"{name}s"
     parents = "".join(f", coalesce(md5({natural}), 'UNKNOWN') AS {out}" for out, natural in dim.parents.items())
     blanks = "".join(f", 'UNKNOWN' AS {out}" for out in dim.parents)
-    numbers = {"campaign_budget": "0.0", "bid_amount": "0.0", "floor_price": "0.0", "min_age": "13", "max_age": "99"}
-    dates = {"start_date", "end_date"}
-    decimals = {"campaign_budget", "bid_amount", "floor_price"}
-    shown = "".join(
-        f", CAST({a} AS DOUBLE) AS {a}" if a in decimals else f", CAST({a} AS VARCHAR) AS {a}" if a in dates else f", {a}" for a in dim.attributes
-    )
-    unknown = "".join(
-        f", {numbers[a]} AS {a}" if a in numbers else f", CAST(NULL AS VARCHAR) AS {a}" if a in dates else f", '{dim.unknown.get(a, 'Unknown')}' AS {a}"
-        for a in dim.attributes
-    )
+    shown = "".join(f", {_shown(a)}" for a in dim.attributes)
+    unknown = "".join(f", {_blank(dim, a)}" for a in dim.attributes)
     sql = f"""SELECT md5({dim.natural_key}) AS {dim.key}, {dim.natural_key}{parents}{shown} FROM {{{source}}}
         UNION ALL SELECT 'UNKNOWN', 'UNKNOWN'{blanks}{unknown}"""
 
@@ -365,6 +420,52 @@ def dim_date(t: Tables) -> DataFrame:
     return plain(dims.date_dimension(dims.day_spine(bounds, "lo", "hi")))
 
 
+# ---------------------------------------------------------------- histories of the member tables
+
+
+def sql_history(name: str) -> str:
+    """The versions of a member table, written out step by step."""
+    dim, checked = dims.DIMENSIONS[name], history.CHECKED[name]
+    pk = dim.natural_key
+    state = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in checked)
+    return f"""SELECT md5({pk} || '-' || strftime(captured_at, '%Y-%m-%d %H:%M:%S.%f')) AS {name}_version_key, *,
+        coalesce(next_at, TIMESTAMP '9999-12-31 00:00:00') AS valid_to, next_at IS NULL AS is_current
+      FROM (SELECT *, CASE WHEN captured_at = min(captured_at) OVER (PARTITION BY {pk}) THEN least(created_at, version_at) ELSE version_at END AS valid_from,
+          lead(version_at) OVER (PARTITION BY {pk} ORDER BY captured_at) AS next_at
+        FROM (SELECT *, max(CASE WHEN deleted_at > updated_at THEN deleted_at ELSE updated_at END)
+            OVER (PARTITION BY {pk} ORDER BY captured_at ROWS UNBOUNDED PRECEDING) AS version_at
+          FROM (SELECT *, lag(state) OVER (PARTITION BY {pk} ORDER BY captured_at) AS state_before
+            FROM (SELECT *, {state} AS state FROM {{{name}s_log}}) a) b
+          WHERE state_before IS NULL OR state_before <> state) c) d"""
+
+
+def entity_history(t: Tables, name: str) -> DataFrame:
+    return history.entity_history(t[f"{name}s_log"], dims.DIMENSIONS[name])
+
+
+def _history(name: str) -> None:
+    dim, checked = dims.DIMENSIONS[name], history.CHECKED[name]
+    pk = dim.natural_key
+    parents = "".join(f", coalesce(md5({natural}), 'UNKNOWN') AS {out}" for out, natural in dim.parents.items())
+    blanks = "".join(f", 'UNKNOWN' AS {out}" for out in dim.parents)
+    shown = "".join(f", {_shown(c)}" for c in checked)
+    unknown = "".join(f", {'false AS is_deleted' if c == 'is_deleted' else _blank(dim, c)}" for c in checked)
+    sql = f"""SELECT {name}_version_key, md5({pk}) AS {dim.key}, {pk}{parents}{shown}, valid_from, next_at AS ends, is_current FROM ({sql_history(name)}) h
+        UNION ALL SELECT 'UNKNOWN', 'UNKNOWN', CAST(NULL AS VARCHAR){blanks}{unknown}, TIMESTAMP '1900-01-01 00:00:00', CAST(NULL AS TIMESTAMP), true"""
+
+    def build(t: Tables) -> DataFrame:
+        h = entity_history(t, name)
+        ends = F.when(~F.col("is_current"), F.col("valid_to")).alias("ends")
+        return plain(h.select(f"{name}_version_key", dim.key, pk, *dim.parents, *checked, "valid_from", ends, "is_current"))
+
+    build.__name__ = f"history_{name}"
+    query(sql)(build)
+
+
+for _name in history.CHECKED:
+    _history(_name)
+
+
 # ---------------------------------------------------------------- facts and marts
 
 SQL_DAY = "year({0}) * 10000 + month({0}) * 100 + day({0})"
@@ -379,33 +480,77 @@ def fact_tables(t: Tables) -> Tables:
     }
 
 
-@query(f"""SELECT md5(impression_id) AS impression_key, {SQL_DAY.format("impression_timestamp")} AS date_key, md5(campaign_id) AS campaign_key,
-    coalesce(md5(advertiser_id), 'UNKNOWN') AS advertiser_key, CAST(clearing_price AS DOUBLE) AS clearing_price,
-    CAST(CAST(clearing_price AS DECIMAL(18,9)) * 0.001 AS DOUBLE) AS impression_cost, CAST(viewability_score AS DOUBLE) AS viewability_score FROM {{impressions}}""")
+def sql_versions(fact: str, ts: str, *entities: str) -> tuple[str, str]:
+    """The version keys of a fact's entities at its timestamp, and the joins that they come from."""
+    keys = "".join(f", coalesce(v_{e}.{e}_version_key, 'UNKNOWN') AS {e}_version_key" for e in entities)
+    joins = "".join(
+        f" LEFT JOIN ({sql_history(e)}) v_{e} ON {fact}.{e}_id = v_{e}.{e}_id AND {fact}.{ts} >= v_{e}.valid_from AND {fact}.{ts} < v_{e}.valid_to"
+        for e in entities
+    )
+    return keys, joins
+
+
+def histories(t: Tables, *names: str) -> Tables:
+    return {n: entity_history(t, n) for n in names}
+
+
+_KEYS, _JOINS = sql_versions("e", "impression_timestamp", "campaign", "line_item")
+
+
+@query(f"""SELECT md5(e.impression_id) AS impression_key, {SQL_DAY.format("e.impression_timestamp")} AS date_key, md5(e.campaign_id) AS campaign_key,
+    coalesce(md5(e.advertiser_id), 'UNKNOWN') AS advertiser_key{_KEYS}, e.operating_system, e.browser, e.city, CAST(e.clearing_price AS DOUBLE) AS clearing_price,
+    CAST(CAST(e.clearing_price AS DECIMAL(18,9)) * 0.001 AS DOUBLE) AS impression_cost, CAST(e.viewability_score AS DOUBLE) AS viewability_score
+    FROM {{impressions}} e{_JOINS}""")
 def fact_impressions(t: Tables) -> DataFrame:
-    out = facts.impressions(t["impressions"])
-    return doubles(out.select("impression_key", "date_key", "campaign_key", "advertiser_key", "clearing_price", "impression_cost", "viewability_score"))
+    out = facts.impressions(t["impressions"], histories(t, "campaign", "line_item"))
+    return doubles(out.select(
+        "impression_key", "date_key", "campaign_key", "advertiser_key", "campaign_version_key", "line_item_version_key",
+        "operating_system", "browser", "city", "clearing_price", "impression_cost", "viewability_score",
+    ))
+
+
+_KEYS, _JOINS = sql_versions("e", "click_timestamp", "campaign", "line_item", "creative")
 
 
-@query(f"""SELECT md5(click_id) AS click_key, {SQL_DAY.format("click_timestamp")} AS date_key, md5(creative_id) AS creative_key,
-    coalesce(h.customer_version_key, 'UNKNOWN') AS advertiser_version_key, impression_id
-    FROM {{clicks}} k LEFT JOIN ({SQL_HISTORY}) h ON k.advertiser_id = CAST(h.entity_id AS VARCHAR)
-      AND k.click_timestamp >= h.valid_from AND k.click_timestamp < h.valid_to""")
+@query(f"""SELECT md5(e.click_id) AS click_key, {SQL_DAY.format("e.click_timestamp")} AS date_key, md5(e.creative_id) AS creative_key{_KEYS},
+    e.impression_id, e.device_type, e.country FROM {{clicks}} e{_JOINS}""")
 def fact_clicks(t: Tables) -> DataFrame:
-    h = customer_history(t).select(F.col("entity_id").cast("string").alias("advertiser_id"), "valid_from", "valid_to", F.col("customer_version_key").alias("advertiser_version_key"))
-    return facts.clicks(t["clicks"], {"advertiser": h}).select("click_key", "date_key", "creative_key", "advertiser_version_key", "impression_id")
+    out = facts.clicks(t["clicks"], histories(t, "campaign", "line_item", "creative"))
+    return out.select(
+        "click_key", "date_key", "creative_key", "campaign_version_key", "line_item_version_key", "creative_version_key", "impression_id",
+        "device_type", "country",
+    )
+
+
+_KEYS, _JOINS = sql_versions("e", "conversion_timestamp", "campaign")
 
 
-@query(f"""SELECT md5(conversion_id) AS conversion_key, {SQL_DAY.format("conversion_timestamp")} AS date_key, md5(campaign_id) AS campaign_key,
-    conversion_type, CAST(conversion_value AS DOUBLE) AS conversion_value, currency FROM {{conversions}}""")
+@query(f"""SELECT md5(e.conversion_id) AS conversion_key, {SQL_DAY.format("e.conversion_timestamp")} AS date_key, md5(e.campaign_id) AS campaign_key{_KEYS},
+    e.conversion_type, CAST(e.conversion_value AS DOUBLE) AS conversion_value, e.currency FROM {{conversions}} e{_JOINS}""")
 def fact_conversions(t: Tables) -> DataFrame:
-    return doubles(facts.conversions(t["conversions"]).select("conversion_key", "date_key", "campaign_key", "conversion_type", "conversion_value", "currency"))
+    out = facts.conversions(t["conversions"], histories(t, "campaign"))
+    return doubles(out.select("conversion_key", "date_key", "campaign_key", "campaign_version_key", "conversion_type", "conversion_value", "currency"))
 
 
-@query(f"""SELECT md5(spend_transaction_id) AS spend_key, {SQL_DAY.format("spend_timestamp")} AS date_key, md5(publisher_id) AS publisher_key,
-    impression_id, billing_type, CAST(spend_amount AS DOUBLE) AS spend_amount FROM {{spend_transactions}}""")
+_KEYS, _JOINS = sql_versions("e", "spend_timestamp", "campaign", "line_item")
+
+
+@query(f"""SELECT md5(e.spend_transaction_id) AS spend_key, {SQL_DAY.format("e.spend_timestamp")} AS date_key, md5(e.publisher_id) AS publisher_key{_KEYS},
+    e.impression_id, e.billing_type, CAST(e.spend_amount AS DOUBLE) AS spend_amount FROM {{spend_transactions}} e{_JOINS}""")
 def fact_spend(t: Tables) -> DataFrame:
-    return doubles(facts.spend(t["spend_transactions"]).select("spend_key", "date_key", "publisher_key", "impression_id", "billing_type", "spend_amount"))
+    out = facts.spend(t["spend_transactions"], histories(t, "campaign", "line_item"))
+    return doubles(out.select(
+        "spend_key", "date_key", "publisher_key", "campaign_version_key", "line_item_version_key", "impression_id", "billing_type", "spend_amount",
+    ))
+
+
+@query(f"""SELECT campaign_version_key, count(*) AS n FROM (SELECT coalesce(h.campaign_version_key, 'UNKNOWN') AS campaign_version_key
+      FROM {{clicks}} k LEFT JOIN (SELECT * FROM ({sql_history("campaign")}) w WHERE campaign_status <> 'DRAFT') h ON k.campaign_id = h.campaign_id AND k.click_timestamp >= h.valid_from
+        AND k.click_timestamp < h.valid_to) x WHERE campaign_version_key = 'UNKNOWN' GROUP BY 1""")
+def unresolved_versions(t: Tables) -> DataFrame:
+    """Clicks that no version covers where versions in draft are left out of the history."""
+    known = entity_history(t, "campaign").where("campaign_status <> 'DRAFT'")
+    return facts.unresolved(facts.clicks(t["clicks"], {"campaign": known}), "campaign_version_key")
 
 
 @query("""SELECT md5(k.click_id) AS click_key, coalesce(md5(i.publisher_id), 'UNKNOWN') AS publisher_key, coalesce(md5(i.audience_id), 'UNKNOWN') AS audience_key,
@@ -448,8 +593,13 @@ MEASURES = {
 }
 
 
-def sql_mart(entity: str, parts: list[str], extra: str = "") -> str:
+#: Distinct counts that a mart adds: name and the entity counted.
+ACTIVES = {"publisher": {"active_placements": "placement"}, "audience": {"active_campaigns": "campaign"}}
+
+
+def sql_mart(entity: str, parts: list[str]) -> str:
     """Facts aggregated one by one, a spine, left joins, rates."""
+    actives = ACTIVES.get(entity, {})
     ctes, joins = [], ""
     for p in parts:
         table, ts, measures = SQL_PARTS[p]
@@ -459,12 +609,15 @@ def sql_mart(entity: str, parts: list[str], extra: str = "") -> str:
             source += " LEFT JOIN {impressions} i ON f.impression_id = i.impression_id"
             column = f"i.{entity}_id"
             currency = "i.currency"
+        if p == "impressions":
+            measures += "".join(f", count(DISTINCT f.{e}_id) AS {name}" for name, e in actives.items())
         ctes.append(
             f"p_{p} AS (SELECT {SQL_DAY.format('f.' + ts)} AS date_key, md5({column}) AS {entity}_key, {currency} AS currency, {measures} FROM {source} GROUP BY 1, 2, 3)"
         )
         joins += f" LEFT JOIN p_{p} USING (date_key, {entity}_key, currency)"
     spine = " UNION ".join(f"SELECT date_key, {entity}_key, currency FROM p_{p}" for p in parts)
     names = [m for p in parts for m in MEASURES[p]]
+    names += actives
     shown = ", ".join(f"CAST(coalesce({m}, 0) AS DOUBLE) AS {m}" for m in names)
     rates = "".join(
         f", CASE WHEN coalesce({b}, 0) <> 0 THEN round(CAST(coalesce({a}, 0) AS DOUBLE) / CAST({b} AS DOUBLE) * {factor}, 8) END AS {r}"
@@ -474,11 +627,12 @@ def sql_mart(entity: str, parts: list[str], extra: str = "") -> str:
     return f"WITH {', '.join(ctes)}, spine AS ({spine}) SELECT date_key, {entity}_key, currency, {shown}{rates} FROM spine{joins}"
 
 
-def build_mart(t: Tables, entity: str, parts: list[str]) -> DataFrame:
-    r = resolved(t)
+def build_mart(t: Tables, entity: str, parts: list[str], found: Tables | None = None) -> DataFrame:
+    r = found or resolved(t)
     keys = ["date_key", f"{entity}_key", "currency"]
     measures = {"impressions": marts.impression_measures(), "clicks": marts.click_measures(), "conversions": marts.conversion_measures(), "spend": marts.spend_measures()}
-    return marts.build([marts.Part(r[p], measures[p]) for p in parts], keys)
+    actives = {name: f"{e}_key" for name, e in ACTIVES.get(entity, {}).items()}
+    return marts.build([marts.Part(r[p], measures[p], actives if p == "impressions" else {}) for p in parts], keys)
 
 
 def all_doubles(df: DataFrame) -> DataFrame:
@@ -486,24 +640,27 @@ def all_doubles(df: DataFrame) -> DataFrame:
 
 
 ALL = ["impressions", "clicks", "conversions", "spend"]
+MARTS = {"campaign": ALL, "publisher": ALL, "creative": ALL[:3], "audience": ALL[:3]}
+#: Every fact derives from this one.
+DELIVERY = ("delivery",)
 
 
-@query(sql_mart("campaign", ALL))
+@query(sql_mart("campaign", ALL), written=DELIVERY)
 def mart_campaign_daily(t: Tables) -> DataFrame:
     return all_doubles(marts.with_rates(build_mart(t, "campaign", ALL)))
 
 
-@query(sql_mart("publisher", ALL))
+@query(sql_mart("publisher", ALL), written=DELIVERY)
 def mart_publisher_daily(t: Tables) -> DataFrame:
     return all_doubles(marts.with_rates(build_mart(t, "publisher", ALL)))
 
 
-@query(sql_mart("creative", ALL[:3]))
+@query(sql_mart("creative", ALL[:3]), written=DELIVERY)
 def mart_creative_daily(t: Tables) -> DataFrame:
     return all_doubles(marts.with_rates(build_mart(t, "creative", ALL[:3])))
 
 
-@query(sql_mart("audience", ALL[:3]))
+@query(sql_mart("audience", ALL[:3]), written=DELIVERY)
 def mart_audience_daily(t: Tables) -> DataFrame:
     return all_doubles(marts.with_rates(build_mart(t, "audience", ALL[:3])))
 
@@ -513,8 +670,8 @@ def mart_audience_daily(t: Tables) -> DataFrame:
 def mart_distinct_actives(t: Tables) -> DataFrame:
     """Distinct counts, which are not additive, at the mart's grain."""
     f = facts.impressions(t["impressions"])
-    measures = {"active_placements": F.count_distinct("placement_key"), "active_campaigns": F.count_distinct("campaign_key")}
-    return marts.build([marts.Part(f, measures)], ["date_key", "publisher_key", "currency"], additive=False)
+    actives = {"active_placements": "placement_key", "active_campaigns": "campaign_key"}
+    return marts.build([marts.Part(f, {}, actives)], ["date_key", "publisher_key", "currency"])
 
 
 @query(f"""SELECT m.publisher_key, m.month_key, m.currency, {d("m.impressions", "impressions")}, {d("m.clicks", "clicks")}, round(CAST(clicks AS DOUBLE) / CAST(impressions AS DOUBLE) * 1, 8) AS click_through_rate
@@ -528,25 +685,96 @@ def mart_monthly(t: Tables) -> DataFrame:
     return out.select("publisher_key", "month_key", "currency", F.col("impressions").cast("double").alias("impressions"), F.col("clicks").cast("double").alias("clicks"), "click_through_rate")
 
 
-@query("""SELECT 'impressions' AS name, CAST(count(*) AS DOUBLE) AS mart_total, CAST(count(*) AS DOUBLE) AS fact_total FROM {impressions}
-    UNION ALL SELECT 'clicks', CAST(count(*) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM {clicks}
-    UNION ALL SELECT 'spend', CAST(sum(spend_amount) AS DOUBLE), CAST(sum(spend_amount) AS DOUBLE) FROM {spend_transactions}""")
+SQL_TOTALS = {
+    "impressions": "SELECT count(*) FROM {impressions}",
+    "clicks": "SELECT count(*) FROM {clicks}",
+    "conversions": "SELECT count(*) FROM {conversions}",
+    "clearing_cost": "SELECT sum(CAST(clearing_price AS DECIMAL(18,9)) * 0.001) FROM {impressions}",
+    "conversion_value": "SELECT sum(conversion_value) FROM {conversions}",
+    "spend": "SELECT sum(spend_amount) FROM {spend_transactions}",
+}
+
+
+def sql_drift() -> str:
+    """Every mart's totals beside those of the facts, taken from the facts alone."""
+    parts = []
+    for entity, held in MARTS.items():
+        names = [n for n in SQL_TOTALS if n != "spend" or "spend" in held]
+        totals = ", ".join(f"sum({n}) AS {n}" for n in names)
+        rows = " UNION ALL ".join(
+            f"SELECT '{entity}' AS mart, '{n}' AS name, round(CAST({n} AS DOUBLE), 2) AS mart_total, round(CAST(({SQL_TOTALS[n]}) AS DOUBLE), 2) AS fact_total FROM m"
+            for n in names
+        )
+        parts.append(f"SELECT * FROM (WITH m AS (SELECT {totals} FROM ({sql_mart(entity, held)}) y) {rows}) x")
+    return " UNION ALL ".join(parts)
+
+
+@query(sql_drift(), written=DELIVERY)
 def mart_reconciles(t: Tables) -> DataFrame:
+    """Totals of all marts against the facts; a mart that multiplied or lost rows shows here."""
     f = fact_tables(t)
-    mart = build_mart(t, "campaign", ALL)
-    sides = {"impressions": (f["impressions"], F.count("*")), "clicks": (f["clicks"], F.count("*")), "spend": (f["spend"], F.sum("spend_amount"))}
-    return doubles(marts.drift(mart, sides))
+    sides = {
+        "impressions": (f["impressions"], F.count("*")), "clicks": (f["clicks"], F.count("*")), "conversions": (f["conversions"], F.count("*")),
+        "clearing_cost": (f["impressions"], F.sum("impression_cost")), "conversion_value": (f["conversions"], F.sum("conversion_value")),
+        "spend": (f["spend"], F.sum("spend_amount")),
+    }
+    found = resolved(t)
+    parts = [
+        marts.drift(build_mart(t, e, held, found), {n: v for n, v in sides.items() if n != "spend" or "spend" in held}).withColumn("mart", F.lit(e))
+        for e, held in MARTS.items()
+    ]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.select("mart", "name", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in ("mart_total", "fact_total")])
+
+
+#: A mart with planted faults: rows of some days carry a rate too many, too much spend, or too many viewable impressions.
+SQL_FAULTY = f"""SELECT * REPLACE (CASE WHEN date_key % 7 = 0 THEN spend + 1 ELSE spend END AS spend,
+      CASE WHEN date_key % 5 = 0 THEN measured_impressions + 1 ELSE viewable_impressions END AS viewable_impressions,
+      CASE WHEN date_key % 3 = 0 THEN 0.5 ELSE click_through_rate END AS click_through_rate) FROM ({sql_mart("campaign", ALL)}) y"""
 
 
-@query("""SELECT 0 AS spend_not_sum_of_types, 0 AS viewable_above_impressions, 0 AS rate_without_denominator, (SELECT count(*) FROM (SELECT DISTINCT 1)) AS marts""")
+def sql_invariants(mart: str, source: str) -> str:
+    rates = [r for r, (a, b, _) in marts.RATES.items()]
+    rules = {
+        "spend_not_sum_of_types": "abs(spend - cpm_spend - cpc_spend - cpa_spend) > 0.0000001",
+        "viewable_above_measured": "viewable_impressions > measured_impressions",
+        "measured_above_impressions": "measured_impressions > impressions",
+    } | {f"{r}_without_denominator": f"({r} IS NULL) <> ({marts.RATES[r][1]} = 0)" for r in rates}
+    return f"SELECT '{mart}' AS mart, " + ", ".join(f"count(CASE WHEN {v} THEN 1 END) AS {k}" for k, v in rules.items()) + f" FROM ({source}) z"
+
+
+@query(sql_invariants("campaign", sql_mart("campaign", ALL)) + " UNION ALL " + sql_invariants("faulty", SQL_FAULTY), written=DELIVERY)
 def mart_invariants(t: Tables) -> DataFrame:
+    """Rules of the campaign mart, and of a copy with planted faults."""
     m = marts.with_rates(build_mart(t, "campaign", ALL))
-    return m.agg(
-        F.count_if(F.col("spend") != F.col("cpm_spend") + F.col("cpc_spend") + F.col("cpa_spend")).alias("spend_not_sum_of_types"),
-        F.count_if(F.col("viewable_impressions") > F.col("impressions")).alias("viewable_above_impressions"),
-        F.count_if(F.col("click_through_rate").isNull() != (F.col("impressions") == 0)).alias("rate_without_denominator"),
-        F.lit(1).cast("long").alias("marts"),
-    )
+    day = F.col("date_key")
+    faulty = m.select(*[
+        F.when(day % 7 == 0, m["spend"] + 1).otherwise(m["spend"]).alias(c) if c == "spend"
+        else F.when(day % 5 == 0, m["measured_impressions"] + 1).otherwise(m[c]).alias(c) if c == "viewable_impressions"
+        else F.when(day % 3 == 0, 0.5).otherwise(m[c]).alias(c) if c == "click_through_rate"
+        else m[c]
+        for c in m.columns
+    ])
+    both = [marts.broken_invariants(x).withColumn("mart", F.lit(n)) for n, x in (("campaign", m), ("faulty", faulty))]
+    return both[0].unionByName(both[1])
+
+
+@query(sql_mart("campaign", ALL), written=DELIVERY)
+def mart_increment(t: Tables) -> DataFrame:
+    """The campaign mart as of a time when the newest days had only half of their events, then its trailing days
+    computed anew and put in the place of the old ones."""
+    spark = t["impressions"].sparkSession
+    path = f"{shared_dir(spark)}/mart-{uuid.uuid4().hex}"
+    r = {n: f.withColumn("late", F.pmod(F.xxhash64(f.columns[0]), F.lit(2)) == 0) for n, f in resolved(t).items()}
+    newest = reduce(DataFrame.unionAll, [f.select("date_key") for f in r.values()]).agg(F.max("date_key")).first()[0]
+    if newest is None:
+        return all_doubles(marts.with_rates(build_mart(t, "campaign", ALL)))
+    floor = spark.range(1).select(S.date_key_lookback(F.lit(newest), 3)).first()[0]
+    early = {n: f.where(~F.col("late") | (F.col("date_key") < floor)) for n, f in r.items()}
+    merge.overwrite_days(build_mart(t, "campaign", ALL, early), path)
+    again = {n: f.where(F.col("date_key") >= floor) for n, f in r.items()}
+    merge.overwrite_days(build_mart(t, "campaign", ALL, again), path)
+    return all_doubles(marts.with_rates(spark.read.parquet(path)))
 
 
 @query(f"""WITH k AS (SELECT {SQL_DAY.format("impression_timestamp")} AS date_key, impression_timestamp FROM {{impressions}})
@@ -589,30 +817,33 @@ def star_lookup(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- billing
 
-STRATEGY = "CASE bid_strategy WHEN 'MANUAL_CPM' THEN 'CPM' WHEN 'MAXIMIZE_REACH' THEN 'CPM' WHEN 'TARGET_CPC' THEN 'CPC' ELSE 'CPA' END"
+SQL_CPM, SQL_CPC, SQL_CPA = (
+    f"(SELECT campaign_id FROM {{campaigns}} WHERE bid_strategy IN ({kinds}))" for kinds in ("'CPM'", "'CPC'", "'CPA', 'TARGET_ROAS', 'MAX_CONVERSIONS'")
+)
 
 
 @query(f"""SELECT campaign_id, line_item_id, publisher_id, currency, date_trunc('hour', impression_timestamp) AS spend_timestamp,
     {d("sum(CAST(clearing_price AS DECIMAL(18,9)) * 0.001)", "spend_amount")}, count(*) AS impressions,
     least(date_trunc('hour', impression_timestamp) + INTERVAL '1' HOUR, TIMESTAMP '2001-01-01 00:30:00') AS created_at
-    FROM {{impressions}} GROUP BY campaign_id, line_item_id, publisher_id, currency, date_trunc('hour', impression_timestamp)""")
+    FROM {{impressions}} WHERE campaign_id IN {SQL_CPM} GROUP BY campaign_id, line_item_id, publisher_id, currency, date_trunc('hour', impression_timestamp)""")
 def billing_hourly_cpm(t: Tables) -> DataFrame:
-    return plain(billing.hourly_cpm(t["impressions"], F.lit("2001-01-01 00:30:00").cast("timestamp_ntz")))
+    return plain(billing.hourly_cpm(t["impressions"], t["campaigns"], F.lit("2001-01-01 00:30:00").cast("timestamp_ntz")))
 
 
-@query(f"SELECT impression_id, campaign_id, line_item_id, {d('CAST(clearing_price AS DECIMAL(18,9)) * 0.001', 'spend_amount')} FROM {{impressions}}")
+@query(f"""SELECT impression_id, campaign_id, line_item_id, {d('CAST(clearing_price AS DECIMAL(18,9)) * 0.001', 'spend_amount')} FROM {{impressions}}
+    WHERE campaign_id IN {SQL_CPM}""")
 def billing_per_impression(t: Tables) -> DataFrame:
-    return doubles(billing.per_impression(t["impressions"]))
+    return doubles(billing.per_impression(t["impressions"], t["campaigns"]))
 
 
 @query(f"""SELECT k.click_id, k.campaign_id, k.line_item_id, 'CPC' AS billing_type, {d("l.bid_amount", "spend_amount")}, l.bid_currency AS currency
-    FROM {{clicks}} k JOIN {{campaigns}} c ON k.campaign_id = c.campaign_id JOIN {{line_items}} l ON k.line_item_id = l.line_item_id WHERE {STRATEGY} = 'CPC'""")
+    FROM {{clicks}} k JOIN {{line_items}} l ON k.line_item_id = l.line_item_id WHERE k.campaign_id IN {SQL_CPC}""")
 def billing_cpc(t: Tables) -> DataFrame:
     return doubles(billing.per_event(t["clicks"], t["campaigns"], t["line_items"], "CPC", "click_id"))
 
 
 @query(f"""SELECT v.conversion_id, v.campaign_id, v.line_item_id, 'CPA' AS billing_type, {d("l.bid_amount", "spend_amount")}, l.bid_currency AS currency
-    FROM {{conversions}} v JOIN {{campaigns}} c ON v.campaign_id = c.campaign_id JOIN {{line_items}} l ON v.line_item_id = l.line_item_id WHERE {STRATEGY} = 'CPA'""")
+    FROM {{conversions}} v JOIN {{line_items}} l ON v.line_item_id = l.line_item_id WHERE v.campaign_id IN {SQL_CPA}""")
 def billing_cpa(t: Tables) -> DataFrame:
     return doubles(billing.per_event(t["conversions"], t["campaigns"], t["line_items"], "CPA", "conversion_id"))
 
@@ -634,20 +865,20 @@ def _family(name: str, family: list) -> None:
         return quality.observe(family, bases(t, {c.base for c in family}))
 
     run.__name__ = f"checks_{name}"
-    query(checks.as_sql(family, checks.BASES))(run)
+    query(checks.as_sql(family, checks.BASES), written=DELIVERY if name != "source_reconciliation" else ())(run)
 
 
 for _name, _checks in (
     ("referential", checks.REFERENTIAL), ("temporal", checks.TEMPORAL), ("business", checks.BUSINESS),
     ("uniqueness", checks.UNIQUENESS), ("join_presence", checks.JOINS), ("row_rules", checks.ROW_RULES),
-    ("all_tables", checks.ALL_TABLES),
+    ("all_tables", checks.ALL_TABLES), ("source_reconciliation", checks.RECONCILIATION),
 ):
     _family(_name, _checks)
 
 SQL_SILVER = {
     "s_state": f"SELECT *, {SQL_HALF} AS boundary FROM ({SQL_CURRENT}) c",
     "s_keys": f"SELECT user_id, count(*) AS n FROM ({SQL_CURRENT}) c GROUP BY user_id",
-    "s_changed": "SELECT * FROM {changes}",
+    "s_events": " UNION ALL ".join(f"SELECT false AS is_deleted, CAST(NULL AS BIGINT) AS _lsn FROM {{{n}}}" for n in ("impressions", "clicks", "conversions")),
     "b_impression_ids": checks.BASES["b_impression_ids"],
 }
 
@@ -658,7 +889,8 @@ def checks_current_state(t: Tables) -> DataFrame:
     own = {
         "s_state": state.withColumn("boundary", F.lit(at)),
         "s_keys": state.groupBy("user_id").agg(F.count("*").alias("n")),
-        "s_changed": t["changes"],
+        # Event tables come from exports alone.
+        "s_events": reduce(DataFrame.unionAll, [changelog.from_snapshot(t[n]).select("is_deleted", "_lsn") for n in ("impressions", "clicks", "conversions")]),
     }
     return quality.observe(checks.INTEGRITY + checks.LINEAGE, own | bases(t, {"b_impression_ids"}))
 
@@ -678,9 +910,9 @@ def test_unique_combination(t: Tables) -> DataFrame:
     return quality.unique(t["lineitem"], "l_orderkey", "l_linenumber")
 
 
-@query("""SELECT impression_id, creative_id FROM {impressions} WHERE creative_id NOT IN (SELECT creative_id FROM {creatives} WHERE creative_type <> 'ECONOMY')""")
+@query("""SELECT impression_id, creative_id FROM {impressions} WHERE creative_id NOT IN (SELECT creative_id FROM {creatives} WHERE creative_type <> 'AUDIO')""")
 def test_relationships(t: Tables) -> DataFrame:
-    parents = t["creatives"].where("creative_type <> 'ECONOMY'")
+    parents = t["creatives"].where("creative_type <> 'AUDIO'")
     return quality.relationships(t["impressions"].select("impression_id", "creative_id"), "creative_id", parents, "creative_id")
 
 
@@ -722,10 +954,18 @@ def concentration_publishers(t: Tables) -> DataFrame:
     return quality.concentration(t["spend_transactions"], "publisher_id", "spend_amount")
 
 
-@query()
+@query("""WITH a AS (SELECT md5(impression_id) AS k FROM {impressions}), b AS (SELECT md5(impression_id || '') AS k FROM {impressions} ORDER BY impression_id)
+    SELECT count(*) AS n, count(DISTINCT k) AS n_keys, (SELECT count(*) FROM b) AS n_rebuilt,
+      (SELECT count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) x) = 0 AND (SELECT count(*) FROM b) = count(*) AS unchanged FROM a""")
 def key_stability(t: Tables) -> DataFrame:
-    """Checksum of the impression keys; equal after a rebuild."""
-    return quality.key_checksum(facts.impressions(t["impressions"]), "impression_key")
+    """Checksums of the impression keys of two builds, the second from a written copy in another order."""
+    first = facts.impressions(t["impressions"])
+    second = facts.impressions(cut(t["impressions"].repartition(7, "city"), "rebuilt"))
+    both = quality.key_checksum(first, "impression_key").crossJoin(
+        quality.key_checksum(second, "impression_key").select(F.col("n").alias("n_rebuilt"), F.col("checksum").alias("again"))
+    )
+    keys = first.agg(F.count_distinct("impression_key").alias("n_keys"))
+    return both.crossJoin(keys).select("n", "n_keys", "n_rebuilt", ((F.col("n") == F.col("n_rebuilt")) & (F.col("checksum") == F.col("again"))).alias("unchanged"))
 
 
 # ---------------------------------------------------------------- reports
@@ -858,13 +1098,163 @@ def table_sizes(t: Tables) -> DataFrame:
 
 
 @query("""SELECT advertiser_id, advertiser_name AS name, industry AS sector FROM {advertisers}""")
-def staging_advertisers(t: Tables) -> DataFrame:
+def staging_renamed(t: Tables) -> DataFrame:
     return sources.stage(t["advertisers"], {"advertiser_id": "advertiser_id", "name": "advertiser_name", "sector": "industry"})
 
 
+SQL_PRICES = SQL_DECIMALS | {"bid_price", "clearing_price", "viewability_score", "conversion_value", "spend_amount"}
+SQL_LINEAGE = """false AS is_deleted, CAST(NULL AS TIMESTAMP) AS deleted_at, CAST(NULL AS BIGINT) AS source_lsn, CAST(NULL AS VARCHAR) AS source_operation,
+    CAST(NULL AS TIMESTAMP) AS source_event_at"""
+
+
+def _staging(table: str) -> None:
+    columns = COLUMNS[table].split()
+    shown = ", ".join(d(c, c) if c in SQL_PRICES else f"CAST({c} AS VARCHAR) AS {c}" if c in SQL_DATES else c for c in columns)
+
+    def build(t: Tables) -> DataFrame:
+        landed = changelog.rename_lineage(changelog.from_snapshot(t[table]))
+        lineage = ("is_deleted", "deleted_at", "source_lsn", "source_operation", "source_event_at")
+        return plain(sources.stage(landed, {c: c for c in (*columns, *lineage)}))
+
+    build.__name__ = f"staging_{table}"
+    query(f"SELECT {shown}, {SQL_LINEAGE} FROM {{{table}}}")(build)
+
+
+for _name in COLUMNS:
+    _staging(_name)
+
+
 @query("""SELECT event_id, ts, user_id FROM {events} ORDER BY event_id DESC LIMIT 10""")
 def newest_events(t: Tables) -> DataFrame:
     return t["events"].select("event_id", "ts", "user_id").orderBy(F.desc("event_id")).limit(10)
 
 
+# ---------------------------------------------------------------- files: exports, loads, listings
+
+
+def scratch(t: Tables, name: str) -> str:
+    return f"{shared_dir(t['orders'].sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT 'r2' AS run_id, CAST(42 AS BIGINT) AS wal_lsn, 'orders' AS table_name, count(*) AS n_rows, 'o_orderkey' AS first_column FROM {orders}
+    UNION ALL SELECT 'r2', CAST(42 AS BIGINT), 'events', count(*), 'event_id' FROM {events}""")
+def snapshot_runs(t: Tables) -> DataFrame:
+    """Two exports, the newest complete one picked and read back, its columns from the files' footers."""
+    spark, root = t["orders"].sparkSession, scratch(t, "exports")
+    own = {n: t[n] for n in ("orders", "events")}
+    sources.export_snapshot({n: df.limit(5) for n, df in own.items()}, root, "r1", 7)
+    sources.export_snapshot(own, root, "r2", 42)
+    run = sources.pick_run(spark, root)
+    parts = []
+    for n in own:
+        path = f"{root}/r2/{n}"
+        first = sources.footer_schema(spark, path).names[0]
+        counted = sources.read_files(spark, path).agg(F.count("*").alias("n_rows"))
+        parts.append(run.crossJoin(counted).select("run_id", "wal_lsn", F.lit(n).alias("table_name"), "n_rows", F.lit(first).alias("first_column")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("""SELECT 'orders' AS table_name, count(*) AS n_rows, true AS has_files, true AS has_bytes, false AS mismatch FROM {orders}
+    UNION ALL SELECT 'events', count(*), true, true, true FROM {events}""")
+def publish_manifest(t: Tables) -> DataFrame:
+    """An export's manifest, and which loaded table has not the manifest's rows (one is loaded short)."""
+    spark, root = t["orders"].sparkSession, scratch(t, "publish")
+    manifest = sources.publish_export({"orders": t["orders"], "events": t["events"], "absent": None}, root)
+    loaded = {"orders": spark.read.parquet(f"{root}/orders"), "events": spark.read.parquet(f"{root}/events")}
+    loaded["events"] = loaded["events"].union(loaded["events"].limit(1))
+    wrong = sources.count_mismatches(loaded, manifest).select("table_name", F.lit(True).alias("mismatch"))
+    return manifest.join(wrong, "table_name", "left").select(
+        "table_name", "n_rows", (F.col("n_files") > 0).alias("has_files"), (F.col("n_bytes") > 0).alias("has_bytes"), F.coalesce("mismatch", F.lit(False)).alias("mismatch")
+    )
+
+
+@query("""SELECT 'o_orderdate' AS column_name, least(1000, count(*)) AS implausible FROM {orders}""")
+def load_times(t: Tables) -> DataFrame:
+    """Times outside the years 2000 to 2100 in a load's sample of 1,000 rows; the dates are shifted back."""
+    return sources.implausible_times(t["orders"].select("o_orderkey", (F.col("o_orderdate") - F.expr("interval 60 years")).alias("o_orderdate")))
+
+
+@query("SELECT r_regionkey, r_name, n_nationkey, n_name FROM {region} JOIN {nation} ON n_regionkey = r_regionkey")
+def csv_export(t: Tables) -> DataFrame:
+    spark, root = t["region"].sparkSession, scratch(t, "csv")
+    both = t["region"].join(t["nation"], F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", "r_name", "n_nationkey", "n_name")
+    sources.write_csv(both, root)
+    return spark.read.schema(both.schema).option("header", True).csv(root)
+
+
+@query("SELECT CAST(day AS VARCHAR) AS day, count(*) AS n_rows, true AS has_files, true AS has_bytes FROM {changes} GROUP BY day")
+def layer_listing(t: Tables) -> DataFrame:
+    """A table written by days of its event time, listed by day."""
+    spark, root = t["changes"].sparkSession, scratch(t, "keyed")
+    sources.write_keyed(t["changes"].drop("day"), root, "ts")
+    found = sources.listing(spark.read.parquet(root), "day")
+    return found.select(F.col("day").cast("string").alias("day"), "n_rows", (F.col("n_files") > 0).alias("has_files"), (F.col("n_bytes") > 0).alias("has_bytes"))
+
+
+@query("SELECT lsn, op FROM {changes} ORDER BY lsn DESC LIMIT 10")
+def newest_changes(t: Tables) -> DataFrame:
+    return sources.peek(change_events(t).where("op <> 't'")).select("lsn", "op")
+
+
+@query("SELECT event_id, user_id, day, CASE WHEN event_id % 5 = 0 AND event_id > (SELECT max(event_id) / 2 FROM {events}) THEN 'again' ELSE event_type END AS event_type FROM (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM {events}) e")
+def merge_floor(t: Tables) -> DataFrame:
+    """A merge that scans only the target's days from the changes' first day on."""
+    days = t["events"].select("event_id", "user_id", F.to_date("ts").alias("day"), "event_type")
+    half = (days.agg(F.max("event_id")).first()[0] or 0) / 2
+    changes = days.where((F.col("event_id") % 5 == 0) & (F.col("event_id") > half)).withColumn("event_type", F.lit("again"))
+    floor = changes.agg(F.min("day")).first()[0]
+    untouched, merged = merge.merge_partitions(days, changes, "event_id", "day", F.lit(floor))
+    return untouched.unionByName(merged).withColumn("day", F.col("day").cast("string"))
+
+
+@query("""SELECT event_id, CAST(round(CAST(value AS DECIMAL(18,6)), 2) AS DOUBLE) AS two, CAST(round(CAST(value AS DECIMAL(18,8)), 4) AS DOUBLE) AS four,
+    user_id AS summed, CAST(CAST(ts AS DATE) AS VARCHAR) AS since FROM {events}""")
+def scalar_decimals(t: Tables) -> DataFrame:
+    e = t["events"]
+    summary = F.create_map(F.lit("total-records"), F.col("user_id").cast("string"))
+    since = F.when(F.to_date("ts") > S.beginning_of_time(), F.to_date("ts")).cast("string").alias("since")
+    return doubles(e.select("event_id", S.quantise(F.col("value"), 2).alias("two"), S.quantise(F.col("value"), 4).alias("four"), S.summary_value(summary, "total-records").alias("summed"), since))
+
+
+# ---------------------------------------------------------------- the quality gate
+
+
+@query("SELECT name, observed, status, 'run-7' AS run_id, true AS gated FROM (" + checks.as_sql(checks.UNIQUENESS, checks.BASES) + ") o")
+def checks_persisted(t: Tables) -> DataFrame:
+    """Observations stored with their run and read back; the gate lets them through unless one fails."""
+    spark, root = t["orders"].sparkSession, scratch(t, "observations")
+    quality.persist(quality.observe(checks.UNIQUENESS, bases(t, {c.base for c in checks.UNIQUENESS})), root, "run-7")
+    found = spark.read.parquet(root)
+    try:
+        quality.gate(found)
+        gated = found.where("status = 'FAIL'").limit(1).count() == 0
+    except quality.QualityError:
+        gated = found.where("status = 'FAIL'").limit(1).count() == 1
+    return found.select("name", "observed", "status", "run_id", F.lit(gated).alias("gated"))
+
+
+@query("SELECT dim, CAST(1 AS BIGINT) AS n_unknown, CAST(0 AS BIGINT) AS n_broken FROM (VALUES " + ", ".join(f"('{n}')" for n in dims.DIMENSIONS) + ") v(dim)")
+def unknown_members(t: Tables) -> DataFrame:
+    """Every dimension has one unknown member."""
+    parts = []
+    for name, dim in dims.DIMENSIONS.items():
+        members = dims.type1(t[f"{name}s"], dim)
+        broken = quality.has_unknown_member(members, dim.key).agg(F.count("*").alias("n_broken"))
+        own = members.agg(F.count_if(F.col(dim.key) == "UNKNOWN").alias("n_unknown"))
+        parts.append(own.crossJoin(broken).withColumn("dim", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT 'orders_without_customer' AS name, count(*) AS observed FROM {orders} WHERE o_custkey NOT IN (SELECT c_custkey FROM {customer})")
+def checks_by_view(t: Tables) -> DataFrame:
+    """Checks given as SQL over views; one whose table is absent is skipped."""
+    spark = t["orders"].sparkSession
+    for n in ("orders", "customer"):
+        t[n].createOrReplaceTempView(f"checked_{n}")
+    return quality.sql_checks(spark, {
+        "orders_without_customer": ("SELECT count(*) FROM checked_orders LEFT ANTI JOIN checked_customer ON o_custkey = c_custkey", ["checked_orders", "checked_customer"]),
+        "skipped": ("SELECT count(*) FROM checked_nowhere", ["checked_nowhere"]),
+    })
+
+
 assert set(ORACLES) <= set(QUERIES) and DERIVED

@@ -26,6 +26,12 @@ def jdbc_table(spark: SparkSession, url: str, table: str, columns: list[str] | N
     return df.select(*columns) if columns else df
 
 
+def jdbc_ranges(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int], parts: int, **options: str) -> DataFrame:
+    """A table scan in ``parts`` ranges of a numeric key, one connection each; rows outside the bounds are read too."""
+    split = {"partitionColumn": key, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(parts)}
+    return jdbc_table(spark, url, table, **split, **options)
+
+
 def jdbc_counts(spark: SparkSession, url: str, tables: list[str], **options: str) -> DataFrame:
     """Row counts computed at the source."""
     parts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in tables)
@@ -42,10 +48,13 @@ def export_snapshot(tables: dict[str, DataFrame], root: str, run_id: str, positi
 
 
 def pick_run(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
-    """The newest complete run, or a named one."""
+    """The newest complete run, or a named one; a named run that is not complete is an error."""
     runs = spark.read.schema("run_id string, wal_lsn long, tables array<string>").json(f"{root}/manifests/*")
     if run_id is not None:
-        return runs.where(F.col("run_id") == run_id)
+        named = runs.where(F.col("run_id") == run_id)
+        if not named.take(1):
+            raise ValueError(f"no complete run {run_id} under {root}")
+        return named
     return runs.agg(F.max_by(F.struct("run_id", "wal_lsn", "tables"), "run_id").alias("r")).select("r.*")
 
 
@@ -54,8 +63,9 @@ def file_count(rows: int, per_file: int = ROWS_PER_FILE) -> int:
 
 
 def write_keyed(df: DataFrame, path: str, event_ts: str | None = None) -> None:
-    """Replaces a table; event tables are partitioned by day and rows dealt by it first."""
-    writer = df.withColumn("day", F.to_date(event_ts)).repartition("day") if event_ts else df
+    """Replaces a table; event tables are partitioned by day and rows dealt by it first, a large day to several
+    tasks: adaptive execution sizes them by ``spark.sql.adaptive.advisoryPartitionSizeInBytes``."""
+    writer = df.withColumn("day", F.to_date(event_ts)).hint("rebalance", "day") if event_ts else df.hint("rebalance")
     out = writer.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE)
     (out.partitionBy("day") if event_ts else out).parquet(path)
 
