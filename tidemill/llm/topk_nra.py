@@ -1,19 +1,23 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Every block of candidates keeps one list per component, sorted by value. A query reads each list
-sequentially, from the top where its own component is positive and from the bottom where it is negative,
-in rounds of growing depth. What it has seen gives every candidate a lower and an upper score bound: an
-unseen entry lies between the list's far end and the value last read. Candidates whose upper bound falls
-below the k-th lower bound are outsiders; when a query has no outsider left that could qualify it stops,
-and the reading goes on only to resolve the scores of the rest. Rounds are shared by a block of queries,
-so bounds are matrix products. The k best of all blocks meet by a ranked window per query.
+sequentially, from the top where its own component is positive and from the bottom where it is negative, to a
+depth that doubles from round to round. The entries read give every candidate seen a lower and an upper score
+bound: what it has not shown lies between the list's far end and the value last read. A candidate not seen at
+all has the sum of the values last read as its upper bound, one threshold for them all. Candidates whose upper
+bound falls below the k-th lower bound are outsiders. A query stops as soon as no outsider can qualify, and
+reads on only until it has met every entry of the k that are left; the others read their lists to the end. So
+every score is a sum of entries read. A batch of queries shares the lists, so that bounds are matrix products;
+``nra_top_k`` also tells how many entries each query has read. The k best of all blocks meet by a ranked
+window per query.
 
 The query set meets the table in blocks; no pair leaves a task but the k best per query and block.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; a query
 never finds its own row id; ties go to the smaller id; fewer than k candidates give all of them; repeated
-rows are candidates each; vectors of different lengths are searched among their own; empty tables give an
-empty result.
+rows are candidates each and one query together, and rows that share an id but not a vector are queries each;
+vectors of different lengths are searched among their own; empty tables give an empty result; only the id and
+vector columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,9 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm.memory import released
 from tidemill.session import cut
 
-DEPTHS = (0.125, 0.35, 0.7)
+#: Share of every list that the first round reads; each further round reads to twice the depth.
+FIRST_SHARE = 0.125
 
 
 def _round(values: np.ndarray, order: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
@@ -48,53 +54,76 @@ def _round(values: np.ndarray, order: np.ndarray, depth: int) -> tuple[np.ndarra
     )
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k greatest finite scores, ties to the smaller id, best first."""
+    k = min(k, scores.shape[1])
+    bar = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if k else np.zeros(len(scores))
+    row, column = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return row[keep], column[keep]
+
+
 def nra_top_k(queries: np.ndarray, query_ids: np.ndarray, values: np.ndarray, ids: np.ndarray, k: int):
-    """(query position, candidate position, score) of each query's k best; values are small integers."""
-    n = len(values)
-    order = np.argsort(values, axis=0, kind="stable")
-    exact = queries.astype(np.float64) if np.abs(queries).max(initial=0) * np.abs(values).max(initial=0) * values.shape[1] >= 1 << 24 else queries.astype(np.float32)
-    values = values.astype(exact.dtype)
-    plus, minus = np.maximum(exact, 0), np.minimum(exact, 0)
+    """(query position, candidate position, score) of each query's k best, and the entries that each query read;
+    values are integers."""
+    n, dims = values.shape
+    most = int(np.abs(queries).max(initial=0)) * int(np.abs(values).max(initial=0)) * dims
+    kind = np.float32 if most < 1 << 24 else np.float64
+    exact, held = queries.astype(kind), values.astype(kind)
     own = query_ids[:, None] == ids[None, :]
+    need = np.minimum(k, n - own.sum(axis=1))
+    lists = np.count_nonzero(queries, axis=1)  # those of a zero component say nothing
+    reads = np.zeros(len(queries), np.int64)
+    todo, share = np.arange(len(queries)), FIRST_SHARE
     active = ~own
-    open_queries = np.arange(len(queries))
-    need = min(k, n)
-    for share in DEPTHS:
-        depth = max(1, math.ceil(n * share))
-        low_top, up_top, low_bottom, up_bottom = _round(values, order, depth)
-        p, m = plus[open_queries], minus[open_queries]
-        lower = p @ low_top.T + m @ low_bottom.T
-        upper = p @ up_top.T + m @ up_bottom.T
-        lower[own[open_queries]] = -np.inf
-        if n <= k:
-            break
-        bar = np.partition(lower, n - need, axis=1)[:, n - need]
-        active[open_queries] &= upper >= bar[:, None]  # a tie may still win by its id
-        left = active[open_queries].sum(axis=1)
-        open_queries = open_queries[left > 4 * k]
-        if not len(open_queries):
-            break
-    found = ([], [], [])
-    for q in range(len(queries)):  # read on: resolve the candidates that remain
-        rest = np.flatnonzero(active[q])
-        score = values[rest] @ exact[q]
-        best = np.lexsort((ids[rest], -score))[:k]
-        found[0].append(np.full(len(best), q))
-        found[1].append(rest[best])
-        found[2].append(score[best])
-    return tuple(np.concatenate(x) if x else np.zeros(0) for x in found)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    order = np.argsort(values, axis=0, kind="stable") if n > 2 * k else None
+    while len(todo) and order is not None and (depth := math.ceil(n * share)) < n:
+        low_top, up_top, low_bottom, up_bottom = _round(held, order, depth)
+        plus, minus = np.maximum(exact[todo], 0), np.minimum(exact[todo], 0)
+        lower = plus @ low_top.T + minus @ low_bottom.T
+        upper = plus @ up_top.T + minus @ up_bottom.T
+        lower[own[todo]] = -np.inf
+        bar = np.partition(lower, n - k, axis=1)[:, n - k]
+        active[todo] &= upper >= bar[:, None]  # a tie may still win by its id
+        closed = active[todo].sum(axis=1) <= need[todo]
+        if closed.any():
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
+        for q in todo[closed]:  # read on until every entry of those left has been met
+            left = np.flatnonzero(active[q])
+            deepest = np.where(queries[q] > 0, n - place[left], np.where(queries[q] < 0, place[left] + 1, 0)).max(initial=depth)
+            reads[q] = deepest * lists[q]
+            score = held[left] @ exact[q]
+            best = np.lexsort((ids[left], -score))
+            found.append((np.full(len(left), q), left[best], score[best]))
+        todo, share = todo[~closed], share * 2
+    if len(todo):  # the lists to their ends: all sums are whole
+        scores = exact[todo] @ held.T
+        scores[own[todo]] = -np.inf
+        row, column = _best(scores, ids, k)
+        reads[todo] = n * lists[todo]
+        found.append((todo[row], column, scores[row, column]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), reads
+    a, b, s = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order], s[order], reads
 
 
 def _search(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for dim, q_ids, q_data, c_ids, c_data in zip(*(pdf[c] for c in ("dim", "q_ids", "q_data", "c_ids", "c_data"))):
+            for dim, block, q_ids, q_data, c_ids, c_data in zip(*(pdf[c] for c in ("dim", "q_block", "q_ids", "q_data", "c_ids", "c_data"))):
                 qi, ci = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
                 q = np.frombuffer(q_data, "<i8").reshape(-1, dim)
                 c = np.frombuffer(c_data, "<i8").reshape(-1, dim)
                 for at in range(0, len(q), 128):
-                    a, b, s = nra_top_k(q[at : at + 128], qi[at : at + 128], c, ci, k)
-                    yield pd.DataFrame({"query_id": qi[at : at + 128][a], "vec_id": ci[b], "score": s.astype(np.int64)})
+                    a, b, s, _ = nra_top_k(q[at : at + 128], qi[at : at + 128], c, ci, k)
+                    yield pd.DataFrame({"query_id": qi[at : at + 128][a], "query": (int(dim) << 44) + (int(block) << 24) + at + a, "vec_id": ci[b], "score": s.astype(np.int64)})
 
     return run
 
@@ -140,15 +169,16 @@ def top_k(
     candidates = packed(ints, c_blocks, 1).select(
         "dim", F.col("block").alias("c_block"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data")
     )
-    queries = packed(ints.where(is_query), q_blocks, 2).select(
+    queries = packed(ints.where(is_query).distinct(), q_blocks, 2).select(
         "dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")
     )
     grid = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     pairs = queries.join(grid, ["dim", "q_block"]).repartition("dim", "q_block", "c_block")
-    partial = pairs.select("dim", "q_ids", "q_data", "c_ids", "c_data").mapInPandas(
-        _search(k), "query_id long, vec_id long, score long"
+    partial = pairs.select("dim", "q_block", "q_ids", "q_data", "c_ids", "c_data").mapInPandas(
+        released(_search(k)), "query_id long, query long, vec_id long, score long"
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # ``query`` tells rows that share an id but not a vector apart.
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
