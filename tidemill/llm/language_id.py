@@ -3,20 +3,26 @@
 A text's bytes are cut into fixed-length windows. Bytes are embedded, filters of several widths run over
 every position, the maximum over positions feeds a softmax layer. Windows of all documents of a batch go
 through the network together, and a document's probabilities are the mean over its windows, weighted by
-their bytes. Training uses a bounded sample: at most ``per_language`` documents of each of the
-``most_languages`` commonest languages, the first by a hash of their id, and ``windows_per_doc`` windows spread over each; a class's loss is weighted
-so that languages count alike.
+their bytes.
+
+Training uses a bounded sample: at most ``per_language`` distinct documents of each language, fewer where more
+than ``most_documents / per_language`` languages share ``most_documents`` places, but one of each language at
+least, so no language is left out. They are those with the least hash of id and text; a first scan counts each
+language's distinct hashes, a second takes the rows whose hash lies below the language's share, and repeated
+rows count once. ``windows_per_doc`` windows are spread over each document, and a class's loss is weighted so
+that languages count alike.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 1; without any labelled row
-everything is ``und`` with score 0; repeated rows are judged alike; an empty table gives an empty result;
-only the id, text and label columns are read.
+everything is ``und`` with score 0; repeated rows and ids are learned from once each text and judged each; of
+equally probable languages the first in alphabetical order wins; texts of any length are judged by all their
+windows; an empty table gives an empty result; only the id, text and label columns are read, so other columns
+may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.memory import released
+from tidemill.session import cut
+
 WINDOW = 256
 EMBED = 8
 WIDTHS = (2, 3, 4)
@@ -144,18 +153,40 @@ def cut_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _sample_windows(windows_per_doc: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [])
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out = ([], [], [])
+            for text, lang, h in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = text.encode()
                 spots = np.unique(np.linspace(0, max(0, len(data) - WINDOW), windows_per_doc).astype(int))
                 for s in spots.tolist():
-                    out[0].append(data[s : s + WINDOW])
-                    out[1].append(lang)
-            yield pa.record_batch([pa.array(out[0], pa.binary()), pa.array(out[1], pa.string())], names=["window", "lang"])
+                    for column, value in zip(out, (data[s : s + WINDOW], lang, h)):
+                        column.append(value)
+            yield pa.record_batch([pa.array(out[0], pa.binary()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["window", "lang", "h"])
 
     return run
 
 
+def sample(
+    labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, most_documents: int
+) -> tuple[DataFrame, int] | None:
+    """(text, lang, h) of about as many documents of each language as the second value says, or some more."""
+    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(text_col).alias("text"),
+        F.col(lang_col).alias("lang"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND((1 << 62) - 1).alias("h"),
+    )
+    counted = cut(usable.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")), "languages")
+    languages = counted.count()
+    if not languages:
+        return None
+    quota = max(1, min(per_language, most_documents // languages))
+    # Enough above the quota that the binomial number of hashes below the share hardly ever falls short of it.
+    wanted = 1.1 * quota + 4 * quota**0.5 + 8
+    shares = counted.select("lang", F.least(F.lit(1.0), F.lit(wanted) / F.col("n")).alias("share"))
+    shares = F.broadcast(shares) if languages <= 100_000 else shares
+    some = usable.join(shares, "lang").where(F.col("h") <= F.col("share") * float(1 << 62))
+    return some.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang", "h"), quota
+
+
 def fit(
     labelled: DataFrame,
     id_col: str = "doc_id",
@@ -163,32 +194,33 @@ def fit(
     lang_col: str = "lang",
     per_language: int = 400,
     windows_per_doc: int = 4,
-    most_languages: int = 100,
+    most_documents: int = 40_000,
 ) -> ByteCnn | None:
     """Learns from a bounded sample of ``labelled``; None if it has no usable row."""
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counted = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages)
-    languages = [r[0] for r in counted.collect()]
-    if not languages:
+    found = sample(labelled, id_col, text_col, lang_col, per_language, most_documents)
+    if found is None:
         return None
-    parts = [
-        usable.where(F.col(lang_col) == x).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(per_language) for x in languages
-    ]
-    chosen = reduce(DataFrame.unionAll, parts).distinct()
-    # At most per_language ids a language: a broadcast of proven size.
-    texts = usable.join(F.broadcast(chosen), id_col, "left_semi").select(text_col, lang_col)
-    rows = texts.mapInArrow(_sample_windows(windows_per_doc), "window binary, lang string").toArrow()
+    some, quota = found
+    rows = some.mapInArrow(released(_sample_windows(windows_per_doc)), "window binary, lang string, h long").toArrow()
     if not rows.num_rows:
         return None
+    least: dict[str, list[int]] = {}
+    for lang, h in sorted(set(zip(rows["lang"].to_pylist(), rows["h"].to_pylist()))):
+        least.setdefault(lang, []).append(h)
+    taken = {(lang, h) for lang, own in least.items() for h in own[:quota]}
     # A fixed order, so that the same table gives the same network.
-    pairs = sorted(zip(rows["lang"].to_pylist(), rows["window"].to_pylist()))
-    classes = sorted({lang for lang, _ in pairs})
+    pairs = sorted((lang, w) for lang, h, w in zip(*(rows[c].to_pylist() for c in ("lang", "h", "window"))) if (lang, h) in taken)
+    classes = sorted(least)
+    number = {lang: i for i, lang in enumerate(classes)}
     windows, _ = cut_windows([w for _, w in pairs])
-    return train(windows, np.array([classes.index(lang) for lang, _ in pairs]), classes)
+    return train(windows, np.array([number[lang] for lang, _ in pairs]), classes)
 
 
-def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row of ``docs``."""
+def predict(
+    docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, lang_pred, score) and the columns that ``carry`` names for every row of ``docs``."""
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,9 +241,13 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
                     mean = np.add.reduceat(p, np.cumsum(counts) - counts, axis=0) / np.array([[len(t)] for t in data])
                     for i, k, s in zip(own, mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist()):
                         lang[i], score[i] = model.classes[k], min(1.0, s)
-                yield pa.record_batch([batch.column(0), pa.array(lang), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *batch.columns[2:]],
+                    names=["doc_id", "lang_pred", "score", *carry],
+                )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    taken = docs.select(id_col, text_col, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    return taken.mapInArrow(released(run), ", ".join([f"doc_id {kind}, lang_pred string, score double", *kinds]))
 
 
 def held_out(id_col: str) -> Column:
