@@ -92,3 +92,69 @@ def test_empty_documents(spark, sf_dir, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, sf_dir):
+    """The small documents, some rows that are hard to handle, and columns with the operators' own names."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = docs.where(F.length("text").between(800, 3000) & F.col("lang").isNotNull()).orderBy("doc_id").limit(3).collect()
+    junk = "$$$ !!! BUY NOW ||| 0000 " * 40
+    rows = [
+        (None, good[0].text + " one more sentence to tell them apart", "en", "s", 1), (None, None, None, None, None), (None, "", "en", None, None),
+        (good[1].doc_id, junk, "en", "s", 1), (good[2].doc_id, good[2].text, "en", "s", 1), (900_001, " \t\n ", None, "s", 1),
+        (900_002, good[1].text * 40, "en", "s", 1), (900_003, None, None, None, None),
+    ]
+    more = spark.createDataFrame(rows, docs.select(cp.COLUMNS).schema)
+    both = docs.select(cp.COLUMNS).unionByName(more)
+    clashing = ("id", "row", "words", "features", "score", "lang_pred", "kept", "starts", "ids", "place", "block")
+    return both.selectExpr("*", *[f"{i} as {c}" for i, c in enumerate(clashing)]).cache(), good, junk
+
+
+def test_every_stage_takes_awkward_rows(spark, sf_dir, awkward):
+    docs, _, _ = awkward
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() > 0, name
+        if name != "packing":
+            assert out.columns == cp.COLUMNS, name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+
+
+def test_quality_judges_rows_not_ids(spark, sf_dir, awkward):
+    docs, good, junk = awkward
+    kept = [r.text for r in cp.quality(spark, docs, sf_dir).where(F.col("doc_id") == good[1].doc_id).collect()]
+    assert good[1].text in kept and junk not in kept
+    assert cp.quality(spark, docs, sf_dir).where("doc_id is null and text like '%one more sentence%'").count() == 1
+
+
+def test_language_judges_rows_not_ids(spark, sf_dir, awkward):
+    docs, good, _ = awkward
+    kept = cp.language(spark, docs, sf_dir)
+    assert kept.where("text is null or trim(text) = ''").count() == 0
+    assert kept.where("doc_id is null").count() == 1 and kept.where(F.col("doc_id") == good[2].doc_id).count() == 2
+
+
+def test_near_dedup_keeps_one_row_of_each_class(spark, sf_dir, awkward):
+    docs, good, junk = awkward
+    kept = cp.near_dedup(spark, docs, sf_dir).collect()
+    assert sum(r.doc_id == good[2].doc_id for r in kept) == 1  # a repeated row
+    assert sum(r.text == junk for r in kept) == 1  # another text under a used id
+    assert sum(not (r.text or "").strip() for r in kept) <= 1  # all texts without words are copies of each other
+    assert all(r.doc_id is not None for r in kept if not (r.text or "").strip())
+
+
+def test_passages_keep_null_texts_and_repeated_ids(spark, sf_dir, awkward):
+    docs, good, junk = awkward
+    kept = cp.passages(spark, docs, sf_dir).collect()
+    assert sum(r.text is None for r in kept) == docs.where("text is null").count()
+    assert all(r.n_chars == len(r.text or "") for r in kept)
+    assert sum(r.doc_id == good[2].doc_id for r in kept) == 1  # the repeated row is emptied and goes
+    assert len({r.text for r in kept if r.doc_id == good[1].doc_id}) == 2
+
+
+def test_packing_takes_every_row(spark, sf_dir, awkward):
+    docs, _, _ = awkward
+    pieces = cp.windows(spark, docs, sf_dir)
+    assert pieces.where("start = 0").count() == docs.count()
+    assert pieces.where("doc_tokens = 1").count() == docs.where(F.col("text").isNull() | F.col("text").rlike(r"^\s*$")).count()

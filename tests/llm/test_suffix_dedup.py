@@ -26,8 +26,10 @@ def brute(rows, length=100):
 
 def run(docs, **kw):
     got = suffix_dedup.remove_repeats(docs, **kw).collect()
+    assert not any(r.id == -1 << 63 for r in got)  # null ids stay null; the brute force orders them by this number
     return sorted(
-        (r.id, r.n_bytes, r.n_bytes - len(r.kept), len(r.starts), hashlib.sha256(r.kept).hexdigest()) for r in got
+        (-1 << 63 if r.id is None else r.id, r.n_bytes, r.n_bytes - len(r.kept), len(r.starts), hashlib.sha256(r.kept).hexdigest())
+        for r in got
     )
 
 
@@ -83,3 +85,13 @@ def test_merge_orders_and_counts_prefixes():
 def test_fixture_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert run(docs) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_null_ids_and_carried_columns(spark):
+    text = "".join(chr(97 + i * i % 26) + str(i) for i in range(200))
+    rows = [(None, text, "a"), (None, "no " + text, "b"), (-5, text, "c"), (3, None, None), (4, "", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as id", "2 as ends").coalesce(1)
+    got = suffix_dedup.remove_repeats(docs, carry=("source",)).collect()
+    assert sorted((str(r.id), str(r.source), len(r.kept)) for r in got) == sorted(
+        [("None", "a", len(text)), ("None", "b", 3), ("-5", "c", 0), ("3", "None", 0), ("4", "d", 0)]
+    )

@@ -94,6 +94,27 @@ def test_shards(spark, docs):
     assert sharding.shuffle_to_shards(docs.limit(0)).count() == 0
 
 
+def test_shards_of_repeated_rows_spread(spark):
+    same = spark.range(6000).selectExpr("case when id % 3 = 0 then id else 7 end as doc_id", "'one text for all of these rows' as text").repartition(4)
+    got = sharding.shuffle_to_shards(same, bucket_bytes=4000).collect()
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    hot = [r for r in got if r.doc_id == 7]
+    assert len({r.shard for r in hot}) == 1
+    slots = sorted(r.slot for r in hot)
+    assert max(b - a for a, b in zip(slots, slots[1:])) < 200  # the other rows of the shard lie among them
+
+
+def test_written_shards_read_back(spark, docs, tmp_path):
+    sharded = sharding.shuffle_to_shards(docs, shards=3)
+    sharding.write_shards(sharded, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    key = lambda r: (r.shard, r.slot)
+    assert [(r.shard, r.slot, r.doc_id, r.text) for r in sorted(back.collect(), key=key)] == [
+        (r.shard, r.slot, r.doc_id, r.text) for r in sorted(sharded.collect(), key=key)
+    ]
+
+
 def test_shards_are_shuffled_and_even(spark):
     many = spark.range(4000).selectExpr("id as doc_id", "cast(id as string) as text")
     rows = sharding.shuffle_to_shards(many, bucket_bytes=2000).collect()
@@ -148,6 +169,50 @@ def test_language_edge_cases(spark, docs):
     assert language_id.predict(labelled.limit(0), model).count() == 0
 
 
+def test_language_sample_is_bounded(spark):
+    rows = [(7, "the same words again", "aa")] * 300 + [(i, f"text {i} of many", "bb") for i in range(3000)]
+    rows += [(9000 + i, f"lone {i}", f"l{i}") for i in range(150)] + [(1, None, "aa"), (2, "", "aa"), (3, "12", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    some, quota = language_id.sample(df, "doc_id", "text", "lang", 3, 40_000)
+    found = some.collect()
+    assert quota == 3 and sum(r.lang == "aa" for r in found) == 1  # one text, however often it occurs
+    assert 3 <= sum(r.lang == "bb" for r in found) < 60
+    assert {r.lang for r in found} >= {f"l{i}" for i in range(150)}  # no language is left out
+    assert language_id.sample(df, "doc_id", "text", "lang", 400, 200)[1] == 1
+    model = language_id.fit(df, per_language=3)
+    assert len(model.classes) == 152
+
+
+def test_language_equals_a_plain_forward_pass(spark):
+    rng = np.random.default_rng(4)
+    windows = rng.integers(1, 255, (40, language_id.WINDOW)).astype(np.uint8)
+    model = language_id.train(windows, rng.integers(0, 2, 40), ["aa", "bb"], epochs=1)
+    texts = ["plain words", "x" * 700, "Éa été " * 60]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        total = np.zeros(2)
+        for at in range(0, len(data), language_id.WINDOW):
+            part = data[at : at + language_id.WINDOW]
+            x = np.concatenate([model.embed[list(part.ljust(language_id.WINDOW, b"\0"))], np.zeros((3, language_id.EMBED))])
+            peaks = np.array([max((x[p : p + 4].ravel() @ model.filters[:, f]) for p in range(language_id.WINDOW)) for f in range(model.filters.shape[1])])
+            z = np.maximum(peaks + model.bias, 0) @ model.dense + model.dense_bias
+            total += len(part) * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        p = total / len(data)
+        assert got[i].lang_pred == ["aa", "bb"][int(p.argmax())] and abs(got[i].score - p.max()) < 1e-4
+
+
+def test_quality_equals_a_plain_rescore(spark, docs):
+    labels = spark.createDataFrame([(3, 1), (10, 1), (16, 0), (17, 0)], "doc_id long, quality int")
+    table = quality_ranker.feature_table(docs, carry=("text",))
+    everyone = ~quality_ranker.held_out("doc_id") | quality_ranker.held_out("doc_id")
+    model = quality_ranker.fit(table, labels, everyone)
+    for r in quality_ranker.score(table, model).join(table.select("doc_id", "features").distinct(), "doc_id").collect():
+        z = model.raw(np.array([r.features], np.float64))[0] - model.cut_at + np.log(model.keep_at / (1 - model.keep_at))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+        assert r.text == TEXTS[r.doc_id]
+
+
 def test_quality_held_out_accuracy(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     got = catalog.op8_quality_ranker(spark, sf_dir).join(labels, "doc_id").where("held_out").collect()
@@ -174,3 +239,27 @@ def test_bpe_query_on_fixture(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = catalog.op9_byte_bpe(spark, sf_dir).collect()
     assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in docs.items()}
+
+
+def test_packing_query_on_fixture(spark, sf_dir):
+    """Every piece's checksum against the tokenizer's own ids, and the real capacity."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = catalog.op5_packing(spark, sf_dir).collect()
+    loads = {}
+    for r in got:
+        ids = np.array(tokenizer.encode(docs[r.doc_id] or "", add_special_tokens=False).ids + [2], "<u4")
+        assert (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes())) == (r.doc_tokens, r.ids_crc32)
+        loads.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0) and {r.doc_id for r in got} == set(docs)
+    for own in loads.values():
+        own.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[0][0] == 0 and own[-1][0] + own[-1][1] <= 4096
+
+
+def test_packing_deals_repeated_rows_apart(spark):
+    many = spark.range(3000).selectExpr("1 as doc_id", "'one and the same text' as text").repartition(3)
+    got = packing.pack(many, WORDS, capacity=64, block_pieces=100).groupBy("sequence_id").sum("length").collect()
+    blocks = {r.sequence_id >> 24 for r in got}
+    assert len(blocks) > 20 and sum(r[1] for r in got) == 3000 * 6

@@ -151,12 +151,71 @@ def test_top_k_of_empty_table_and_ties(spark):
     assert got == brute_top(same, 3, 10)
 
 
-def test_rounds_stop_early():
-    rng = random.Random(0)
-    values = np.array([[rng.randint(-30, 30) for _ in range(8)] for _ in range(500)])
-    queries = values[:6]
-    a, b, s = topk_nra.nra_top_k(queries, np.arange(6), values, np.arange(500), 4)
-    for q in range(6):
+def check_search(queries, values, k):
+    ids = np.arange(len(values))
+    a, b, s, reads = topk_nra.nra_top_k(queries, ids[: len(queries)], values, ids, k)
+    for q in range(len(queries)):
         scores = values @ queries[q]
-        want = sorted((-scores[i], i) for i in range(500) if i != q)[:4]
+        want = sorted((-scores[i], i) for i in ids if i != q)[:k]
         assert [(-x, y) for x, y in zip(s[a == q].astype(int), b[a == q])] == want
+    return reads
+
+
+def test_lists_are_read_to_the_end_where_nothing_can_be_ruled_out():
+    rng = random.Random(0)
+    values = np.array([[rng.randint(-30, 30) for _ in range(8)] for _ in range(500)])
+    reads = check_search(values[:6], values, 4)
+    assert (reads <= 8 * 500).all() and reads.max() == 8 * 500
+
+
+def test_reading_stops_where_the_best_lead_every_list():
+    rng = np.random.default_rng(1)
+    level = np.floor(1e6 / (1 + np.arange(4000)) ** 1.5)
+    values = (level[:, None] * rng.uniform(0.9, 1.1, (4000, 6))).astype(np.int64)
+    values = values[rng.permutation(4000)]
+    queries = np.abs(values[:20]) % 7 + 1
+    queries[3, 2] = 0
+    queries[4] = 0
+    reads = check_search(queries, values, 5)
+    # The first round, an eighth of each list, decides; a query without a component has nothing to read.
+    lists = np.count_nonzero(queries, axis=1)
+    assert (reads == lists * 500)[[i for i in range(20) if i != 4]].all() and reads[4] == 0
+    assert check_search(-queries, -values, 5).max() == 500 * 6
+
+
+def test_repeated_query_rows_give_distinct_rows(spark):
+    data = rows() + [rows()[0], (20, rows()[7][1], 0, 0, "", 0)]
+    got = topk_nra.top_k(spark.createDataFrame(data, SCHEMA), k=20, query_every=20, block_rows=32, query_rows=3).collect()
+    of = lambda q: sorted((r["rank"], r.vec_id) for r in got if r.query_id == q)
+    assert [n for n, _ in of(0)] == list(range(1, 21)) and len({v for _, v in of(0)}) == 20
+    assert [n for n, _ in of(20)] == sorted([*range(1, 21)] * 2)  # two vectors under one id are two queries
+
+
+def test_text_labels_and_doubles(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((300, 4))
+    data = [(i, [float(x) for x in base[i % 300] + rng.standard_normal(4) * 1e-3], "a") for i in range(600)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label string").selectExpr("*", "1 as filter", "2 as packed")
+    got = {r.vec_id: r for r in sphere_filters.near_duplicate_vectors(df).collect()}
+    links = brute_links(data)
+    assert all(r.n_links > 0 for r in got.values())
+    assert sum(r.n_links for r in got.values()) >= 0.98 * sum(map(len, links.values()))
+
+
+def test_recall_in_every_dimension():
+    rng = np.random.default_rng(15)
+    for dim in (4, 8, 16, 64):
+        for rows_ in (10_000, 1_000_000, 100_000_000):
+            codes = sphere_filters.choose_codes(dim, rows_, 0.93, 0.005)
+            if not codes:
+                continue  # exact block pairs
+            x, noise = rng.standard_normal((2, 200, dim))
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            noise -= (noise * x).sum(axis=1, keepdims=True) * x
+            noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+            arrays = [c.arrays() for c in codes]
+            sets = []
+            for m in (x, 0.93 * x + math.sqrt(1 - 0.93**2) * noise):
+                row, ids = sphere_filters.all_filters(m, codes, arrays)
+                sets.append([set(ids[row == i]) for i in range(len(m))])
+            assert np.mean([bool(a & b) for a, b in zip(*sets)]) >= 0.97, (dim, rows_)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.session import cut
+from tidemill.session import cut_at, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,11 +23,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) of any orderable type -> (node, component), component = smallest node reachable.
 
-    Every round is written to the shared folder; only a row count and a checksum reach the driver. Hub
-    rows come from joins that adaptive execution can split. No edges give no rows.
+    Every round is written to the shared folder and the one before deleted; only a row count and a checksum
+    reach the driver. No edges give no rows; an edge with a null end links nothing; repeated edges and loops
+    change nothing.
     """
+    spark = edges.sparkSession
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = cut(now, "edges")
+    now, path = cut_at(now, "edges")
     seen = None
     while True:
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -35,7 +37,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         # Smaller neighbours first: it gathers a node's many links to one before any join over both directions.
-        now = cut(_large_star(_small_star(now)), "edges")
+        before = path
+        now, path = cut_at(_large_star(_small_star(now)), "edges")
+        discard(spark, before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
