@@ -14,9 +14,14 @@ label are compared in exact block pairs. Equal vectors collapse first, and a
 bucket beyond ``block_rows`` meets itself in block pairs. Counts leave a task per vector and links as a
 spanning forest, never as all pairs.
 
+Keys travel narrow, as a filter's 32-bit hash (two filters with one hash only make more candidates); vectors
+join the cells that have something to compare, packed, in the width of the input.
+
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null
 label, link with nothing and keep themselves; repeated rows count as links of each other; vectors of
-another length than ``dim`` are compared among themselves only; an empty table gives an empty result.
+different lengths are compared among their own only; labels may be of any type that Spark can group by; an
+empty table gives an empty result; only the id, vector and label columns are read, so other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import connected_components
+from tidemill.llm.memory import released
 from tidemill.llm.simhash import _roots
 from tidemill.session import cut
 
@@ -78,8 +84,9 @@ def choose_code(dim: int, share: float, cosine: float, filters: float = 1.6) ->
     return ProductCode(dim, blocks, math.ceil(count ** (1 / blocks)), threshold)
 
 
-def hit_rate(code: ProductCode, cosine: float, pairs: int = 2000) -> float:
+def hit_rate(code: ProductCode, cosine: float) -> float:
     """Simulated share of pairs at ``cosine`` that have a filter in common."""
+    pairs = 2000 if code.blocks < 3 else 400
     rng = np.random.default_rng(29)
     x, z = rng.standard_normal((2, pairs, code.dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -93,15 +100,22 @@ def hit_rate(code: ProductCode, cosine: float, pairs: int = 2000) -> float:
     return len(np.unique(np.intersect1d(*found) // code.words**code.blocks)) / pairs
 
 
+#: Filters of one code that a vector may belong to on average; caps so small that it takes more are not used.
+MOST_FILTERS = 64
+
+
 def choose_codes(dim: int, rows: int, cosine: float, miss: float, most: int = 64, bucket: float = 8) -> list[ProductCode]:
     """As many codes as leave a pair at ``cosine`` without a common filter with probability ``miss``.
 
-    Caps start at about bucket / rows and grow until ``most`` codes suffice. No codes means that comparing
+    Caps start at about bucket / rows and grow until ``most`` codes of at most MOST_FILTERS filters a vector suffice. No codes means that comparing
     all pairs costs less, or that no codes reach ``miss``.
     """
     share = min(1 / 32, bucket / max(rows, 1))
     while dim > 3 and share <= 1 / 8:
         code = choose_code(dim, share, cosine)
+        if code.words**code.blocks * share > MOST_FILTERS:
+            share *= 2
+            continue
         found = min(0.99, hit_rate(code, cosine))
         count = max(1, math.ceil(math.log(miss) / math.log(1 - found))) if found >= 0.02 else most + 1
         if count <= most:
@@ -112,6 +126,10 @@ def choose_codes(dim: int, rows: int, cosine: float, miss: float, most: int = 64
     return []
 
 
+#: Partial sums that decoding extends at a time, which bounds its memory.
+DECODE_CELLS = 1 << 21
+
+
 def decode(units: np.ndarray, code: ProductCode, arrays: tuple) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter id) for every filter that a row of ``units`` exceeds."""
     rotation, codes = arrays
@@ -124,17 +142,17 @@ def decode(units: np.ndarray, code: ProductCode, arrays: tuple) -> tuple[np.ndar
     sums = np.zeros(len(units))
     for k, p in enumerate(products):
         rest = sum(reach[k + 1 :], np.zeros(len(units)))
-        sums = sums[:, None] + p[row]
-        at, word = np.nonzero(sums >= (code.threshold - rest[row])[:, None])
-        sums, ids, row = sums[at, word], ids[at] * code.words + word, row[at]
+        kept = []
+        for a in range(0, len(row), slab := max(1, DECODE_CELLS // code.words)):
+            own = row[a : a + slab]
+            longer = sums[a : a + slab, None] + p[own]
+            at, word = np.nonzero(longer >= (code.threshold - rest[own])[:, None])
+            kept.append((longer[at, word], ids[a : a + slab][at] * code.words + word, own[at]))
+        if kept:
+            sums, ids, row = (np.concatenate(x) for x in zip(*kept))
     return row, ids
 
 
-def _units(vectors: pd.Series, dim: int) -> np.ndarray:
-    x = np.array(vectors.tolist(), dtype=np.float64).reshape(-1, dim)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def all_filters(units: np.ndarray, codes: list[ProductCode], arrays: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter id) over all codes, ordered by row and filter."""
     rows, ids = [], []
@@ -147,8 +165,15 @@ def all_filters(units: np.ndarray, codes: list[ProductCode], arrays: list[tuple]
     return row[order], filters[order]
 
 
-def _filters(codes: list[ProductCode]):
-    dim = codes[0].dim
+def _hashed(row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 32-bit hash of the filter), each once, in order."""
+    short = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    both = np.unique((row.astype(np.uint64) << np.uint64(32)) | short)
+    return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
+def _filters(codes: list[ProductCode], dim: int, width: str):
+    """Rows with their packed vector and filters; without codes all share one filter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         arrays = [c.arrays() for c in codes]
@@ -157,44 +182,48 @@ def _filters(codes: list[ProductCode]):
                 part = pdf.iloc[at : at + 512].reset_index(drop=True)
                 if not len(part):
                     continue
-                row, ids = all_filters(_units(part["vector"], dim), codes, arrays)
+                x = np.array(part["vector"].tolist(), dtype=np.float64).reshape(-1, dim)
+                if codes:
+                    row, short = _hashed(*all_filters(x / np.linalg.norm(x, axis=1, keepdims=True), codes, arrays))
+                else:
+                    row, short = np.arange(len(part)), np.zeros(len(part), np.int32)
                 bounds = np.searchsorted(row, np.arange(len(part) + 1))
-                part["filters"] = [ids[bounds[i] : bounds[i + 1]] for i in range(len(part))]
-                yield part
+                lists = [short[a:b] for a, b in zip(bounds, bounds[1:])]
+                part["vector"] = [v.tobytes() for v in x.astype(width)]
+                yield part.assign(filters=lists, packed=[f.tobytes() for f in lists])
 
     return run
 
 
-def _first_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """The smallest filter that both lists of each pair hold."""
-    width = max(max(map(len, a)), max(map(len, b)))
+def _padded(packed: np.ndarray) -> np.ndarray:
+    """Packed filter lists as rows of one array; the padding is wider than any hash."""
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    out = np.full((len(packed), int(sizes.max(initial=0))), 1 << 40, np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(packed), "<i4")
+    return out
 
-    def pad(lists: list[np.ndarray], fill: int) -> np.ndarray:
-        out = np.full((len(lists), width), fill, dtype=np.int64)
-        for i, x in enumerate(lists):
-            out[i, : len(x)] = x
-        return out
 
-    fa, fb = pad(a, -1), pad(b, -2)
-    found = np.full(len(fa), -1, dtype=np.int64)
-    todo = np.arange(len(fa))
-    for c in range(width):
-        hit = (fb[todo] == fa[todo, c][:, None]).any(axis=1)
-        found[todo[hit]] = fa[todo[hit], c]
+def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first filter of each row of ``a`` that the same row of ``b`` holds too; every pair has one."""
+    found = np.empty(len(a), np.int64)
+    todo = np.arange(len(a))
+    for c in range(a.shape[1]):
+        hit = (b[todo] == a[todo, c][:, None]).any(axis=1) & (a[todo, c] < 1 << 40)
+        found[todo[hit]] = a[todo[hit], c]
         todo = todo[~hit]
         if not len(todo):
             break
     return found
 
 
-def _compare(cosine: float, dim: int):
+def _compare(cosine: float, dim: int, width: str):
     """Sorted cells -> per vector the number of linked others (weighted) and one forest edge or none."""
 
     def cell_links(pdf: pd.DataFrame) -> pd.DataFrame | None:
         cell, side = pdf["cell"].to_numpy(), pdf["side"].to_numpy()
         rep, weight = pdf["rep"].to_numpy(), pdf["weight"].to_numpy()
-        fid, lists = pdf["filter"].to_numpy(), pdf["filters"].to_numpy()
-        raw = np.array(pdf["vector"].tolist(), dtype=np.float64).reshape(-1, dim)
+        fid, lists = pdf["filter"].to_numpy().astype(np.int64), _padded(pdf["packed"].to_numpy())
+        raw = np.frombuffer(b"".join(pdf["vector"]), width).reshape(-1, dim).astype(np.float64)
         norm = np.linalg.norm(raw, axis=1)
         count = np.zeros(len(pdf), dtype=np.int64)
         left, right = [], []
@@ -211,7 +240,7 @@ def _compare(cosine: float, dim: int):
                 p, q = p[near], q[near]
                 if not len(p):
                     continue
-                once = _first_common(list(lists[p]), list(lists[q])) == fid[p]
+                once = _first_common(lists[p], lists[q]) == fid[p]
                 p, q = p[once], q[once]
                 np.add.at(count, p, weight[q])
                 np.add.at(count, q, weight[p])
@@ -267,6 +296,8 @@ def near_duplicate_vectors(
     classes = cut(
         live.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vector-classes"
     )
+    kind = classes.schema["label"].dataType.simpleString()
+    width = "<f4" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
     shape = classes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()
     dims = {r["dim"]: r["n"] for r in shape}
     links = None
@@ -274,12 +305,9 @@ def near_duplicate_vectors(
         label_rows = classes.where(F.size("vector") == dim).groupBy("label").count().agg(F.max("count")).first()[0]
         codes = choose_codes(dim, label_rows, cosine, miss)
         own = classes.where(F.size("vector") == dim).select("label", "vector", "rep", "weight")
-        if codes:
-            listed = own.repartition("rep").mapInPandas(
-                _filters(codes), "label int, vector array<double>, rep long, weight long, filters array<long>"
-            )
-        else:  # one filter that all share: the label meets itself in block pairs
-            listed = own.withColumn("filters", F.array(F.lit(0).cast("long")))
+        listed = own.repartition("rep").mapInPandas(
+            released(_filters(codes, dim, width)), f"label {kind}, vector binary, rep long, weight long, filters array<int>, packed binary"
+        )
         listed = cut(listed, "vector-filters")
         # Keys travel narrow; vectors join the cells that have something to compare.
         keyed = listed.select("label", "rep", F.explode("filters").alias("filter"))
@@ -295,12 +323,12 @@ def near_duplicate_vectors(
                 "rep",
                 "filter",
             )
-            .join(listed.select("rep", "weight", "filters", "vector"), "rep")
+            .join(listed.select("rep", "weight", "packed", "vector"), "rep")
         )
         found = (
             cells.repartition("cell")
             .sortWithinPartitions("cell", "rep")
-            .mapInPandas(_compare(cosine, dim), "rep long, n long, other long")
+            .mapInPandas(released(_compare(cosine, dim, width)), "rep long, n long, other long")
         )
         links = found if links is None else links.unionAll(found)
     if links is None:
