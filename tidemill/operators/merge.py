@@ -126,5 +126,5 @@ def read_version(spark: SparkSession, root: str, number: int | None = None) -> D
 
 
 def overwrite_days(df: DataFrame, path: str, key: str = "date_key") -> None:
-    """Replaces the days that ``df`` holds and leaves the others."""
+    """Replaces the days, or whatever ``key`` partitions by, that ``df`` holds and leaves the others."""
     df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

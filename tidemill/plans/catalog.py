@@ -727,6 +727,14 @@ def mart_reconciles(t: Tables) -> DataFrame:
     return every.select("mart", "name", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in ("mart_total", "fact_total")])
 
 
+@query(" UNION ".join(
+    f"SELECT {SQL_DAY.format('f.' + SQL_PARTS[p][1])} AS date_key, md5(f.campaign_id) AS campaign_key FROM {{{SQL_PARTS[p][0]}}} f" for p in ALL
+), written=DELIVERY)
+def mart_grain(t: Tables) -> DataFrame:
+    """Every day and campaign that any fact holds."""
+    return marts.grain_of(list(fact_tables(t).values()), ["date_key", "campaign_key"])
+
+
 #: A mart with planted faults: rows of some days carry a rate too many, too much spend, or too many viewable impressions.
 SQL_FAULTY = f"""SELECT * REPLACE (CASE WHEN date_key % 7 = 0 THEN spend + 1 ELSE spend END AS spend,
       CASE WHEN date_key % 5 = 0 THEN measured_impressions + 1 ELSE viewable_impressions END AS viewable_impressions,
@@ -761,20 +769,21 @@ def mart_invariants(t: Tables) -> DataFrame:
 
 @query(sql_mart("campaign", ALL), written=DELIVERY)
 def mart_increment(t: Tables) -> DataFrame:
-    """The campaign mart as of a time when the newest days had only half of their events, then its trailing days
-    computed anew and put in the place of the old ones."""
+    """The campaign mart as of a time when the newest days had only half of their events, then the months of its
+    trailing days computed anew and put in the place of the old ones."""
     spark = t["impressions"].sparkSession
     path = f"{shared_dir(spark)}/mart-{uuid.uuid4().hex}"
     r = {n: f.withColumn("late", F.pmod(F.xxhash64(f.columns[0]), F.lit(2)) == 0) for n, f in resolved(t).items()}
     newest = reduce(DataFrame.unionAll, [f.select("date_key") for f in r.values()]).agg(F.max("date_key")).first()[0]
     if newest is None:
         return all_doubles(marts.with_rates(build_mart(t, "campaign", ALL)))
-    floor = spark.range(1).select(S.date_key_lookback(F.lit(newest), 3)).first()[0]
+    floor = spark.range(1).select(S.date_key_lookback(F.lit(newest), 3)).first()[0] // 100 * 100
     early = {n: f.where(~F.col("late") | (F.col("date_key") < floor)) for n, f in r.items()}
-    merge.overwrite_days(build_mart(t, "campaign", ALL, early), path)
     again = {n: f.where(F.col("date_key") >= floor) for n, f in r.items()}
-    merge.overwrite_days(build_mart(t, "campaign", ALL, again), path)
-    return all_doubles(marts.with_rates(spark.read.parquet(path)))
+    for rows in (early, again):
+        mart = build_mart(t, "campaign", ALL, rows)
+        merge.overwrite_days(mart.withColumn("month_key", F.floor(F.col("date_key") / 100)), path, "month_key")
+    return all_doubles(marts.with_rates(spark.read.parquet(path).drop("month_key")))
 
 
 @query(f"""WITH k AS (SELECT {SQL_DAY.format("impression_timestamp")} AS date_key, impression_timestamp FROM {{impressions}})
