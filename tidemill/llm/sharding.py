@@ -1,14 +1,16 @@
 """Shuffled shards by a two-pass external shuffle.
 
 Pass one scatters records into memory-sized buckets by seeded hashes (shard by rendezvous hashing of the
-id, bucket by another hash). Pass two orders each bucket, runs Spark's Fisher-Yates ``shuffle`` over it
-and numbers its records; bucket offsets make the numbers gapless within a shard.
+id, bucket by another hash of the record and its place in the input, so that repeated rows spread over the
+buckets). Pass two orders each bucket, runs Spark's Fisher-Yates ``shuffle`` over it and numbers its records;
+bucket offsets, counted from the same exchange, make the numbers gapless within a shard.
 
 Law ``key``: the shard depends on the id and the shard count alone. With one more shard a record stays or
 moves to the new shard, since rendezvous hashing keeps the scores of the old ones.
 
 Defined results: a null text has size 1 and checksum 0; a null id is hashed like any other value; repeated
-rows each get a slot of their own; an empty table gives an empty result. ``carry`` names further columns
+rows each get a slot of their own; texts of any length are records like others; the same files in the same
+layout give the same slots, another layout other ones in the same shards; an empty table gives an empty result. ``carry`` names further columns
 to take along; input columns named like the operator's own (``size``, ``shard``, ``slot``, ...) are
 replaced by them.
 """
@@ -50,22 +52,20 @@ def shuffle_to_shards(
     record = F.struct(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(extra)]
     )
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(text_col), F.monotonically_increasing_id()), F.lit(buckets))
+    # Never null, and known as such: a filter on one branch alone would keep the two from sharing the exchange.
     placed = docs.select(
-        rendezvous(F.col(id_col), shards, seed).alias("shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(text_col)), F.lit(buckets)).cast("int").alias("bucket"),
+        F.coalesce(rendezvous(F.col(id_col), shards, seed), F.lit(0)).alias("shard"),
+        F.coalesce(bucket.cast("int"), F.lit(0)).alias("bucket"),
         record.alias("record"),
     )
     filled = placed.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list("record")).alias("records"))
-    filled = filled.sortWithinPartitions("shard", "bucket").select(
-        "shard", "bucket", F.shuffle("records", seed).alias("records")
-    )
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("shard", "bucket")
-        .agg(F.count("*").alias("n"))
-        .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    offsets = filled.select("shard", "bucket", F.size("records").cast("long").alias("n")).select(
+        "shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
     )
-    out = filled.join(offsets, ["shard", "bucket"]).select("shard", "base", F.posexplode("records").alias("at", "r"))
+    shuffled = filled.select("shard", "bucket", F.shuffle("records", seed).alias("records"))
+    out = shuffled.join(offsets, ["shard", "bucket"]).select("shard", "base", F.posexplode("records").alias("at", "r"))
     text = F.col("r.text")
     return out.select(
         F.col("r.id").alias(id_col),
