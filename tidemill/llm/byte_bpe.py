@@ -26,6 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from tidemill.llm.distinct_words import encode_corpus, refiner
+from tidemill.llm.memory import released
 
 #: Where cutting before a space is not safe: white space next to a space.
 UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]| $"
@@ -108,4 +109,4 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "de
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, out_col])
 
-    return coded.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in coded.schema)}, {out_col} binary")
+    return coded.mapInArrow(released(run), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in coded.schema)}, {out_col} binary")

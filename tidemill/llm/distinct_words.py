@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.memory import release, released
 from tidemill.llm.rolling import Roller
 
 #: Text array -> list array of chunks.
@@ -179,7 +180,7 @@ def _blocks(make, cutter: Cutter, refine: Refiner, buckets: int):
                 ids, texts = batch.column(0)[at:end], batch.column(1)[at:end]
                 yield make(_name(partition, number, ids, texts), texts, cutter, refine, buckets, ids)
                 number += 1
-                pa.default_memory_pool().release_unused()
+                release()
                 at = end
 
     return run
@@ -301,11 +302,11 @@ def encode_corpus(
     # Vocabulary grows slower than text: buckets by the square root keep a bucket's words in memory.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(math.sqrt(total / (1 << 20))))
     kind = "block long, bucket int, blob binary"
-    words = slim.mapInArrow(_blocks(_word_rows, cutter, refine, buckets), kind)
+    words = slim.mapInArrow(released(_blocks(_word_rows, cutter, refine, buckets)), kind)
     words = words.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    coded = words.mapInArrow(_encode(factory), kind)
-    bodies = slim.mapInArrow(_blocks(_body_row, cutter, refine, buckets), kind)
+    coded = words.mapInArrow(released(_encode(factory)), kind)
+    bodies = slim.mapInArrow(released(_blocks(_body_row, cutter, refine, buckets)), kind)
     both = bodies.unionAll(coded).repartition("block").sortWithinPartitions("block", "bucket")
     id_type = slim.schema["id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
-    return both.mapInArrow(_assemble(arrow), f"id {id_type}, ids binary, place long")
+    return both.mapInArrow(released(_assemble(arrow)), f"id {id_type}, ids binary, place long")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.distinct_words import _spread, encode_corpus, refiner
+from tidemill.llm.memory import released
 
 
 def _merge(a: tuple, b: tuple, windows: int, children: list) -> tuple:
@@ -210,7 +211,7 @@ def pack(
     coded = encode_corpus(docs, pc.ascii_split_whitespace, refiner(LETTERS, pc.utf8_lower, split_chunk), _word_encoder(tokenizer_path), id_col, text_col)
     kind = coded.schema["id"].dataType.simpleString()
     pieces = coded.mapInArrow(
-        _pieces(capacity, end_id), f"doc_id {kind}, start long, length long, doc_tokens long, place long, packed binary"
+        released(_pieces(capacity, end_id)), f"doc_id {kind}, start long, length long, doc_tokens long, place long, packed binary"
     )
     # The place deals repeated rows apart.
     block = F.pmod(F.xxhash64(F.lit(5), "doc_id", "start", "place"), F.lit(blocks))

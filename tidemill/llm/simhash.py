@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidemill.llm.components import connected_components
+from tidemill.llm.memory import released
 from tidemill.session import cut
 
 SEED = 42
@@ -194,7 +195,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 2, block_rows: int = 1024) -
         )
     )
     ordered = cells.repartition("cell").sortWithinPartitions("cell", "fp")
-    return ordered.mapInPandas(_link_sorted(radius), "u long, v long").distinct()
+    return ordered.mapInPandas(released(_link_sorted(radius)), "u long, v long").distinct()
 
 
 def near_duplicate_classes(

@@ -19,9 +19,10 @@ more than ``hot`` times is replaced by the windows around it, which are dealt by
 common passage never gathers its documents in one task. Later exact copies of a text are known by digest
 in the first exchange, removed whole, and need no suffixes.
 
-Defined results: a null text is empty; texts shorter than ``length`` keep all; of rows with one id the
-later in storage order count as later copies; an empty table gives an empty result; only id and text are
-read.
+Defined results: a null text is empty; a null id stays null and counts as smaller than any other; texts
+shorter than ``length`` keep all, longer ones are taken whole; of rows with one id the later in storage order
+count as later copies; an empty table gives an empty result; only id, text and the columns that ``carry``
+names are read, so other columns may have any name, and a carried one is put out under its own.
 """
 
 from __future__ import annotations
@@ -40,12 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.distinct_words import _expand, _planes, _runs, _squeeze, _unplanes
+from tidemill.llm.memory import release, released
 from tidemill.llm.rolling import Roller
 from tidemill.session import cut
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 19
 BODY, COPIES, SEEDS, WINDOWS = -1, 0, 1, 2
+NO_ID = -(1 << 63)  # the place of null ids in the order
 ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 ROWS_DDL = "block long, bucket int, kind int, blob binary"
 
@@ -156,8 +159,10 @@ def _by_bucket(short: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
 
 
 def _first_pass(plan: Plan):
-    def block_rows(block: int, ids: pa.Array, texts: list[bytes], roller: Roller) -> pa.RecordBatch:
-        rows = [(BODY, BODY, _squeeze(pa.table({"id": ids, "text": pa.array(texts, pa.binary())})))]
+    def block_rows(block: int, ids: pa.Array, texts: list[bytes], carried: pa.RecordBatch, roller: Roller) -> pa.RecordBatch:
+        body = pa.table({"id": ids, "text": pa.array(texts, pa.binary())} | {f"c{i}": c for i, c in enumerate(carried.columns[2:])})
+        rows = [(BODY, BODY, _squeeze(body))]
+        ids = ids.fill_null(NO_ID)
         digests = np.array([hashlib.sha256(t).digest() for t in texts], dtype="S32")
         key = np.frombuffer(b"".join(d.ljust(32, b"\0") for d in digests.tolist()), "<u8").reshape(-1, 4)
         bucket = _deal(key[:, 0], plan.buckets)
@@ -178,7 +183,7 @@ def _first_pass(plan: Plan):
         roller = Roller(CHUNK_BYTES * 2 + 2 * plan.length)
         made = 0
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).fill_null(-(1 << 63))
+            ids = batch.column(0).cast(pa.int64())
             texts = batch.column(1).cast(pa.binary()).fill_null(b"")
             sizes = np.cumsum(pc.binary_length(texts).to_numpy())
             at = 0
@@ -186,7 +191,8 @@ def _first_pass(plan: Plan):
                 end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK_BYTES)))
                 block = (TaskContext.get().partitionId() << 32) + made
                 made += 1
-                yield block_rows(block, ids[at:end], texts[at:end].to_pylist(), roller)
+                yield block_rows(block, ids[at:end], texts[at:end].to_pylist(), batch.slice(at, end - at), roller)
+                release()
                 at = end
 
     return run
@@ -285,7 +291,7 @@ def _front_decode(lcp: np.ndarray, tails: bytes, width: int) -> np.ndarray:
 
 def _sorted_runs(block: int, body: pa.Table, marks: list[dict], roller: Roller, plan: Plan) -> Iterator[pa.RecordBatch]:
     texts = body["text"].to_pylist()
-    ids = body["id"].to_numpy()
+    ids = body["id"].fill_null(NO_ID).to_numpy()
     doc, at, short = _block_seeds(texts, roller, plan)
     _, counts, runs, place = _by_bucket(short, plan.buckets)
     status = np.zeros(len(counts), np.uint8)
@@ -358,6 +364,7 @@ def _second_pass(plan: Plan):
         roller = Roller(CHUNK_BYTES * 2 + 2 * plan.length)
         for (block,), rows in _grouped(batches, "block"):
             yield from _sorted_runs(block, _expand(rows[0]["blob"]), rows[1:], roller, plan)
+            release()
 
     return run
 
@@ -533,11 +540,19 @@ def _trim(text: bytes, a: int, b: int) -> bytes:
     return text[a:b]
 
 
-def _remove(whole: bool):
+def _remove(whole: bool, carry: tuple[str, ...]):
     schema = pa.schema([
         ("id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary()),
     ])
 
+    def batch_of(out: list[list], body: pa.Table, end: int) -> pa.RecordBatch:
+        """The rows made last, up to ``end``, with the columns that they carry."""
+        made = [pa.array(c, f.type) for c, f in zip(out, schema)]
+        carried = body.slice(end - len(out[0]), len(out[0])).combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [*made, *(carried[f"c{i}"].chunk(0) for i in range(len(carry)))], names=[*schema.names, *carry]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "block"):
             body = _expand(rows[0]["blob"])
@@ -562,10 +577,10 @@ def _remove(whole: bool):
                     column.append(value)
                 size += len(kept)
                 if size > 2 << 20:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                    yield batch_of(out, body, i + 1)
                     out, size = [[], [], [], [], []], 0
             if out[0]:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                yield batch_of(out, body, body.num_rows)
 
     return run
 
@@ -578,42 +593,47 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     whole: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, n_bytes, starts and ends of the removed runs, and the kept bytes.
+    """One row per document: id, n_bytes, starts and ends of the removed runs, the kept bytes, and ``carry``.
 
     With ``whole`` the kept bytes leave out what a removed run has left of a character that it cut.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *carry)
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (6 << 20)))
     # Ten bits beyond the number of seeds keep chance repeats of the short hash below one in a thousand.
     hash_bytes = min(8, math.ceil((math.log2(max(total, 2)) - math.log2(length / 4) + 10) / 8))
     plan = Plan(length, seed, buckets, max(4, hash_bytes), hot)
 
-    packed = cut(slim.mapInArrow(_first_pass(plan), ROWS_DDL), "suffix-blocks")
+    more = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    packed = cut(slim.mapInArrow(released(_first_pass(plan)), ROWS_DDL), "suffix-blocks")
     body = packed.where(f"kind = {BODY}")
     marks = (
         packed.where(f"kind <> {BODY}")
         .repartition(buckets, "bucket")
         .sortWithinPartitions("bucket", "kind", "block")
-        .mapInArrow(_mark(plan), ROWS_DDL)
+        .mapInArrow(released(_mark(plan)), ROWS_DDL)
     )
     runs = (
         body.unionAll(marks)
         .repartition("block")
         .sortWithinPartitions("block", "kind", "bucket")
-        .mapInArrow(_second_pass(plan), ROWS_DDL)
+        .mapInArrow(released(_second_pass(plan)), ROWS_DDL)
     )
     spans = (
         runs.repartition(buckets, "bucket", F.when(F.col("kind") == BODY, F.col("block")))
         .sortWithinPartitions("bucket", "kind", "block")
-        .mapInArrow(_merge(plan), ROWS_DDL)
+        .mapInArrow(released(_merge(plan)), ROWS_DDL)
         .withColumn("kind", F.lit(0))
     )
     return (
         body.unionAll(spans)
         .repartition("block")
         .sortWithinPartitions("block", "kind")
-        .mapInArrow(_remove(whole), "id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+        .mapInArrow(
+            released(_remove(whole, tuple(carry))),
+            ", ".join(["id long, n_bytes long, starts array<long>, ends array<long>, kept binary", *more]),
+        )
     )
