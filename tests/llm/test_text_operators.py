@@ -204,10 +204,10 @@ def test_language_equals_a_plain_forward_pass(spark):
 
 def test_quality_equals_a_plain_rescore(spark, docs):
     labels = spark.createDataFrame([(3, 1), (10, 1), (16, 0), (17, 0)], "doc_id long, quality int")
-    table = quality_ranker.feature_table(docs, carry=("text",))
+    table = quality_ranker.feature_table(docs)
     everyone = ~quality_ranker.held_out("doc_id") | quality_ranker.held_out("doc_id")
-    model = quality_ranker.fit(table, labels, everyone)
-    for r in quality_ranker.score(table, model).join(table.select("doc_id", "features").distinct(), "doc_id").collect():
+    model = quality_ranker.fit(docs, labels, everyone)
+    for r in quality_ranker.score(docs, model, carry=("text",)).join(table.distinct(), "doc_id").collect():
         z = model.raw(np.array([r.features], np.float64))[0] - model.cut_at + np.log(model.keep_at / (1 - model.keep_at))
         assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
         assert r.text == TEXTS[r.doc_id]
@@ -226,13 +226,13 @@ def test_quality_edge_cases(spark, docs):
     assert all(np.isfinite(r.features).all() for r in table.collect())
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (4, None, 0), (16, 0, 0), (17, 0, 1)], "doc_id long, quality int, toxic int")
     everyone = ~quality_ranker.held_out("doc_id") | quality_ranker.held_out("doc_id")
-    model = quality_ranker.fit(table, labels, everyone)
-    scores = {r.doc_id: r.score for r in quality_ranker.score(table, model).collect()}
+    model = quality_ranker.fit(docs, labels, everyone)
+    scores = {r.doc_id: r.score for r in quality_ranker.score(docs, model).collect()}
     assert scores[3] > scores[17] and all(0 <= s <= 1 for s in scores.values())
-    assert quality_ranker.fit(table, labels.where("quality = 1"), everyone) == 1.0
-    assert quality_ranker.fit(table, labels.where("quality = 0 and doc_id > 3"), everyone) == 0.0
-    assert quality_ranker.fit(table, labels.limit(0), everyone) == 0.7
-    assert quality_ranker.score(quality_ranker.feature_table(docs.limit(0)), model).count() == 0
+    assert quality_ranker.fit(docs, labels.where("quality = 1"), everyone) == 1.0
+    assert quality_ranker.fit(docs, labels.where("quality = 0 and doc_id > 3"), everyone) == 0.0
+    assert quality_ranker.fit(docs, labels.limit(0), everyone) == 0.7
+    assert quality_ranker.score(docs.limit(0), model).count() == 0 and quality_ranker.feature_table(docs.limit(0)).count() == 0
 
 
 def test_bpe_query_on_fixture(spark, sf_dir):

@@ -66,9 +66,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = quality_ranker.feature_table(_table(spark, sf_dir, "documents"))
-    model = quality_ranker.fit(table, _table(spark, sf_dir, "labels"), ~quality_ranker.held_out("doc_id"))
-    scored = quality_ranker.score(table, model)
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_ranker.fit(docs, _table(spark, sf_dir, "labels"), ~quality_ranker.held_out("doc_id"))
+    scored = quality_ranker.score(docs, model)
     return scored.select(
         "doc_id",
         quality_ranker.held_out("doc_id").alias("held_out"),
