@@ -1,9 +1,14 @@
 import random
 
+import pytest
+
+from tidemill.llm import components
 from tidemill.llm.components import connected_components
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("written_from", [0, 10_000])
+def test_components_equal_union_find(spark, monkeypatch, written_from):
+    monkeypatch.setattr(components, "WRITTEN_FROM", written_from)
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(500, i) for i in range(501, 560)] + [(7, 7), (99, 98), (98, 99)]
     edges += [(rng.randint(1000, 1100), rng.randint(1000, 1100)) for _ in range(70)]

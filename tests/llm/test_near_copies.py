@@ -50,12 +50,13 @@ def test_classes_match_brute_force(spark):
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     rows.append(rows[3])
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as cell", "3 as key")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as cell", "3 as key", "4 as _k1", "map(5, doc_id) as whole")
     want = brute(rows)
     got = {tuple(r) for r in near_copies.near_copies(docs, block_rows=6).collect()}
     # The search may miss a pair at the threshold; it never links one below it.
     assert {i for i, _ in got} <= {i for i, _ in want} and len(got) >= 0.97 * len(want)
     left = near_copies.drop_near_copies(docs)
+    assert {(r._k1, r.whole[5] == r.doc_id) for r in left.collect()} == {(4, True)}
     assert left.columns == docs.columns and left.count() == len(texts) - len(got)
 
 

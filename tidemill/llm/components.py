@@ -8,14 +8,28 @@ from pyspark.sql import functions as F
 from tidemill.session import cut_at, discard
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: From so many edges on, minima are written before they are joined: a join of two plain exchanges, whose
+#: large partitions adaptive execution splits, so that a hub's edges need not meet in one task.
+WRITTEN_FROM = 10_000
+
+
+def _least(edges: DataFrame, written: list[str] | None) -> DataFrame:
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    if written is None:
+        return low
+    low, path = cut_at(low, "minima")
+    written.append(path)
+    return low
+
+
+def _large_star(edges: DataFrame, written: list[str] | None) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = _least(both, written).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(edges: DataFrame, written: list[str] | None) -> DataFrame:
+    low = _least(edges, written)
     moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -37,9 +51,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         # Smaller neighbours first: it gathers a node's many links to one before any join over both directions.
-        before = path
-        now, path = cut_at(_large_star(_small_star(now)), "edges")
-        discard(spark, before)
+        old, written = [path], [] if state[0] >= WRITTEN_FROM else None
+        if written is None:
+            now, path = cut_at(_large_star(_small_star(now, None), None), "edges")
+        else:
+            small, between = cut_at(_small_star(now, written), "edges")
+            now, path = cut_at(_large_star(small, written), "edges")
+            old += [between, *written]
+        for folder in old:
+            discard(spark, folder)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

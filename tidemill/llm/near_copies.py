@@ -13,8 +13,9 @@ Links leave a task as a spanning forest. A bucket or class beyond ``block_rows``
 pairs, so no task holds it whole.
 
 Defined results: a null text and any text without words are equal; fewer words than a shingle make one
-shingle; rows with one id count as one document, rows without an id are kept; an empty table gives an empty result; only the id and
-text columns are read.
+shingle; texts of any length are taken whole; repeated rows, also of one id, are documents of their own, and of
+a class the row with the smallest id stays, the one of the least hash among equal ids, one without an id
+only if all are; an empty table gives an empty result; the columns of ``docs`` may have any name.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import connected_components
+from tidemill.llm.memory import released
 from tidemill.llm.simhash import SEED, _roots, shingles
 from tidemill.session import cut
 
@@ -40,6 +42,10 @@ CHECK = 2  # words that travel with a band key, for the distance
 CHECKS = [f"w{k}" for k in range(CHECK)]
 
 
+#: Rows of four longs that may be broadcast, some 100 MB in memory.
+MOST_BROADCAST = 1_000_000
+
+
 def long_fingerprint(grams: list[bytes]) -> np.ndarray:
     """WORDS x 64 majority bits over the distinct shingles; the words' hashes are remixed from one XXH64."""
     if not grams:
@@ -109,16 +115,19 @@ def band_plan(rows: int, similarity: float, miss: float) -> tuple[int, int]:
 
 
 def _prints(size: int):
+    """(_k1, _k2, id, text) -> the words' digest and the long fingerprint in place of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 keys, prints = [], []
-                for text in batch.column(1).to_pylist():
+                for text in batch.column("text").to_pylist():
                     words = (text or "").encode().lower().split()
                     keys.append(hashlib.md5(b" ".join(words), usedforsecurity=False).digest())
                     prints.append(long_fingerprint(shingles(text, size)).astype("<u8").tobytes())
-                yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(prints, pa.binary())], names=["id", "words", "fp"])
+                more = [pa.array(keys, pa.binary()), pa.array(prints, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *more], names=["_k1", "_k2", "id", "words", "fp"])
 
     return run
 
@@ -282,42 +291,81 @@ def _in_blocks(rows: DataFrame, key: str, counts: DataFrame, block_rows: int, ca
     )
 
 
-def near_copies(
-    docs: DataFrame,
-    similarity: float = 0.8,
-    size: int = 5,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    miss: float = 0.01,
-    block_rows: int = 512,
-) -> DataFrame:
-    """(id, first) for documents that are not the first of their class; first is its smallest id."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    prints = cut(slim.mapInArrow(_prints(size), "id long, words binary, fp binary"), "long-fingerprints")
-    texts = cut(prints.groupBy("words").agg(F.min("id").alias("id"), F.first("fp").alias("fp")), "distinct-texts")
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_k1, _k2, whole): a 128-bit key of each row, and the row; rows of one key have one text, and are alike in all
+    plain columns."""
+    plain = [f.name for f in docs.schema if f.name != text_col and not f.dataType.simpleString().startswith(("map", "array", "struct", "variant"))]
+    parts = [F.col(f"`{c}`") for c in (text_col, *plain)]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    return docs.select(*[F.xxhash64(F.lit(i), *parts).alias(f"_k{i}") for i in (1, 2)], whole)
+
+
+def _classes(
+    docs: DataFrame, similarity: float, size: int, id_col: str, text_col: str, miss: float, block_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """The documents as (_k1, _k2, id, words), and the first document of each class by ``words``."""
+    slim = _keyed(docs, id_col, text_col).select(
+        "_k1", "_k2", F.col("whole")[id_col].cast("long").alias("id"), F.col("whole")[text_col].alias("text")
+    )
+    prints = cut(slim.mapInArrow(released(_prints(size)), "_k1 long, _k2 long, id long, words binary, fp binary"), "long-fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2"))
+    texts = prints.groupBy("words").agg(first.alias("least"), F.first("fp").alias("fp"))
+    texts = cut(texts.withColumn("id", F.monotonically_increasing_id()), "distinct-texts")
     bits, bands = band_plan(texts.count(), similarity, miss)
     radius = reach(similarity, miss)
 
     kinds = ", ".join(f"{c} long" for c in CHECKS)
-    keyed = texts.select("id", "fp").mapInArrow(_band_keys(bits, bands), f"id long, {kinds}, keys array<long>")
+    keyed = texts.select("id", "fp").mapInArrow(released(_band_keys(bits, bands)), f"id long, {kinds}, keys array<long>")
     keyed = keyed.select("id", *CHECKS, F.explode("keys").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
     cells = _in_blocks(keyed, "key", crowded, block_rows, CHECKS)
-    loose = connected_components(cells.mapInPandas(_link_bands(radius), "u long, v long"))
-    loose = cut(loose.select(F.col("node").alias("id"), F.col("component").alias("key")), "loose-classes")
+    loose = connected_components(cells.mapInPandas(released(_link_bands(radius)), "u long, v long"))
+    loose = loose.select(F.col("node").alias("id"), F.col("component").alias("key"))
+    loose = cut(loose.join(texts.select("id", "least._k1", "least._k2"), "id"), "loose-classes")
 
+    # Narrow rows: up to a bound on their number they go to the texts, beyond it both sides are exchanged.
+    few = F.broadcast(loose) if loose.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else loose
     large = loose.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
-    members = slim.join(loose, "id").dropDuplicates(["id"])
+    # Rows of one key are alike, so it does not matter which of them stands for the text.
+    members = slim.select("_k1", "_k2", "text").join(few, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
     exact = _in_blocks(members, "key", large, block_rows, ["text"])
-    classes = connected_components(exact.mapInPandas(_link_exact(similarity, size), "u long, v long"))
-    classes = classes.withColumnRenamed("node", "id").where("id <> component")
-    heads = prints.join(texts.select("words", F.col("id").alias("head")), "words").select("id", "head")
-    named = heads.join(classes.select(F.col("id").alias("head"), "component"), "head", "left")
-    return named.select("id", F.coalesce("component", "head").alias("first")).where("id <> first").distinct()
+    classes = connected_components(exact.mapInPandas(released(_link_exact(similarity, size)), "u long, v long"))
+    named = texts.join(classes.withColumnRenamed("node", "id"), "id", "left").select(
+        "words", "least", F.coalesce("component", "id").alias("component")
+    )
+    least = named.groupBy("component").agg(F.min("least").alias("first"))
+    return prints, named.select("words", "component").join(least, "component").select("words", "first")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def near_copies(
+    docs: DataFrame,
+    similarity: float = 0.8,
+    size: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    miss: float = 0.01,
+    block_rows: int = 512,
+) -> DataFrame:
+    """(id, first) for ids that are not the first of their class; first is its smallest id.
+
+    A repeated row of the first itself is not listed; ``drop_near_copies`` drops it.
+    """
+    prints, firsts = _classes(docs, similarity, size, id_col, text_col, miss, block_rows)
+    found = prints.select("id", "words").join(firsts, "words")
+    return found.select("id", F.col("first.id").alias("first")).where(~F.col("id").eqNullSafe(F.col("first"))).distinct()
+
+
+def drop_near_copies(
+    docs: DataFrame,
+    similarity: float = 0.8,
+    size: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    miss: float = 0.01,
+    block_rows: int = 512,
+) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest id; columns as they are."""
-    gone = near_copies(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("_gone"))
-    left = docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionAll(left.where(F.col(id_col).isNull()))
+    _, firsts = _classes(docs, similarity, size, id_col, text_col, miss, block_rows)
+    kept = firsts.select("first._k1", "first._k2").distinct()
+    found = _keyed(docs, id_col, text_col).join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return found.select("whole.*")
