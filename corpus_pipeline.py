@@ -2,7 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which ``run`` writes as Parquet to the
 shared folder and rereads as the next stage's ``docs``. All but the last return the columns of documents.
-Rows without a doc_id cannot be named in the result and end at the first stage.
+
+Every stage decides row by row: rows that share an id, or lack one, are documents of their own, and repeated
+rows are judged alike. ``docs`` may have further columns of any name, which the stages leave out. An empty
+table gives an empty result in every stage, and texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -23,51 +26,60 @@ KEEP_LANGUAGE = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the pairwise ranker scores at KEEP_QUALITY or more; all if labels lack a class."""
-    docs = docs.where(F.col("doc_id").isNotNull())
-    table = quality_ranker.feature_table(docs)
+    """Keeps documents that the pairwise ranker scores at KEEP_QUALITY or more; all if labels lack a class.
+
+    A null or empty text has the features of an empty text and is judged by them; a score of just KEEP_QUALITY
+    stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality_ranker.fit(table, labels, ~quality_ranker.held_out("doc_id"), keep_at=KEEP_QUALITY)
+    model = quality_ranker.fit(docs, labels, ~quality_ranker.held_out("doc_id"), keep_at=KEEP_QUALITY)
     if not isinstance(model, quality_ranker.Ranker):
         return docs.select(COLUMNS)
-    low = quality_ranker.score(table, model).where(F.col("score") < KEEP_QUALITY).select("doc_id")
-    return docs.join(low, "doc_id", "left_anti").select(COLUMNS)
+    scored = quality_ranker.score(docs, model, carry=tuple(COLUMNS[1:]))
+    return scored.where(F.col("score") >= KEEP_QUALITY).select(COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language; those without letters or with a weak prediction go.
 
-    Where no document to learn from has a language, every document with a letter stays.
+    Null and empty texts have no letter and go. Where no document to learn from has a language, every document
+    with a letter stays. A score of just KEEP_LANGUAGE stays.
     """
     model = language_id.fit(docs.where(~language_id.held_out("doc_id")))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
-    found = language_id.predict(docs, model)
-    none = found.where((F.col("lang_pred") == "und") | (F.col("score") < KEEP_LANGUAGE)).select("doc_id")
-    return docs.join(none, "doc_id", "left_anti").select(COLUMNS)
+    found = language_id.predict(docs, model, carry=tuple(COLUMNS[1:]))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= KEEP_LANGUAGE)).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-copies stays."""
-    return near_copies.drop_near_copies(docs).select(COLUMNS)
+    """One document of each class of near-copies stays, the one with the smallest id.
+
+    Texts without words, null ones too, are copies of each other; of rows with one id and text one stays.
+    """
+    return near_copies.drop_near_copies(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out bytes of passages that occur earlier; a cut character goes whole, emptied documents go."""
-    found = suffix_dedup.remove_repeats(docs, whole=True).select(
-        F.col("id").alias("doc_id"), F.col("kept"), (F.size("starts") > 0).alias("changed")
-    )
-    left = docs.select("doc_id", "lang", "source").join(found, "doc_id")
+    """Takes out bytes of passages that occur earlier; a cut character goes whole, emptied documents go.
+
+    Earlier means a smaller id, a null one first, or an earlier row of the same id. A null text, and any text
+    from which nothing is removed, stays as it is; a text left with white space alone goes.
+    """
+    marked = docs.select("doc_id", "text", "lang", "source", F.col("text").isNull().alias("absent"))
+    found = suffix_dedup.remove_repeats(marked, whole=True, carry=("lang", "source", "absent"))
+    changed = F.size("starts") > 0
     return (
-        left.withColumn("text", F.col("kept").cast("string"))
-        .where(~(F.col("changed") & (F.length(F.trim("text")) == 0)))
-        .withColumn("n_chars", F.length("text").cast("long"))
+        found.withColumn("text", F.when(~F.col("absent"), F.col("kept").cast("string")))
+        .where(~(changed & (F.length(F.trim("text")) == 0)))
+        .withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+        .withColumnRenamed("id", "doc_id")
         .select(COLUMNS)
     )
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into token windows."""
+    """Packs what is left into token windows; a null or empty text is its end token alone."""
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
