@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, language_id, packing, quality_ranker, sharding, simhash, sphere_filters, suffix_dedup, topk_nra, url_filter
+from tidemill.llm import byte_bpe, language_id, packing, quality_ranker, sharding, simhash, sphere_filters, suffix_dedup, topk_nra, turn_repair, url_filter
 
 #: The rules that the URL query applies.
 URL_RULES = [
@@ -93,6 +93,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def _crc32(s: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII string, which DuckDB lacks; 3988292384 is its fixed polynomial."""
+    return f"""xor(4294967295, list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(range(1, length({s}) + 1), lambda i: ord({s}[i])::BIGINT)),
+            lambda crc, b: list_reduce(list_prepend(xor(crc, b), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+              lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
 QUERIES = {
     "op1_sphere_filters": op1_sphere_filters,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -104,6 +116,7 @@ QUERIES = {
     "op8_quality_ranker": op8_quality_ranker,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filter": op10_url_filter,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLES = {
@@ -170,4 +183,55 @@ ORACLES = {
           GROUP BY page_id)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
         FROM parts LEFT JOIN hits USING (page_id)""",
+    "op13_turn_repair": f"""
+        WITH RECURSIVE given AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+        hit AS (SELECT *, {_crc32('s')} % 20 AS h FROM given),
+        damaged AS (
+          SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+            CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(CASE h WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM hit),
+        numbered AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+            regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS stem, left(role, 1) AS c FROM damaged),
+        judged AS (
+          SELECT *, CASE WHEN stem = '' THEN 'b'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+            WHEN right(stem, 1) IN ('.', '!', '?') THEN '-' ELSE 't' END AS fault,
+            lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c NOT IN ('su', 'ua', 'au') AS odd FROM numbered),
+        counted AS (
+          SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+            count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+            count(*) FILTER (odd) AS illegal, max(i) AS n FROM judged GROUP BY conv_id),
+        -- The cheapest edits of the first i turns by the state they end in: 0 nothing yet, 1 after s, 2 after a, 3 after u.
+        steps AS (
+          SELECT conv_id, n, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, '' AS said FROM counted
+          UNION ALL
+          SELECT conv_id, n, i, state, least.cost, least.audit, least.said FROM (
+            SELECT conv_id, n, i, state, min({{'cost': cost, 'audit': audit, 'said': said}}) AS least FROM (
+              WITH ready AS (
+                SELECT conv_id, n, i, state, cost, audit, said FROM steps WHERE i < n
+                UNION ALL
+                SELECT conv_id, n, i, CASE state WHEN 3 THEN 2 ELSE 3 END, cost + 5, audit || 'I',
+                  said || CASE state WHEN 3 THEN chr(10) || 'assistant:' ELSE chr(10) || 'user:' END FROM steps WHERE i < n)
+              SELECT r.conv_id, r.n, j.i, CASE op WHEN 'D' THEN state WHEN 's' THEN 1 ELSE CASE state WHEN 3 THEN 2 ELSE 3 END END AS state,
+                cost + CASE op WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN op <> 'D' AND fault = 't' THEN 5 ELSE 0 END AS cost,
+                audit || CASE op WHEN 's' THEN 'K' ELSE op END AS audit,
+                said || CASE op WHEN 'D' THEN '' WHEN 'R' THEN chr(10) || CASE state WHEN 3 THEN 'assistant:' ELSE 'user:' END || j.text
+                  ELSE chr(10) || j.role || ':' || j.text END AS said
+              FROM ready r JOIN judged j ON j.conv_id IS NOT DISTINCT FROM r.conv_id AND j.i = r.i + 1, (VALUES ('D'), ('K'), ('R'), ('s')) AS ops(op)
+              WHERE CASE op WHEN 'D' THEN true WHEN 'K' THEN fault IN ('-', 't') AND c = CASE state WHEN 3 THEN 'a' ELSE 'u' END
+                WHEN 'R' THEN fault IN ('-', 't') AND c <> CASE state WHEN 3 THEN 'a' ELSE 'u' END
+                ELSE fault IN ('-', 't') AND c = 's' AND state = 0 END)
+            GROUP BY conv_id, n, i, state)),
+        ended AS (
+          SELECT conv_id, min({{'cost': cost + CASE state WHEN 3 THEN 5 ELSE 0 END, 'audit': audit || CASE state WHEN 3 THEN 'I' ELSE '' END,
+              'said': said || CASE state WHEN 3 THEN chr(10) || 'assistant:' ELSE '' END}}) AS least
+          FROM steps WHERE i = n AND state <> 1 GROUP BY conv_id)
+        SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+          coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(least.cost, 0)::BIGINT AS cost,
+          coalesce(least.audit, '') AS audit, sha256(coalesce(least.said, '')[2:]) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted b ON a.conv_id IS NOT DISTINCT FROM b.conv_id
+          LEFT JOIN ended e ON a.conv_id IS NOT DISTINCT FROM e.conv_id""",
 }
