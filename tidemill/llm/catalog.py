@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, language_id, packing, quality_ranker, sharding, simhash, sphere_filters, suffix_dedup, topk_nra, turn_repair, url_filter
+from tidemill.llm import byte_bpe, language_id, merkle, packing, quality_ranker, sharding, simhash, sphere_filters, suffix_dedup, topk_nra, turn_repair, url_filter
 
 #: The rules that the URL query applies.
 URL_RULES = [
@@ -93,6 +93,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(merkle.document_leaves(_table(spark, sf_dir, "documents")))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damaged(_table(spark, sf_dir, "conversations")))
 
@@ -105,6 +112,12 @@ def _crc32(s: str) -> str:
               lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
 
 
+def _leaf(text: str) -> str:
+    """SQL for the digest of a document's fields."""
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')" for x in fields) + ")"
+
+
 QUERIES = {
     "op1_sphere_filters": op1_sphere_filters,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -116,6 +129,7 @@ QUERIES = {
     "op8_quality_ranker": op8_quality_ranker,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_turn_repair": op13_turn_repair,
 }
 
@@ -183,6 +197,42 @@ ORACLES = {
           GROUP BY page_id)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
         FROM parts LEFT JOIN hits USING (page_id)""",
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE given AS (
+          SELECT *, CASE WHEN {_crc32('s')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS found
+          FROM (SELECT *, doc_id::VARCHAR AS s FROM documents)),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, node) - 1 AS pos,
+            row_number() OVER () AS k
+          FROM (SELECT doc_id, source, {_leaf('text')} AS node, {_leaf('found')} AS now FROM given)),
+        low AS (
+          SELECT source, 0 AS depth, pos, node, count(*) OVER (PARTITION BY source) AS n FROM leaves
+          UNION ALL
+          SELECT source, depth + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3 FROM low WHERE n > 1
+          GROUP BY source, depth, pos // 3, n),
+        subroots AS (SELECT source, node, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM low WHERE n = 1),
+        high AS (
+          SELECT 0 AS depth, pos, node, count(*) OVER () AS n FROM subroots
+          UNION ALL
+          SELECT depth + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3 FROM high WHERE n > 1
+          GROUP BY depth, pos // 3, n),
+        steps AS (
+          SELECT k, 0 AS tree, depth, string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.at) AS l, string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.at) AS r
+          FROM (SELECT k, source, depth, pos // (3 ** depth)::BIGINT AS at FROM leaves, generate_series(0, 30) AS g(depth)) a
+          JOIN low b USING (depth) WHERE b.n > 1 AND a.source IS NOT DISTINCT FROM b.source AND b.pos // 3 = a.at // 3 GROUP BY k, depth
+          UNION ALL
+          SELECT k, 1, depth, string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.at), string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.at)
+          FROM (SELECT k, depth, s.pos // (3 ** depth)::BIGINT AS at FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source, generate_series(0, 30) AS g(depth)) a
+          JOIN high b USING (depth) WHERE b.n > 1 AND b.pos // 3 = a.at // 3 GROUP BY k, depth),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tree, depth) AS i FROM steps),
+        fold AS (
+          SELECT k, 0::BIGINT AS i, now AS node FROM leaves
+          UNION ALL
+          SELECT k, s.i, sha256(coalesce(l, '') || f.node || coalesce(r, '')) FROM fold f JOIN numbered s USING (k) WHERE s.i = f.i + 1),
+        proofs AS (SELECT k, sha256(string_agg(coalesce(l, '') || coalesce(r, ''), '' ORDER BY i)) AS proof FROM numbered GROUP BY k)
+        SELECT a.doc_id, a.node AS leaf, s.node AS subroot, h.node AS root, coalesce(proof, sha256('')) AS proof_sha256,
+          f.node AS folded_root, f.node = h.node AS verified
+        FROM leaves a JOIN subroots s ON a.source IS NOT DISTINCT FROM s.source JOIN high h ON h.n = 1 LEFT JOIN proofs USING (k)
+          JOIN (SELECT k, arg_max(node, i) AS node FROM fold GROUP BY k) f USING (k)""",
     "op13_turn_repair": f"""
         WITH RECURSIVE given AS (
           SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
