@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import byte_bpe, language_id, merkle, packing, quality_ranker, sharding, simhash, sphere_filters, suffix_dedup, topk_nra, turn_repair, url_filter
+from tidemill.llm import byte_bpe, language_id, merkle, packing, quality_ranker, sharding, simhash, sphere_filters, suffix_dedup, topk_nra, toxicity, turn_repair, url_filter
 
 #: The rules that the URL query applies.
 URL_RULES = [
@@ -100,6 +100,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~toxicity.held_out("doc_id"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.col("evidence.example").alias("evidence"),
+    )
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damaged(_table(spark, sf_dir, "conversations")))
 
@@ -130,6 +142,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filter": op10_url_filter,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_toxicity": op12_toxicity,
     "op13_turn_repair": op13_turn_repair,
 }
 
