@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 from tidemill.operators import changelog as C
 from tidemill.operators import merge
+from tidemill.sources import versions
 
 TARGET = T.StructType(
     [
@@ -101,12 +102,12 @@ def test_bookmarks_and_status(spark, log):
 
 def test_publish_and_time_travel(spark, tmp_path):
     root = f"file://{tmp_path}/t"
-    merge.publish(spark.range(3).toDF("k"), root, note={"lsn": 1})
-    merge.publish(spark.range(5).toDF("k"), root)
-    assert merge.read_version(spark, root).count() == 5 and merge.read_version(spark, root, 1).count() == 3
-    assert [r.n_rows for r in merge.versions(spark, root).orderBy("number").collect()] == [3, 5]
+    versions.publish(spark.range(3).toDF("k"), root, note={"lsn": 1})
+    versions.publish(spark.range(5).toDF("k"), root)
+    assert versions.read_version(spark, root).count() == 5 and versions.read_version(spark, root, 1).count() == 3
+    assert [r.n_rows for r in versions.versions(spark, root).orderBy("number").collect()] == [3, 5]
     with pytest.raises(ValueError):
-        merge.read_version(spark, root, 9)
+        versions.read_version(spark, root, 9)
 
 
 def test_partition_overwrite_and_floor(spark, tmp_path):

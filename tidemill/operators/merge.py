@@ -1,14 +1,13 @@
-"""Upserts into current-state tables, versioned publishing and incremental windows."""
+"""Upserts into current-state tables and incremental windows."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import date_key_lookback
+from tidemill.operators.stored import from_floor, observed_merge
+from tidemill.session import cut_at, discard
 
 
 def merge_upsert(target: DataFrame, changes: DataFrame, pk: str | list[str]) -> DataFrame:
@@ -18,24 +17,24 @@ def merge_upsert(target: DataFrame, changes: DataFrame, pk: str | list[str]) ->
 
 
 def merge_partitions(target: DataFrame, changes: DataFrame, pk: str, part: str, floor) -> tuple[DataFrame, DataFrame]:
-    """(untouched, rewritten): only target partitions from ``floor`` on take part in the merge."""
-    touched = target.where(F.col(part) >= floor)
-    return target.where(F.col(part) < floor), merge_upsert(touched, changes, pk)
+    """(untouched, rewritten): only target partitions from ``floor`` on, and rows without a partition value, take
+    part in the merge; without a floor, as an empty batch has none, nothing has to be left out."""
+    touched = from_floor(part, floor)
+    return target.where(~touched), merge_upsert(target.where(touched), changes, pk)
 
 
 def merge_report(before: DataFrame, changes: DataFrame, pk: str, events: DataFrame | None = None) -> DataFrame:
-    """Rows merged, inserted, updated, deleted and the size after: the plan's counts, nothing written. With
-    ``events`` also the changes and tombstones that were read."""
-    seen = before.select(pk, F.lit(True).alias("_seen"))
-    both = changes.select(pk, "is_deleted").join(seen, pk, "left")
-    counts = both.agg(
-        F.count("*").alias("merged"),
-        F.count_if(F.col("_seen").isNull()).alias("inserted"),
-        F.count_if(F.col("_seen") & ~F.col("is_deleted")).alias("updated"),
-        F.count_if(F.col("_seen") & F.col("is_deleted")).alias("deleted"),
-    )
-    total = before.agg(F.count("*").alias("rows_before"))
-    out = counts.crossJoin(total).withColumn("rows_after", F.col("rows_before") + F.col("inserted"))
+    """Rows merged, inserted, updated, deleted and the size after, counted by the run that merges; with ``events``
+    also the changes and tombstones that were read. The merged keys are computed and dropped."""
+    spark = before.sparkSession
+    batch, folder = cut_at(changes, "merge-batch")
+    merged, seen = observed_merge(before.select(pk), batch.select(pk, "is_deleted"), pk, "is_deleted", ("is_deleted",))
+    merged.write.format("noop").mode("overwrite").save()
+    rows, counts = batch.count(), seen.get
+    discard(spark, folder)
+    known = counts["updated"] + counts["deleted"]
+    report = (rows, rows - known, counts["updated"], counts["deleted"], counts["rows_before"], counts["rows_before"] + rows - known)
+    out = spark.createDataFrame([report], "merged long, inserted long, updated long, deleted long, rows_before long, rows_after long")
     if events is None:
         return out
     gone = F.col("op") == "t"
@@ -50,12 +49,6 @@ def live_counts(current: DataFrame) -> DataFrame:
     )
 
 
-def fact_increment(source: DataFrame, target: DataFrame, ts: str) -> DataFrame:
-    """Rows at or after the target's newest timestamp; ties are taken again and merged by key."""
-    newest = target.agg(F.max(ts)).first()[0]
-    return source if newest is None else source.where(F.col(ts) >= F.lit(newest))
-
-
 def trailing_days(source: DataFrame, key: str, days: int) -> DataFrame:
     """The trailing days that an incremental mart computes anew."""
     newest = source.agg(F.max(key).alias("k")).select(date_key_lookback(F.col("k"), days).alias("floor"))
@@ -75,56 +68,6 @@ def freshness(table: DataFrame, ts: str, as_of: Column, warn_hours: int = 12, er
     return table.agg(F.max(ts).alias("newest")).withColumn("age_hours", F.round(age, 3)).withColumn("status", state)
 
 
-# ---------------------------------------------------------------- versions
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-VERSIONS = "number long, version string, n_rows long, note string, operation string, committed_at timestamp"
-
-
-def publish(df: DataFrame, root: str, partition: str | None = None, note: dict | None = None, operation: str | None = None) -> str:
-    """Writes a new version beside the others, then its manifest; readers see whole versions only. ``note`` says
-    where the version came from, such as an export's run and the applied position."""
-    spark = df.sparkSession
-    version = uuid.uuid4().hex
-    writer = (df.repartition(partition) if partition else df).write.option("compression", "zstd")
-    (writer.partitionBy(partition) if partition else writer).parquet(f"{root}/data/{version}")
-    rows = spark.read.parquet(f"{root}/data/{version}").count()
-    latest = versions(spark, root)
-    number = 1 if latest is None else (latest.agg(F.max("number")).first()[0] or 0) + 1
-    done = operation or ("create" if number == 1 else "overwrite")
-    row = [(number, version, rows, json.dumps(note or {}, sort_keys=True), done)]
-    manifest = spark.createDataFrame(row, VERSIONS.rpartition(",")[0]).withColumn("committed_at", F.current_timestamp())
-    manifest.coalesce(1).write.json(f"{root}/manifests/{number:012d}")
-    return version
-
-
-def versions(spark: SparkSession, root: str) -> DataFrame | None:
-    """Finished versions, one row each, with their commit time and what they came from."""
-    fs, path = _fs(spark, f"{root}/manifests")
-    if not fs.exists(path):
-        return None
-    return spark.read.schema(VERSIONS).json(f"{root}/manifests/*")
-
-
-def read_version(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
-    """The newest version, or a named one."""
-    found = versions(spark, root)
-    if found is None:
-        raise ValueError(f"nothing published under {root}")
-    if number is not None:
-        found = found.where(F.col("number") == number)
-    row = found.orderBy(F.desc("number")).first()
-    if row is None:
-        raise ValueError(f"no version {number} under {root}")
-    return spark.read.parquet(f"{root}/data/{row['version']}")
-
-
 def overwrite_days(df: DataFrame, path: str, key: str = "date_key") -> None:
     """Replaces the days, or whatever ``key`` partitions by, that ``df`` holds and leaves the others."""
     df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

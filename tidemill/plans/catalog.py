@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions import scalars as S
-from tidemill.operators import billing, changelog, dims, facts, history, marts, merge, quality, reports
+from tidemill.operators import billing, changelog, dims, facts, history, marts, merge, quality, reports, stored
 from tidemill.plans import checks
 from tidemill.plans.standins import COLUMNS, DERIVED, LOGS, oracle, tables
 from tidemill.session import cut, shared_dir
 from tidemill.sources import tables as sources
+from tidemill.sources import versions
 from tidemill.streaming import landing
 
 Tables = dict[str, DataFrame]
@@ -285,10 +286,10 @@ def published_versions(t: Tables) -> DataFrame:
     """A snapshot and the reconciled table published one after the other, each read back by its number."""
     spark = t["changes"].sparkSession
     root = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
-    merge.publish(changelog.from_snapshot(snapshot(t, boundary(t))), root, note={"boundary": boundary(t)})
-    merge.publish(current(t), root)
+    versions.publish(changelog.from_snapshot(snapshot(t, boundary(t))), root, note={"boundary": boundary(t)})
+    versions.publish(current(t), root)
     parts = [
-        merge.read_version(spark, root, n).agg(F.lit(n).cast("long").alias("number"), F.count("*").alias("n_rows"), F.count_distinct("kind").alias("n_kinds"))
+        versions.read_version(spark, root, n).agg(F.lit(n).cast("long").alias("number"), F.count("*").alias("n_rows"), F.count_distinct("kind").alias("n_kinds"))
         for n in (1, 2)
     ]
     return parts[0].unionByName(parts[1])
@@ -302,9 +303,9 @@ def version_history(t: Tables) -> DataFrame:
     spark, at = t["changes"].sparkSession, boundary(t)
     root = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
     for df, position in ((changelog.from_snapshot(snapshot(t, at)), at), (current(t), t["changes"].agg(F.max("lsn")).first()[0] or 0)):
-        merge.publish(df, root, note={"run_id": "r1", "applied_lsn": position})
+        versions.publish(df, root, note={"run_id": "r1", "applied_lsn": position})
     note = lambda name: F.get_json_object("note", f"$.{name}")
-    found = merge.versions(spark, root)
+    found = versions.versions(spark, root)
     return found.select("number", "operation", "n_rows", note("run_id").alias("run_id"), note("applied_lsn").cast("long").alias("applied_lsn"), F.col("committed_at").isNotNull().alias("timed"))
 
 
@@ -312,8 +313,8 @@ def version_history(t: Tables) -> DataFrame:
 
 
 def customer_history(t: Tables) -> DataFrame:
-    versions = history.capture_versions(t["customer_versions"], "entity_id", ["captured_at", "version_id"], ["status", "priority"])
-    made = versions.withColumn("created_at", F.col("captured_at") - F.expr("interval 30 days"))
+    captured = history.capture_versions(t["customer_versions"], "entity_id", ["captured_at", "version_id"], ["status", "priority"])
+    made = captured.withColumn("created_at", F.col("captured_at") - F.expr("interval 30 days"))
     return history.type2(made, "entity_id", "captured_at", "created_at", "version_id", "customer")
 
 
@@ -793,16 +794,24 @@ def mart_trailing_days(t: Tables) -> DataFrame:
     return merge.trailing_days(f, "date_key", 3).groupBy("date_key").agg(F.count("*").alias("n"))
 
 
-@query("""WITH b AS (SELECT max(impression_timestamp) AS hi FROM {impressions})
-    SELECT impression_id FROM {impressions} WHERE impression_timestamp >= (SELECT hi - INTERVAL '30' DAY FROM b)""")
+SQL_STAMPED = """SELECT impression_id, clearing_price, CASE WHEN CAST(impression_id AS BIGINT) % 50 <> 0 THEN impression_timestamp END AS stamp FROM {impressions}"""
+
+
+@query(f"""SELECT CAST(CAST(stamp AS DATE) AS VARCHAR) AS day, count(*) AS n, count(DISTINCT impression_id) AS n_ids, {d("sum(clearing_price)", "clearing")},
+    CAST(0 AS BIGINT) AS inserted_again, true AS pruned FROM ({SQL_STAMPED}) e GROUP BY CAST(stamp AS DATE)""")
 def fact_increment(t: Tables) -> DataFrame:
-    """Rows from the newest loaded timestamp on, ties again."""
-    events = t["impressions"]
-    hi = events.agg(F.max("impression_timestamp").alias("hi")).select(F.col("hi") - F.expr("interval 30 days")).first()[0]
-    loaded = events.where(F.col("impression_timestamp") <= F.lit(hi))
-    loaded = loaded.unionByName(events.limit(0).select(events.columns))
-    newest = F.lit(hi)
-    return merge.fact_increment(events, loaded.select(F.greatest("impression_timestamp", newest).alias("impression_timestamp")), "impression_timestamp").select("impression_id")
+    """A stored fact loaded in three runs: what was there a month before the end, all from its newest time on, and
+    the same again. Every fiftieth row has no time; rows at the newest time come twice and are merged."""
+    spark, path = t["impressions"].sparkSession, scratch(t, "fact")
+    stamped = F.when(F.col("impression_id").cast("long") % 50 != 0, F.col("impression_timestamp")).alias("stamp")
+    rows = t["impressions"].select("impression_id", "clearing_price", stamped).withColumn("month", F.date_trunc("month", "stamp").cast("date"))
+    until = rows.agg(F.max("stamp").alias("hi")).select(F.col("hi") - F.expr("interval 30 days")).first()[0]
+    early = rows.where(F.col("stamp").isNull() | (F.col("stamp") <= F.lit(until)))
+    found = [stored.load_increment(source, path, "impression_id", "stamp", "month") for source in (early, rows, rows)]
+    loaded = stored.read_stored(spark, path, rows)
+    counts = loaded.groupBy(F.to_date("stamp").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("impression_id").alias("n_ids"), F.sum("clearing_price").alias("clearing"))
+    again, pruned = F.lit(found[2].inserted).cast("long"), F.lit(found[2].rows_read < sum(x.inserted for x in found) or found[0].merged == 0)
+    return plain(doubles(counts.select("*", again.alias("inserted_again"), pruned.alias("pruned"))))
 
 
 @query(f"""WITH p AS (SELECT *, {SQL_DAY.format("impression_timestamp")} AS date_key FROM {{impressions}}),
@@ -864,7 +873,7 @@ def bases(t: Tables, names: set[str]) -> Tables:
     out = {}
     for name in names & set(checks.BASES):
         text = checks.BASES[name]
-        used = {n: df for n, df in t.items() if "{" + n + "}" in text}
+        used = {n: t[n] for n in t if "{" + n + "}" in text}
         out[name] = next(iter(used.values())).sparkSession.sql(text, **used)
     return out
 
@@ -1205,15 +1214,25 @@ def newest_changes(t: Tables) -> DataFrame:
     return sources.peek(change_events(t).where("op <> 't'")).select("lsn", "op")
 
 
-@query("SELECT event_id, user_id, day, CASE WHEN event_id % 5 = 0 AND event_id > (SELECT max(event_id) / 2 FROM {events}) THEN 'again' ELSE event_type END AS event_type FROM (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM {events}) e")
+@query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 40 <> 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS day, event_type FROM {events}),
+    h AS (SELECT max(event_id) / 2 AS half FROM {events})
+    SELECT event_id, user_id, CASE WHEN event_id % 15 = 0 AND event_id > half THEN (SELECT max(day) FROM e) ELSE day END AS day,
+      CASE WHEN event_id % 5 = 0 AND event_id > half THEN 'again' ELSE event_type END AS event_type FROM e, h""")
 def merge_floor(t: Tables) -> DataFrame:
-    """A merge that scans only the target's days from the changes' first day on."""
-    days = t["events"].select("event_id", "user_id", F.to_date("ts").alias("day"), "event_type")
-    half = (days.agg(F.max("event_id")).first()[0] or 0) / 2
-    changes = days.where((F.col("event_id") % 5 == 0) & (F.col("event_id") > half)).withColumn("event_type", F.lit("again"))
-    floor = changes.agg(F.min("day")).first()[0]
-    untouched, merged = merge.merge_partitions(days, changes, "event_id", "day", F.lit(floor))
-    return untouched.unionByName(merged).withColumn("day", F.col("day").cast("string"))
+    """A stored table merged by key from the changes' first day on. Some rows have no day and some of the changes move to
+    the last one; an empty batch, and the same batch again, change nothing."""
+    spark, path = t["events"].sparkSession, scratch(t, "events-by-day")
+    day = F.when(F.col("event_id") % 40 != 0, F.to_date("ts"))
+    days = t["events"].select("event_id", "user_id", "event_type", day.alias("day"))
+    last, half = days.agg(F.max("day"), F.max("event_id") / 2).first()
+    chosen = days.where((F.col("event_id") % 5 == 0) & (F.col("event_id") > half))
+    floor = chosen.agg(F.min("day")).first()[0]
+    moved = F.when(F.col("event_id") % 15 == 0, F.lit(last)).otherwise(F.col("day"))
+    changes = chosen.withColumns({"event_type": F.lit("again"), "day": moved})
+    stored.merge_stored(days, path, "event_id", "day")
+    for batch in (changes, changes.where("false"), changes):
+        stored.merge_stored(batch, path, "event_id", "day", floor=floor)
+    return stored.read_stored(spark, path, days).withColumn("day", F.col("day").cast("string"))
 
 
 @query("""SELECT event_id, CAST(round(CAST(value AS DECIMAL(18,6)), 2) AS DOUBLE) AS two, CAST(round(CAST(value AS DECIMAL(18,8)), 4) AS DOUBLE) AS four,
