@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Examples are labelled documents. The index has postings for the terms (runs of letters, in lower case) that tell
-the labels apart by a chi-squared statistic of at least CERTAIN, and always for the BEST_TERMS best. A term weighs ``(1 + ln tf) * ln(1 + n / df)`` and
+the labels apart by a chi-squared statistic of at least CERTAIN and are LIFT times as frequent in the examples of one label, and always for the
+BEST_TERMS best. A term weighs ``(1 + ln tf) * ln(1 + n / df)`` and
 a text's weights have length 1, so a score is a cosine. Example ids are cut into ranges of RANGE; of each term
 and range the greatest weight is known. A query adds up the bounds of its terms for each range, reads the
-postings of ranges by falling bounds, and stops when no range left can reach its ``k``-th best score: results are those of all pairs,
-ties to the smaller example.
+postings of ranges by falling bounds, and stops when no range left can beat its ``k``-th best: results are those of all pairs,
+ties (to twelve decimals) to the smaller example.
 
 The votes of the ``k`` nearest, weighted by the squared cosine, and PRIOR votes at the share of toxic labels give
 a share; a logistic curve fitted to the examples' own shares, each without itself, makes it a probability. The
@@ -37,6 +38,7 @@ from tidemill.llm.memory import released
 
 #: About one chance in 10^7.5 for a term that has nothing to do with the label.
 CERTAIN = 30.0
+LIFT = 2.0
 BEST_TERMS = 8
 #: Terms in fewer examples tell nothing.
 LEAST_DF = 3
@@ -107,20 +109,21 @@ class Index:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
         """(examples, cosines) of the ``k`` best with a cosine above 0, and the ranges that were read."""
         ranges = self.most.shape[1]
-        bounds = (weight @ self.most[term]) * (1 + 1e-12)
+        # To twelve decimals, so that equal cosines tie however they were added up.
+        bounds = np.round(weight @ self.most[term] + 4e-15, 12)
         best, scores, read = np.empty(0, np.int64), np.empty(0), 0
-        for r in np.argsort(-bounds, kind="stable"):
-            if bounds[r] <= 0 or len(scores) == k and bounds[r] < scores[-1]:
+        for r in np.lexsort((np.arange(len(bounds)), -bounds)).tolist():
+            if bounds[r] <= 0 or len(scores) == k and (bounds[r] < scores[-1] or bounds[r] == scores[-1] and r * RANGE > best[-1]):
                 break
             own = np.zeros(RANGE)
-            for t, w in zip(term, weight, strict=True):
-                a, b = self.cut[t * ranges + r], self.cut[t * ranges + r + 1]
+            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
+                a, b = self.cut[t * len(bounds) + r], self.cut[t * len(bounds) + r + 1]
                 own[self.example[a:b] - r * RANGE] += w * self.weight[a:b]
+            if 0 <= without - r * RANGE < RANGE:
+                own[without - r * RANGE] = 0
             at = np.flatnonzero(own)
             read += 1
-            best, scores = np.concatenate([best, at + r * RANGE]), np.concatenate([scores, own[at]])
-            right = best != without
-            best, scores = best[right], scores[right]
+            best, scores = np.concatenate([best, at + r * RANGE]), np.concatenate([scores, np.round(own[at], 12)])
             order = np.lexsort((best, -scores))[:k]
             best, scores = best[order], scores[order]
         return best, scores, read
@@ -154,7 +157,12 @@ class Judge:
         text, term, weight = unit_weights(term_counts(texts, self.vocabulary), self.index.idf, len(texts))
         edge = np.searchsorted(text, np.arange(len(texts) + 1))
         none = (np.empty(0, np.int64), np.empty(0))
-        near = [self.index.nearest(term[a:b], weight[a:b], self.k)[:2] if b > a else none for a, b in zip(edge, edge[1:], strict=False)]
+        near, known = [], {}  # copies in a batch are looked up once
+        for a, b in zip(edge, edge[1:], strict=False):
+            key = term[a:b].tobytes() + weight[a:b].tobytes()
+            if key not in known:
+                known[key] = self.index.nearest(term[a:b], weight[a:b], self.k)[:2] if b > a else none
+            near.append(known[key])
         return self.probability(np.array([self.votes(*x) for x in near])), near
 
 
@@ -224,7 +232,10 @@ def fit_examples(ids: np.ndarray, labels: np.ndarray, texts: pa.Array, share: fl
     chi = n * (own - df * p) ** 2 / np.maximum(df * (n - df) * p * (1 - p) / n, 1e-12) / n
     chi[df < LEAST_DF] = 0
     order = np.lexsort((np.arange(len(chi)), -chi))[:most_terms]
-    chosen = order[(chi[order] >= CERTAIN) | (np.arange(len(order)) < BEST_TERMS) & (chi[order] > 0)]
+    rates = (own + 0.5) / (labels.sum() + 1), (df - own + 0.5) / (n - labels.sum() + 1)
+    lift = np.maximum(rates[0] / rates[1], rates[1] / rates[0])
+    tells = (chi[order] >= CERTAIN) & (lift[order] >= LIFT)
+    chosen = order[tells | (np.arange(len(order)) < BEST_TERMS) & (chi[order] > 0)]
     vocabulary = vocabulary.take(pa.array(chosen))
     idf = np.log(1 + n / df[chosen])
     rows = term_counts(texts, vocabulary)
