@@ -22,6 +22,42 @@ def test_flatten_tombstones_tables_and_days(spark):
     assert (rows[1].op, rows[1].lsn, rows[1].dt.isoformat()) == ("t", None, "2024-01-02")
 
 
+def test_flatten_keeps_odd_envelopes(spark):
+    source = {"schema": "public", "table": "users", "lsn": "7", "txId": 9}
+    values = [
+        json.dumps({"source": source, "after": {"b": 1, "a": {"d": 2, "c": 3}}}),
+        json.dumps({"op": "", "source": {"lsn": "x"}, "transaction": {"id": "12:34"}, "before": {"k": None}}),
+        json.dumps({"op": "u", "source": None, "after": None}),
+        "{not json", "[1]", "null", '"text"', '{"a":1,"a":2}', "", None,
+    ]
+    given = [(None, v, "cdc.public.orders" if n % 2 else "orders", 0, n, 5) for n, v in enumerate(values)]
+    rows = landing.flatten(spark.createDataFrame(given, landing.MESSAGE)).orderBy("kafka_offset").collect()
+    assert len(rows[0]) == 13
+    assert (rows[0].op, rows[0].source_table, rows[0].lsn, rows[0].tx_id, rows[0].after_json) == ("?", "users", 7, 9, '{"a":{"c":3,"d":2},"b":1}')
+    assert (rows[1].op, rows[1].source_table, rows[1].lsn, rows[1].tx_id, rows[1].before_json) == ("?", "orders", None, 12, '{"k":null}')
+    assert (rows[2].op, rows[2].source_table, rows[2].after_json) == ("u", "orders", None)
+    for r, v in zip(rows[3:9], values[3:9], strict=True):
+        assert (r.op, r.source_table, r.after_json, r.lsn) == ("!", "dead_letters", v, None)
+    assert (rows[9].op, rows[9].source_table, rows[9].after_json) == ("t", "orders", None)
+
+
+def test_payloads_that_are_equal_land_alike(spark):
+    given = [(None, v, "a.b.c", 0, n, 5) for n, v in enumerate(['{"op":"c","after":{"y":[1, 2],"x":"\\u00e9"}}', '{"after" : {"x":"é","y":[1,2]},"op":"c"}'])]
+    found = landing.flatten(spark.createDataFrame(given, landing.MESSAGE)).select("after_json").distinct().collect()
+    assert [r.after_json for r in found] == ['{"x":"é","y":[1,2]}']
+
+
+def test_no_message_is_lost_on_the_way(spark, tmp_path):
+    source, out, mark = (f"file://{tmp_path}/{x}" for x in ("in", "out", "mark"))
+    odd = [(None, v, "cdc.public.users", 0, 90 + n, 1704067200000) for n, v in enumerate(["oops", '{"after":{"id":1}}', None])]
+    write(spark, source, [message(1), *odd])
+    landing.land(landing.file_messages(spark, source), out, mark).awaitTermination()
+    landed = spark.read.parquet(out)
+    assert {(r.source_table, r.op) for r in landed.collect()} == {("users", "u"), ("users", "?"), ("users", "t"), ("dead_letters", "!")}
+    dead = landed.where("source_table = 'dead_letters'")
+    assert dead.first().after_json == "oops" and "PartitionFilters: [isnotnull(source_table" in dead._jdf.queryExecution().executedPlan().toString()
+
+
 def test_landing_adds_nothing_twice(spark, tmp_path):
     source, out, mark = (f"file://{tmp_path}/{x}" for x in ("in", "out", "mark"))
     write(spark, source, [message(n) for n in range(6)])

@@ -80,7 +80,7 @@ def restore(value: Column, kind: T.DataType) -> Column:
 
 def collapse_changes(events: DataFrame, pk: str, target: T.StructType, min_lsn: int | None = None) -> DataFrame:
     """One typed row per key: its newest change above ``min_lsn``, tombstones left out."""
-    live = events.where(F.col("op") != "t")
+    live = events.where(~F.col("op").eqNullSafe("t"))
     if min_lsn is not None:
         live = live.where(F.col("lsn") > min_lsn)
     order = Window.partitionBy("_pk").orderBy(F.desc_nulls_last("lsn"), F.desc("kafka_offset"))

@@ -9,20 +9,45 @@ from pyspark.sql.streaming import StreamingQuery
 MESSAGE = "key string, value string, topic string, partition int, offset long, ingested_at_ms long"
 
 
+#: The operation of an envelope that names none, and of a null value.
+UNKNOWN_OP, TOMBSTONE = "?", "t"
+#: The operation and table of messages that are no JSON object.
+DEAD_OP, DEAD_TABLE = "!", "dead_letters"
+
+
+def table_of_topic(topic: str = "topic") -> Column:
+    """The last of three or more dotted parts, else the topic itself."""
+    parts = F.split(topic, r"\.")
+    return F.when(F.size(parts) >= 3, F.element_at(parts, -1)).otherwise(F.col(topic))
+
+
 def flatten(messages: DataFrame) -> DataFrame:
-    """Messages -> the 13 columns of a change record; a null value is a tombstone."""
-    path = lambda p: F.get_json_object("value", p)
-    number = lambda p: path(p).try_cast("long")
-    return messages.select(
-        F.when(F.col("value").isNull(), "t").otherwise(path("$.op")).alias("op"),
-        path("$.source.schema").alias("source_schema"),
-        F.element_at(F.split("topic", r"\."), -1).alias("source_table"),
-        number("$.ts_ms").alias("event_ts_ms"),
-        number("$.source.lsn").alias("lsn"),
-        number("$.source.txId").alias("tx_id"),
+    """Messages -> the 13 columns of a change record, one for each message.
+
+    A null value is a tombstone. Payloads become canonical: keys of every object sorted, no spaces, numbers by
+    their value, so equal payloads are equal texts. An envelope without an operation has ``?``; its table is that of
+    its source, else of its topic; its transaction is the source's, else the first part of the transaction block's
+    id. A value that is no JSON object (an object with a key twice is none) is a record of the table
+    ``dead_letters`` with the operation ``!`` and the whole value as its payload: nothing is lost or holds up
+    the stream, and the landed folder of that table is what is to be looked at.
+    """
+    parsed = messages.withColumn("_v", F.try_parse_json("value"))
+    parsed = parsed.withColumn("_whole", F.coalesce(F.schema_of_variant("_v").startswith("OBJECT<"), F.lit(False)))
+    text = lambda p: F.nullif(F.try_variant_get("_v", p, "string"), F.lit(""))
+    number = lambda p: text(p).try_cast("long")
+    payload = lambda p: F.nullif(F.to_json(F.try_variant_get("_v", p, "variant")), F.lit("null"))
+    gone, whole = F.col("value").isNull(), F.col("_whole")
+    transaction = F.coalesce(F.nullif(number("$.source.txId"), F.lit(0)), F.element_at(F.split(text("$.transaction.id"), ":"), 1).try_cast("long"))
+    return parsed.select(
+        F.when(gone, TOMBSTONE).when(~whole, DEAD_OP).otherwise(F.coalesce(text("$.op"), F.lit(UNKNOWN_OP))).alias("op"),
+        F.when(whole, text("$.source.schema")).alias("source_schema"),
+        F.when(~gone & ~whole, DEAD_TABLE).otherwise(F.coalesce(F.when(whole, text("$.source.table")), table_of_topic())).alias("source_table"),
+        F.when(whole, number("$.ts_ms")).alias("event_ts_ms"),
+        F.when(whole, number("$.source.lsn")).alias("lsn"),
+        F.when(whole, transaction).alias("tx_id"),
         "key",
-        path("$.before").alias("before_json"),
-        path("$.after").alias("after_json"),
+        F.when(whole, payload("$.before")).alias("before_json"),
+        F.when(whole, payload("$.after")).otherwise(F.col("value")).alias("after_json"),
         F.col("topic").alias("kafka_topic"),
         F.col("partition").alias("kafka_partition"),
         F.col("offset").alias("kafka_offset"),
