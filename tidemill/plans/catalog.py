@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from tidemill.operators import billing, changelog, dims, facts, history, marts,
 from tidemill.plans import checks
 from tidemill.plans.standins import COLUMNS, DERIVED, LOGS, oracle, tables
 from tidemill.session import cut, shared_dir
+from tidemill.sources import jdbc
 from tidemill.sources import tables as sources
 from tidemill.sources import versions
 from tidemill.streaming import landing
@@ -1220,6 +1222,57 @@ def snapshot_runs(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@contextmanager
+def database(t: Tables, **given: DataFrame) -> Iterator[jdbc.Source]:
+    """A Derby database within the driver that holds the given tables, gone at the end. Its executors have to be in
+    the driver too, so it is for local sessions."""
+    spark = t["orders"].sparkSession
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("an embedded database is only seen from within the driver; use jdbc.Source with a server's url")
+    memory = f"jdbc:derby:memory:tidemill_{uuid.uuid4().hex}"
+    for name, df in given.items():
+        jdbc.load_table(df, f"{memory};create=true", name, ", ".join(f"{c} VARCHAR(100)" for c, k in df.dtypes if k == "string") or None)
+    try:
+        yield jdbc.Source(spark, memory, "SET CURRENT ISOLATION = RR")
+    finally:
+        with suppress(Exception):  # Derby reports the end of a database as an error
+            spark._jvm.java.sql.DriverManager.getConnection(f"{memory};drop=true")
+
+
+@query("SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, min(o_orderkey) AS first_key FROM {orders} GROUP BY o_orderstatus")
+def jdbc_ranges(t: Tables) -> DataFrame:
+    """A database's table read in ranges of its key, the aggregate's columns alone."""
+    with database(t, orders=t["orders"].select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))) as source:
+        rows = source.ranges("orders", "o_orderkey", rows_per_part=4000)
+        return cut(plain(doubles(rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.min("o_orderkey").alias("first_key")))))
+
+
+@query("""SELECT 'customer' AS table_name, count(*) AS source_rows, count(*) AS loaded_rows, true AS equal FROM {customer}
+    UNION ALL SELECT 'supplier', count(*), count(CASE WHEN s_suppkey % 10 <> 0 THEN 1 END), count(CASE WHEN s_suppkey % 10 = 0 THEN 1 END) = 0 FROM {supplier}""")
+def jdbc_counts(t: Tables) -> DataFrame:
+    """Counts by the source against those of loaded tables, one of which lacks rows."""
+    keys = {"customer": t["customer"].select("c_custkey"), "supplier": t["supplier"].select("s_suppkey")}
+    with database(t, **keys) as source:
+        loaded = [("customer", keys["customer"]), ("supplier", keys["supplier"].where("s_suppkey % 10 <> 0"))]
+        own = reduce(DataFrame.unionByName, [df.agg(F.lit(n).alias("table_name"), F.count("*").alias("loaded_rows")) for n, df in loaded])
+        found = source.counts(*keys).withColumnsRenamed({"TABLE_NAME": "table_name", "N": "n"})
+        there = found.select(F.trim("table_name").alias("table_name"), F.col("n").cast("long").alias("source_rows"))
+        return cut(there.join(own, "table_name").withColumn("equal", F.col("source_rows") == F.col("loaded_rows")))
+
+
+@query(f"SELECT * FROM ({SQL_CURRENT}) x")
+def jdbc_snapshot(t: Tables) -> DataFrame:
+    """A database that holds the state as of half the log: exported with its position, then reconciled with the log after it."""
+    spark, root, at = t["orders"].sparkSession, scratch(t, "exports"), boundary(t)
+    state = snapshot(t, at)
+    with database(t, users=state, log_position=spark.createDataFrame([(at,)], "lsn long")) as source:
+        position, read = source.snapshot({"users": "user_id"}, 'SELECT max("lsn") AS lsn FROM log_position', lambda name, df: df)
+        sources.export_snapshot(read, root, "r1", position)
+    run = sources.pick_run(spark, root).first()
+    exported = sources.read_files(spark, f"{root}/{run.run_id}/users").to(state.schema)
+    return plain(changelog.reconcile_table(exported, change_events(t), "user_id", run.wal_lsn))
+
+
 @query("""SELECT 'orders' AS table_name, count(*) AS n_rows, true AS has_files, true AS has_bytes, false AS mismatch FROM {orders}
     UNION ALL SELECT 'events', count(*), true, true, true FROM {events}""")
 def publish_manifest(t: Tables) -> DataFrame:

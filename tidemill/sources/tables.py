@@ -20,24 +20,6 @@ def footer_schema(spark: SparkSession, url: str) -> T.StructType:
     return spark.read.parquet(url).schema
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, columns: list[str] | None = None, **options: str) -> DataFrame:
-    """A table scan; the columns selected are all that the source sends."""
-    df = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
-    return df.select(*columns) if columns else df
-
-
-def jdbc_ranges(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int], parts: int, **options: str) -> DataFrame:
-    """A table scan in ``parts`` ranges of a numeric key, one connection each; rows outside the bounds are read too."""
-    split = {"partitionColumn": key, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(parts)}
-    return jdbc_table(spark, url, table, **split, **options)
-
-
-def jdbc_counts(spark: SparkSession, url: str, tables: list[str], **options: str) -> DataFrame:
-    """Row counts computed at the source."""
-    parts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in tables)
-    return spark.read.format("jdbc").option("url", url).option("dbtable", f"({parts}) q").options(**options).load()
-
-
 def export_snapshot(tables: dict[str, DataFrame], root: str, run_id: str, position: int) -> None:
     """Every table as Parquet, then the manifest: a run without one is not complete."""
     for name, df in tables.items():
