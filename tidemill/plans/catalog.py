@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions import scalars as S
-from tidemill.operators import billing, changelog, dims, facts, history, marts, merge, quality, reports, stored
+from tidemill.operators import billing, changelog, dims, facts, history, marts, merge, quality, refresh, reports, stored
 from tidemill.plans import checks
 from tidemill.plans.standins import COLUMNS, DERIVED, LOGS, oracle, tables
 from tidemill.session import cut, shared_dir
-from tidemill.sources import jdbc
+from tidemill.sources import jdbc, offsets
 from tidemill.sources import tables as sources
 from tidemill.sources import versions
 from tidemill.streaming import landing
@@ -231,6 +231,73 @@ def log_compaction(t: Tables) -> DataFrame:
     return kept.select(F.get_json_object("key", "$.user_id").cast("long").alias("user_id"), "lsn", "op")
 
 
+def land_log(rows: DataFrame, path: str) -> None:
+    """Change records as a landed log has them, one more batch of files."""
+    landing.with_day(rows).hint("rebalance", "source_table", "dt").write.mode("append").partitionBy("source_table", "dt").parquet(path)
+
+
+@query(f"""WITH r AS (SELECT user_id % 4 AS kafka_partition, lsn, lsn * 2 AS place FROM {{changes}}
+      UNION ALL SELECT user_id % 4, lsn, lsn * 2 + 1 FROM {{changes}} WHERE op = 'd'),
+    m AS (SELECT kafka_partition, max(place) AS seen FROM r WHERE lsn <= {SQL_HALF} GROUP BY kafka_partition)
+    SELECT r.kafka_partition, count(CASE WHEN seen IS NULL OR place > seen THEN 1 END) AS n_pending, count(*) AS n_all, true AS fewer_files, true AS straddled
+    FROM r LEFT JOIN m ON r.kafka_partition = m.kafka_partition GROUP BY r.kafka_partition""")
+def log_files(t: Tables) -> DataFrame:
+    """What bookmarks leave of a log that landed in three batches, read from the files that its zone map chooses:
+    the first lies before the bookmarks, the second straddles them, the third came late. An unreadable bookmark reads all."""
+    spark, root = t["changes"].sparkSession, scratch(t, "log")
+    log, at = change_events(t), boundary(t)
+    lsn = F.coalesce("lsn", F.floor(F.col("kafka_offset") / 2))
+    late = F.pmod(F.xxhash64("kafka_offset"), F.lit(50)) == 0
+    for batch in (log.where((lsn <= at * 0.9) & ~late), log.where((lsn > at * 0.9) & ~late), log.where(late)):
+        land_log(batch, f"{root}/log")
+        zones = offsets.update_map(spark, f"{root}/log", f"{root}/zones")
+    marks = {r.kafka_partition: r.seen_offset for r in changelog.offset_bookmarks(log.where(lsn <= at)).collect()}
+    chosen = offsets.files_after(zones, offsets.decode_bookmarks(offsets.encode_bookmarks(marks))).collect()
+    everything = offsets.files_after(zones, offsets.decode_bookmarks("{broken"))
+    some = offsets.read_files(spark, f"{root}/log", [r.file for r in chosen])
+    bookmarks = spark.createDataFrame([("cdc.public.users", k, v) for k, v in marks.items()], "kafka_topic string, kafka_partition int, seen_offset long")
+    pending = changelog.pending(some, bookmarks).groupBy("kafka_partition").agg(F.count("*").alias("n_pending"))
+    whole = offsets.read_files(spark, f"{root}/log", [r.file for r in everything.collect()]).groupBy("kafka_partition").agg(F.count("*").alias("n_all"))
+    fewer, straddled = len(chosen) < everything.count(), any(r.straddles for r in chosen)
+    out = whole.join(pending, "kafka_partition", "left").withColumn("n_pending", F.coalesce("n_pending", F.lit(0)).cast("long"))
+    return out.select("kafka_partition", "n_pending", "n_all", F.lit(fewer).alias("fewer_files"), F.lit(straddled).alias("straddled"))
+
+
+SQL_LATE = "(SELECT CAST(floor(max(lsn) / 4) AS BIGINT) * 3 FROM {changes})"
+
+
+@query(f"""WITH s AS (SELECT user_id % 3 AS k, count(*) AS n_rows, count(CASE WHEN is_deleted THEN 1 END) AS n_deleted, sum(_lsn) AS sum_lsn, sum(amount) AS amount
+      FROM ({SQL_CURRENT}) c WHERE user_id % 3 <> 2 GROUP BY user_id % 3
+      UNION ALL SELECT 2, count(*), 0, NULL, sum(CAST(amount AS DOUBLE)) FROM ({sql_newest("lsn <= " + SQL_HALF)}) o WHERE op <> 'd' AND user_id % 3 = 2),
+    m AS (SELECT user_id % 3 AS k, count(DISTINCT user_id) AS merged FROM {{changes}} WHERE lsn > {SQL_LATE} GROUP BY user_id % 3)
+    SELECT 'users_' || CAST(s.k AS VARCHAR) AS source_table, CASE WHEN s.k = 2 THEN 'bootstrap,skip,skip,rebuild' ELSE 'bootstrap,incremental,skip,skip' END AS modes,
+      CASE WHEN s.k = 2 THEN 0 ELSE merged END AS merged, s.n_rows, n_deleted, CAST(sum_lsn AS BIGINT) AS sum_lsn, round(amount, 2) AS amount
+    FROM s LEFT JOIN m ON s.k = m.k""")
+def refresh_runs(t: Tables) -> DataFrame:
+    """Three tables refreshed: with three quarters of the log, with all of it, again, and with one of them forced. The last
+    is append-only and has an export alone."""
+    spark, root = t["changes"].sparkSession, scratch(t, "refresh")
+    at, late = boundary(t), (t["changes"].agg(F.max("lsn")).first()[0] or 0) // 4 * 3
+    log = change_events(t).withColumn("source_table", F.concat(F.lit("users_"), F.get_json_object("key", "$.user_id").cast("long") % 3))
+    log, place = log.where("source_table <> 'users_2'"), F.floor(F.col("kafka_offset") / 2)
+    state = cut(snapshot(t, at))
+    exports = [refresh.Export(f"users_{k}", "user_id", state.where(F.col("user_id") % 3 == k), "r1", at, append_only=k == 2) for k in range(3)]
+    runs = []
+    for n, batch in enumerate((log.where(place <= late), log.where(place > late), None, None)):
+        if batch is not None:
+            land_log(batch, f"{root}/log")
+        done = refresh.refresh(spark, f"{root}/tables", exports, f"{root}/log", forced=("users_2",) if n == 3 else ())
+        runs.append(done.withColumn("run", F.lit(n)))
+    report = reduce(DataFrame.unionByName, runs).groupBy("source_table").agg(
+        F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("run", "mode"))), lambda x: x["mode"])).alias("modes"), F.sum("merged").alias("merged")
+    )
+    tables_ = [versions.read_version(spark, f"{root}/tables/users_{k}").withColumn("source_table", F.lit(f"users_{k}")) for k in range(3)]
+    counts = reduce(DataFrame.unionByName, tables_).groupBy("source_table").agg(
+        F.count("*").alias("n_rows"), F.count_if("is_deleted").alias("n_deleted"), F.sum("_lsn").alias("sum_lsn"), F.round(F.sum("amount").cast("double"), 2).alias("amount")
+    )
+    return report.join(counts, "source_table")
+
+
 @query("""SELECT lag, newest, round((epoch_us(newest + lag * INTERVAL '1' HOUR) - epoch_us(newest)) / 3.6e9, 3) AS age_hours,
     CASE WHEN lag > 48 THEN 'error' WHEN lag > 12 THEN 'warn' ELSE 'pass' END AS status
     FROM (SELECT max(ts) AS newest FROM {events}) e CROSS JOIN (VALUES (0), (12), (13), (48), (60)) v(lag)""")
