@@ -38,12 +38,6 @@ def test_as_of_join_is_half_open_and_unknown_before_the_first(spark):
     assert history.not_contiguous(h, "k").count() == 0 and history.not_one_current(h, "k").count() == 0
 
 
-def test_capture_increment(spark):
-    old = versions(spark, [("a", T(2024, 1, 1), 1, "x", None), ("b", T(2024, 1, 1), 1, None, None)])
-    now = versions(spark, [("a", T(2024, 1, 2), 1, "x", None), ("b", T(2024, 1, 2), 1, "n", None), ("c", T(2024, 1, 2), 1, "x", None)])
-    assert sorted(r.k for r in history.capture_increment(old, now, "k", ["status"], "at").collect()) == ["b", "c"]
-
-
 def test_dimension_has_one_unknown_member(spark):
     members = spark.createDataFrame([("1", "9", "A", 5), ("2", None, "B", None)], "x_id string, p_id string, name string, age int")
     dim = dims.Dimension("x", "x_id", {"p_key": "p_id"}, ("name", "age"), {"age": 13})

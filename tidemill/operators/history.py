@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import UNKNOWN, beginning_of_time, end_of_time, or_unknown, strict_greatest, surrogate_key, version_key
@@ -34,13 +34,6 @@ def capture_versions(log: DataFrame, pk: str, order: list[str], checked: list[st
     return marked.where(F.col("_before").isNull() | (F.col("_before") != F.col("_state"))).drop("_state", "_before")
 
 
-def capture_increment(history: DataFrame, now: DataFrame, pk: str, checked: list[str], captured_at: str) -> DataFrame:
-    """New versions of a snapshot against the newest captured ones."""
-    newest = history.groupBy(pk).agg(F.max_by(F.struct(*checked), captured_at).alias("_last"))
-    joined = now.join(newest, pk, "left")
-    return joined.where(~F.struct(*checked).eqNullSafe(F.col("_last"))).drop("_last")
-
-
 def type2(versions: DataFrame, pk: str, at: str, created_at: str, tie: str | None = None, name: str = "entity") -> DataFrame:
     """Half-open validity [valid_from, valid_to), current flag and version key.
 
@@ -70,40 +63,95 @@ def version_times(updated_at: str, deleted_at: str):
     return F.coalesce(both, F.col(updated_at))
 
 
-def entity_history(captures: DataFrame, dim: Dimension, checked: tuple[str, ...] | None = None) -> DataFrame:
-    """The Type 2 history of a member table from its captures, with one unknown version for all time.
+def member_versions(captures: DataFrame, dim: Dimension, checked: tuple[str, ...] | None = None) -> DataFrame:
+    """The versions of a member table from the whole log of its captures: their columns, when each began, its
+    validity, and whether it is in force and the member's last.
 
     Captures hold the table's columns, is_deleted, deleted_at, created_at, updated_at and captured_at. Versions
     are in the order of their capture; when one began is its update or deletion, clamped to the running maximum.
-    The key comes from the capture, since two versions may begin at one time.
     """
     checked = checked or CHECKED[dim.name]
     pk = dim.natural_key
     w = Window.partitionBy(pk).orderBy("captured_at")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     versions = capture_versions(captures, pk, ["captured_at"], list(checked))
-    timed = versions.withColumn("_at", F.max(version_times("updated_at", "deleted_at")).over(upto))
-    following, first = F.lead("_at").over(w), F.row_number().over(w) == 1
-    ends = end_of_time().cast(dict(timed.select("_at").dtypes)["_at"])
-    rows = timed.select(
+    timed = versions.withColumn("began_at", F.max(version_times("updated_at", "deleted_at")).over(upto))
+    following, first = F.lead("began_at").over(w), F.row_number().over(w) == 1
+    ends = end_of_time().cast(timed.schema["began_at"].dataType)
+    start = F.when(first & F.col("created_at").isNotNull(), F.least("created_at", "began_at")).otherwise(F.col("began_at"))
+    return timed.withColumns(
+        {"valid_from": start, "valid_to": F.coalesce(following, ends), "is_current": following.isNull(), "is_last": following.isNull()}
+    )
+
+
+def grow_versions(
+    versions: DataFrame | None, snapshot: DataFrame, dim: Dimension, at: Column, checked: tuple[str, ...] | None = None, close_absent: bool = True
+) -> DataFrame:
+    """``member_versions`` after one more snapshot, from the versions before it; ``at`` is the snapshot's time.
+
+    A member with a changed column gets a new version, which ends the one before. One that the snapshot lacks
+    is closed at that time, or left as it is; if it comes back it gets a version from its update on, not before it
+    was closed. The same snapshot again changes nothing. Only members' last versions are joined.
+    """
+    checked = checked or CHECKED[dim.name]
+    pk = dim.natural_key
+    time = version_times("updated_at", "deleted_at")
+    if versions is None:
+        return member_versions(snapshot, dim, checked)
+    names, kind = versions.columns, versions.schema["began_at"].dataType
+    old, new = F.struct(*names).alias("o"), F.struct(*snapshot.columns, time.alias("_time")).alias("n")
+    last = versions.where("is_last").select(F.col(pk).alias("_o"), old)
+    both = last.join(snapshot.select(F.col(pk).alias("_n"), new), F.col("_o") == F.col("_n"), "full_outer")
+    known, found = F.col("_o").isNotNull(), F.col("_n").isNotNull()
+    same = F.struct(*[f"o.{c}" for c in checked]).eqNullSafe(F.struct(*[f"n.{c}" for c in checked])) & F.col("o.is_current")
+    changed = found & (~known | ~same)
+    # When it was closed holds for a member that is back; a member's versions do not run backwards.
+    since = F.when(~F.col("o.is_current"), F.greatest("o.valid_to", "o.began_at")).otherwise(F.col("o.began_at"))
+    began = F.greatest(F.coalesce(since, F.col("n._time")), F.col("n._time")).cast(kind)
+    start = F.when(~known & F.col("n.created_at").isNotNull(), F.least("n.created_at", "n._time")).otherwise(began)
+    closed = F.greatest(F.col("o.began_at"), at.cast(kind))
+    absent = known & ~found & F.col("o.is_current") & F.lit(close_absent)
+    ended = {
+        "valid_to": F.when(absent, closed).when(changed & F.col("o.is_current"), began).otherwise(F.col("o.valid_to")),
+        "is_current": F.col("o.is_current") & ~absent & ~changed,
+        "is_last": ~changed,
+    }
+    made = {"began_at": began, "valid_from": start, "valid_to": end_of_time().cast(kind), "is_current": F.lit(True), "is_last": F.lit(True)}
+    before = F.struct(*[ended.get(c, F.col(f"o.{c}")).alias(c) for c in names])
+    after = F.struct(*[made.get(c, F.col(f"n.{c}") if c in snapshot.columns else F.lit(None)).cast(versions.schema[c].dataType).alias(c) for c in names])
+    rows = F.array_compact(F.array(F.when(known, before), F.when(changed, after)))
+    return versions.where("NOT is_last").unionByName(both.select(F.inline(rows)))
+
+
+def shape_history(versions: DataFrame, dim: Dimension, checked: tuple[str, ...] | None = None) -> DataFrame:
+    """The Type 2 history of ``member_versions``, with one unknown version for all time. The key comes from the
+    capture, since two versions may begin at one time."""
+    checked = checked or CHECKED[dim.name]
+    pk = dim.natural_key
+    rows = versions.select(
         version_key(F.col(pk), F.col("captured_at")).alias(f"{dim.name}_version_key"),
         surrogate_key(F.col(pk)).alias(dim.key),
         pk,
         *[or_unknown(surrogate_key_or_null(natural)).alias(out) for out, natural in dim.parents.items()],
         *[c for c in checked if c != pk],
-        F.when(first & F.col("created_at").isNotNull(), F.least("created_at", "_at")).otherwise(F.col("_at")).alias("valid_from"),
-        F.coalesce(following, ends).alias("valid_to"),
-        following.isNull().alias("is_current"),
+        "valid_from",
+        "valid_to",
+        "is_current",
         "captured_at",
     )
     kinds = dict(rows.dtypes)
     fixed = {"valid_from": beginning_of_time(), "valid_to": end_of_time(), "is_current": F.lit(True), "is_deleted": F.lit(False)}
     fixed |= {c: F.lit(UNKNOWN) for c in (f"{dim.name}_version_key", dim.key, *dim.parents)}
     blank = lambda c: F.lit(dim.unknown.get(c, "Unknown" if kinds[c] == "string" and c != pk else None))
-    one = captures.sparkSession.range(1).select(*[(fixed[c] if c in fixed else blank(c)).cast(kinds[c]).alias(c) for c in rows.columns])
+    one = versions.sparkSession.range(1).select(*[(fixed[c] if c in fixed else blank(c)).cast(kinds[c]).alias(c) for c in rows.columns])
     return rows.unionByName(one)
 
 
+def entity_history(captures: DataFrame, dim: Dimension, checked: tuple[str, ...] | None = None) -> DataFrame:
+    """The Type 2 history of a member table from the whole log of its captures."""
+    return shape_history(member_versions(captures, dim, checked), dim, checked)
+
+
 def as_of_join(facts: DataFrame, history: DataFrame, key: str, ts: str, version_col: str, out: str) -> DataFrame:
     """Adds the version of ``key`` in force at ``ts``, UNKNOWN if none. Equality keeps it a hash or merge join."""
     h = history.select(
@@ -113,6 +161,49 @@ def as_of_join(facts: DataFrame, history: DataFrame, key: str, ts: str, version_
     return facts.join(h, on, "left").withColumn(out, or_unknown(F.col("_version"))).drop("_key", "_from", "_to", "_version")
 
 
+#: A key with more than one in so many rows is hot; there are fewer such keys than this.
+HOT_SHARE = 1000
+
+
+def hot_keys(facts: DataFrame, key: str) -> DataFrame:
+    """(key, salts): keys of more than one row in HOT_SHARE, and over how many salts to spread each."""
+    counts = facts.groupBy(key).agg(F.count("*").alias("n"))
+    most = (counts.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    return counts.where((F.col("n") > most) & F.col(key).isNotNull()).select(key, F.ceil(F.col("n") / max(most, 1)).cast("int").alias("salts"))
+
+
+def as_of_merge(facts: DataFrame, history: DataFrame, key: str, ts: str, version_col: str, out: str, hot: DataFrame | None = None) -> DataFrame:
+    """``as_of_join`` as one sorted pass over facts and versions together, for keys with very many versions: each
+    fact takes the last version that began at or before it, if that has not ended.
+
+    Facts of ``hot`` keys, as ``hot_keys`` finds them, are spread over salts and their versions repeated for each.
+    """
+    salt, salted = F.lit(0), F.lit(1)
+    v = history.select(
+        F.col(key).alias("_key"), F.col("valid_from").alias("_at"), F.col("valid_to").alias("_to"), F.col(version_col).alias("_version")
+    )
+    if hot is not None:
+        few = F.broadcast(hot.select(F.col(key).alias("_hot"), "salts"))  # fewer than HOT_SHARE rows
+        facts_ = facts.join(few, F.col(key) == F.col("_hot"), "left")
+        v = v.join(few, F.col("_key") == F.col("_hot"), "left").drop("_hot")
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int")
+        salted = F.coalesce("salts", F.lit(1))
+    else:
+        facts_ = facts
+    whole = F.struct(*facts.columns)
+    events = facts_.select(F.col(key).alias("_key"), salt.alias("_salt"), F.col(ts).alias("_at"), whole.alias("_fact"))
+    starts = v.select("_key", F.explode(F.sequence(F.lit(0), salted - 1)).alias("_salt"), "_at", F.struct("_to", "_version").alias("_in"))
+    both = events.withColumn("_in", F.lit(None).cast(starts.schema["_in"].dataType)).unionByName(
+        starts.withColumn("_at", F.col("_at").cast(events.schema["_at"].dataType)).withColumn("_fact", F.lit(None).cast(events.schema["_fact"].dataType))
+    )
+    # Of versions that begin together the one that ends last is in force; it comes last before the facts of its time.
+    order = [F.col("_at").asc_nulls_first(), F.col("_fact").isNotNull(), F.col("_in._to").asc_nulls_first()]
+    w = Window.partitionBy("_key", "_salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_last", F.last("_in", ignorenulls=True).over(w)).where(F.col("_fact").isNotNull())
+    inside = (F.col("_at") < F.col("_last._to")) & F.col("_key").isNotNull() & F.col("_at").isNotNull()
+    return found.select("_fact.*", or_unknown(F.when(inside, F.col("_last._version"))).alias(out))
+
+
 def not_contiguous(history: DataFrame, pk: str, tie: str | None = None) -> DataFrame:
     """Versions whose end is not the start of the next one."""
     w = Window.partitionBy(pk).orderBy("valid_from", "valid_to", *([tie] if tie else []))

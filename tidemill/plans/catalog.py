@@ -467,6 +467,21 @@ def as_of_join(t: Tables) -> DataFrame:
     return out.select("impression_id", "customer_version_key")
 
 
+SQL_SKEWED = "SELECT impression_id, CASE WHEN CAST(impression_id AS BIGINT) % 3 = 0 THEN '1' ELSE advertiser_id END AS advertiser_id, impression_timestamp FROM {impressions}"
+
+
+@query(f"""SELECT i.impression_id, coalesce(h.customer_version_key, 'UNKNOWN') AS customer_version_key
+    FROM ({SQL_SKEWED}) i LEFT JOIN ({SQL_HISTORY}) h ON i.advertiser_id = CAST(h.entity_id AS VARCHAR)
+      AND i.impression_timestamp >= h.valid_from AND i.impression_timestamp < h.valid_to""")
+def as_of_merge(t: Tables) -> DataFrame:
+    """As-of versions in one sorted pass, with a third of all facts on one key."""
+    h = customer_history(t).withColumn("advertiser_id", F.col("entity_id").cast("string"))
+    skewed = F.when(F.col("impression_id").cast("long") % 3 == 0, "1").otherwise(F.col("advertiser_id"))
+    f = t["impressions"].select("impression_id", skewed.alias("advertiser_id"), "impression_timestamp")
+    hot = history.hot_keys(f, "advertiser_id")
+    return history.as_of_merge(f, h, "advertiser_id", "impression_timestamp", "customer_version_key", "customer_version_key", hot).select("impression_id", "customer_version_key")
+
+
 def sql_history_rules(name: str, source: str) -> str:
     return f"""SELECT '{name}' AS history, count(*) AS versions, count(CASE WHEN is_current THEN 1 END) AS current_versions,
       count(CASE WHEN valid_from = valid_to THEN 1 END) AS without_length, count(CASE WHEN next_from IS NOT NULL AND next_from <> valid_to THEN 1 END) AS gaps,
@@ -584,6 +599,21 @@ for _name in history.CHECKED:
     _history(_name)
 
 
+@query(f"""SELECT campaign_version_key, campaign_id, campaign_status, CAST(daily_budget AS DOUBLE) AS daily_budget, is_deleted, valid_from, next_at AS ends, is_current,
+    CAST(5 AS BIGINT) AS published FROM ({sql_history("campaign")}) h""")
+def history_growth(t: Tables) -> DataFrame:
+    """The campaigns' history grown by one capture after the other, each a published version made from the one before."""
+    log, root, dim = t["campaigns_log"], scratch(t, "history"), dims.DIMENSIONS["campaign"]
+    spark, before, number = log.sparkSession, None, 0
+    for n in range(5):
+        now = log.where(F.col("capture") == n)
+        number = versions.publish(history.grow_versions(before, now, dim, F.current_timestamp()), root, based_on=number)
+        before = versions.read_version(spark, root, number)
+    shaped = history.shape_history(before, dim).where(F.col("campaign_id").isNotNull())
+    ends = F.when(~F.col("is_current"), F.col("valid_to")).alias("ends")
+    return plain(shaped.select("campaign_version_key", "campaign_id", "campaign_status", "daily_budget", "is_deleted", "valid_from", ends, "is_current", F.lit(number).cast("long").alias("published")))
+
+
 # ---------------------------------------------------------------- facts and marts
 
 SQL_DAY = "year({0}) * 10000 + month({0}) * 100 + day({0})"
