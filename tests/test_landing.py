@@ -78,12 +78,28 @@ def test_compaction_listing_and_peek(spark, tmp_path):
     landing.land(landing.file_messages(spark, source, 1), out, mark).awaitTermination()
     landed = spark.read.parquet(out)
     assert S.compact_files(landed, packed) == 20
-    before, after = (S.table_size(spark.read.parquet(p)).first() for p in (out, packed))
+    before, after = (S.table_size(spark, p).first() for p in (out, packed))
     assert before.n_rows == after.n_rows == 20 and after.n_files <= before.n_files
-    assert S.listing(landed, "source_table", "dt").first().n_rows == 20
+    assert S.table_size(spark, out, "source_table", "dt").first().n_rows == 20
     assert [r.kafka_offset for r in S.peek(landed, 2).collect()] == [34, 33]
 
 
+def test_rows_come_from_footers(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    rows = spark.createDataFrame([(n, None if n == 7 else n % 3) for n in range(10)], "id long, part int")
+    rows.repartition(2).write.partitionBy("part").parquet(path)
+    for keys in ((), ("part",)):
+        plan = S.footer_counts(spark, path, *keys)._jdf.queryExecution().executedPlan().toString()
+        assert "PushedAggregation: [COUNT(*)]" in plan and "id" not in plan.split("ReadSchema")[-1].split("\n")[0]
+    assert {r.part: r.n_rows for r in S.table_size(spark, path, "part").collect()} == {0: 4, 1: 2, 2: 3, None: 1}
+    whole = S.table_size(spark, path).first()
+    files = list((tmp_path / "t").glob("part=*/*.parquet"))
+    assert (whole.n_rows, whole.n_files, whole.n_bytes) == (10, len(files), sum(f.stat().st_size for f in files))
+    empty = f"file://{tmp_path}/e"
+    rows.limit(0).write.parquet(empty)
+    assert S.table_size(spark, empty).first().n_rows == 0
+
+
 def test_snapshot_runs_and_manifests(spark, tmp_path):
     root = f"file://{tmp_path}/snap"
     S.export_snapshot({"a": spark.range(3)}, root, "run1", 10)

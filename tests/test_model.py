@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import Counter
 from functools import reduce
 
 import pytest
@@ -136,10 +137,21 @@ def test_every_check_sees_its_planted_violation(spark, sf_dir):
     # Places where the tables are too small for the planted differences of the reconciliation.
     spoiled["publishers_log"] = given["placements_log"].selectExpr("placement_id as publisher_id", "'x' as publisher_status", "is_deleted", "capture", "publisher_id as _p").drop("_p")
     family = [c for c in checks.ADVERTISING + checks.RECONCILIATION if c.expect == "zero"]
-    rows = quality.observe(family, catalog.bases(spoiled, {c.base for c in family})).collect()
+    others = {c.base for c in family} - set(checks.RELATIONS) - set(checks.EACH)
+    rows = quality.observe_scans(family, spoiled, checks.RELATIONS, checks.EACH, catalog.bases(spoiled, others)).collect()
     assert {r.name for r in rows if r.observed == 0} == set() and len(rows) == len(family)
 
 
+def test_checks_read_each_table_twice_at_most():
+    for family in (checks.BUSINESS, checks.TEMPORAL, checks.ROW_RULES):
+        found = quality.scans(family, checks.RELATIONS, checks.EACH)
+        assert max(Counter(table for table, _, _ in found).values()) <= 2
+    found = quality.scans(checks.BUSINESS, checks.RELATIONS, checks.EACH)
+    read = Counter(t for table, parents, _ in found for t in (table, *(p.table for p in parents)))
+    assert max(read.values()) == 2 and len(read) == 11  # once for all its predicates, once joined
+    assert {p.table for table, parents, _ in found for p in parents} == {"campaigns", "placements", "audiences"}
+
+
 def test_current_state_checks_see_planted_violations(spark):
     rows = [(1, True, None, None, None, None, 5), (None, False, T(2024, 1, 1), 9, "x", None, 5), (2, False, None, 3, "d", None, 5), (2, True, None, None, "c", None, 5)]
     state = spark.createDataFrame(rows, "user_id long, is_deleted boolean, deleted_at timestamp, _lsn long, _op string, _event_ts timestamp, boundary long")
@@ -189,13 +201,13 @@ def test_checks_of_several_tables_see_every_table(spark, sf_dir):
         return quality.observe(family, catalog.bases(t, {family[0].base})).first()["observed"]
 
     for name, table, column, value in (
-        ("invalid_enum_values_all_tables", "creatives", "creative_status", "'NO'"),
-        ("unexpected_nulls_all_tables", "clicks", "country", "CAST(NULL AS STRING)"),
-        ("negative_money_all_tables", "placements", "floor_price", "-1"),
-        ("currency_not_iso_format_all_tables", "advertisers", "billing_currency", "'123'"),
-        ("event_created_before_it_happened_all_tables", "spend_transactions", "created_at", "spend_timestamp - INTERVAL '1' HOUR"),
-        ("updated_before_created_all_tables", "advertisers", "updated_at", "created_at - INTERVAL '1' HOUR"),
-        ("duplicate_primary_keys_all_masters", "audiences", "audience_id", "'1'"),
+        ("invalid_enum_values", "creatives", "creative_status", "'NO'"),
+        ("unexpected_nulls", "clicks", "country", "CAST(NULL AS STRING)"),
+        ("negative_money", "placements", "floor_price", "-1"),
+        ("currency_not_iso_format", "advertisers", "billing_currency", "'123'"),
+        ("event_created_before_it_happened", "spend_transactions", "created_at", "spend_timestamp - INTERVAL '1' HOUR"),
+        ("updated_before_created", "advertisers", "updated_at", "created_at - INTERVAL '1' HOUR"),
+        ("duplicate_primary_keys", "audiences", "audience_id", "'1'"),
     ):
         rows = clean[table].count()
         spoiled = clean | {table: clean[table].withColumn(column, F.expr(value))}

@@ -5,8 +5,11 @@ A check counts rows of a base relation that meet a predicate. Checks over one ba
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,91 @@ def validate(checks: list[Check]) -> None:
             raise ValueError(f"check {c.name} is malformed")
 
 
+class Parent(NamedTuple):
+    """A table that a relation's rows point to by its key, and the columns it lends under other names."""
+
+    table: str
+    key: str
+    on: str
+    columns: dict[str, str]
+
+
+class Relation(NamedTuple):
+    """A table with what its rows point to, parents left out where there are none."""
+
+    table: str
+    parents: tuple[Parent, ...] = ()
+
+    def needed(self, predicate: str) -> tuple[Parent, ...]:
+        words = set(re.findall(r"\w+", predicate))
+        return tuple(p for p in self.parents if words & set(p.columns))
+
+    def sql(self) -> str:
+        lent = "".join(f", p{n}.{c} AS {name}" for n, p in enumerate(self.parents) for name, c in p.columns.items())
+        joins = "".join(f" LEFT JOIN {{{p.table}}} p{n} ON t.{p.on} = p{n}.{p.key}" for n, p in enumerate(self.parents))
+        return f"SELECT t.*{lent} FROM {{{self.table}}} t{joins}"
+
+    def rows(self, tables: Mapping[str, DataFrame], parents: tuple[Parent, ...]) -> DataFrame:
+        out = tables[self.table]
+        for n, p in enumerate(parents):
+            lent = tables[p.table].select(F.col(p.key).alias(f"_key{n}"), *[F.col(c).alias(name) for name, c in p.columns.items()])
+            out = out.join(lent, F.col(p.on) == F.col(f"_key{n}"), "left").drop(f"_key{n}")
+        return out
+
+
+def scans(
+    checks: list[Check], relations: Mapping[str, Relation], each: Mapping[str, tuple[tuple[str, str], ...]]
+) -> list[tuple[str, tuple[Parent, ...], list[tuple[str, str]]]]:
+    """(table, parents, (check, predicate) of all that can be counted in one pass over it): a table is scanned
+    once for predicates over its own columns and once, joined to the parents that are asked for, for the others. Checks
+    over several tables are parts of several scans."""
+    own: dict[str, list[tuple[str, str]]] = {}
+    joined: dict[str, tuple[dict[str, Parent], list[tuple[str, str]]]] = {}
+    for c in checks:
+        for table, predicate in each.get(c.base, ()):
+            own.setdefault(table, []).append((c.name, predicate))
+        if c.base in relations:
+            relation = relations[c.base]
+            needed = relation.needed(c.predicate)
+            if needed:
+                parents, found = joined.setdefault(relation.table, ({}, []))
+                parents |= {p.table: p for p in needed}
+                found.append((c.name, c.predicate))
+            else:
+                own.setdefault(relation.table, []).append((c.name, c.predicate))
+    return [(t, (), rows) for t, rows in own.items()] + [(t, tuple(parents.values()), rows) for t, (parents, rows) in joined.items()]
+
+
+def observe_scans(
+    checks: list[Check],
+    tables: Mapping[str, DataFrame],
+    relations: Mapping[str, Relation],
+    each: Mapping[str, tuple[tuple[str, str], ...]],
+    others: Mapping[str, DataFrame],
+) -> DataFrame:
+    """As ``observe``, with one aggregation for all predicates of a scan and the counts added up by check. Checks
+    on ``others`` run on those."""
+    validate(checks)
+    parts = [(Relation(table).rows(tables, parents), rows) for table, parents, rows in scans(checks, relations, each)]
+    for base in dict.fromkeys(c.base for c in checks if c.base in others):
+        parts.append((others[base], [(c.name, c.predicate) for c in checks if c.base == base]))
+    counted = []
+    for rows, predicates in parts:
+        counts = rows.agg(*[F.count_if(F.expr(predicate)).alias(f"n{i}") for i, (_, predicate) in enumerate(predicates)])
+        named = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"n{i}").alias("n")) for i, (name, _) in enumerate(predicates)])
+        counted.append(counts.select(F.inline(named)))
+    specs = {c.name: c for c in checks}
+    about = lambda field: F.create_map(*[F.lit(x) for n, c in specs.items() for x in (n, getattr(c, field))])[F.col("name")].alias(field)
+    found = reduce(DataFrame.unionAll, counted).groupBy("name").agg(F.sum("n").alias("observed"))
+    return judged(found.select("name", about("type"), about("severity"), about("expect"), "observed"))
+
+
+def judged(found: DataFrame) -> DataFrame:
+    good = F.when(F.col("expect") == "zero", F.col("observed") == 0).otherwise(F.col("observed") > 0)
+    bad = F.when(F.col("severity") == ERROR, "FAIL").otherwise("WARN")
+    return found.withColumn("status", F.when(good, "PASS").otherwise(bad))
+
+
 def observe(checks: list[Check], bases: dict[str, DataFrame]) -> DataFrame:
     """One row per check whose base is given: its count and PASS, WARN or FAIL. One scan per base."""
     validate(checks)
@@ -54,14 +142,7 @@ def observe(checks: list[Check], bases: dict[str, DataFrame]) -> DataFrame:
             ]
         )
         parts.append(counts.select(F.inline(rows)))
-    found = reduce(DataFrame.unionAll, parts)
-    good = F.when(F.col("expect") == "zero", F.col("observed") == 0).otherwise(F.col("observed") > 0)
-    bad = F.when(F.col("severity") == ERROR, "FAIL").otherwise("WARN")
-    return found.withColumn("status", F.when(good, "PASS").otherwise(bad))
-
-
-def violations(check: Check, bases: dict[str, DataFrame]) -> DataFrame:
-    return bases[check.base].where(check.predicate)
+    return judged(reduce(DataFrame.unionAll, parts))
 
 
 class QualityError(Exception):

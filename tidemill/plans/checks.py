@@ -2,47 +2,47 @@
 
 from __future__ import annotations
 
-from tidemill.operators.quality import WARNING, Check
-
-#: Relations; each serves several checks in one scan.
-BASES = {
-    "b_advertisers": "SELECT * FROM {advertisers}",
-    "b_campaigns": """SELECT c.*, a.advertiser_id AS a_id, a.created_at AS a_created_at
-        FROM {campaigns} c LEFT JOIN {advertisers} a ON c.advertiser_id = a.advertiser_id""",
-    "b_line_items": """SELECT l.*, c.campaign_id AS c_id, c.created_at AS c_created_at, c.start_date AS c_start, c.end_date AS c_end
-        FROM {line_items} l LEFT JOIN {campaigns} c ON l.campaign_id = c.campaign_id""",
-    "b_creatives": """SELECT r.*, a.advertiser_id AS a_id, a.created_at AS a_created_at
-        FROM {creatives} r LEFT JOIN {advertisers} a ON r.advertiser_id = a.advertiser_id""",
-    "b_publishers": "SELECT * FROM {publishers}",
-    "b_placements": """SELECT p.*, b.publisher_id AS b_id, b.created_at AS b_created_at
-        FROM {placements} p LEFT JOIN {publishers} b ON p.publisher_id = b.publisher_id""",
-    "b_audiences": "SELECT * FROM {audiences}",
-    "b_impressions": """SELECT i.*, c.campaign_id AS c_id, c.advertiser_id AS c_adv, c.start_date AS c_start, c.end_date AS c_end,
-          c.created_at AS c_created_at, c.campaign_status AS c_status, l.line_item_id AS l_id, l.campaign_id AS l_camp,
-          l.start_date AS l_start, l.end_date AS l_end, a.advertiser_id AS a_id, r.creative_id AS r_id, r.advertiser_id AS r_adv,
-          b.publisher_id AS b_id, p.placement_id AS p_id, p.publisher_id AS p_pub, p.floor_price AS p_floor,
-          u.audience_id AS u_id, u.country AS u_country
-        FROM {impressions} i
-        LEFT JOIN {campaigns} c ON i.campaign_id = c.campaign_id
-        LEFT JOIN {line_items} l ON i.line_item_id = l.line_item_id
-        LEFT JOIN {advertisers} a ON i.advertiser_id = a.advertiser_id
-        LEFT JOIN {creatives} r ON i.creative_id = r.creative_id
-        LEFT JOIN {publishers} b ON i.publisher_id = b.publisher_id
-        LEFT JOIN {placements} p ON i.placement_id = p.placement_id
-        LEFT JOIN {audiences} u ON i.audience_id = u.audience_id""",
-    "b_clicks": """SELECT k.*, i.impression_id AS i_id, i.campaign_id AS i_camp, i.line_item_id AS i_line, i.advertiser_id AS i_adv,
-          i.creative_id AS i_cre, i.impression_timestamp AS i_ts, i.device_type AS i_device, i.country AS i_country
-        FROM {clicks} k LEFT JOIN {impressions} i ON k.impression_id = i.impression_id""",
-    "b_conversions": """SELECT v.*, k.click_id AS k_id, k.impression_id AS k_imp, k.campaign_id AS k_camp, k.advertiser_id AS k_adv,
-          k.click_timestamp AS k_ts, i.impression_id AS i_id
-        FROM {conversions} v LEFT JOIN {clicks} k ON v.click_id = k.click_id
-        LEFT JOIN {impressions} i ON v.impression_id = i.impression_id""",
-    "b_spend": """SELECT s.*, c.campaign_id AS c_id, l.line_item_id AS l_id, l.campaign_id AS l_camp, b.publisher_id AS b_id,
-          i.impression_id AS i_id
-        FROM {spend_transactions} s LEFT JOIN {campaigns} c ON s.campaign_id = c.campaign_id
-        LEFT JOIN {line_items} l ON s.line_item_id = l.line_item_id
-        LEFT JOIN {publishers} b ON s.publisher_id = b.publisher_id
-        LEFT JOIN {impressions} i ON s.impression_id = i.impression_id""",
+from tidemill.operators.quality import WARNING, Check, Parent, Relation
+
+ADVERTISER = Parent("advertisers", "advertiser_id", "advertiser_id", {"a_id": "advertiser_id", "a_created_at": "created_at"})
+
+#: Tables with what their rows point to.
+RELATIONS = {
+    "b_advertisers": Relation("advertisers"),
+    "b_campaigns": Relation("campaigns", (ADVERTISER,)),
+    "b_line_items": Relation("line_items", (
+        Parent("campaigns", "campaign_id", "campaign_id", {"c_id": "campaign_id", "c_created_at": "created_at", "c_start": "start_date", "c_end": "end_date"}),
+    )),
+    "b_creatives": Relation("creatives", (ADVERTISER,)),
+    "b_publishers": Relation("publishers"),
+    "b_placements": Relation("placements", (Parent("publishers", "publisher_id", "publisher_id", {"b_id": "publisher_id", "b_created_at": "created_at"}),)),
+    "b_audiences": Relation("audiences"),
+    "b_impressions": Relation("impressions", (
+        Parent("campaigns", "campaign_id", "campaign_id", {"c_id": "campaign_id", "c_adv": "advertiser_id", "c_start": "start_date", "c_end": "end_date", "c_created_at": "created_at", "c_status": "campaign_status"}),
+        Parent("line_items", "line_item_id", "line_item_id", {"l_id": "line_item_id", "l_camp": "campaign_id", "l_start": "start_date", "l_end": "end_date"}),
+        Parent("advertisers", "advertiser_id", "advertiser_id", {"a_id": "advertiser_id"}),
+        Parent("creatives", "creative_id", "creative_id", {"r_id": "creative_id", "r_adv": "advertiser_id"}),
+        Parent("publishers", "publisher_id", "publisher_id", {"b_id": "publisher_id"}),
+        Parent("placements", "placement_id", "placement_id", {"p_id": "placement_id", "p_pub": "publisher_id", "p_floor": "floor_price"}),
+        Parent("audiences", "audience_id", "audience_id", {"u_id": "audience_id", "u_country": "country"}),
+    )),
+    "b_clicks": Relation("clicks", (
+        Parent("impressions", "impression_id", "impression_id", {"i_id": "impression_id", "i_camp": "campaign_id", "i_line": "line_item_id", "i_adv": "advertiser_id", "i_cre": "creative_id", "i_ts": "impression_timestamp", "i_device": "device_type", "i_country": "country"}),
+    )),
+    "b_conversions": Relation("conversions", (
+        Parent("clicks", "click_id", "click_id", {"k_id": "click_id", "k_imp": "impression_id", "k_camp": "campaign_id", "k_adv": "advertiser_id", "k_ts": "click_timestamp"}),
+        Parent("impressions", "impression_id", "impression_id", {"i_id": "impression_id"}),
+    )),
+    "b_spend": Relation("spend_transactions", (
+        Parent("campaigns", "campaign_id", "campaign_id", {"c_id": "campaign_id"}),
+        Parent("line_items", "line_item_id", "line_item_id", {"l_id": "line_item_id", "l_camp": "campaign_id"}),
+        Parent("publishers", "publisher_id", "publisher_id", {"b_id": "publisher_id"}),
+        Parent("impressions", "impression_id", "impression_id", {"i_id": "impression_id"}),
+    )),
+}
+
+#: All relations as SQL.
+BASES = {name: relation.sql() for name, relation in RELATIONS.items()} | {
     "b_raw_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM {lineitem} GROUP BY l_orderkey, l_linenumber",
     "b_impression_ids": "SELECT impression_id, count(*) AS n FROM {impressions} GROUP BY impression_id",
     "b_click_ids": "SELECT click_id, count(*) AS n FROM {clicks} GROUP BY click_id",
@@ -184,8 +184,9 @@ MASTERS = {
     "publishers": "publisher_id", "placements": "placement_id", "audiences": "audience_id",
 }
 
-BASES |= {
-    "m_enums": _each(
+#: Conditions over several tables, each counted on its own table.
+EACH = {
+    "m_enums": (
         ("advertisers", "account_status NOT IN ('ACTIVE', 'SUSPENDED', 'CLOSED')"),
         ("campaigns", "campaign_status NOT IN ('DRAFT', 'ACTIVE', 'PAUSED', 'COMPLETED', 'CANCELLED')"),
         ("campaigns", "campaign_objective NOT IN ('AWARENESS', 'TRAFFIC', 'ENGAGEMENT', 'CONVERSIONS', 'APP_INSTALLS')"),
@@ -200,14 +201,14 @@ BASES |= {
         ("conversions", "conversion_type NOT IN ('PURCHASE', 'SIGNUP', 'LEAD', 'APP_INSTALL', 'SUBSCRIPTION')"),
         ("spend_transactions", "billing_type NOT IN ('CPM', 'CPC', 'CPA')"),
     ),
-    "m_nulls": _each(
+    "m_nulls": (
         ("advertisers", "advertiser_name IS NULL OR billing_currency IS NULL"),
         ("campaigns", "campaign_name IS NULL OR start_date IS NULL OR end_date IS NULL"),
         ("impressions", "country IS NULL OR city IS NULL OR currency IS NULL"),
         ("clicks", "country IS NULL OR device_type IS NULL"),
         ("conversions", "conversion_value IS NULL OR currency IS NULL"),
     ),
-    "m_money": _each(
+    "m_money": (
         ("spend_transactions", "spend_amount < 0"),
         ("impressions", "bid_price < 0 OR clearing_price < 0"),
         ("placements", "floor_price < 0"),
@@ -215,36 +216,29 @@ BASES |= {
         ("campaigns", "campaign_budget <= 0 OR daily_budget <= 0"),
         ("conversions", "conversion_value < 0"),
     ),
-    "m_currencies": _each(
+    "m_currencies": (
         ("advertisers", _no_code("billing_currency")),
         ("line_items", _no_code("bid_currency")),
         *((t, _no_code("currency")) for t in ("placements", "impressions", "conversions", "spend_transactions")),
     ),
-    "m_event_times": _each(
+    "m_event_times": (
         ("impressions", "created_at < impression_timestamp"),
         ("clicks", "created_at < click_timestamp"),
         ("conversions", "created_at < conversion_timestamp"),
         ("spend_transactions", "created_at < spend_timestamp"),
     ),
-    "m_updates": _each(*((t, "updated_at < created_at") for t in MASTERS)),
+    "m_updates": tuple((t, "updated_at < created_at") for t in MASTERS),
+}
+
+BASES |= {name: _each(*rows) for name, rows in EACH.items()} | {
     "m_parents": """SELECT i.impression_timestamp, l.created_at AS l_created_at, r.created_at AS r_created_at, p.created_at AS p_created_at
         FROM {impressions} i JOIN {line_items} l ON i.line_item_id = l.line_item_id
         JOIN {creatives} r ON i.creative_id = r.creative_id JOIN {placements} p ON i.placement_id = p.placement_id""",
     "m_keys": " UNION ALL ".join(f"SELECT count(*) AS n FROM {{{t}}} GROUP BY {key}" for t, key in MASTERS.items()),
 }
 
-#: The checks of several tables over every table whose stand-in has the columns.
-ALL_TABLES = _many("business", [
-    ("invalid_enum_values_all_tables", "m_enums", "bad = 1"),
-    ("unexpected_nulls_all_tables", "m_nulls", "bad = 1"),
-    ("negative_money_all_tables", "m_money", "bad = 1"),
-    ("currency_not_iso_format_all_tables", "m_currencies", "bad = 1"),
-]) + _many("temporal", [
-    ("event_created_before_it_happened_all_tables", "m_event_times", "bad = 1"),
-    ("updated_before_created_all_tables", "m_updates", "bad = 1"),
-    ("impression_before_any_parent_creation", "m_parents", "impression_timestamp < l_created_at OR impression_timestamp < r_created_at OR impression_timestamp < p_created_at"),
-]) + _many("uniqueness", [("duplicate_primary_keys_all_masters", "m_keys", "n > 1")])
-
+#: The checks over several tables.
+ALL_TABLES = [c for c in BUSINESS + TEMPORAL + UNIQUENESS if c.base.startswith("m_")]
 
 
 def _pair(table: str, where: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,24 +78,39 @@ def publish_export(tables: dict[str, DataFrame | None], root: str, files: int |
         spark = df.sparkSession
         dealt = df if files is None else df.repartition(files)
         dealt.write.mode("overwrite").option("compression", "snappy").parquet(f"{root}/{name}")
-        rows.append(table_size(spark.read.parquet(f"{root}/{name}")).withColumn("table_name", F.lit(name)))
+        rows.append(table_size(spark, f"{root}/{name}").withColumn("table_name", F.lit(name)))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
 
 
-def table_size(df: DataFrame) -> DataFrame:
-    """Rows, files and bytes of a file-based table."""
-    files = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"))
-    per = files.groupBy("f").agg(F.count("*").alias("n"), F.first("b").alias("b"))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_files"), F.coalesce(F.sum("b"), F.lit(0)).alias("n_bytes"))
-
-
-def listing(df: DataFrame, *keys: str) -> DataFrame:
-    """Files, rows and bytes by keys of a landed layer."""
-    per = df.groupBy(*keys, F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"), F.first("_metadata.file_size").alias("b"))
-    return per.groupBy(*keys).agg(F.count("*").alias("n_files"), F.sum("n").alias("n_rows"), F.sum("b").alias("n_bytes"))
+def _footers(spark: SparkSession) -> SparkSession:
+    """A session beside the given one in which counts and extremes come from Parquet footers, without a read of rows."""
+    side = spark.newSession()
+    side.conf.set("spark.sql.sources.useV1SourceList", "")
+    side.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return side
+
+
+def footer_counts(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """(keys, n_rows) of a Parquet table by its partition columns, counted from footers; in a session of its own."""
+    return _footers(spark).read.parquet(path).groupBy(*keys).agg(F.count("*").alias("n_rows"))
+
+
+def table_size(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """(keys, n_rows, n_files, n_bytes) of a Parquet table, by its partition columns ``keys`` if any: rows from
+    footers, files and bytes from the listing. A row for each combination of keys reaches the driver, which lists them anyway."""
+    counted = footer_counts(spark, path, *keys).withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))  # null if all files are empty
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema)
+    rows = spark.createDataFrame(counted.collect(), kinds)
+    # Contents are not read where they are not selected.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    listed = files.groupBy(*[F.col(k).cast(rows.schema[k].dataType) for k in keys]).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+    if not keys:
+        return rows.crossJoin(listed)
+    on = reduce(lambda x, y: x & y, [rows[k].eqNullSafe(listed[k]) for k in keys])
+    return rows.join(listed, on, "left").select(*[rows[k] for k in keys], "n_rows", "n_files", "n_bytes")
 
 
 def peek(landed: DataFrame, n: int = 10) -> DataFrame:
