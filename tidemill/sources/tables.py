@@ -101,9 +101,10 @@ def footer_counts(spark: SparkSession, path: str, *keys: str) -> DataFrame:
 def table_size(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     """(keys, n_rows, n_files, n_bytes) of a Parquet table, by its partition columns ``keys`` if any: rows from
     footers, files and bytes from the listing. A row for each combination of keys reaches the driver, which lists them anyway."""
-    counted = footer_counts(spark, path, *keys).withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))  # null if all files are empty
+    counted = footer_counts(spark, path, *keys)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema)
-    rows = spark.createDataFrame(counted.collect(), kinds)
+    # Spark adds up no footers to null where all files are empty.
+    rows = spark.createDataFrame([(*r[:-1], r[-1] or 0) for r in counted.collect()], kinds)
     # Contents are not read where they are not selected.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
     listed = files.groupBy(*[F.col(k).cast(rows.schema[k].dataType) for k in keys]).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
