@@ -1,11 +1,15 @@
 import base64
 import hashlib
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from tokenizers import Tokenizer
 
 from tidemill.llm import byte_bpe, catalog, language_id, packing, quality_ranker, sharding, url_filter
@@ -94,6 +98,55 @@ def test_shards(spark, docs):
     assert sharding.shuffle_to_shards(docs.limit(0)).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of values in a row: numbers as (value, bytes), texts as they are; nulls leave the seed."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v[0].to_bytes(v[1], "little", signed=True) if isinstance(v, tuple) else v.encode()
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def slow_shards(rows, shards, bucket_bytes, seed=20240607):
+    """(id, text, shard, slot, grown) by the law and the shuffle, written out."""
+    shard_of = lambda i, n: max((spark_hash((seed, 4), None if i is None else (i, 8), (s, 4)), s) for s in range(n))[1]
+    total = sum(len((t or "").encode()) + 1 for _, t in rows)
+    buckets = max(1, math.ceil(total / shards / bucket_bytes), math.ceil(len(rows) / shards / 1000))
+    filled = {}
+    for (i, text), n in Counter(rows).items():
+        most = max(1, min(64, bucket_bytes // (len((text or "").encode()) + 1)))
+        for group in range((n - 1) // most + 1):
+            bucket = spark_hash((seed + 1, 4), None if i is None else (i, 8), text, (group, 8)) % buckets
+            filled.setdefault((shard_of(i, shards), bucket), []).append((i, text, min(most, n - group * most)))
+    out, base = [], Counter()
+    for (shard, bucket), entries in sorted(filled.items()):
+        entries.sort(key=lambda e: (e[0] is not None, e[0] or 0, e[1] is not None, (e[1] or "").encode(), e[2]))
+        records = [(i, t) for i, t, m in entries for _ in range(m)]
+        order = list(range(len(records)))
+        for k in range(len(order) - 1, 0, -1):
+            j = spark_hash((seed + 2, 4), (shard, 4), (bucket, 4), (k, 4)) % (k + 1)
+            order[k], order[j] = order[j], order[k]
+        for at, k in enumerate(order):
+            out.append((*records[k], shard, base[shard] + at, shard_of(records[k][0], shards + 1)))
+        base[shard] += len(records)
+    return sorted(out, key=repr)
+
+
+def test_slots_equal_brute_force_and_depend_on_no_setting(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(i, f"text {i % 50}") for i in range(3000)] + [(None, "no id"), (None, None)] + [(77, "copies")] * 500
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for partitions, adaptive in ((8, "true"), (16, "true"), (200, "false")):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        got = sharding.shuffle_to_shards(table.repartition(partitions // 4), shards=5, bucket_bytes=1 << 15).collect()
+        found.append(sorted(((r.doc_id, r.text, r.shard, r.slot, r.grown_shard) for r in got), key=repr))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert found[0] == found[1] == found[2] == slow_shards(rows, 5, 1 << 15)
+
+
 def test_shards_of_repeated_rows_spread(spark):
     same = spark.range(6000).selectExpr("case when id % 3 = 0 then id else 7 end as doc_id", "'one text for all of these rows' as text").repartition(4)
     got = sharding.shuffle_to_shards(same, bucket_bytes=4000).collect()
@@ -204,15 +257,75 @@ def test_language_equals_a_plain_forward_pass(spark):
 
 def test_quality_equals_a_plain_rescore(spark, docs):
     labels = spark.createDataFrame([(3, 1), (10, 1), (16, 0), (17, 0)], "doc_id long, quality int")
-    table = quality_ranker.feature_table(docs)
     everyone = ~quality_ranker.held_out("doc_id") | quality_ranker.held_out("doc_id")
     model = quality_ranker.fit(docs, labels, everyone)
-    for r in quality_ranker.score(docs, model, carry=("text",)).join(table.distinct(), "doc_id").collect():
-        z = model.raw(np.array([r.features], np.float64))[0] - model.cut_at + np.log(model.keep_at / (1 - model.keep_at))
-        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+    table = quality_ranker.feature_table(docs.where("doc_id <> 5 or id = 1").dropDuplicates(["doc_id"]))
+    for r in quality_ranker.score(docs, model, carry=("text",)).join(table, "doc_id").collect():
+        own = np.zeros(quality_ranker.HASHED)
+        own[np.frombuffer(r.buckets, "<u2")] = np.frombuffer(r.shares, "<f4")
+        z = model.raw(np.array([r.features], np.float64))[0] + own @ model.hashed - model.cut_at + np.log(model.keep_at / (1 - model.keep_at))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-5
         assert r.text == TEXTS[r.doc_id]
 
 
+def test_shares_equal_a_plain_count():
+    texts = ["abc abd", "", None, "aaaa", "é|é", "x"]
+    got = quality_ranker.features(pa.array(texts, pa.string())).shares()
+    for text, row in zip(texts, got):
+        raw = (text or "").encode()
+        grams = Counter((int.from_bytes(raw[i : i + 3], "little") * 2654435761 % (1 << 32)) >> 20 for i in range(len(raw) - 2))
+        want = np.zeros(quality_ranker.GRAMS)
+        for k, n in grams.items():
+            want[k] = n / max(len(raw) - 2, 1)
+        assert np.allclose(row[quality_ranker.WORDS :], want)
+        assert np.isclose(row[: quality_ranker.WORDS].sum(), 1.0 if raw.split() else 0.0)
+
+
+def quality_examples(rng, n, junk):
+    """Texts told apart by their spelling alone: as many words, symbols and capitals in both classes."""
+    ends = ["tion", "ing", "ment"] if not junk else ["xqz", "zzk", "qqj"]
+    return [" ".join("".join(rng.choice(list("abcdeilmnorst"), 3)) + ends[rng.integers(3)] * int(rng.random() < 0.3) for _ in range(80)) for _ in range(n)]
+
+
+def fitted(good, bad, **more):
+    rows = []
+    own = quality_ranker.features(pa.array(good + bad, pa.string()))
+    for dense, share in zip(own.dense, own.shares().astype("<f4")):
+        at = np.flatnonzero(share)
+        rows.append({"features": dense, "buckets": at.astype("<u2").tobytes(), "shares": share[at].tobytes()})
+    sample = quality_ranker.sample_of(rows[: len(good)], rows[len(good) :])
+    return sample, quality_ranker.fit_pairs(sample, 0.5, **more)
+
+
+def test_quality_without_the_counts():
+    rng = np.random.default_rng(0)
+    _, model = fitted(quality_examples(rng, 150, False), quality_examples(rng, 150, True), pairs=4000, counts=False)
+    assert not model.weight.any()
+    good, bad = (model.score(pa.array(quality_examples(rng, 100, junk), pa.string())) for junk in (False, True))
+    assert ((good >= 0.7).mean() + (bad < 0.7).mean()) / 2 > 0.95
+
+
+def test_quality_fit_equals_a_plain_solver():
+    """Newton's method with the whole matrix, over pairs that are written out, on the features of a few texts."""
+    rng = np.random.default_rng(1)
+    sample, model = fitted(quality_examples(rng, 12, False), quality_examples(rng, 12, True), pairs=60)
+    draw = np.random.default_rng(5)
+    one, other = draw.integers(12, size=60), 12 + draw.integers(12, size=60)
+    wide = np.zeros((24, quality_ranker.HASHED))
+    wide[sample.row, sample.bucket] = sample.share
+    size = np.sqrt((wide**2).mean(axis=0)) + 1e-9
+    x = np.concatenate([np.clip((sample.dense - sample.dense.mean(0)) / (sample.dense.std(0) + 1e-9), -8, 8), wide / size], axis=1)
+    diff = x[one] - x[other]
+    ridge = np.r_[np.full(len(quality_ranker.NAMES), quality_ranker.RIDGE), np.full(quality_ranker.HASHED, quality_ranker.HASHED_RIDGE)]
+    used = np.flatnonzero(np.abs(diff).any(axis=0))
+    diff, ridge, w = diff[:, used], ridge[used], np.zeros(len(used))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-diff @ w))
+        w -= np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / 60 + np.diag(ridge), diff.T @ (p - 1) / 60 + ridge * w)
+    got = np.r_[model.weight, model.hashed * size]
+    assert np.allclose(got[used], w, atol=1e-3 * np.abs(w).max()) and np.abs(np.delete(got, used)).max() < 1e-9
+
+
 def test_quality_held_out_accuracy(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     got = catalog.op8_quality_ranker(spark, sf_dir).join(labels, "doc_id").where("held_out").collect()
