@@ -30,13 +30,31 @@ def brute_classes(rows, radius=2, size=3):
     return {(i, a, find(i)) for i, a in prints}
 
 
+def test_planes_hold_every_bit():
+    bits = np.random.default_rng(3).integers(0, 1 << 64, 130, dtype=np.uint64)
+    planes = simhash.bit_planes(bits)
+    assert planes.shape == (3, 64)
+    for n, x in enumerate(bits.tolist()):
+        assert [int(planes[n // 64, k]) >> n % 64 & 1 for k in range(64)] == [x >> k & 1 for k in range(64)]
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 7])
-def test_bit_sliced_distances(radius):
+@pytest.mark.parametrize("batch", [1 << 14, 7])
+def test_bit_sliced_distances(radius, batch):
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 1 << 63, 1001, dtype=np.uint64)
-    flips = np.array([sum(1 << int(k) for k in rng.choice(64, n % 12, replace=False)) for n in range(1001)], dtype=np.uint64)
-    want = np.array([int(x).bit_count() <= radius for x in flips])
-    assert (simhash.within_radius(a, a ^ flips, radius, batch=100) == want).all()
+    base = rng.integers(0, 1 << 64, 12, dtype=np.uint64)
+    flips = np.array([sum(1 << int(k) for k in rng.choice(64, n % 8, replace=False)) for n in range(700)], dtype=np.uint64)
+    bits = base[rng.integers(0, 12, 700)] ^ flips
+    for sizes in ([700], [1] * 100 + [2] * 100 + [3] * 60 + [64, 64, 65, 27]):
+        cell = np.repeat(np.arange(len(sizes)), sizes)
+        side = np.where(cell % 3 == 0, -1, rng.integers(0, 2, 700))
+        want = set()
+        for i in range(700):
+            for j in range(i + 1, 700):
+                if cell[i] == cell[j] and (side[i] < 0 or side[i] != side[j]) and int(bits[i] ^ bits[j]).bit_count() <= radius:
+                    want.add((i, j))
+        left, right = simhash.near_pairs(bits, cell, side, radius, batch)
+        assert len(left) == len(want) and set(zip(left.tolist(), right.tolist())) == want
 
 
 def test_classes_match_brute_force(spark):

@@ -1,9 +1,10 @@
 """SimHash fingerprints and exact near-duplicate links within a Hamming radius.
 
 Identical fingerprints collapse first. For radius r the 64 bits are cut into r + 2 blocks; fingerprints at
-most r bits apart agree on two whole blocks at least, so every pair of blocks is a candidate key. Within a
-key, many pairs are compared at once bit-sliced: their XOR is stored as 64 vertical planes, carry-save
-counters add the planes, and a batch is abandoned as soon as all its distances exceed the radius. A key
+most r bits apart agree on two whole blocks at least, so every pair of blocks is a candidate key. Fingerprints
+of keys are compared bit-sliced: every 64 in a row are stored once as 64 vertical bit planes; a query's bits are
+XORed into the planes, carry-save counters add them for all 64 at once, and a query leaves a block as soon as all its
+distances exceed the radius. A key
 that many distinct fingerprints share is cut into blocks that meet in pairs, so no task holds it whole.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any
@@ -64,36 +65,73 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
 
 
-def within_radius(a: np.ndarray, b: np.ndarray, radius: int, batch: int = 1 << 15) -> np.ndarray:
-    """Which pairs a[i], b[i] of uint64 differ in at most ``radius`` bits, bit-sliced."""
-    out = np.zeros(len(a), dtype=bool)
-    width = max(1, radius.bit_length())
-    for at in range(0, len(a), batch):
-        x = (a[at : at + batch] ^ b[at : at + batch]).astype("<u8")
-        n = len(x)
-        planes = np.packbits(np.unpackbits(x.view(np.uint8).reshape(n, 8), axis=1).T, axis=1)
-        counters = [np.zeros(planes.shape[1], dtype=np.uint8) for _ in range(width)]
-        over = np.zeros(planes.shape[1], dtype=np.uint8)
-        over[-1] |= (1 << (-n % 8)) - 1  # padding counts as too far
-        for k in range(0, BITS, 2):
-            p, q = planes[k], planes[k + 1]
-            half = counters[0] ^ p
-            carry = (counters[0] & p) | (half & q)
-            counters[0] = half ^ q
-            for i in range(1, width):
-                counters[i], carry = counters[i] ^ carry, counters[i] & carry
-            over |= carry
-            if k % 8 == 6 and (_beyond(counters, radius) | over).min() == 255:
-                over[:] = 255
-                break
-        out[at : at + n] = np.unpackbits(~(_beyond(counters, radius) | over))[:n].astype(bool)
-    return out
-
-
-def _beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def bit_planes(bits: np.ndarray) -> np.ndarray:
+    """uint64 fingerprints -> (blocks, 64) words: bit l of word k is bit k of the block's fingerprint l."""
+    padded = np.zeros(-(-len(bits) // 64) * 64, "<u8")
+    padded[: len(bits)] = bits
+    lanes = np.unpackbits(padded.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
+    return np.packbits(lanes.transpose(0, 2, 1), axis=2, bitorder="little").view("<u8").reshape(-1, BITS)
+
+
+def _below(n: np.ndarray) -> np.ndarray:
+    """Words whose n lowest bits are set, n from 0 to 64."""
+    n = np.clip(n, 0, 64)
+    return np.where(n == 64, ALL, (np.uint64(1) << (n % 64).astype(np.uint64)) - np.uint64(1))
+
+
+def near_pairs(bits: np.ndarray, cell: np.ndarray, side: np.ndarray, radius: int, batch: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of rows of one cell, in order of cells, that differ in at most ``radius`` bits. Rows of a side
+    of 0 or 1 meet those of the other side alone."""
+    n = len(bits)
+    planes, sides = bit_planes(bits), bit_planes((side == 1).astype(np.uint64))[:, 0]
+    new = np.concatenate([[True], cell[1:] != cell[:-1], [True]])
+    ends = np.flatnonzero(new)[np.cumsum(new[:-1])]
+    rows = np.flatnonzero(ends > np.arange(n) + 1)
+    first, last = (rows + 1) // 64, (ends[rows] - 1) // 64
+    counts = last - first + 1
+    query = np.repeat(rows, counts)
+    block = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    left, right = [], []
+    for at in range(0, len(query), batch):
+        q, b = query[at : at + batch], block[at : at + batch]
+        lanes = _below(ends[q] - 64 * b) & ~_below(q + 1 - 64 * b)
+        lanes &= np.where(side[q] < 0, ALL, np.where(side[q] == 1, ~sides[b], sides[b]))
+        found, pairs = _compare(planes, bits[q], b, lanes, radius)
+        hit = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        task, lane = np.nonzero(hit)
+        left.append(q[found[task]])
+        right.append(64 * b[found[task]] + lane)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _compare(planes: np.ndarray, query: np.ndarray, block: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tasks (a query and a block) that have lanes within the radius, and those lanes."""
+    task = np.flatnonzero(lanes)
+    counters = np.zeros((max(1, radius.bit_length()), len(task)), np.uint64)
+    over, query, block = ~lanes[task], query[task], block[task]
+    for k in range(0, BITS, 2):
+        p, q = (planes[block, i] ^ (np.uint64(0) - (query >> np.uint64(i) & np.uint64(1))) for i in (k, k + 1))
+        half = counters[0] ^ p
+        carry = (counters[0] & p) | (half & q)
+        counters[0] = half ^ q
+        for i in range(1, len(counters)):
+            counters[i], carry = counters[i] ^ carry, counters[i] & carry
+        over |= carry
+        if k % 8 == 6:
+            alive = (_beyond(counters, radius) | over) != ALL
+            if not alive.all():
+                task, counters, over, query, block = task[alive], counters[:, alive], over[alive], query[alive], block[alive]
+    return task, ~(_beyond(counters, radius) | over)
+
+
+def _beyond(counters: np.ndarray, radius: int) -> np.ndarray:
     """Bits of the lanes whose counter value exceeds the radius."""
     above = np.zeros_like(counters[0])
-    equal = np.full_like(counters[0], 255)
+    equal = np.full_like(counters[0], ALL)
     for i in reversed(range(len(counters))):
         if radius >> i & 1:
             equal = equal & counters[i]
@@ -130,23 +168,7 @@ def _link_sorted(radius: int):
 
     def cell_edges(pdf: pd.DataFrame) -> pd.DataFrame | None:
         fp = pdf["fp"].to_numpy()
-        bits = fp.view(np.uint64)
-        cell = pdf["cell"].to_numpy()
-        side = pdf["side"].to_numpy()
-        left, right = [], []
-        step = 1
-        while step < len(fp):
-            i = np.flatnonzero(cell[:-step] == cell[step:])
-            if not len(i):
-                break
-            i = i[(side[i] < 0) | (side[i] != side[i + step])]
-            hit = i[within_radius(bits[i], bits[i + step], radius)]
-            left.append(hit)
-            right.append(hit + step)
-            step += 1
-        if not left:
-            return None
-        left, right = np.concatenate(left), np.concatenate(right)
+        left, right = near_pairs(fp.view(np.uint64), pdf["cell"].to_numpy(), pdf["side"].to_numpy(), radius)
         if not len(left):
             return None
         root = _roots(len(fp), left, right)
