@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tidemill.llm import suffix_dedup
@@ -95,3 +96,39 @@ def test_null_ids_and_carried_columns(spark):
     assert sorted((str(r.id), str(r.source), len(r.kept)) for r in got) == sorted(
         [("None", "a", len(text)), ("None", "b", 3), ("-5", "c", 0), ("3", "None", 0), ("4", "d", 0)]
     )
+
+
+def test_rows_stay_small_where_blocks_meet_many_buckets():
+    """What a seed costs hardly depends on how many buckets a block's seeds are dealt to."""
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), np.uint8)) for _ in range(20_000)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, len(words), 3000)) for _ in range(400)]
+    plan = lambda buckets: suffix_dedup.Plan(100, 32, buckets, 5, 50_000)
+    roller = suffix_dedup.Roller(suffix_dedup.CHUNK_BYTES * 2 + 200)
+    doc, _, short = suffix_dedup._block_seeds(texts, roller, plan(1))
+    cost = {}
+    for buckets in (10, 10_000):
+        distinct, counts, runs, _ = suffix_dedup._by_bucket(short, buckets)
+        sent = 0
+        for _, a, b in zip(*runs):
+            raw = distinct[a:b].view(np.uint8).reshape(-1, 8)[:, :5]
+            blob = suffix_dedup._pack(np.ascontiguousarray(raw.T).tobytes(), suffix_dedup._few(counts[a:b]))
+            back, few = suffix_dedup._unpack(blob, 2)
+            assert back == raw.T.tobytes() and len(few) in (0, 4 * (b - a))
+            status = rng.random(b - a) < 0.1
+            mark = suffix_dedup._pack(suffix_dedup._bits(status), b"")
+            assert (suffix_dedup._unbits(suffix_dedup._unpack(mark, 2)[0], b - a) == status).all()
+            sent += len(blob) + len(mark) + 32  # the row's other columns, twice
+        cost[buckets] = sent / len(distinct)
+    assert len(doc) > 100_000 and cost[10_000] < 8 and cost[10_000] < 1.9 * cost[10]
+
+
+def test_many_copies_travel_once_a_block(spark):
+    text = "one page that a tenth of a corpus repeats, long enough to count as a passage of a hundred bytes, and then some."
+    docs = spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string").coalesce(1)
+    plan = suffix_dedup.Plan(100, 32, 4, 5, 50_000)
+    rows = docs.selectExpr("doc_id as id", "cast(text as binary) as text").mapInArrow(suffix_dedup._first_pass(plan), suffix_dedup.ROWS_DDL)
+    sent = rows.where(f"kind = {suffix_dedup.COPIES}").collect()
+    assert [len(suffix_dedup._unpack(bytes(r.blob), 3)[1]) for r in sent] == [8]
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted((r.id, len(r.kept)) for r in got) == [(0, len(text)), *((i, 0) for i in range(1, 300))]

@@ -17,7 +17,7 @@ equal windows, and every window that is not the first of its class is reported t
 Hot groups. Suffixes of a block that agree in all bytes around the seed travel once. A seed that occurs
 more than ``hot`` times is replaced by the windows around it, which are dealt by their own hash, so a
 common passage never gathers its documents in one task. Later exact copies of a text are known by digest
-in the first exchange, removed whole, and need no suffixes.
+in the first exchange, removed whole, and need no suffixes; a block asks once for each text that it holds.
 
 Defined results: a null text is empty; a null id stays null and counts as smaller than any other; texts
 shorter than ``length`` keep all, longer ones are taken whole; of rows with one id the later in storage order
@@ -47,6 +47,8 @@ from tidemill.session import cut
 
 BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 19
+#: Text whose seeds are a bucket, which is what a task holds at a time, and those that a task works through.
+BUCKET_BYTES, TASK_BYTES = 6 << 20, 200 << 20
 BODY, COPIES, SEEDS, WINDOWS = -1, 0, 1, 2
 NO_ID = -(1 << 63)  # the place of null ids in the order
 ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -155,28 +157,89 @@ def _by_bucket(short: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
     return distinct[order], counts[order], _runs(bucket[order]), place[inverse]
 
 
+# ---------------------------------------------------------------- rows
+
+_SQUEEZER = zstandard.ZstdCompressor(level=3)
+#: Shorter rows are sent as they are: a frame would cost more than it saves.
+LEAST_FRAME = 128
+
+
+def _pack(*parts: bytes) -> bytes:
+    """Byte strings in one: a byte that tells whether the rest is compressed, their lengths in sevens of bits, themselves.
+
+    A row holds what one block has for one bucket, which is little where there are many of both, so nothing but
+    the data should cost anything."""
+    head = bytearray()
+    for part in parts:
+        n = len(part)
+        while n > 127:
+            head.append(n & 127 | 128)
+            n >>= 7
+        head.append(n)
+    raw = bytes(head) + b"".join(parts)
+    if len(raw) >= LEAST_FRAME and len(short := _SQUEEZER.compress(raw)) < len(raw):
+        return b"\1" + short
+    return b"\0" + raw
+
+
+def _unpack(blob: bytes, parts: int) -> list[bytes]:
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(blob[1:]) if blob[0] else blob[1:])
+    sizes, at = [], 0
+    for _ in range(parts):
+        n = shift = 0
+        while raw[at] > 127:
+            n |= (raw[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+        sizes.append(n | raw[at] << shift)
+        at += 1
+    out = []
+    for n in sizes:
+        out.append(bytes(raw[at : at + n]))
+        at += n
+    return out
+
+
+def _few(counts: np.ndarray) -> bytes:
+    """Counts as planes; nothing if all are 1, as most are."""
+    return b"" if (counts == 1).all() else _planes(counts)
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    """Flags as bits; nothing if none is set, as most are not."""
+    return np.packbits(flags).tobytes() if flags.any() else b""
+
+
+def _unbits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n) if data else np.zeros(n, np.uint8)
+
+
 # ---------------------------------------------------------------- first exchange
 
 
 def _first_pass(plan: Plan):
     def block_rows(block: int, ids: pa.Array, texts: list[bytes], carried: pa.RecordBatch, roller: Roller) -> pa.RecordBatch:
-        body = pa.table({"id": ids, "text": pa.array(texts, pa.binary())} | {f"c{i}": c for i, c in enumerate(carried.columns[2:])})
+        places = ids.fill_null(NO_ID).to_numpy()
+        key = np.frombuffer(b"".join(hashlib.sha256(t).digest() for t in texts), "<u8").reshape(-1, 4)
+        # Of equal texts of a block the first goes on; the others are later copies whatever other blocks hold.
+        order = np.lexsort((np.arange(len(texts)), places, *key.T))
+        again = np.concatenate([[False], (key[order][1:] == key[order][:-1]).all(axis=1)])
+        long_enough = np.array([len(t) >= plan.length for t in texts], dtype=bool)
+        late = np.zeros(len(texts), bool)
+        late[order[again]] = True
+        late &= long_enough
+        body = pa.table({"id": ids, "text": pa.array(texts, pa.binary()), "late": late} | {f"c{i}": c for i, c in enumerate(carried.columns[2:])})
         rows = [(BODY, BODY, _squeeze(body))]
-        ids = ids.fill_null(NO_ID)
-        digests = np.array([hashlib.sha256(t).digest() for t in texts], dtype="S32")
-        key = np.frombuffer(b"".join(d.ljust(32, b"\0") for d in digests.tolist()), "<u8").reshape(-1, 4)
         bucket = _deal(key[:, 0], plan.buckets)
-        long_enough = np.array([len(t) >= plan.length for t in texts], dtype=bool)
-        for h in np.unique(bucket[long_enough]):
-            own = np.flatnonzero((bucket == h) & long_enough)
-            table = pa.table({"digest": [key[own].tobytes()], "id": [ids.take(pa.array(own)).to_numpy().astype("<i8").tobytes()], "doc": [_planes(own)]})
-            rows.append((int(h), COPIES, _squeeze(table)))
+        first = np.flatnonzero(long_enough & ~late)
+        first = first[np.argsort(bucket[first], kind="stable")]
+        for h, a, b in zip(*_runs(bucket[first])):
+            own = first[a:b]
+            rows.append((int(h), COPIES, _pack(key[own].tobytes(), places[own].astype("<i8").tobytes(), _planes(own))))
         _, _, short = _block_seeds(texts, roller, plan)
         distinct, counts, runs, _ = _by_bucket(short, plan.buckets)
         for h, a, b in zip(*runs):
             raw = distinct[a:b].view(np.uint8).reshape(-1, 8)[:, : plan.hash_bytes]
-            table = pa.table({"hash": [np.ascontiguousarray(raw.T).tobytes()], "count": [_planes(counts[a:b])]})
-            rows.append((int(h), SEEDS, _squeeze(table)))
+            rows.append((int(h), SEEDS, _pack(np.ascontiguousarray(raw.T).tobytes(), _few(counts[a:b]))))
         return pa.record_batch([[block] * len(rows), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]], schema=ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,19 +276,18 @@ def _grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tu
         yield now, rows
 
 
-def _one(block: int, bucket: int, kind: int, **columns: bytes) -> pa.RecordBatch:
-    blob = _squeeze(pa.table({k: [v] for k, v in columns.items()}))
-    return pa.record_batch([[block], [bucket], [kind], [blob]], schema=ROWS)
+def _one(block: int, bucket: int, kind: int, *parts: bytes) -> pa.RecordBatch:
+    return pa.record_batch([[block], [bucket], [kind], [_pack(*parts)]], schema=ROWS)
 
 
 def _mark(plan: Plan):
     """Per bucket: which documents are later copies, and which seeds are single, repeated or hot."""
 
     def copies(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        tables = [_expand(r["blob"]) for r in rows]
-        digest = np.concatenate([np.frombuffer(t["digest"][0].as_py(), "<u8").reshape(-1, 4) for t in tables])
-        ids = np.concatenate([np.frombuffer(t["id"][0].as_py(), "<i8") for t in tables])
-        docs = [_unplanes(t["doc"][0].as_py()) for t in tables]
+        tables = [_unpack(r["blob"], 3) for r in rows]
+        digest = np.concatenate([np.frombuffer(t[0], "<u8").reshape(-1, 4) for t in tables])
+        ids = np.concatenate([np.frombuffer(t[1], "<i8") for t in tables])
+        docs = [_unplanes(t[2]) for t in tables]
         block = np.repeat([r["block"] for r in rows], [len(d) for d in docs])
         doc = np.concatenate(docs).astype(np.int64)
         order = np.lexsort((doc, block, ids, *digest.T))
@@ -237,23 +299,24 @@ def _mark(plan: Plan):
             found = d[late[at : at + len(d)]]
             at += len(d)
             if len(found):
-                yield _one(r["block"], r["bucket"], COPIES, late=_planes(found))
+                yield _one(r["block"], r["bucket"], COPIES, _planes(found))
 
     def seeds(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         hashes, counts = [], []
         for r in rows:
-            table = _expand(r["blob"])
-            planes = np.frombuffer(table["hash"][0].as_py(), np.uint8).reshape(plan.hash_bytes, -1)
+            packed, count = _unpack(r["blob"], 2)
+            planes = np.frombuffer(packed, np.uint8).reshape(plan.hash_bytes, -1)
             wide = np.zeros((planes.shape[1], 8), np.uint8)
             wide[:, : plan.hash_bytes] = planes.T
             hashes.append(wide.view("<u8").ravel())
-            counts.append(_unplanes(table["count"][0].as_py()))
+            counts.append(_unplanes(count) if count else np.ones(planes.shape[1], "<u4"))
         _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(counts))[inverse]
         status = ((total > 1).astype(np.uint8) + (total > plan.hot)).astype(np.uint8)
         at = 0
         for r, h in zip(rows, hashes):
-            yield _one(r["block"], r["bucket"], SEEDS, status=status[at : at + len(h)].tobytes())
+            own = status[at : at + len(h)]
+            yield _one(r["block"], r["bucket"], SEEDS, _bits(own & 1), _bits(own >> 1))
             at += len(h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,18 +359,20 @@ def _sorted_runs(block: int, body: pa.Table, marks: list[dict], roller: Roller,
     _, counts, runs, place = _by_bucket(short, plan.buckets)
     status = np.zeros(len(counts), np.uint8)
     spans = {int(h): (a, b) for h, a, b in zip(*runs)}
-    late = np.zeros(len(texts), dtype=bool)
+    late = body["late"].to_numpy().copy()
     for m in marks:
-        table = _expand(m["blob"])
         if m["kind"] == COPIES:
-            late[_unplanes(table["late"][0].as_py())] = True
+            late[_unplanes(_unpack(m["blob"], 1)[0])] = True
         else:
-            status[slice(*spans.pop(m["bucket"]))] = np.frombuffer(table["status"][0].as_py(), np.uint8)
+            a, b = spans.pop(m["bucket"])
+            low, high = _unpack(m["blob"], 2)
+            status[a:b] = _unbits(low, b - a) + 2 * _unbits(high, b - a)
     if spans:
         raise ValueError("a block misses the marks of some seeds")
-    for i in np.flatnonzero(late):
-        # a later copy: removed whole, without any suffix
-        yield _one(block, BODY, BODY, doc=_planes(np.array([i])), a=_planes(np.array([0])), b=_planes(np.array([len(texts[i])])))
+    if late.any():
+        # Later copies: removed whole, without any suffix.
+        gone = np.flatnonzero(late)
+        yield _one(block, BODY, BODY, _planes(gone), _planes(np.zeros(len(gone))), _planes(np.array([len(texts[i]) for i in gone])))
     mark = status[place] * ~late[doc]
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.cumsum(lengths) - lengths
@@ -353,9 +418,9 @@ def _runs_of(block, kind, data, starts, lengths, ids, doc, at, bucket, plan: Pla
         lcp, tails = _front_code(suffix[head])
         yield _one(
             block, int(h), kind,
-            lcp=lcp.tobytes(), tails=tails, left=left[head].tobytes(),
-            id=ids[d[head]].astype("<i8").tobytes(), doc=_planes(d[head]), at=_planes(p[head]),
-            of=_planes(of[~first]), also_doc=_planes(d[order[~first]]), also_at=_planes(p[order[~first]]),
+            lcp.tobytes(), tails, left[head].tobytes(),
+            ids[d[head]].astype("<i8").tobytes(), _planes(d[head]), _planes(p[head]),
+            _planes(of[~first]), _planes(d[order[~first]]), _planes(p[order[~first]]),
         )
 
 
@@ -464,14 +529,14 @@ def _merge_bucket(rows: list[dict], kind: int, plan: Plan) -> Iterator[pa.Record
     width = plan.length + 1
     parts, runs, also = [], [], []
     for k, r in enumerate(rows):
-        t = {c: v[0].as_py() for c, v in zip(*(lambda x: (x.column_names, x.columns))(_expand(r["blob"])))}
-        lcp = np.frombuffer(t["lcp"], np.uint8)
-        suffix = _front_decode(lcp, t["tails"], width)
+        shared, tails, before, own_id, own_doc, own_at, of, also_doc, also_at = _unpack(r["blob"], 9)
+        lcp = np.frombuffer(shared, np.uint8)
+        suffix = _front_decode(lcp, tails, width)
         raw = suffix.tobytes()
         runs.append(([raw[i : i + width] for i in range(0, len(raw), width)], lcp.tolist()))
-        left = np.frombuffer(t["left"], np.uint8).reshape(len(lcp), -1)
-        parts.append((np.full(len(lcp), k), np.frombuffer(t["id"], "<i8"), _unplanes(t["doc"]).astype(np.int64), _unplanes(t["at"]).astype(np.int64), suffix[:, -1].astype(np.int64) - 1, left))
-        also.append((_unplanes(t["of"]).astype(np.int64), _unplanes(t["also_doc"]), _unplanes(t["also_at"]).astype(np.int64)))
+        left = np.frombuffer(before, np.uint8).reshape(len(lcp), -1)
+        parts.append((np.full(len(lcp), k), np.frombuffer(own_id, "<i8"), _unplanes(own_doc).astype(np.int64), _unplanes(own_at).astype(np.int64), suffix[:, -1].astype(np.int64) - 1, left))
+        also.append((_unplanes(of).astype(np.int64), _unplanes(also_doc), _unplanes(also_at).astype(np.int64)))
     out_run, out_at, out_lcp = merge_runs(runs)
     del runs
     base = np.cumsum([0, *(len(p[0]) for p in parts)])
@@ -508,7 +573,7 @@ def _merge_bucket(rows: list[dict], kind: int, plan: Plan) -> Iterator[pa.Record
         begin = np.concatenate([a, (also_at - far)[some]])
         stop = np.concatenate([b, (also_at - near)[some] + plan.length])
         if len(docs):
-            yield _one(r["block"], BODY, BODY, doc=_planes(docs), a=_planes(begin), b=_planes(stop))
+            yield _one(r["block"], BODY, BODY, _planes(docs), _planes(begin), _planes(stop))
 
 
 def _merge(plan: Plan):
@@ -556,10 +621,8 @@ def _remove(whole: bool, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "block"):
             body = _expand(rows[0]["blob"])
-            tables = [_expand(r["blob"]) for r in rows[1:]]
-            doc, a, b = (
-                np.concatenate([np.zeros(0, np.int64), *(_unplanes(t[c][0].as_py()).astype(np.int64) for t in tables)]) for c in ("doc", "a", "b")
-            )
+            tables = [_unpack(r["blob"], 3) for r in rows[1:]]
+            doc, a, b = (np.concatenate([np.zeros(0, np.int64), *(_unplanes(t[c]).astype(np.int64) for t in tables)]) for c in range(3))
             order = np.lexsort((a, doc))
             doc, a, b = doc[order], a[order], b[order]
             bounds = np.searchsorted(doc, np.arange(body.num_rows + 1))
@@ -602,7 +665,10 @@ def remove_repeats(
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *carry)
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (6 << 20)))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, math.ceil(total / BUCKET_BYTES))
+    # A task works through many buckets, one after the other.
+    parts = max(least, math.ceil(total / TASK_BYTES))
     # Ten bits beyond the number of seeds keep chance repeats of the short hash below one in a thousand.
     hash_bytes = min(8, math.ceil((math.log2(max(total, 2)) - math.log2(length / 4) + 10) / 8))
     plan = Plan(length, seed, buckets, max(4, hash_bytes), hot)
@@ -612,7 +678,7 @@ def remove_repeats(
     body = packed.where(f"kind = {BODY}")
     marks = (
         packed.where(f"kind <> {BODY}")
-        .repartition(buckets, "bucket")
+        .repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "kind", "block")
         .mapInArrow(released(_mark(plan)), ROWS_DDL)
     )
@@ -623,7 +689,7 @@ def remove_repeats(
         .mapInArrow(released(_second_pass(plan)), ROWS_DDL)
     )
     spans = (
-        runs.repartition(buckets, "bucket", F.when(F.col("kind") == BODY, F.col("block")))
+        runs.repartition(parts, "bucket", F.when(F.col("kind") == BODY, F.col("block")))
         .sortWithinPartitions("bucket", "kind", "block")
         .mapInArrow(released(_merge(plan)), ROWS_DDL)
         .withColumn("kind", F.lit(0))
