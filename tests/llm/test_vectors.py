@@ -219,3 +219,20 @@ def test_recall_in_every_dimension():
                 row, ids = sphere_filters.all_filters(m, codes, arrays)
                 sets.append([set(ids[row == i]) for i in range(len(m))])
             assert np.mean([bool(a & b) for a, b in zip(*sets)]) >= 0.97, (dim, rows_)
+
+
+def test_tiny_and_huge_components_link_by_direction(spark):
+    """Squares of such components underflow or overflow; directions are those of the plain vectors."""
+    base = [[1.0, 2.0, 3.0, 4.0], [1.001, 2.0, 3.0, 4.0], [4.0, -3.0, 2.0, -1.0]]
+    rows = [(10 * k + n, "a", [x * scale for x in v]) for k, scale in enumerate((1.0, 1e-200, 1e200, 1e-310)) for n, v in enumerate(base)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in sphere_filters.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    for k in range(4):
+        assert got[10 * k] == got[10 * k + 1] == (7, 0) and got[10 * k + 2] == (3, 2)
+
+
+def test_null_ids_are_rows_like_others(spark):
+    rows = [(None, "a", [1.0, 0.0]), (1, "a", [1.0, 0.01]), (2, "a", [0.0, 1.0]), (None, None, [1.0, 0.0])]
+    got = sphere_filters.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>"))
+    assert got.count() == 4
+    found = topk_nra.top_k(spark.createDataFrame([(None, [1.0]), (20, [1.0]), (3, [2.0])], "vec_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r.vec_id) for r in found] == [(20, 3)]

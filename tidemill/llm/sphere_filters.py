@@ -18,7 +18,9 @@ Keys travel narrow, as a filter's 32-bit hash (two filters with one hash only ma
 join the cells that have something to compare, packed, in the width of the input.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null
-label, link with nothing and keep themselves; repeated rows count as links of each other; vectors of
+label, link with nothing and keep themselves; components of any size count, as a vector far from length 1 is brought
+near it first; a row without an id has no component and is neither kept nor dropped (null), and links with
+equal vectors alone; repeated rows count as links of each other; vectors of
 different lengths are compared among their own only; labels may be of any type that Spark can group by; an
 empty table gives an empty result; only the id, vector and label columns are read, so other columns may have
 any name.
@@ -291,6 +293,10 @@ def near_duplicate_vectors(
     rows = vectors.select(
         F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector")
     )
+    # Squares of tiny or huge components would be lost; the direction is the same at another length.
+    most = F.array_max(F.transform("vector", F.abs))
+    odd = usable("vector") & ~most.between(1e-100, 1e100)
+    rows = rows.withColumn("vector", F.when(odd, F.transform("vector", lambda x: x / most)).otherwise(F.col("vector")))
     live = rows.where(usable("vector") & F.col("label").isNotNull())
     # Equal vectors are one class with a weight; its smallest id stands for it.
     classes = cut(
