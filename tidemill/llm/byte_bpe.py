@@ -6,10 +6,12 @@ spaces between other characters: a match always starts there, so cutting never s
 then runs over distinct chunks only. Texts with any other white space around a space are cut by the
 pattern itself.
 
-Decoding looks ids up in the token-byte table, whose size is the vocabulary's.
+Decoding joins ids, with their positions, to the token-byte table, whose size is the vocabulary's and which every
+task holds; the joined bytes go back in order of position. An id that the table lacks is an error.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; special tokens are ordinary
-text; repeated rows are kept; an empty table gives an empty result; only id and text are read.
+text; texts of any length are encoded whole; of pre-tokens that tie nothing is chosen, as each is encoded by its
+ranks alone; a null id and repeated rows are kept; an empty table gives an empty result; only id and text are read.
 """
 
 from __future__ import annotations
@@ -92,21 +94,51 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return coded.select("id", "ids")
 
 
+#: Bytes of ids that are joined at a time.
+JOIN_BYTES = 4 << 20
+
+
+def _token_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows of about JOIN_BYTES of ids, or one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + JOIN_BYTES)))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def _joined(ids: pa.Array, table: pa.Table) -> pa.Array:
+    """Texts of packed ids: positions and ids joined to the table, bytes put in order and cut by text."""
+    counts = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+    met = pa.table({"id": flat, "at": np.arange(len(flat), dtype=np.int64)}).join(table, "id", join_type="inner")
+    if met.num_rows != len(flat):
+        raise ValueError("an id is not in the token-byte table")
+    where = np.empty(len(flat), np.int64)
+    where[met["at"].to_numpy()] = np.arange(len(flat))
+    pieces = met["bytes"].combine_chunks().take(pa.array(where))
+    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64))])
+    data = b"".join(pieces.to_pylist()) if pieces.offset or not len(pieces) else pieces.buffers()[2].to_pybytes()[: sizes[-1]]
+    edges = sizes[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    return pa.array([data[a:b] for a, b in zip(edges, edges[1:])], pa.binary())
+
+
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for."""
 
+    ranks = read_ranks(path)
+    known = {"id": pa.array(list(ranks.values()), pa.uint32()), "bytes": pa.array(list(ranks), pa.binary())}
+    shared = coded.sparkSession.sparkContext.broadcast(known)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b""] * (max(ranks.values()) + 1) if (ranks := read_ranks(path)) else []
-        for token, rank in ranks.items():
-            table[rank] = token
+        table = pa.table(shared.value)
         for batch in batches:
             column = batch.schema.get_field_index(ids_col)
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [
-                    b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) if x is not None else None
-                    for x in part.column(column).to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, out_col])
+            for part in _token_slices(batch, column):
+                ids = part.column(column)
+                texts = _joined(ids.fill_null(b""), table)
+                texts = pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out_col])
 
     return coded.mapInArrow(released(run), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in coded.schema)}, {out_col} binary")

@@ -5,7 +5,7 @@ dealt into blocks by a seeded hash; within a block partial partitions are merged
 largest imbalance, largest windows of one against smallest of the other, which leaves windows of nearly
 equal load. If a window exceeds the capacity the window count rises and the block is merged again.
 
-Defined results: a null or empty text is its end token alone; texts of any length are cut, never dropped;
+Defined results: a null or empty text is its end token alone; a null id is packed like any other; texts of any length are cut, never dropped;
 repeated rows are packed each, in blocks of their own places; pieces of one size are taken in the order of id,
 start and place; an empty table gives an empty result; only id and text are read, so other columns may have
 any name.

@@ -8,8 +8,8 @@ distances exceed the radius. A key
 that many distinct fingerprints share is cut into blocks that meet in pairs, so no task holds it whole.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any
-other; texts with fewer words than a shingle hash the whole word sequence; repeated rows are kept and
-share a class; an empty table gives an empty result; only the id and text columns are read.
+other; texts with fewer words than a shingle hash the whole word sequence; texts of any length are taken whole; a row without an id is in the class of
+its text and never names it; repeated rows are kept and share a class; an empty table gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations

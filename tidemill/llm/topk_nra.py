@@ -14,7 +14,8 @@ window per query.
 The query set meets the table in blocks; no pair leaves a task but the k best per query and block.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; a query
-never finds its own row id; ties go to the smaller id; fewer than k candidates give all of them; repeated
+never finds its own row id; ties go to the smaller id; fewer than k candidates give all of them; rows without
+an id take no part; repeated
 rows are candidates each and one query together, and rows that share an id but not a vector are queries each;
 vectors of different lengths are searched among their own; empty tables give an empty result; only the id and
 vector columns are read, so other columns may have any name.
