@@ -30,7 +30,7 @@ def headline(t: Tables, k: int = 10) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("spend"), "campaign_id").limit(k)
 
 
-def campaign_metrics(t: Tables, least: int = 3) -> DataFrame:
+def campaign_metrics(t: Tables, least: int = 1000) -> DataFrame:
     """R2: rates per campaign with more than ``least`` impressions."""
     spend = t["spend_transactions"].groupBy("campaign_id").agg(F.sum("spend_amount").alias("spend"))
     value = t["conversions"].groupBy("campaign_id").agg(F.sum("conversion_value").alias("value"))
@@ -44,7 +44,7 @@ def campaign_metrics(t: Tables, least: int = 3) -> DataFrame:
     )
 
 
-def creative_ctr(t: Tables, least: int = 20) -> DataFrame:
+def creative_ctr(t: Tables, least: int = 500) -> DataFrame:
     """R3: click-through rate by creative type and format."""
     per = _funnel(t, "creative_id")
     out = per.join(t["creatives"].select("creative_id", "creative_type", "creative_format"), "creative_id")
@@ -70,7 +70,7 @@ def audience_rates(t: Tables) -> DataFrame:
     )
 
 
-def device_geography(t: Tables, least: int = 5, k: int = 12) -> DataFrame:
+def device_geography(t: Tables, least: int = 1000, k: int = 12) -> DataFrame:
     """R6: delivery by device and country."""
     out = _funnel(t, "device_type", "country").where(F.col("impressions") > least)
     return out.select("device_type", "country", "impressions", "clicks").orderBy(F.desc("impressions"), "device_type", "country").limit(k)

@@ -15,7 +15,7 @@ from tidemill.functions import scalars as S
 from tidemill.operators import billing, changelog, dims, facts, history, marts, merge, quality, refresh, reports, stored
 from tidemill.plans import checks
 from tidemill.plans.standins import COLUMNS, DERIVED, LOGS, oracle, tables
-from tidemill.session import cut, shared_dir
+from tidemill.session import cut, scratch_dir
 from tidemill.sources import jdbc, offsets
 from tidemill.sources import tables as sources
 from tidemill.sources import versions
@@ -388,7 +388,7 @@ def landed_envelopes(t: Tables) -> DataFrame:
 def landing_stream(t: Tables) -> DataFrame:
     """The topic landed by a stream that drains it, stopped and started again, then compacted."""
     spark = t["changes"].sparkSession
-    root = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+    root = scratch_dir(spark, "landing")
     topic(t).write.parquet(f"{root}/topic")
     for _ in range(2):  # the second run finds nothing new
         landing.land(landing.file_messages(spark, f"{root}/topic"), f"{root}/landed", f"{root}/checkpoint").awaitTermination()
@@ -402,7 +402,7 @@ def landing_stream(t: Tables) -> DataFrame:
 def published_versions(t: Tables) -> DataFrame:
     """A snapshot and the reconciled table published one after the other, each read back by its number."""
     spark = t["changes"].sparkSession
-    root = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    root = scratch_dir(spark, "versions")
     versions.publish(changelog.from_snapshot(snapshot(t, boundary(t))), root, note={"boundary": boundary(t)})
     versions.publish(current(t), root)
     parts = [
@@ -418,7 +418,7 @@ def published_versions(t: Tables) -> DataFrame:
 def version_history(t: Tables) -> DataFrame:
     """The versions of a table, with the export and the position that each came from."""
     spark, at = t["changes"].sparkSession, boundary(t)
-    root = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    root = scratch_dir(spark, "versions")
     for df, position in ((changelog.from_snapshot(snapshot(t, at)), at), (current(t), t["changes"].agg(F.max("lsn")).first()[0] or 0)):
         versions.publish(df, root, note={"run_id": "r1", "applied_lsn": position})
     note = lambda name: F.get_json_object("note", f"$.{name}")
@@ -920,7 +920,7 @@ def mart_increment(t: Tables) -> DataFrame:
     """The campaign mart as of a time when the newest days had only half of their events, then the months of its
     trailing days computed anew and put in the place of the old ones."""
     spark = t["impressions"].sparkSession
-    path = f"{shared_dir(spark)}/mart-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "mart")
     r = {n: f.withColumn("late", F.pmod(F.xxhash64(f.columns[0]), F.lit(2)) == 0) for n, f in resolved(t).items()}
     newest = reduce(DataFrame.unionAll, [f.select("date_key") for f in r.values()]).agg(F.max("date_key")).first()[0]
     if newest is None:
@@ -1161,13 +1161,13 @@ def report_headline(t: Tables) -> DataFrame:
       CASE WHEN spend <> 0 THEN round(CAST(value AS DOUBLE) / CAST(spend AS DOUBLE), 6) END AS roas
     FROM f LEFT JOIN {SQL_SPEND} s ON f.campaign_id = s.campaign_id LEFT JOIN w ON f.campaign_id = w.campaign_id WHERE impressions > 3""")
 def report_campaign_metrics(t: Tables) -> DataFrame:
-    return reports.campaign_metrics(t)
+    return reports.campaign_metrics(t, least=3)
 
 
 @query(f"""SELECT creative_type, creative_format, count(*) AS impressions, CAST(sum(k) AS BIGINT) AS clicks, round(CAST(sum(k) AS DOUBLE) / count(*), 6) AS ctr
     FROM {SQL_FUNNEL} f JOIN {{creatives}} c ON f.creative_id = c.creative_id GROUP BY 1, 2 HAVING count(*) > 20""")
 def report_creative_ctr(t: Tables) -> DataFrame:
-    return reports.creative_ctr(t)
+    return reports.creative_ctr(t, least=20)
 
 
 @query(f"""WITH p AS (SELECT publisher_id, sum(spend_amount) AS spend FROM {{spend_transactions}} GROUP BY publisher_id)
@@ -1186,7 +1186,7 @@ def report_audience_rates(t: Tables) -> DataFrame:
 @query(f"""SELECT device_type, country, count(*) AS impressions, CAST(sum(k) AS BIGINT) AS clicks FROM {SQL_FUNNEL} f GROUP BY 1, 2 HAVING count(*) > 5
     ORDER BY count(*) DESC, 1, 2 LIMIT 12""")
 def report_device_geography(t: Tables) -> DataFrame:
-    return reports.device_geography(t)
+    return reports.device_geography(t, least=5)
 
 
 @query(f"""SELECT CAST(CAST(impression_timestamp AS DATE) AS VARCHAR) AS day, strftime(CAST(impression_timestamp AS DATE), '%a') AS weekday, count(*) AS impressions, {d("sum(clearing_price)", "clearing")}
@@ -1303,7 +1303,7 @@ def newest_events(t: Tables) -> DataFrame:
 
 
 def scratch(t: Tables, name: str) -> str:
-    return f"{shared_dir(t['orders'].sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return scratch_dir(t["orders"].sparkSession, name)
 
 
 @query("""SELECT 'r2' AS run_id, CAST(42 AS BIGINT) AS wal_lsn, 'orders' AS table_name, count(*) AS n_rows, 'o_orderkey' AS first_column FROM {orders}

@@ -57,13 +57,29 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def cut_at(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
-    """As ``cut``, with the folder, for ``discard`` once nothing reads it any more."""
+    """As ``cut``, with the folder, for ``discard`` once nothing reads it any more; the application's end takes
+    what is left."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A folder within the shared one that is gone when the application ends; it does not exist yet."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    _delete_at_end(spark, path)
+    return f"{path}/own"
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a folder that ``cut_at`` wrote."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
