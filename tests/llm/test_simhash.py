@@ -31,11 +31,12 @@ def brute_classes(rows, radius=2, size=3):
 
 
 def test_planes_hold_every_bit():
-    bits = np.random.default_rng(3).integers(0, 1 << 64, 130, dtype=np.uint64)
-    planes = simhash.bit_planes(bits)
-    assert planes.shape == (3, 64)
-    for n, x in enumerate(bits.tolist()):
-        assert [int(planes[n // 64, k]) >> n % 64 & 1 for k in range(64)] == [x >> k & 1 for k in range(64)]
+    for size in (0, 1, 64, 65, 130):
+        bits = np.random.default_rng(3).integers(0, 1 << 64, size, dtype=np.uint64)
+        planes = simhash.bit_planes(bits)
+        assert planes.shape == (-(-size // 64), 64)
+        for n, x in enumerate(bits.tolist()):
+            assert [int(planes[n // 64, k]) >> n % 64 & 1 for k in range(64)] == [x >> k & 1 for k in range(64)]
 
 
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 7])

@@ -73,7 +73,8 @@ def bit_planes(bits: np.ndarray) -> np.ndarray:
     padded = np.zeros(-(-len(bits) // 64) * 64, "<u8")
     padded[: len(bits)] = bits
     lanes = np.unpackbits(padded.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-    return np.packbits(lanes.transpose(0, 2, 1), axis=2, bitorder="little").view("<u8").reshape(-1, BITS)
+    packed = np.packbits(np.ascontiguousarray(lanes.transpose(0, 2, 1)), axis=2, bitorder="little")
+    return np.ascontiguousarray(packed).view("<u8").reshape(-1, BITS)
 
 
 def _below(n: np.ndarray) -> np.ndarray:
