@@ -100,3 +100,31 @@ def test_shared_counts_and_distances():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert near_copies.drop_near_copies(docs).count() == 0
+
+
+def test_recall_right_at_the_similarity(spark):
+    """Pairs of short and long texts just at or above a similarity of 0.8, none near any other text."""
+    rng = random.Random(7)
+    rows, pairs = [], []
+    while len(pairs) < 400:
+        n = rng.choice([25, 40, 80, 200, 600])
+        words = ["w%d" % rng.randrange(10**6) for _ in range(n)]
+        own = list(words)
+        while True:  # one change more would be too many
+            more = list(own)
+            more[rng.randrange(n)] = "z%d" % rng.randrange(10**6)
+            a, b = set(shingles(" ".join(words), 5)), set(shingles(" ".join(more), 5))
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            own = more
+        if own == words:
+            own[-1] = "end"
+        k = 2 * len(pairs)
+        rows += [(k, " ".join(words)), (k + 1, " ".join(own))]
+        pairs.append((k + 1, k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.id, r.first) for r in near_copies.near_copies(docs).collect()}
+    assert found <= set(pairs)  # every link is confirmed by its shingles
+    recall = len(found) / len(pairs)
+    print(f"recall {recall:.4f}")
+    assert recall >= 0.98
