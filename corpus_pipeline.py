@@ -25,12 +25,25 @@ KEEP_QUALITY = 0.7
 KEEP_LANGUAGE = 0.3
 
 
+#: Rows of a batch that goes to Python at most: some 8 MB of texts, where Spark's default would be four times that
+#: on either side of each task.
+BATCH_ROWS = 2400
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of tasks that hand texts to Python; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the pairwise ranker scores at KEEP_QUALITY or more; all if labels lack a class.
 
     A null or empty text has the features of an empty text and is judged by them; a score of just KEEP_QUALITY
     stays.
     """
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_ranker.fit(docs, labels, ~quality_ranker.held_out("doc_id"), keep_at=KEEP_QUALITY)
     if not isinstance(model, quality_ranker.Ranker):
@@ -45,6 +58,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no letter and go. Where no document to learn from has a language, every document
     with a letter stays. A score of just KEEP_LANGUAGE stays.
     """
+    _small_batches(spark)
     model = language_id.fit(docs.where(~language_id.held_out("doc_id")))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
@@ -57,6 +71,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words, null ones too, are copies of each other; of rows with one id and text one stays.
     """
+    _small_batches(spark)
     return near_copies.drop_near_copies(docs.select(COLUMNS)).select(COLUMNS)
 
 
@@ -66,6 +81,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Earlier means a smaller id, a null one first, or an earlier row of the same id. A null text, and any text
     from which nothing is removed, stays as it is; a text left with white space alone goes.
     """
+    _small_batches(spark)
     marked = docs.select("doc_id", "text", "lang", "source", F.col("text").isNull().alias("absent"))
     found = suffix_dedup.remove_repeats(marked, whole=True, carry=("lang", "source", "absent"))
     changed = F.size("starts") > 0
@@ -80,6 +96,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into token windows; a null or empty text is its end token alone."""
+    _small_batches(spark)
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
