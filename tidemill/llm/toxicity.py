@@ -31,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,7 +190,7 @@ def _calibrated(judge: Judge, votes: np.ndarray, labels: np.ndarray, weight: np.
 def _near_copies(words: pa.ListArray) -> np.ndarray:
     """Which texts share ALIKE of their SKETCH least hashes with an earlier one that is not left out."""
     flat = words.flatten().dictionary_encode()
-    raw = np.array([hash_of(w) for w in flat.dictionary.to_pylist()], np.uint64)
+    raw = np.fromiter(map(xxhash.xxh64_intdigest, flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))
     code, edge = raw[flat.indices.to_numpy()] if len(flat) else raw, words.offsets.to_numpy() - words.offsets[0].as_py()
     mixes = [np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for i in range(SKETCH)]
     seen: dict[tuple[int, int], list[int]] = {}
@@ -208,14 +209,6 @@ def _near_copies(words: pa.ListArray) -> np.ndarray:
     return out
 
 
-def hash_of(word: str) -> int:
-    """FNV-1a of the word's bytes, alike on every machine."""
-    h = 0xCBF29CE484222325
-    for b in word.encode():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
 def fit_examples(ids: np.ndarray, labels: np.ndarray, texts: pa.Array, share: float, k: int = 25, most_terms: int = 1 << 15) -> Judge:
     """The index and the calibration from examples; ``share`` of all labels is toxic."""
     words = terms(texts)
@@ -253,7 +246,7 @@ def fit(
     labels: DataFrame,
     train: Column,
     toxic: int = 1500,
-    clean: int = 6000,
+    clean: int = 4500,
     example_bytes: int = 32_768,
     id_col: str = "doc_id",
     text_col: str = "text",
