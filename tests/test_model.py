@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import dims, history, marts, quality
+from tidemill.operators import dims, facts, history, marts, quality
 from tidemill.plans import catalog, checks, standins
 from tidemill.session import cut
 
@@ -228,3 +228,42 @@ def test_generic_tests_and_comparison(spark):
 
 def test_every_query_has_a_name_and_sql():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) >= 70
+
+
+def one_exchange(df):
+    """Of a plan that has not run yet."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_gathered_marts_equal_plain_ones(spark):
+    """Sums and two distinct counts with nulls, repeats and a null key, from rows exchanged once."""
+    rows = [(1, "a", "p", "x", 1), (1, "a", "p", "y", 2), (1, "a", "q", "x", 3), (1, "a", None, "z", 4), (1, None, "p", None, 5), (2, "a", "p", "x", 6), (1, "a", "p", "x", 7)]
+    f = spark.createDataFrame(rows, "day int, k string, p string, c string, amount int")
+    g = f.where("day = 1").select("day", "k", F.lit(1).alias("other"))
+    parts = [marts.Part(f, {"amount": F.col("amount")}, {"n_p": "p", "n_c": "c"}), marts.Part(g, {"other": F.col("other")})]
+    plain = marts.build(parts, ["day", "k"])
+    want = sorted(map(str, plain.collect()))
+    for given in ({}, {"rows_expected": 1_200_000}):
+        got = marts.build(parts, ["day", "k"], ["day", "k"], **given)
+        assert one_exchange(got) and got.schema.simpleString() == plain.schema.simpleString()
+        assert sorted(map(str, got.collect())) == want
+    alone = [marts.Part(f, {}, {"n_p": "p", "n_c": "c"})]
+    assert sorted(map(str, marts.build(alone, ["day", "k"], ["k"]).collect())) == sorted(map(str, marts.build(alone, ["day", "k"]).collect()))
+    assert marts.build(alone, ["day", "k"], ["k"], 1_200_000).rdd.getNumPartitions() == 3
+
+
+def test_rows_by_member_inherit_as_the_facts_do(spark, sf_dir):
+    """Clicks and conversions in one join, orphans and nulls among them, against the facts resolved one by one."""
+    t = standins.tables(spark, sf_dir)
+    broken = F.when(F.crc32("click_id") % 5 != 0, F.col("impression_id"))
+    clicks, conversions = t["clicks"].withColumn("impression_id", broken), t["conversions"].withColumn("impression_id", broken)
+    impressions = t["impressions"].withColumn("audience_id", F.when(F.crc32("impression_id") % 3 != 0, F.col("audience_id")))
+    f = facts.impressions(impressions)
+    want = {"click": facts.resolve_clicks(facts.clicks(clicks), f), "conversion": facts.resolve_conversions(facts.conversions(conversions), f)}
+    rows = facts.by_member(impressions, clicks, conversions, t["spend_transactions"])["responses"]
+    for kind, df in want.items():
+        names = [n for n in ("campaign", "advertiser", "line_item", "creative", "publisher", "placement", "audience") if f"{n}_key" in df.columns]
+        own = rows.where(F.col("kind") == kind).select(
+            F.col("event_id").alias(f"{kind}_id"), "date_key", "currency", *facts.hashed_keys(*names)
+        )
+        assert own.count() > 100 and own.exceptAll(df.select(*own.columns)).count() == 0 == df.select(*own.columns).exceptAll(own).count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import UNKNOWN, date_key, elapsed, impression_cost, or_unknown, surrogate_key
@@ -111,3 +111,43 @@ def resolve_conversions(conversion_facts: DataFrame, impression_facts: DataFrame
 
 def unresolved(resolved: DataFrame, key: str) -> DataFrame:
     return resolved.where(F.col(key) == UNKNOWN).groupBy(key).agg(F.count("*").alias("n"))
+
+
+def by_member(impression_events: DataFrame, click_events: DataFrame, conversion_events: DataFrame, spend_events: DataFrame) -> dict[str, DataFrame]:
+    """The facts' rows for marts: day, currency, measures, and members by their own ids, which are shorter than the keys
+    made of them. Clicks and conversions are one table of responses, by ``kind``, and inherit what ``resolve_clicks`` and
+    ``resolve_conversions`` give them by one join."""
+    day = lambda ts: date_key(F.col(ts)).alias("date_key")
+    own = {"campaign_id": "string", "advertiser_id": "string", "line_item_id": "string", "creative_id": "string", "currency": "string"}
+    known = {"click": ("campaign_id", "advertiser_id", "line_item_id", "creative_id"), "conversion": ("campaign_id", "advertiser_id", "currency")}
+
+    def response(events: DataFrame, kind: str, value: Column) -> DataFrame:
+        taken = [(F.col(c) if c in known[kind] else F.lit(None)).cast(k).alias(c) for c, k in own.items()]
+        return events.select(
+            F.col(f"{kind}_id").alias("event_id"), F.lit(kind).alias("kind"), day(f"{kind}_timestamp"), F.col("impression_id").alias("_parent"), *taken,
+            value.cast(conversion_events.schema["conversion_value"].dataType).alias("conversion_value"),
+        )
+
+    both = response(click_events, "click", F.lit(None)).unionByName(response(conversion_events, "conversion", F.col("conversion_value")))
+    lent = ("line_item_id", "creative_id", "publisher_id", "placement_id", "audience_id", "currency")
+    parents = impression_events.select("impression_id", *[F.col(c).alias(f"_{c}") for c in lent])
+    joined = both.join(parents, F.col("_parent") == F.col("impression_id"), "left")
+    clicked = F.col("kind") == "click"
+    mixed = {c: F.when(clicked, F.col(c)).otherwise(F.col(f"_{c}")) for c in ("line_item_id", "creative_id")}
+    mixed["currency"] = F.when(clicked, F.col("_currency")).otherwise(F.col("currency"))
+    responses = joined.select(
+        "event_id", "kind", "date_key", "campaign_id", "advertiser_id", *[m.alias(c) for c, m in mixed.items()],
+        *[F.col(f"_{c}").alias(c) for c in ("publisher_id", "placement_id", "audience_id")], "conversion_value",
+    )
+    members = ("campaign_id", "line_item_id", "advertiser_id", "creative_id", "publisher_id", "placement_id", "audience_id")
+    return {
+        "impressions": impression_events.select(
+            F.col("impression_id").alias("event_id"), day("impression_timestamp"), *members, "currency", "viewability_score",
+            impression_cost(F.col("clearing_price")).alias("impression_cost"),
+        ),
+        "responses": responses,
+        "spend": spend_events.select(
+            F.col("spend_transaction_id").alias("event_id"), day("spend_timestamp"), "campaign_id", "line_item_id", "advertiser_id", "publisher_id",
+            "currency", "billing_type", "spend_amount",
+        ),
+    }

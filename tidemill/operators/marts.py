@@ -1,7 +1,7 @@
 """Daily marts: the rows of every fact under one another, each with its own measures, in one aggregation.
 
 No fact is joined to another, so none is multiplied; a grain key that any fact holds is in the mart. Partial
-aggregation runs before the one exchange.
+aggregation runs before the one exchange, or the rows themselves are exchanged where hardly any share a key.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import safe_divide
@@ -57,8 +57,16 @@ def grain_of(facts: list[DataFrame], keys: list[str]) -> DataFrame:
     return reduce(DataFrame.union, [f.select(*keys) for f in facts]).distinct()
 
 
-def build(parts: list[Part], keys: list[str]) -> DataFrame:
-    """One row for each grain key of any fact; absent additive measures and distinct counts are zero."""
+#: Rows that a task adds up at once, where they are brought together first.
+ROWS_TOGETHER = 500_000
+
+
+def build(parts: list[Part], keys: list[str], gather: list[str] | None = None, rows_expected: int = 0) -> DataFrame:
+    """One row for each grain key of any fact; absent additive measures and distinct counts are zero.
+
+    ``gather`` names the keys by which rows are brought together before anything is added up, for marts with almost
+    as many keys as rows: partial sums would hold every row in memory and save no exchange, and distinct counts
+    need no second one. Of ``rows_expected`` rows a task gets ROWS_TOGETHER or so, however many there are."""
     rows = [
         p.fact.select(*keys, *[m.alias(n) for n, m in p.measures.items()], *[F.col(c).alias(n) for n, c in p.distinct.items()])
         for p in parts
@@ -66,11 +74,31 @@ def build(parts: list[Part], keys: list[str]) -> DataFrame:
     names = [n for p in parts for n in p.measures]
     counted = [n for p in parts for n in p.distinct]
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    found = every.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names], *[F.count_distinct(n).alias(n) for n in counted])
+    if gather:
+        every = every.repartition(max(1, -(-rows_expected // ROWS_TOGETHER)), *gather) if rows_expected else every.repartition(*gather)
+    if gather and counted:
+        found = _counted_in_place(every, keys, names, counted)
+    else:
+        found = every.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names], *[F.count_distinct(n).alias(n) for n in counted])
     kinds = dict(found.dtypes)
     return found.select(*keys, *[F.coalesce(F.col(n), F.lit(0).cast(kinds[n])).alias(n) for n in names], *counted)
 
 
+def _counted_in_place(every: DataFrame, keys: list[str], names: list[str], counted: list[str]) -> DataFrame:
+    """Sums and distinct counts of rows that lie together by the keys: one row for each combination of counted values,
+    and a value counts in the first of its combinations."""
+    shown = every.select(*keys, *counted)
+    per = every.groupBy(*keys, *counted).agg(*[F.sum(n).alias(n) for n in names]) if names else shown.distinct()
+    for n in counted:
+        others = [c for c in counted if c != n]
+        first = F.row_number().over(Window.partitionBy(*keys, n).orderBy(*others)) == 1 if others else F.lit(True)
+        per = per.withColumn(f"_first_{n}", first & F.col(n).isNotNull())
+    kinds = dict(per.dtypes)
+    return per.groupBy(*keys).agg(
+        *[F.sum(n).cast(kinds[n]).alias(n) for n in names], *[F.count_if(f"_first_{n}").alias(n) for n in counted]
+    )
+
+
 RATES: dict[str, tuple[str, str, int]] = {
     "viewability_rate": ("viewable_impressions", "measured_impressions", 1),
     "click_through_rate": ("clicks", "impressions", 1),

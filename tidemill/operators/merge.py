@@ -68,6 +68,8 @@ def freshness(table: DataFrame, ts: str, as_of: Column, warn_hours: int = 12, er
     return table.agg(F.max(ts).alias("newest")).withColumn("age_hours", F.round(age, 3)).withColumn("status", state)
 
 
-def overwrite_days(df: DataFrame, path: str, key: str = "date_key") -> None:
-    """Replaces the days, or whatever ``key`` partitions by, that ``df`` holds and leaves the others."""
-    df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def overwrite_days(df: DataFrame, path: str, key: str = "date_key", gathered: bool = False) -> None:
+    """Replaces the days, or whatever ``key`` partitions by, that ``df`` holds and leaves the others. Rows that are
+    ``gathered`` lie together by ``key`` already and are written from where they are."""
+    rows = df if gathered else df.repartition(key)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(key).parquet(path)
