@@ -267,3 +267,12 @@ def test_rows_by_member_inherit_as_the_facts_do(spark, sf_dir):
             F.col("event_id").alias(f"{kind}_id"), "date_key", "currency", *facts.hashed_keys(*names)
         )
         assert own.count() > 100 and own.exceptAll(df.select(*own.columns)).count() == 0 == df.select(*own.columns).exceptAll(own).count()
+
+
+def test_key_stability_reads_no_fixed_number_of_parts(spark, sf_dir, monkeypatch):
+    """The rebuilt copy is dealt by its id over as many parts as the session has, not over seven by city."""
+    seen = []
+    monkeypatch.setattr(catalog, "cut", lambda df, name="step": seen.append(df) or df)
+    assert catalog.QUERIES["key_stability"](spark, sf_dir).first().unchanged
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "hashpartitioning(city" not in plan
