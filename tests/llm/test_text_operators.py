@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemill.llm import byte_bpe, catalog, language_id, packing, quality_ranker, sharding, url_filter
@@ -335,6 +336,25 @@ def test_quality_fit_equals_a_plain_solver():
     assert np.allclose(got[used], w, atol=1e-3 * np.abs(w).max()) and np.abs(np.delete(got, used)).max() < 1e-9
 
 
+def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
+    """Groups hold every document, a rare class in several of them; words of a few documents alone tell, and weigh."""
+    rows = [(i, f"word{i % 7} plain{i % 5} " * 8 + ("rubbish" if i % 10 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i, _ in rows], "doc_id long, quality int")
+    monkeypatch.setattr(quality_ranker, "LEAST", 20)
+    known, groups = quality_ranker.dealt(labels, {0: 40, 1: 360}, 50)
+    found = known.groupBy("quality").agg(F.count("*"), F.count_distinct("doc_id"), F.count_distinct("group"), F.max("group")).collect()
+    assert groups == 8 and {tuple(r) for r in found} == {(0, 160, 40, 8, 7), (1, 360, 360, 8, 7)}
+    assert set(quality_ranker.every_one(np.random.default_rng(0), 7, 30)) == set(range(7))
+    everyone = ~quality_ranker.held_out("doc_id") | quality_ranker.held_out("doc_id")
+    models = [quality_ranker.fit(docs.repartition(n), labels, everyone, group_rows=50) for n in (2, 5)]
+    assert np.array_equal(models[0].hashed, models[1].hashed) and models[0].cut_at == models[1].cut_at
+    got = {r.doc_id: r.score for r in quality_ranker.score(docs, models[0]).collect()}
+    assert sum((got[i] >= 0.7) == (i % 10 > 0) for i in got) >= 398
+    # Every one of the 40 lowest scores lies below the cut: no sample's quantile.
+    assert sum(s < 0.7 for s in got.values()) == 40
+
+
 def test_quality_held_out_accuracy(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     got = catalog.op8_quality_ranker(spark, sf_dir).join(labels, "doc_id").where("held_out").collect()
