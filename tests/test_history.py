@@ -4,7 +4,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import dims, history
+from tidemill.operators import dims, facts, history
+from tidemill.plans import catalog, standins
 
 DIM = dims.Dimension("x", "x_id", {"p_key": "p_id"}, ("name",), {})
 CHECKED = ("name", "p_id", "is_deleted")
@@ -86,3 +87,35 @@ def test_merge_beats_join_on_a_key_with_very_many_versions(spark):
         took.append((join(facts, h, "k", "ts", "v", "out").agg(F.sum(F.hash("id", "out")), F.count_if(F.col("out") == "UNKNOWN")).first(), time.perf_counter() - start))
     assert took[0][0] == took[1][0] and took[0][0][1] == 0
     assert took[1][1] < took[0][1]
+
+
+def test_members_move_once_for_their_captures_and_facts_keep_their_place(spark, sf_dir):
+    """Line items: their rows alone. Impressions: delivery (two tables), campaigns, line items, and events by line item."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = {}
+        for name in ("history_line_item", "fact_impressions"):
+            said = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+            moved[name] = said.count("Exchange hashpartitioning")
+        assert moved == {"history_line_item": 1, "fact_impressions": 5}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_keys_made_after_the_joins_are_the_histories_keys(spark, sf_dir):
+    t = standins.tables(spark, sf_dir)
+    events = t["clicks"].limit(500).withColumn("campaign_id", F.when(F.col("click_id").endswith("7"), F.lit(None)).otherwise(F.col("campaign_id")))
+    events = events.localCheckpoint()
+    captures = t["campaigns_log"]
+    late = facts.clicks(events, {"campaign": history.member_versions(captures, dims.DIMENSIONS["campaign"])})
+    keyed = facts.clicks(events, {"campaign": history.entity_history(captures, dims.DIMENSIONS["campaign"])})
+    assert late.columns == keyed.columns
+    assert sorted(map(tuple, late.collect()), key=str) == sorted(map(tuple, keyed.collect()), key=str)
+    assert late.where("campaign_version_key = 'UNKNOWN'").count() > 0 and late.where("campaign_version_key <> 'UNKNOWN'").count() > 0
+
+
+def test_a_null_that_moves_between_columns_makes_a_version(spark):
+    rows = [("m", 1, "a", None), ("m", 2, None, "a"), ("m", 3, None, "a")]
+    log = spark.createDataFrame(rows, "id string, at int, x string, y string")
+    assert sorted(r["at"] for r in history.capture_versions(log, "id", ["at"], ["x", "y"]).collect()) == [1, 2]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.scalars import UNKNOWN, date_key, elapsed, impression_cost, or_unknown, surrogate_key
+from tidemill.functions.scalars import UNKNOWN, date_key, elapsed, impression_cost, or_unknown, surrogate_key, version_key
 from tidemill.operators.dims import surrogate_key_or_null
-from tidemill.operators.history import as_of_join
+from tidemill.operators.history import as_of_join, as_of_time
 
 
 def hashed_keys(*entities: str) -> list:
@@ -15,10 +15,17 @@ def hashed_keys(*entities: str) -> list:
 
 
 def _versions(events: DataFrame, ts: str, histories: dict[str, DataFrame]) -> DataFrame:
-    """One as-of join for each entity history given."""
+    """One as-of join for each entity history given. Of ``member_versions``, which have no key yet, the capture's time is
+    joined, which is shorter, and the key is made of it after the last join."""
+    made = {}
     for entity, history in histories.items():
-        events = as_of_join(events, history, f"{entity}_id", ts, f"{entity}_version_key", f"{entity}_version_key")
-    return events
+        key, own = f"{entity}_version_key", f"{entity}_id"
+        if key in history.columns:
+            events = as_of_join(events, history, own, ts, key, key)
+        else:
+            events = as_of_time(events, history, own, ts, "captured_at", key)
+            made[key] = or_unknown(F.when(F.col(key).isNotNull(), version_key(F.col(own), F.col(key))))
+    return events.withColumns(made) if made else events
 
 
 def impressions(events: DataFrame, histories: dict[str, DataFrame] | None = None) -> DataFrame:
