@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import merge, stored
+from tidemill.plans import catalog
 from tidemill.sources import versions
 
 SCHEMA = "k long, day date, v string, at timestamp"
@@ -117,3 +118,16 @@ def test_a_reader_keeps_its_version_and_one_of_two_writers_loses(spark, tmp_path
     assert versions.manifest(spark, root)["note"] == {"x": 1} and versions.manifest(spark, root, 8) is None
     assert versions.expire(spark, root, keep=2) == 1 and versions.newest(spark, root) == 3
     assert sorted(r.number for r in versions.versions(spark, root).collect()) == [2, 3]
+
+
+def test_the_runs_of_an_increment_read_rows_that_were_derived_once(spark, sf_dir, monkeypatch):
+    said = []
+    load = stored.load_increment
+
+    def seen(source, *more):
+        said.append(source._jdf.queryExecution().optimizedPlan().toString())
+        return load(source, *more)
+
+    monkeypatch.setattr(stored, "load_increment", seen)
+    catalog.QUERIES["fact_increment"](spark, sf_dir)
+    assert len(said) == 3 and not any("row_number" in plan for plan in said)
