@@ -291,6 +291,21 @@ def test_shares_equal_a_plain_count():
         assert np.isclose(row[: quality_ranker.WORDS].sum(), 1.0 if raw.split() else 0.0)
 
 
+def test_quality_counts_bytes_and_words_of_each_text(monkeypatch):
+    """One pass counts all byte values, empty texts and trigrams across chunks included."""
+    texts = ["", "aA a! 9", None, "é|\n|\n x", "b b b c", ""]
+    raw = [(t or "").encode() for t in texts]
+    data, sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
+    assert quality_ranker._bytes_by_value(data, sizes).tolist() == [[r.count(bytes([v])) for v in range(256)] for r in raw]
+    whole = quality_ranker.features(pa.array(texts, pa.string()))
+    named = dict(zip(quality_ranker.NAMES, whole.dense.T))
+    assert np.allclose(named["bar"], [r.count(b"|") / max(len(r), 1) for r in raw])
+    assert np.allclose(named["distinct"], [len(set(r.split())) / max(len(r.split()), 1) ** 0.9 for r in raw])
+    want = whole.shares()
+    monkeypatch.setattr(quality_ranker, "CHUNK", 3)
+    assert np.array_equal(whole.shares(), want)
+
+
 def quality_examples(rng, n, junk):
     """Texts told apart by their spelling alone: as many words, symbols and capitals in both classes."""
     ends = ["tion", "ing", "ment"] if not junk else ["xqz", "zzk", "qqj"]

@@ -59,10 +59,10 @@ CLASSES = {
 }
 
 
-def _share(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """Bytes of each text that are members."""
-    sums = np.concatenate([[0], np.cumsum(members[data], dtype=np.int64)])
-    return sums[starts + sizes] - sums[starts]
+def _bytes_by_value(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How often each of the 256 bytes stands in each text."""
+    n = len(sizes)
+    return np.bincount(np.repeat(np.arange(n) << 8, sizes) + data, minlength=n << 8).reshape(n, 256)
 
 
 @dataclass
@@ -80,7 +80,8 @@ class Features:
         for at in range(0, max(len(self.data) - 2, 0), CHUNK):
             part = self.data[at : at + CHUNK + 2].astype(np.uint32)
             code = part[:-2] | part[1:-1] << np.uint32(8) | part[2:] << np.uint32(16)
-            owner = np.searchsorted(ends, np.arange(at, at + len(part)), side="right").astype(np.int32)
+            here = np.diff(np.clip(ends, at, at + len(part)), prepend=at)
+            owner = np.repeat(np.arange(len(ends), dtype=np.int32), here)
             own = owner[:-2] == owner[2:]
             yield owner[:-2][own], (WORDS + (code[own] * np.uint32(2654435761) >> np.uint32(20))).astype(np.int32)
 
@@ -112,10 +113,9 @@ def features(texts: pa.Array) -> Features:
     raw = texts.fill_null("")
     sizes = pc.binary_length(raw).to_numpy().astype(np.int64)
     data = np.frombuffer(b"".join(x.as_buffer() for x in raw.cast(pa.binary())), np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    table = {k: np.isin(np.arange(256), np.frombuffer(v, np.uint8)) for k, v in CLASSES.items()}
-    table["wide"] = np.arange(256) >= 128
-    count = {k: _share(data, starts, sizes, v) for k, v in table.items()}
+    found = _bytes_by_value(data, sizes)
+    count = {k: found[:, list(v)].sum(axis=1) for k, v in CLASSES.items()}
+    count["wide"] = found[:, 128:].sum(axis=1)
     n = np.maximum(sizes, 1)
     letters = np.maximum(count["upper"] + count["lower"] + count["wide"], 1)
     symbol = sizes - count["upper"] - count["lower"] - count["wide"] - count["digit"] - count["space"] - count["stop"]
@@ -130,7 +130,9 @@ def features(texts: pa.Array) -> Features:
     w = np.maximum(per_doc, 1)
     next_to = np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (code[1:] == code[:-1])], minlength=len(raw))
     two = np.bincount(owner[2:][(owner[2:] == owner[:-2]) & (code[2:] == code[:-2])], minlength=len(raw))
-    distinct = np.bincount((np.unique(owner * (code.max(initial=0) + 1) + code) // (code.max(initial=0) + 1)), minlength=len(raw))
+    kinds = code.max(initial=0) + 1
+    own = np.sort(owner * kinds + code)
+    distinct = np.bincount(own[np.diff(own, prepend=-1) > 0] // kinds, minlength=len(raw))
     columns = (
         np.log1p(sizes), count["upper"] / letters, symbol / n, np.log(symbol / n + 1e-3), count["digit"] / n, count["space"] / n,
         np.minimum((sizes - count["space"]) / w, 40), next_to / w, two / w, distinct / w**0.9, np.log1p(per_doc),
