@@ -70,6 +70,13 @@ def test_packing_covers_every_id_once(spark, docs):
         assert sum(r.length for r in pieces) <= 512
 
 
+def test_packing_reads_texts_once(spark):
+    """Texts that differ whenever they are read are cut in one pass, so words and bodies agree."""
+    docs = spark.range(60, numPartitions=3).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.uuid(), F.lit("the end"), F.uuid()).alias("text"))
+    got = packing.pack(docs, WORDS, capacity=64, block_pieces=20).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("whole")).collect()
+    assert len(got) == 60 and all(r.n == r.whole for r in got)
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(2)
     for n, windows in ((1, 1), (5, 9), (40, 7), (600, 150)):

@@ -8,7 +8,8 @@ text. The caller gives the cutting rule and the encoder.
 
 Both passes read the documents, so they should come straight from files. A block is named by a hash of its
 contents and its place among the partitions: passes that saw different blocks end in an error, not in wrong
-ids, and equal blocks stay apart.
+ids, and equal blocks stay apart. With ``once`` one pass makes both, and the bodies go by the words' exchange:
+the texts are cut once, and the bodies move twice.
 
 A word's ids must not depend on its neighbours; the cutting rules in this package see to that. A bucket's task
 remembers the words it has encoded, up to a number that bounds its memory, beyond which it starts anew.
@@ -40,6 +41,8 @@ EncoderFactory = Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray
 
 BLOCK_BYTES = 8 << 20
 OUT_BYTES = 4 << 20
+#: Text whose bodies go to one encoding task at most, on average.
+PART_BYTES = 256 << 20
 #: Words that an encoding task takes at a time, and distinct words that it remembers before it starts anew.
 STEP_WORDS, KNOWN_WORDS = 200_000, 2_000_000
 ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
@@ -141,21 +144,40 @@ def _name(partition: int, number: int, ids: pa.Array, texts: pa.Array) -> int:
     return named.intdigest() >> 1
 
 
-def _word_rows(block: int, texts: pa.Array, cutter: Cutter, refine: Refiner, buckets: int, ids: pa.Array) -> pa.RecordBatch:
-    *_, inner, order = _distinct(texts, cutter, refine)
-    vocabulary = inner.dictionary.take(pa.array(order))
+def _by_bucket(vocabulary: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each word, and the words' places in the order of their buckets."""
     bucket_of = _buckets_of(vocabulary, buckets)
-    by_bucket = np.argsort(bucket_of, kind="stable")
+    return bucket_of, np.argsort(bucket_of, kind="stable")
+
+
+def _word_batch(block: int, vocabulary: pa.Array, bucket_of: np.ndarray, by_bucket: np.ndarray) -> pa.RecordBatch:
     rows = [(int(h), _squeeze(pa.table({"word": vocabulary.take(pa.array(by_bucket[a:b]))}))) for h, a, b in zip(*_runs(bucket_of[by_bucket]))]
     return pa.record_batch([[block] * len(rows), [h for h, _ in rows], [x for _, x in rows]], schema=ROWS)
 
 
-def _body_row(block: int, texts: pa.Array, cutter: Cutter, refine: Refiner, buckets: int, ids: pa.Array) -> pa.RecordBatch:
+def _word_rows(block: int, texts: pa.Array, cutter: Cutter, refine: Refiner, buckets: int, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    *_, inner, order = _distinct(texts, cutter, refine)
+    vocabulary = inner.dictionary.take(pa.array(order))
+    yield _word_batch(block, vocabulary, *_by_bucket(vocabulary, buckets))
+
+
+def _body_row(block: int, texts: pa.Array, cutter: Cutter, refine: Refiner, buckets: int, ids: pa.Array) -> Iterator[pa.RecordBatch]:
     vocabulary, per_text, numbers = _number_words(texts, cutter, refine)
-    bucket_of = _buckets_of(vocabulary, buckets)
-    by_bucket = np.argsort(bucket_of, kind="stable")
+    yield _body_batch(block, per_text, numbers, *_by_bucket(vocabulary, buckets), buckets, ids)
+
+
+def _both_rows(block: int, texts: pa.Array, cutter: Cutter, refine: Refiner, buckets: int, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    vocabulary, per_text, numbers = _number_words(texts, cutter, refine)
+    dealt = _by_bucket(vocabulary, buckets)
+    yield _word_batch(block, vocabulary, *dealt)
+    yield _body_batch(block, per_text, numbers, *dealt, buckets, ids)
+
+
+def _body_batch(
+    block: int, per_text: np.ndarray, numbers: np.ndarray, bucket_of: np.ndarray, by_bucket: np.ndarray, buckets: int, ids: pa.Array
+) -> pa.RecordBatch:
     # Frequent words get small numbers, which compress well.
-    order = np.argsort(-np.bincount(numbers, minlength=len(vocabulary)), kind="stable")
+    order = np.argsort(-np.bincount(numbers, minlength=len(bucket_of)), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     body = {
@@ -165,7 +187,8 @@ def _body_row(block: int, texts: pa.Array, cutter: Cutter, refine: Refiner, buck
         "ranks": pa.array([_planes(rank[by_bucket])]),
         "sizes": pa.array([_planes(np.bincount(bucket_of, minlength=buckets))]),
     }
-    return pa.record_batch([[block], [-1], [_squeeze(pa.table(body))]], schema=ROWS)
+    # A number below zero of the block's own deals bodies over the buckets' tasks.
+    return pa.record_batch([[block], [-1 - block % (1 << 30)], [_squeeze(pa.table(body))]], schema=ROWS)
 
 
 def _blocks(make, cutter: Cutter, refine: Refiner, buckets: int):
@@ -178,7 +201,7 @@ def _blocks(make, cutter: Cutter, refine: Refiner, buckets: int):
                 before = sizes[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(sizes, before + BLOCK_BYTES)))
                 ids, texts = batch.column(0)[at:end], batch.column(1)[at:end]
-                yield make(_name(partition, number, ids, texts), texts, cutter, refine, buckets, ids)
+                yield from make(_name(partition, number, ids, texts), texts, cutter, refine, buckets, ids)
                 number += 1
                 release()
                 at = end
@@ -187,7 +210,7 @@ def _blocks(make, cutter: Cutter, refine: Refiner, buckets: int):
 
 
 def _encode(factory: EncoderFactory):
-    """Bucket rows, sorted by bucket -> the same rows with counts and ids in place of words."""
+    """Bucket rows, sorted by bucket -> the same rows with counts and ids in place of words; bodies pass as they are."""
 
     def coded(rows: list[tuple[int, int, pa.Array]], known: dict[str, bytes], encode) -> pa.RecordBatch:
         whole = pa.concat_arrays([words for *_, words in rows]).dictionary_encode()
@@ -211,6 +234,9 @@ def _encode(factory: EncoderFactory):
         encode, known, rows, held = factory(), {}, [], 0
         for batch in batches:
             for block, bucket, blob in zip(batch.column("block").to_pylist(), batch.column("bucket").to_pylist(), batch.column("blob")):
+                if bucket < 0:  # in front of all words
+                    yield pa.record_batch([[block], [bucket], pa.array([blob.as_py()], pa.binary())], schema=ROWS)
+                    continue
                 if rows and (bucket != rows[0][1] or held >= STEP_WORDS):
                     yield coded(rows, known, encode)
                     if bucket != rows[0][1] or len(known) > KNOWN_WORDS:
@@ -292,21 +318,29 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def encode_corpus(
-    docs: DataFrame, cutter: Cutter, refine: Refiner, factory: EncoderFactory, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    cutter: Cutter,
+    refine: Refiner,
+    factory: EncoderFactory,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    once: bool = False,
 ) -> DataFrame:
     """(id, ids, place): ids as little-endian unsigned 32-bit integers, none for a null text; place is a number
-    of the row's own, which tells repeated rows apart."""
+    of the row's own, which tells repeated rows apart. ``once`` cuts the texts once for more bytes moved."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Vocabulary grows slower than text: buckets by the square root keep a bucket's words in memory.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(math.sqrt(total / (1 << 20))))
     kind = "block long, bucket int, blob binary"
-    words = slim.mapInArrow(released(_blocks(_word_rows, cutter, refine, buckets)), kind)
-    words = words.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    rows = lambda make: slim.mapInArrow(released(_blocks(make, cutter, refine, buckets)), kind)
+    # Bodies grow as the text does: a task gets those of some PART_BYTES of it.
+    parts = max(buckets, math.ceil(total / PART_BYTES)) if once else buckets
+    words = rows(_both_rows if once else _word_rows).repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
     coded = words.mapInArrow(released(_encode(factory)), kind)
-    bodies = slim.mapInArrow(released(_blocks(_body_row, cutter, refine, buckets)), kind)
-    both = bodies.unionAll(coded).repartition("block").sortWithinPartitions("block", "bucket")
+    whole = coded if once else rows(_body_row).unionAll(coded)
+    both = whole.repartition("block").sortWithinPartitions("block", "bucket")
     id_type = slim.schema["id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
     return both.mapInArrow(released(_assemble(arrow)), f"id {id_type}, ids binary, place long")

@@ -208,7 +208,8 @@ def pack(
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
     blocks = max(1, math.ceil((rows + (size or 0) / (4 * capacity)) / block_pieces))
     # White space ends every match of this tokenizer's pattern and is dropped.
-    coded = encode_corpus(docs, pc.ascii_split_whitespace, refiner(LETTERS, pc.utf8_lower, split_chunk), _word_encoder(tokenizer_path), id_col, text_col)
+    cut = refiner(LETTERS, pc.utf8_lower, split_chunk)
+    coded = encode_corpus(docs, pc.ascii_split_whitespace, cut, _word_encoder(tokenizer_path), id_col, text_col, once=True)
     kind = coded.schema["id"].dataType.simpleString()
     pieces = coded.mapInArrow(
         released(_pieces(capacity, end_id)), f"doc_id {kind}, start long, length long, doc_tokens long, place long, packed binary"
