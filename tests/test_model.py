@@ -276,3 +276,22 @@ def test_key_stability_reads_no_fixed_number_of_parts(spark, sf_dir, monkeypatch
     assert catalog.QUERIES["key_stability"](spark, sf_dir).first().unchanged
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan and "hashpartitioning(city" not in plan
+
+
+def test_growing_orders_are_not_held_whole_by_each_task(spark, sf_dir):
+    """Two rows of one order, two orders of one key and a line item without one."""
+    t = standins.tables(spark, sf_dir)
+    t.made["lineitem"] = t["lineitem"].where("l_orderkey < 4")
+    t.made["orders"] = t["orders"].where("o_orderkey = 1").select("*").union(t["orders"].where("o_orderkey = 1"))
+    joined = t["delivery"].select("l_orderkey", "rn")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    lines = {r.l_orderkey: r["count"] for r in t.made["lineitem"].groupBy("l_orderkey").count().collect()}
+    assert {r.l_orderkey: r["count"] for r in joined.groupBy("l_orderkey").count().collect()} == {k: n * (1 + (k == 1)) for k, n in lines.items()}
+
+
+def test_shuffles_begin_with_partitions_by_input(spark, sf_dir):
+    before = spark.conf.get(standins.INITIAL, None)
+    standins.deal_by_size(spark, 100 * standins.PART_BYTES)
+    assert spark.conf.get(standins.INITIAL) == "100"
+    standins.tables(spark, sf_dir)
+    assert spark.conf.get(standins.INITIAL, None) == before
