@@ -62,6 +62,23 @@ def test_absent_members_are_closed_and_come_back(spark):
     assert kept.where("is_current").count() == 2
 
 
+def test_growth_interprets_no_expression(spark):
+    """The pairs of a member's last version and its capture become rows in compiled code."""
+    log = captures(spark, capture("a", 1, "x"), capture("a", 2, "y"), capture("b", 2, "z"))
+    before = history.member_versions(log.where(F.col("captured_at") == F.lit(at(1))), DIM, CHECKED)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        now = history.grow_versions(before, log.where(F.col("captured_at") == F.lit(at(2))), DIM, F.lit(at(2)), CHECKED)
+        stages = now._jdf.queryExecution().debug().codegenToSeq()
+        made = [(stages.apply(i)._1(), stages.apply(i)._2()) for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    pairs = [code for tree, code in made if "Generate" in tree and "FullOuter" in tree]
+    assert len(pairs) == 1 and ").eval(" not in pairs[0]
+    assert sorted((r.x_id, r.name, r.is_current) for r in now.collect()) == [("a", "x", False), ("a", "y", True), ("b", "z", True)]
+
+
 FACT = "id long, k string, ts timestamp"
 
 
