@@ -295,3 +295,27 @@ def test_shuffles_begin_with_partitions_by_input(spark, sf_dir):
     assert spark.conf.get(standins.INITIAL) == "100"
     standins.tables(spark, sf_dir)
     assert spark.conf.get(standins.INITIAL, None) == before
+
+
+def test_parents_are_met_by_candidates_alone(spark, sf_dir):
+    """Impressions later than every parent's creation are not moved to their parents; the count is that of the whole base."""
+    given = standins.tables(spark, sf_dir)
+    seen = given["impressions"].limit(400).localCheckpoint()
+    parts = F.pmod(F.col("impression_id").cast("long") / 100, F.lit(4)).cast("int")
+    early = F.when(parts == 0, F.lit(None)).when(parts == 1, F.to_timestamp(F.lit("1980-01-01"))).otherwise(F.to_timestamp(F.lit("2030-01-01")))
+    late = {n: F.when(F.pmod(F.col(k).cast("long"), F.lit(5)) == 0, F.lit(None)).otherwise(F.col("created_at")) for n, k in (("creatives", "creative_id"), ("placements", "placement_id"))}
+    t = {n: given[n].withColumn("created_at", F.expr("CAST(created_at AS TIMESTAMP)") if n not in late else late[n]) for n in ("line_items", *late)}
+    t["impressions"] = seen.withColumn("impression_timestamp", early)
+    check = next(c for c in checks.TEMPORAL if c.base == "m_parents")
+    whole = spark.sql(checks.BASES["m_parents"], **t)
+    some = catalog.bases(t, {"m_parents"})["m_parents"]
+    assert 0 < some.where(check.predicate).count() == whole.where(check.predicate).count()
+    assert some.count() < whole.count()
+    nothing = t | {"creatives": t["creatives"].where("false")}
+    assert catalog.bases(nothing, {"m_parents"})["m_parents"].count() == 0
+
+
+def test_temporal_checks_group_line_items_in_their_place(spark, sf_dir):
+    """Every grouping of line items reads rows that were dealt by the key that they are joined by."""
+    said = catalog.QUERIES["checks_temporal"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(line_item_id" in said and "Exchange hashpartitioning(l_orderkey" not in said
