@@ -319,3 +319,66 @@ def test_temporal_checks_group_line_items_in_their_place(spark, sf_dir):
     """Every grouping of line items reads rows that were dealt by the key that they are joined by."""
     said = catalog.QUERIES["checks_temporal"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(line_item_id" in said and "Exchange hashpartitioning(l_orderkey" not in said
+
+
+def pointing_tables(spark):
+    """Small tables of all that the referential checks read, without a key, with keys that meet nothing and with keys that several parents have."""
+    ids = lambda k: [str(n) for n in range(k)]
+    some = lambda n, k, names: names[(n * 5 + k) % len(names)]
+    t = {
+        "advertisers": [(i,) for i in [*ids(4), "2"]],
+        "campaigns": [(i, some(n, 1, [*ids(4), "none", None])) for n, i in enumerate([*ids(9), "5", "5"])],
+        "line_items": [(i, some(n, 2, [*ids(9), "none", None])) for n, i in enumerate([*ids(12), "7", None])],
+        "creatives": [(i, some(n, 3, [*ids(4), "none", None])) for n, i in enumerate([*ids(6), "3"])],
+        "publishers": [(i,) for i in [*ids(5), "4", "4"]],
+        "placements": [(i, some(n, 4, [*ids(5), "none", None])) for n, i in enumerate(ids(8))],
+        "audiences": [(i, "N") for i in ids(3)],
+    }
+    key = lambda n, k, size: None if (n + k) % 11 == 0 else "none" if (n + k) % 13 == 0 else str((n * 5 + k) % size)
+    t["impressions"] = [(str(n % 110), key(n, 1, 9), key(n, 2, 12), key(n, 3, 4), key(n, 4, 6), key(n, 5, 5), key(n, 6, 8), key(n, 7, 3)) for n in range(120)]
+    t["clicks"] = [(f"c{n % 55}", key(n, 8, 130), *(row := t["impressions"][n])[1:3], None if n % 9 == 0 else row[3], row[4]) for n in range(60)]
+    t["conversions"] = [(f"v{n}", None if n % 7 == 0 else f"c{n * 3}", key(n, 9, 130), *t["clicks"][n][2:3], t["clicks"][n][4]) for n in range(30)]
+    t["spend_transactions"] = [(f"s{n}", key(n, 1, 9), key(n, 2, 12), key(n, 5, 5), key(n, 3, 130) if n % 3 == 0 else None) for n in range(90)]
+    columns = {
+        "impressions": "impression_id campaign_id line_item_id advertiser_id creative_id publisher_id placement_id audience_id",
+        "clicks": "click_id impression_id campaign_id line_item_id advertiser_id creative_id", "conversions": "conversion_id click_id impression_id campaign_id advertiser_id",
+        "spend_transactions": "spend_transaction_id campaign_id line_item_id publisher_id impression_id", "audiences": "audience_id country",
+        "campaigns": "campaign_id advertiser_id", "line_items": "line_item_id campaign_id", "creatives": "creative_id advertiser_id", "placements": "placement_id publisher_id",
+    }
+    lent = {"campaigns": ("created_at", "start_date", "end_date", "campaign_status"), "line_items": ("start_date", "end_date"), "placements": ("floor_price",)}
+    lent |= {"advertisers": ("created_at",), "publishers": ("created_at",), "impressions": ("impression_timestamp", "device_type", "country"), "clicks": ("click_timestamp",)}
+    made = {n: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns.get(n, f"{n[:-1]}_id").split())) for n, rows in t.items()}
+    return {n: df.withColumns({c: F.lit("x") for c in lent.get(n, ())}).coalesce(1).cache() for n, df in made.items()}
+
+
+def observed(df):
+    return {r.name: r.observed for r in df.collect()}
+
+
+def test_parents_met_apart_count_as_joined_rows(spark):
+    """Every parent is met once, by keys alone, and the counts are those of the whole joins, which SQL makes."""
+    t = pointing_tables(spark)
+    single = {n: df.dropDuplicates(df.columns[:1]) for n, df in t.items()}
+    for tables in (t, single | {n: t[n].where("false") for n in ("audiences", "clicks")}):
+        sql = spark.sql(checks.as_sql(checks.REFERENTIAL, checks.BASES), **tables)
+        got = observed(quality.observe_apart(checks.REFERENTIAL, tables, checks.RELATIONS, checks.EACH, {}))
+        assert got == observed(sql) and len(got) == 16 and (tables is not t or min(got.values()) > 0)
+
+
+def test_whole_joins_where_columns_of_several_parents_are_compared(spark):
+    t = pointing_tables(spark)
+    both = quality.Check("both", "join", "b_conversions", "k_imp <> i_id OR i_id IS NULL")
+    nothing = quality.Check("nothing", "join", "b_spend", "spend_transaction_id <> 's1'")
+    for family in ([both], [nothing], [both, nothing, *checks.REFERENTIAL]):
+        got, want = (observed(f(family, t, checks.RELATIONS, checks.EACH, {})) for f in (quality.observe_apart, quality.observe_scans))
+        assert got == want
+
+
+def test_referential_checks_move_keys_once_to_each_parent(spark, sf_dir, monkeypatch):
+    """What is moved to a parent are keys and the columns that are compared with it, not what other parents lend."""
+    met = {}
+    monkeypatch.setattr(quality, "cut", lambda df, name: met.setdefault(name, df))
+    got = observed(catalog.QUERIES["checks_referential"](spark, sf_dir))
+    assert len(got) == 16 and len(met) == 9
+    moved = met["met-creatives"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "placement_id" not in moved and "campaign_id" not in moved

@@ -1,6 +1,12 @@
+import glob
 import os
 import subprocess
 import sys
+import time
+
+from pyspark.sql import functions as F
+
+from tidemill import session
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 RUN = """
@@ -23,3 +29,19 @@ def test_the_shared_folder_is_empty_after_an_application(tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     assert int(done.stdout.split("written")[-1]) > 0
     assert [p for p in shared.rglob("*") if p.is_file()] == []  # Spark keeps an empty folder of its own
+
+
+def test_brief_shuffles_go_with_their_write(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before, given = shuffled(), spark.conf.get(session.CLEANUP, None)
+    with session.brief_shuffles(spark):
+        # Kept, so that the driver's garbage collection does not take its shuffle.
+        made = spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+        found = session.cut(made)
+    for _ in range(100):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(session.CLEANUP, None) == given
+    assert found.count() == made.count() == 7
